@@ -213,7 +213,8 @@ def identify(docs: DataFrame, learn_from: DataFrame, model_path: str, max_train_
         return docs.select(*keep, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"))
     shared = spark.sparkContext.broadcast((pieces, prob))
     names = np.array(langs)
-    kept = docs.select(*keep, F.col("text").alias("__text"))
+    kept = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias("__text"))
+    at = keep.index("text") if "text" in keep else len(keep)
     schema = docs.select(*keep).withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
 
     def predict(batches):
@@ -224,7 +225,7 @@ def identify(docs: DataFrame, learn_from: DataFrame, model_path: str, max_train_
         for batch in batches:
             n = batch.num_rows
             total, count = np.zeros((n, len(langs))), np.zeros(n, np.int64)
-            texts = batch.column("__text")
+            texts = batch.column(at)
             for i in range(0, n, 500):
                 part = [_words(t) if (t := x.as_py()) else [] for x in texts.slice(i, 500)]
                 count[i : i + len(part)] = lens = np.array([len(x) for x in part])
@@ -245,7 +246,7 @@ def identify(docs: DataFrame, learn_from: DataFrame, model_path: str, max_train_
             best = total.argmax(1)
             pred = np.where(count > 0, names[best], UND)
             score = np.where(count > 0, post[np.arange(n), best], 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(pred.tolist(), pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(pred.tolist(), pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
     return kept.mapInArrow(predict, schema)
 
