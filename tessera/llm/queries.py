@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, toxicity
+from . import decontam, langid, tokens, toxicity
 from .common import table
 
 
@@ -22,10 +22,21 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out_langid(table(spark, sf_dir, "documents"), _public("piece_bpe_32k.model"))
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination_report(decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
+def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_output(table(spark, sf_dir, "documents"), _public("word_bpe_49k.json"))
+
+
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
         "op3_language_id": op3_language_id,
+        "op4_decontamination": op4_decontamination,
+        "op9_token_output": op9_token_output,
     }
 
 

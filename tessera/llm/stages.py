@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import langid
+from . import decontam, langid, tokens
+from .common import table
 from .queries import _public
 
 
@@ -20,7 +21,9 @@ def remove_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Documents of whose words less than a twentieth are in benchmark windows stay."""
+    found = decontam.find_contamination(docs, table(spark, sf_dir, "benchmark"), keep=docs.columns)
+    return decontam.contamination_report(found).where(~F.col("contaminated")).select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,4 +31,5 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Writes the documents' token ids and returns, for each, its place in the files."""
+    return tokens.token_output(docs, _public("word_bpe_49k.json"))
