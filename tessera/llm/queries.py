@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, tokens, toxicity
+from . import decontam, langid, neardup, tokens, toxicity
 from .common import table
 
 
@@ -27,6 +27,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_output(table(spark, sf_dir, "documents"), _public("word_bpe_49k.json"))
 
@@ -36,6 +40,7 @@ def queries() -> dict:
         "op1_toxicity": op1_toxicity,
         "op3_language_id": op3_language_id,
         "op4_decontamination": op4_decontamination,
+        "op7_near_duplicates": op7_near_duplicates,
         "op9_token_output": op9_token_output,
     }
 

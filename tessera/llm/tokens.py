@@ -26,6 +26,7 @@ import json
 import re
 import uuid
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,11 @@ REMEMBERED = 300_000
 PART_BYTES = 48 << 20
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
 _SPACE = re.compile(r"[ \t\n\r\f\v]+")
+_PLAIN = re.compile("[a-zß-öø-ÿ]+")
+_STOP = re.compile(r"(?<=[a-z0-9ß-öø-ÿ])([.,])(?=[ \t\n\r]|\Z)")
+#: The byte-level alphabet: printable bytes stand for themselves, the others for the characters from U+0100 on.
+_PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_LEVEL = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
 def _fs(uri: str):
@@ -85,7 +91,7 @@ class Encoder:
         self.ids = np.zeros(1 << 20, np.uint32)
 
     def _learn(self, words: list[str]) -> None:
-        encoded = [e.ids for e in self.tokenizer.encode_batch(words, add_special_tokens=False)]
+        encoded = self._encode_words(words)
         n = np.array([len(e) for e in encoded], np.int64)
         base = len(self.index)
         while base + len(words) > len(self.start):
@@ -98,34 +104,41 @@ class Encoder:
         self.used += int(n.sum())
         self.index.update(zip(words, range(base, base + len(words))))
 
+    def _encode_words(self, words: list[str]) -> list[list[int]]:
+        """Words of lower-case Latin letters are neither normalised nor split further, so the library's BPE model takes them as they are; others go through its whole pipeline."""
+        model = self.tokenizer.model
+        plain = [bool(_PLAIN.fullmatch(w)) for w in words]
+        rest = iter(self.tokenizer.encode_batch([w for w, p in zip(words, plain) if not p], add_special_tokens=False))
+        return [[t.id for t in model.tokenize(w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_LEVEL))] if p else next(rest).ids for w, p in zip(words, plain)]
+
+    def _split(self, text: str) -> list[str]:
+        """The white-space-separated words; a comma or full stop after a letter or digit at a word's end is a word of its own, as no token joins the two."""
+        if "<|" in text or _ODD_SPACE.search(text):
+            return _SPACE.split(text)
+        return _STOP.sub(r" \1", text.encode().lower().decode()).split()
+
     def encode(self, texts: list[str], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, each followed by end_id; number of ids of each)"""
         if not self.by_word:
             encoded = [e.ids for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
             lens = np.array([len(e) + 1 for e in encoded], np.int64)
             return np.fromiter((i for e in encoded for i in (*e, end_id)), np.uint32, int(lens.sum())), lens
-        split = [(_SPACE.split(t) if _ODD_SPACE.search(t) else t.split()) for t in texts]
         if len(self.index) > REMEMBERED:
             self._forget()
-        index = self.index
-        new = set()
-        for words in split:
-            new.update(words)
-        new = [w for w in new if w not in index]
-        if new:
-            self._learn(new)
+        split = [self._split(t) for t in texts]
         n_words = np.array([len(w) for w in split], np.int64)
-        flat = np.fromiter((index[w] for words in split for w in words), np.int64, int(n_words.sum()))
+        words = [w for x in split for w in x]
+        flat = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
+        miss = np.flatnonzero(flat < 0)
+        if len(miss):
+            absent = [words[i] for i in miss.tolist()]
+            self._learn(list(dict.fromkeys(absent)))
+            flat[miss] = np.fromiter(map(self.index.__getitem__, absent), np.int64, len(absent))
         n = self.count[flat]
-        lens = np.bincount(np.repeat(np.arange(len(texts)), n_words), n, len(texts)).astype(np.int64) + 1
-        out = np.empty(int(lens.sum()), np.uint32)
-        ends = np.cumsum(lens) - 1
-        out[ends] = end_id
-        body = np.ones(len(out), bool)
-        body[ends] = False
         total = int(n.sum())
-        out[body] = self.ids[np.repeat(self.start[flat] - (np.cumsum(n) - n), n) + np.arange(total)]
-        return out, lens
+        ends = np.cumsum(np.bincount(np.repeat(np.arange(len(texts)), n_words), n, len(texts)).astype(np.int64))
+        ids = self.ids[np.repeat(self.start[flat] - (np.cumsum(n) - n), n) + np.arange(total)]
+        return np.insert(ids, ends, end_id), np.diff(np.r_[0, ends]) + 1
 
 
 def _drops_space(spec: dict) -> bool:
