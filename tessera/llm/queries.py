@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, langid, neardup, tokens, toxicity
+from . import decontam, langid, neardup, repeats, tokens, toxicity
 from .common import table
 
 
@@ -18,6 +18,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.held_out_langid(table(spark, sf_dir, "documents"), _public("piece_bpe_32k.model"))
 
@@ -38,6 +42,7 @@ def op9_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_repeats": op2_repeats,
         "op3_language_id": op3_language_id,
         "op4_decontamination": op4_decontamination,
         "op7_near_duplicates": op7_near_duplicates,
