@@ -15,9 +15,10 @@ them) is filled by looking twice as far.
 
 Documents with the same run of words are one from the start. Bands of the signatures are joined on: the documents of a
 bucket are held against the bucket's leader, which is the one that shares buckets with the most documents
-(so that the original of many copies leads, not one of the copies); pairs are confirmed by the exact similarity of
-their elements; those that their leader does not confirm choose leaders among themselves, four times as many each
-round, and so on until none is left, so a group of copies is never expanded into all its pairs. Classes are the connected
+(so that the original of many copies leads, not one of the copies). Buckets that then hold documents of one class
+are done, so a group of copies isn't expanded into all its pairs. In those that hold several classes, LEADERS
+leaders, and at last all documents, meet those of other classes. A pair is a candidate only if its signatures agree in about as many
+coordinates as those of similar texts do, and is confirmed by the exact similarity of its elements. Classes are the connected
 components of the confirmed links, found by propagating least ids with pointer jumping.
 
 Defined cases: a null text or one without words is like no other and forms a class of its own; copies of a text
@@ -41,6 +42,8 @@ BANDS = 32
 ROWS = 4
 #: Ids that are broadcast at most; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
+#: Leaders of a bucket in the second round.
+LEADERS = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX3 = np.uint64(0x94D049BB133111EB)
@@ -153,7 +156,7 @@ def _weights(count: np.ndarray, weighting: str) -> np.ndarray:
 
 
 def _sketch(batches, bands: int, rows: int, shingle: int, weighting: str):
-    """(doc_id, text) -> (doc_id, h1, h2, bands): a 128-bit hash of the text's run of words and the hashes of the bands; null without words."""
+    """(doc_id, text) -> (doc_id, h1, h2, bands, sig): a 128-bit hash of the text's run of words (null without words), the hashes of the bands, and four bits of each coordinate."""
     for batch in batches:
         data, off = utf8(batch.column("text"))
         for i, j in slices(off):
@@ -162,15 +165,19 @@ def _sketch(batches, bands: int, rows: int, shingle: int, weighting: str):
             full = np.flatnonzero(words.count)
             runs = np.zeros((2, j - i), np.uint64)
             band = np.zeros((j - i, bands), np.uint64)
+            packed = np.zeros((j - i, -(-bands * rows // 16)), np.uint64)
             if len(full):
                 at = (np.arange(len(words.hash)) - np.repeat(words.first[:-1], words.count)).astype(np.uint64)
                 for out, salt in zip(runs, (1, 2)):
                     out[full] = np.add.reduceat(mix(words.hash * _MIX + mix(at + np.uint64(salt << 40))), words.first[:-1][full])
                 doc, code, count = elements(words, shingle)
-                band = _bands(signatures(doc, code, _weights(count, weighting), j - i, bands * rows), bands, rows)
+                sig = signatures(doc, code, _weights(count, weighting), j - i, bands * rows)
+                band = _bands(sig, bands, rows)
+                for k in range(sig.shape[1]):
+                    packed[:, k // 16] |= (sig[:, k] >> np.uint64(60)) << np.uint64(4 * (k % 16))
             none = words.count == 0
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * bands, pa.int32()), pa.array(band.view(np.int64).reshape(-1)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), *(pa.array(r.view(np.int64), mask=none) for r in runs), lists], ["doc_id", "h1", "h2", "bands"])
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(j - i + 1) * x.shape[1], pa.int32()), pa.array(x.view(np.int64).reshape(-1))) for x in (band, packed)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), *(pa.array(r.view(np.int64), mask=none) for r in runs), *lists], ["doc_id", "h1", "h2", "bands", "sig"])
 
 
 def _element_rows(batches, shingle: int, weighting: str):
@@ -201,6 +208,19 @@ def _similar(batches, least: float):
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep)], ["a", "b", "linked"])
 
 
+def _agree(a, b, k: int, similarity: float):
+    """Whether so many of k coordinates agree (in four bits each) as those of texts of that similarity do, but for 3.4 standard deviations."""
+    p = similarity + (1 - similarity) / 16
+    least = int(k * p - 3.4 * np.sqrt(k * p * (1 - p)))
+    differ = None
+    for i in range(-(-k // 16)):
+        x = a[i].bitwiseXOR(b[i])
+        x = x.bitwiseOR(F.shiftrightunsigned(x, 1))
+        n = F.bit_count(x.bitwiseOR(F.shiftrightunsigned(x, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+        differ = n if differ is None else differ + n
+    return differ <= k - least
+
+
 def components(links: DataFrame) -> DataFrame:
     """(a, b) -> (node, root): the least node of each connected component. Least-neighbour propagation with pointer jumping; each round is a written table."""
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
@@ -226,45 +246,47 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     confirmed to be similar to (as leader or as follower).
     """
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = written(source.mapInArrow(lambda it: _sketch(it, bands, rows, shingle, weighting), "doc_id long, h1 long, h2 long, bands array<long>"), "neardup-sketches")
+    sketched = written(source.mapInArrow(lambda it: _sketch(it, bands, rows, shingle, weighting), "doc_id long, h1 long, h2 long, bands array<long>, sig array<long>"), "neardup-sketches")
     named = sketched.where(F.col("doc_id").isNotNull() & F.col("h1").isNotNull())
-    groups = written(named.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "bands")).alias("least")).select("h1", "h2", F.col("least.doc_id").alias("rep"), "least.bands"), "neardup-groups")
-    buckets = groups.select("rep", F.posexplode("bands").alias("i", "band")).select("rep", "band").distinct()
+    groups = written(named.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "bands", "sig")).alias("least")).select("h1", "h2", F.col("least.doc_id").alias("rep"), "least.bands", "least.sig"), "neardup-groups")
+    buckets = groups.select("rep", "sig", F.explode("bands").alias("band"))
     sizes = buckets.groupBy("band").agg(F.count("*").alias("size")).where("size > 1")
     open_rows = written(buckets.join(sizes, "band"), "neardup-buckets")
     fame = open_rows.groupBy("rep").agg(F.sum("size").alias("fame"))
-    open_rows = written(open_rows.select("rep", "band").join(fame, "rep"), "neardup-buckets")
+    open_rows = written(open_rows.drop("size").join(fame, "rep").withColumn("class", F.col("rep")), "neardup-buckets")
     involved = fame.select(F.col("rep").alias("doc_id"))
     few = fame.count() <= max_broadcast_ids
     texts = source.join(F.broadcast(involved) if few else involved, "doc_id", "left_semi")
     sets = written(texts.select(F.col("doc_id").alias("rep"), "text").mapInArrow(lambda it: _element_rows(it, shingle, weighting), "rep long, codes array<long>, weights array<int>"), "neardup-elements")
     tested: DataFrame | None = None
-    leaders = 1
-    while True:
+    for leaders in (1, LEADERS, None):
+        lead = open_rows.select("band", F.col("rep").alias("a"), F.col("sig").alias("a_sig"), F.col("class").alias("a_class"), "fame")
         if leaders == 1:
-            first = open_rows.groupBy("band").agg(F.min(F.struct((-F.col("fame")).alias("f"), F.col("rep").alias("rep"))).alias("lead")).select("band", F.col("lead.rep").alias("a"))
-        else:
-            rank = F.row_number().over(Window.partitionBy("band").orderBy(F.desc("fame"), "rep"))
-            first = open_rows.withColumn("rank", rank).where(F.col("rank") <= leaders).select("band", F.col("rep").alias("a"))
-        held = written(open_rows.select("band", F.col("rep").alias("b"), "fame").join(first, "band"), "neardup-held")
-        pairs = held.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            lead = lead.groupBy("band").agg(F.min(F.struct((-F.col("fame")).alias("f"), "a", "a_sig", "a_class")).alias("m")).select("band", "m.a", "m.a_sig", "m.a_class")
+        elif leaders:
+            lead = lead.withColumn("r", F.row_number().over(Window.partitionBy("band").orderBy(F.desc("fame"), "a"))).where(F.col("r") <= leaders)
+        lead = lead.select(F.col("band").alias("a_band"), "a", "a_sig", "a_class")
+        near = (F.col("band") == F.col("a_band")) & (F.col("class") != F.col("a_class")) & _agree(F.col("sig"), F.col("a_sig"), bands * rows, similarity)
+        if not leaders:
+            near = near & (F.col("a") < F.col("rep"))
+        pairs = open_rows.join(lead, near).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("codes").alias("a_codes"), F.col("weights").alias("a_weights")), "a").join(sets.select(F.col("rep").alias("b"), F.col("codes").alias("b_codes"), F.col("weights").alias("b_weights")), "b")
         judged = both.mapInArrow(lambda it: _similar(it, similarity), "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
         tested = written(judged if tested is None else tested.unionByName(judged), "neardup-tested")
-        # followers that no leader of their bucket confirmed go on; leaders have met all others of the bucket
-        linked = held.withColumn("x", F.least("a", "b")).withColumn("y", F.greatest("a", "b")).join(tested.select(F.col("a").alias("x"), F.col("b").alias("y"), "linked"), ["x", "y"], "left")
-        rest = linked.groupBy("band", F.col("b").alias("rep"), "fame").agg(F.max((F.col("a") == F.col("b")) | F.coalesce("linked", F.lit(False))).alias("done")).where(~F.col("done")).drop("done")
-        alone = rest.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-        open_rows = written(rest.join(alone, "band"), "neardup-buckets")
+        links = tested.where("linked").select("a", "b")
+        classes = components(links).select(F.col("node").alias("rep"), "root")
+        # a bucket whose documents are of one class is done
+        named_rows = open_rows.drop("class").join(classes, "rep", "left").select(*[c for c in open_rows.columns if c != "class"], F.coalesce("root", "rep").alias("class"))
+        mixed = named_rows.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("band")
+        if not leaders:
+            break
+        open_rows = written(named_rows.join(mixed, "band"), "neardup-buckets")
         if open_rows.isEmpty():
             break
-        leaders *= 4
-    links = tested.where("linked").select("a", "b")
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    classes = components(links).select(F.col("node").alias("rep"), "root").join(degree, "rep", "left")
-    by_text = groups.select("h1", "h2", "rep").join(classes, "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    by_text = groups.select("h1", "h2", "rep").join(classes.join(degree, "rep", "left"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = sketched.select("doc_id", "h1", "h2").join(by_text, ["h1", "h2"], "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
 
