@@ -204,7 +204,7 @@ def _(spark, d):
     return rounded(clean.fences(holes(spark, d), NUM), "low", "high")
 
 
-@query("outlier_counts", FENCES + "SELECT column, count_if(value < low OR value > high) AS n_outliers FROM v JOIN f USING (column) GROUP BY column")
+@query("outlier_counts", FENCES + "SELECT column, CAST(count_if(value < low OR value > high) AS BIGINT) AS n_outliers FROM v JOIN f USING (column) GROUP BY column")
 def _(spark, d):
     return clean.outlier_counts(holes(spark, d), NUM)
 
@@ -457,7 +457,7 @@ def _(spark, d):
     return reports.feature_drift(a.select("l_returnflag", "l_linestatus"), b.select("l_returnflag", "l_linestatus"))
 
 
-@query("drift_summary", TEXT_DRIFT + ", t AS (SELECT column, round(sum(abs(p - q)) / 2, 4) AS score FROM p GROUP BY 1) SELECT count(*) AS n_columns, count_if(score >= 0.1) AS n_drifted, round(avg(CAST(score >= 0.1 AS DOUBLE)), 4) AS drift_share, avg(CAST(score >= 0.1 AS DOUBLE)) >= 0.5 AS drift, avg(CAST(score >= 0.1 AS DOUBLE)) >= 0.5 AS retrain FROM t")
+@query("drift_summary", TEXT_DRIFT + ", t AS (SELECT column, round(sum(abs(p - q)) / 2, 4) AS score FROM p GROUP BY 1) SELECT count(*) AS n_columns, CAST(count_if(score >= 0.1) AS BIGINT) AS n_drifted, round(avg(CAST(score >= 0.1 AS DOUBLE)), 4) AS drift_share, avg(CAST(score >= 0.1 AS DOUBLE)) >= 0.5 AS drift, avg(CAST(score >= 0.1 AS DOUBLE)) >= 0.5 AS retrain FROM t")
 def _(spark, d):
     a, b = sides(spark, d)
     return reports.drift_summary(reports.feature_drift(a.select("l_returnflag", "l_linestatus"), b.select("l_returnflag", "l_linestatus")))
