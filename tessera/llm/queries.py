@@ -36,13 +36,17 @@ def op5_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
-#: The tree of the mix: domains by the last digit of the source's name, then languages, then sources.
-MIX_LEVELS = {"domain": F.expr("CASE WHEN substr(source, -1, 1) IN ('0', '1', '2', '3') THEN 'web' WHEN substr(source, -1, 1) IN ('4', '5', '6') THEN 'books' ELSE 'forums' END"), "lang": F.col("lang"), "source": F.col("source")}
-MIX_WEIGHTS = [F.expr("CASE domain WHEN 'web' THEN 0.5D WHEN 'books' THEN 0.3D ELSE 0.2D END"), F.expr("CASE lang WHEN 'en' THEN 0.5D WHEN 'fr' THEN 0.2D WHEN 'de' THEN 0.2D ELSE 0.1D END"), F.lit(1.0)]
+def mix_levels() -> dict:
+    """The tree of the mix: domains by the last digit of the source's name, then languages, then sources."""
+    return {"domain": F.expr("CASE WHEN substr(source, -1, 1) IN ('0', '1', '2', '3') THEN 'web' WHEN substr(source, -1, 1) IN ('4', '5', '6') THEN 'books' ELSE 'forums' END"), "lang": F.col("lang"), "source": F.col("source")}
+
+
+def mix_weights() -> list:
+    return [F.expr("CASE domain WHEN 'web' THEN 0.5D WHEN 'books' THEN 0.3D ELSE 0.2D END"), F.expr("CASE lang WHEN 'en' THEN 0.5D WHEN 'fr' THEN 0.2D WHEN 'de' THEN 0.2D ELSE 0.1D END"), F.lit(1.0)]
 
 
 def mixed(docs: DataFrame) -> DataFrame:
-    return mixing.mix(docs, MIX_LEVELS, MIX_WEIGHTS)
+    return mixing.mix(docs, mix_levels(), mix_weights())
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
