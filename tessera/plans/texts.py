@@ -64,7 +64,7 @@ def _(spark, d):
     return read(spark, d, "benchmark").select("item_id", F.size(text.token_set(F.col("text"))).cast("long").alias("n"))
 
 
-@query("doc_chunks", "WITH c AS (SELECT doc_id, CAST(doc_id AS VARCHAR) || '_' || at AS chunk_id, trim(substr(text, CAST(at AS BIGINT) + 1, 500)) AS chunk FROM (SELECT doc_id, text, unnest(range(0, length(text), 500)) AS at FROM documents)) SELECT doc_id, chunk_id, md5(chunk) AS chunk_md5 FROM c WHERE chunk <> ''")
+@query("doc_chunks", "WITH c AS (SELECT doc_id, CAST(doc_id AS VARCHAR) || '_' || k AS chunk_id, trim(substr(text, CAST(k AS BIGINT) + 1, 500)) AS chunk FROM (SELECT doc_id, text, unnest(range(0, length(text), 500)) AS k FROM documents)) SELECT doc_id, chunk_id, md5(chunk) AS chunk_md5 FROM c WHERE chunk <> ''")
 def _(spark, d):
     return text.chunks(read(spark, d, "documents"), "doc_id", "text").select("doc_id", "chunk_id", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
 
