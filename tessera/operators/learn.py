@@ -220,7 +220,7 @@ def tune(df: DataFrame, task: str, name: str, n_trials: int = 25, timeout: float
     for trial in range(n_trials):
         if trial and timeout and time.monotonic() - began > timeout:
             break
-        params = draw(SPACES.get(name, {}), rng)
+        params = draw(SPACES.get(name, {}), rng) if trial else {}  # the first trial has the defaults
         try:
             score = cv_score(df, task, estimator(name, task, n_classes, **params), folds)
         except Exception:
@@ -281,8 +281,6 @@ def automl(df: DataFrame, target: str, key: str, task: str | None = None, candid
     split = stratified_split(data, "label", quoted(key), test, seed) if labels else random_split(data, quoted(key), test, seed)
     train = split.where(~F.col("is_test")).drop("is_test").persist()
     held = split.where("is_test").drop("is_test")
-    order = F.xxhash64(*[quoted(c) for c in sorted(df.columns)])
-    prepare = Pipeline(stages=[Cleaner(ignore=[target, key, "label"]), OutlierCap(columns=[]), FeatureEngineer(labelCol="label"), FeatureSelector(labelCol="label", task=task)])
     plain = train.drop(target, key)
     cleaner = Cleaner(ignore=["label"]).fit(plain)
     numbers = [c for c, v in cleaner.fitted["fill"].items() if not isinstance(v, str)]
@@ -296,11 +294,10 @@ def automl(df: DataFrame, target: str, key: str, task: str | None = None, candid
     matrix = with_folds(matrix_model.transform(plain).select("features", "label"), "label" if labels else None, F.xxhash64(vector_to_array("features")), folds, seed).persist()
     board = leaderboard(matrix, task, candidates, folds, max(2, len(labels)))
     best = board.orderBy("rank").first()["model"]
-    params, score, history = tune(matrix, task, best, n_trials, seed=seed, folds=folds, n_classes=max(2, len(labels)))
+    params, _, _ = tune(matrix, task, best, n_trials, seed=seed, folds=folds, n_classes=max(2, len(labels)))
     model = PipelineModel(stages=[*matrix_model.stages, estimator(best, task, max(2, len(labels)), **params).fit(matrix)])
     made = model.transform(held.drop(target, key))
     metrics = classification_metrics(made, "label", "prediction") if labels else regression_metrics(made, "label", "prediction")
-    _ = prepare, order, history, score
     train.unpersist()
     return AutoMLResult(task, model, labels, board, {"model": best, "params": params}, metrics, features)
 
