@@ -21,6 +21,12 @@ leaders, and at last all documents, meet those of other classes. A pair is a can
 coordinates as those of similar texts do, and is confirmed by the exact similarity of its elements. Classes are the connected
 components of the confirmed links, found by propagating least ids with pointer jumping.
 
+What the first round measures spares later ones much: each document then has a pivot, the most widespread of the
+documents that it was held against, the weight it shares with the pivot, and a bitmap of the elements beyond that.
+Two documents of one pivot share no more than the lesser of their shares with it and what their bitmaps have in
+common (counting all that fell on a bit taken before). Where even that is too little for the similarity asked, the
+pair is no link, and isn't made. So a group of copies that lie just under the threshold isn't expanded into its pairs.
+
 Defined cases: a null text or one without words is like no other and forms a class of its own; copies of a text
 share a class; the rows of one doc_id are one document (its links are those of any of its texts); a row with a null
 doc_id takes no part (null class_id, no links); extra columns are ignored.
@@ -44,6 +50,14 @@ ROWS = 4
 MAX_BROADCAST_IDS = 1_000_000
 #: Leaders of a bucket in the second round.
 LEADERS = 64
+#: 64-bit words of the bitmap of what a document has beyond its pivot.
+BITMAP = 8
+#: Rows of a block of a bucket in the last round, and of those that meet a group's rows at once.
+BLOCK = 2048
+MEET_ROWS = 256
+#: Standard deviations under the agreement of similar texts at which signatures still make a candidate: in the first round, which finds pivots, and after.
+SLACK_FIRST = 6.0
+SLACK = 3.4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX3 = np.uint64(0x94D049BB133111EB)
@@ -191,27 +205,41 @@ def _element_rows(batches, shingle: int, weighting: str):
             yield pa.RecordBatch.from_arrays([batch.column("rep").slice(i, j - i), values, weights], ["rep", "codes", "weights"])
 
 
-def _similar(batches, least: float):
-    """Keeps the pairs whose exact weighted Jaccard similarity is at least least."""
+def _similar(batches, least: float, measure: bool):
+    """Whether the exact weighted Jaccard similarity of each pair is at least least; to measure, also the weights, the common weight, and bitmaps of what each side has beyond the other."""
     for batch in batches:
-        keep = np.zeros(batch.num_rows, bool)
-        a, b, u, v = (batch.column(n) for n in ("a_codes", "b_codes", "a_weights", "b_weights"))
-        for r in range(batch.num_rows):
+        n = batch.num_rows
+        keep, size, common = np.zeros(n, bool), np.zeros((2, n), np.int64), np.zeros(n, np.int64)
+        beyond = np.zeros((2, n, BITMAP), np.uint64)
+        a, b, u, v = (batch.column(c) for c in ("a_codes", "b_codes", "a_weights", "b_weights"))
+        for r in range(n):
             x, y = a[r].values.to_numpy(), b[r].values.to_numpy()
             wx, wy = u[r].values.to_numpy(), v[r].values.to_numpy()
             both = np.concatenate([x, y])
             order = np.argsort(both, kind="stable")
             both, w = both[order], np.concatenate([wx, wy])[order]
             hit = np.flatnonzero(both[1:] == both[:-1])
-            inter = int(np.minimum(w[hit], w[hit + 1]).sum())
-            keep[r] = inter >= least * (int(wx.sum()) + int(wy.sum()) - inter) - 1e-9
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(keep)], ["a", "b", "linked"])
-
-
-def _agree(a, b, k: int, similarity: float):
-    """Whether so many of k coordinates agree (in four bits each) as those of texts of that similarity do, but for 3.4 standard deviations."""
+            shared = np.minimum(w[hit], w[hit + 1])
+            size[:, r], common[r] = (int(wx.sum()), int(wy.sum())), int(shared.sum())
+            keep[r] = common[r] >= least * (size[0, r] + size[1, r] - common[r]) - 1e-9
+            if measure:
+                left = w.astype(np.int64)
+                left[hit] -= shared
+                left[hit + 1] -= shared
+                for side, mine in enumerate((order < len(x), order >= len(x))):
+                    bit = both[mine & (left > 0)].view(np.uint64)
+                    np.bitwise_or.at(beyond[side, r], (bit >> np.uint64(6)).astype(np.int64) % BITMAP, np.uint64(1) << (bit & np.uint64(63)))
+        out = {"a": batch.column("a"), "b": batch.column("b"), "linked": pa.array(keep)}
+        if measure:
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BITMAP, pa.int32()), pa.array(x.view(np.int64).reshape(-1))) for x in beyond]
+            out |= {"a_fame": batch.column("a_fame"), "b_fame": batch.column("b_fame"), "a_size": pa.array(size[0]), "b_size": pa.array(size[1]), "common": pa.array(common), "a_bits": lists[0], "b_bits": lists[1]}
+        yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+
+
+def _agree(a, b, k: int, similarity: float, slack: float):
+    """Whether so many of k coordinates agree (in four bits each) as those of texts of that similarity do, but for slack standard deviations."""
     p = similarity + (1 - similarity) / 16
-    least = int(k * p - 3.4 * np.sqrt(k * p * (1 - p)))
+    least = int(k * p - slack * np.sqrt(k * p * (1 - p)))
     differ = None
     for i in range(-(-k // 16)):
         x = a[i].bitwiseXOR(b[i])
@@ -221,6 +249,113 @@ def _agree(a, b, k: int, similarity: float):
     return differ <= k - least
 
 
+def _pivots(measured: DataFrame, similarity: float) -> DataFrame:
+    """(rep, PIVOT): of each rep the most widespread document that it was held against, or itself, and what they share.
+
+    Documents of several texts (rows of one doc_id) have none.
+    """
+    rows = None
+    for own, other in (("a", "b"), ("b", "a")):
+        size, bits = F.col(f"{own}_size"), F.col(f"{own}_bits")
+        held = measured.select(F.col(own).alias("rep"), F.col(f"{other}_fame").alias("fame"), F.col(other).alias("pivot"), size.alias("size"), "common", bits.alias("bits"))
+        alone = measured.select(F.col(own).alias("rep"), F.col(f"{own}_fame").alias("fame"), F.col(own).alias("pivot"), size.alias("size"), size.alias("common"), F.array_repeat(F.lit(0).cast("long"), BITMAP).alias("bits"))
+        rows = held.unionByName(alone) if rows is None else rows.unionByName(held).unionByName(alone)
+    first = rows.groupBy("rep").agg(F.max(F.struct("fame", (-F.col("pivot")).alias("p"), "size", "common", "bits")).alias("m"))
+    shown = sum((F.bit_count(F.col("m.bits")[i]) for i in range(BITMAP)), F.lit(0))
+    return first.select("rep", (-F.col("m.p")).alias("pivot"), F.col("m.size") * (similarity / (1 + similarity)), "m.common", F.col("m.size") - F.col("m.common") - shown, *[F.col("m.bits")[i] for i in range(BITMAP)]).toDF("rep", *PIVOT)
+
+
+#: Columns of a document's pivot: its id, the document's part of the common weight that a link needs, the weight in common, the weight beyond that the bitmap doesn't show, the bitmap.
+PIVOT = ["pivot", "need", "common", "over", *[f"beyond{i}" for i in range(BITMAP)]]
+
+
+def _with_pivots(rows: DataFrame, pivots: DataFrame | None) -> DataFrame:
+    """rows with the columns of PIVOT; what has no pivot needs nothing, and so can be similar to all."""
+    none = [F.lit(0).cast("long"), F.lit(-1e300), *[F.lit(0).cast("long")] * (2 + BITMAP)]
+    if pivots is None:
+        return rows.withColumns(dict(zip(PIVOT, none)))
+    return rows.drop(*PIVOT).join(pivots, "rep", "left").withColumns({c: F.coalesce(c, v) for c, v in zip(PIVOT, none)})
+
+
+def _possible():
+    """Whether documents (of columns PIVOT, and those after a_) can be similar: false only if both have one pivot, and too little in common with it and beyond it."""
+    beyond = sum((F.bit_count(F.col(f"beyond{i}").bitwiseAND(F.col(f"a_beyond{i}"))) for i in range(BITMAP)), F.lit(0))
+    most = F.least("common", "a_common") + F.least("over", "a_over") + beyond
+    return (F.col("pivot") != F.col("a_pivot")) | (most >= F.col("need") + F.col("a_need") - 1e-9)
+
+
+def _meet(batches, k: int, similarity: float):
+    """(band, i, j, block, rep, class, sig, PIVOT), sorted by band, i and j -> (a, b): the pairs of the blocks i and j of a band that can be similar, as _agree and _possible say."""
+    p = similarity + (1 - similarity) / 16
+    most_apart = k - int(k * p - SLACK * np.sqrt(k * p * (1 - p)))
+
+    def pairs(t: pa.Table, first: np.ndarray):
+        col = {c: t.column(c).to_numpy() for c in ("i", "j", "block", "rep", "class", *PIVOT)}
+        sig = np.stack(t.column("sig").to_numpy()).view(np.uint64)
+        beyond = np.stack([col[c] for c in PIVOT[4:]], 1).view(np.uint64)
+        for s, e in zip(first[:-1], first[1:]):
+            for low in range(s, e, MEET_ROWS):
+                x, y = np.nonzero(col["class"][low : min(low + MEET_ROWS, e), None] != col["class"][None, s:e])
+                x, y = x + low, y + s
+                ok = col["rep"][x] < col["rep"][y]
+                if col["i"][s] != col["j"][s]:  # the rows of a block meet in a group of its own
+                    ok &= col["block"][x] != col["block"][y]
+                x, y = x[ok], y[ok]
+                most = np.minimum(col["common"][x], col["common"][y]) + np.minimum(col["over"][x], col["over"][y]) + np.bitwise_count(beyond[x] & beyond[y]).sum(1, dtype=np.int64)
+                ok = (col["pivot"][x] != col["pivot"][y]) | (most >= col["need"][x] + col["need"][y] - 1e-9)
+                x, y = x[ok], y[ok]
+                apart = sig[x] ^ sig[y]
+                apart |= apart >> np.uint64(1)
+                apart |= apart >> np.uint64(2)
+                ok = np.bitwise_count(apart & np.uint64(0x1111111111111111)).sum(1, dtype=np.int64) <= most_apart
+                yield col["rep"][x[ok]], col["rep"][y[ok]]
+
+    def out(found):
+        found = [f for f in found if len(f[0])]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], ["a", "b"])
+
+    rest = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = (t if rest is None else pa.concat_tables([rest, t])).combine_chunks()
+        keys = np.stack([t.column(c).to_numpy().astype(np.int64) for c in ("band", "i", "j")])
+        first = np.r_[0, np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(0)) + 1] if t.num_rows else np.zeros(1, np.int64)
+        yield from out(pairs(t.slice(0, first[-1]), first) if len(first) > 1 else ())
+        rest = t.slice(first[-1])  # its group may go on
+    if rest is not None and rest.num_rows:
+        yield from out(pairs(rest, np.array([0, rest.num_rows])))
+
+
+def _met(rows: DataFrame, k: int, similarity: float) -> DataFrame:
+    """(a, b), each once: the rows of each band meet by blocks of about BLOCK rows, each two blocks in a group of their own, so that large bands are dealt over tasks of bounded size."""
+    size = rows.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    dealt = rows.join(size, "band").withColumn("block", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "class", "sig", *PIVOT)
+    dealt = dealt.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+    return dealt.mapInArrow(lambda it: _meet(it, k, similarity), "a long, b long").distinct()
+
+
+def _led(rows: DataFrame, leaders: int, k: int, similarity: float) -> DataFrame:
+    """(a, b), each once: the rows of each band and its leaders, as far as they can be similar; for one leader also what both share buckets with (a_fame, b_fame)."""
+    first = leaders == 1
+    lead = rows.select("band", *[F.col(c).alias(f"a_{c}") for c in ("rep", "sig", "class", "fame", *PIVOT)])
+    if first:
+        lead = lead.groupBy("band").agg(F.min(F.struct((-F.col("a_fame")).alias("f"), "a_rep", "a_sig", "a_class", "a_fame")).alias("m")).select("band", "m.a_rep", "m.a_sig", "m.a_class", "m.a_fame")
+    else:
+        lead = lead.withColumn("r", F.row_number().over(Window.partitionBy("band").orderBy(F.desc("a_fame"), "a_rep"))).where(F.col("r") <= leaders).drop("r")
+    lead = lead.withColumnRenamed("band", "a_band")
+    near = (F.col("band") == F.col("a_band")) & (F.col("class") != F.col("a_class"))
+    if not first:
+        near = near & _possible()
+    near = near & _agree(F.col("sig"), F.col("a_sig"), k, similarity, SLACK_FIRST if first else SLACK)
+    low = F.col("a_rep") < F.col("rep")
+    ends = [F.least("a_rep", "rep").alias("a"), F.greatest("a_rep", "rep").alias("b")]
+    fames = [F.when(low, F.col("a_fame")).otherwise(F.col("fame")).alias("a_fame"), F.when(low, F.col("fame")).otherwise(F.col("a_fame")).alias("b_fame")]
+    return rows.join(lead, near).select(*ends, *(fames if first else [])).distinct()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(a, b) -> (node, root): the least node of each connected component. Least-neighbour propagation with pointer jumping; each round is a written table."""
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
@@ -259,30 +394,35 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
     texts = source.join(F.broadcast(involved) if few else involved, "doc_id", "left_semi")
     sets = written(texts.select(F.col("doc_id").alias("rep"), "text").mapInArrow(lambda it: _element_rows(it, shingle, weighting), "rep long, codes array<long>, weights array<int>"), "neardup-elements")
     tested: DataFrame | None = None
+    open_rows = _with_pivots(open_rows, None)
     for leaders in (1, LEADERS, None):
-        lead = open_rows.select("band", F.col("rep").alias("a"), F.col("sig").alias("a_sig"), F.col("class").alias("a_class"), "fame")
-        if leaders == 1:
-            lead = lead.groupBy("band").agg(F.min(F.struct((-F.col("fame")).alias("f"), "a", "a_sig", "a_class")).alias("m")).select("band", "m.a", "m.a_sig", "m.a_class")
-        elif leaders:
-            lead = lead.withColumn("r", F.row_number().over(Window.partitionBy("band").orderBy(F.desc("fame"), "a"))).where(F.col("r") <= leaders)
-        lead = lead.select(F.col("band").alias("a_band"), "a", "a_sig", "a_class")
-        near = (F.col("band") == F.col("a_band")) & (F.col("class") != F.col("a_class")) & _agree(F.col("sig"), F.col("a_sig"), bands * rows, similarity)
-        if not leaders:
-            near = near & (F.col("a") < F.col("rep"))
-        pairs = open_rows.join(lead, near).select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct()
+        first = leaders == 1
+        if leaders:
+            pairs = _led(open_rows, leaders, bands * rows, similarity)
+        else:
+            pairs = _met(open_rows, bands * rows, similarity)
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("codes").alias("a_codes"), F.col("weights").alias("a_weights")), "a").join(sets.select(F.col("rep").alias("b"), F.col("codes").alias("b_codes"), F.col("weights").alias("b_weights")), "b")
-        judged = both.mapInArrow(lambda it: _similar(it, similarity), "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
-        tested = written(judged if tested is None else tested.unionByName(judged), "neardup-tested")
+        judged = both.mapInArrow(lambda it, measure=first: _similar(it, similarity, measure), "a long, b long, linked boolean" + (", a_fame long, b_fame long, a_size long, b_size long, common long, a_bits array<long>, b_bits array<long>" if first else ""))
+        found = F.max("linked").alias("linked")
+        if first:
+            measures = ["a_fame", "b_fame", "a_size", "b_size", "common", "a_bits", "b_bits"]
+            measured = written(judged.groupBy("a", "b").agg(found, F.count("*").alias("texts"), *[F.first(c).alias(c) for c in measures]), "neardup-tested")
+            tested = measured.select("a", "b", "linked")
+        else:
+            tested = written(tested.unionByName(judged.groupBy("a", "b").agg(found)), "neardup-tested")
         links = tested.where("linked").select("a", "b")
         classes = components(links).select(F.col("node").alias("rep"), "root")
-        # a bucket whose documents are of one class is done
-        named_rows = open_rows.drop("class").join(classes, "rep", "left").select(*[c for c in open_rows.columns if c != "class"], F.coalesce("root", "rep").alias("class"))
-        mixed = named_rows.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("band")
         if not leaders:
             break
-        open_rows = written(named_rows.join(mixed, "band"), "neardup-buckets")
+        # a bucket whose documents are of one class is done
+        named_rows = open_rows.drop("class").join(classes, "rep", "left").withColumn("class", F.coalesce("root", "rep")).drop("root")
+        mixed = named_rows.groupBy("band").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high").select("band")
+        still = named_rows.join(mixed, "band")
+        if first:
+            still = _with_pivots(still, _pivots(measured.where("texts = 1"), similarity))
+        open_rows = written(still.select(*open_rows.columns), "neardup-buckets")
         if open_rows.isEmpty():
             break
     degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
