@@ -7,9 +7,10 @@ probabilities maximise that likelihood (expectation maximisation; the expected c
 backward sums). No piece crosses a word's start, so a text's log-likelihood is the sum over its words. Words
 are maximal runs of letters of the lower-cased text; the work is done on distinct words, many at a time.
 
-Training takes a bounded sample (max_train_docs documents, chosen by a hash of the text); its words are counted by
-Spark, and each round of expectation maximisation is one Spark job over these counts. The driver holds only a
-table of languages x pieces, whose size is fixed by the vocabulary.
+The languages are those of all labelled documents that have a letter. Training takes a bounded sample of each language
+(all of its documents up to max_train_docs, else about that many, chosen by a hash of doc_id and text); its words are
+counted by Spark, and each round of expectation maximisation is one Spark job over these counts. The driver holds only
+a table of languages x pieces, and a row for each language.
 
 Defined cases: a null text, or one without a letter, is `und` with score 0.0; so is every text where there is
 nothing to learn from. A tie goes to the language that sorts first. Repeated rows are answered each; extra columns are ignored.
@@ -30,11 +31,14 @@ from .common import fold, written
 UND = "und"
 #: Pieces of more bytes aren't used.
 MAX_PIECE_BYTES = 12
+#: Training documents of each language at most (about).
 MAX_TRAIN_DOCS = 5_000
 ROUNDS = 2
 #: Distinct words whose likelihoods a worker remembers.
 REMEMBERED = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
+#: What _WORD matches one of, for Spark.
+_HAS_WORD = r"[\p{L}\p{Nl}\p{No}]"
 
 
 def vocabulary(path: str) -> list[bytes]:
@@ -166,12 +170,18 @@ def _count_words(batches):
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["lang", "word", "n"])
 
 
+def training_sample(docs: DataFrame, max_train_docs: int = MAX_TRAIN_DOCS) -> DataFrame:
+    """(doc_id, text, lang) -> (text, lang): of each language all documents with a letter, or about max_train_docs of them if it has more; one at least."""
+    key = [c for c in ("doc_id", "text") if c in docs.columns]
+    docs = docs.select(*key, "lang").where(F.col("lang").isNotNull() & F.col("text").rlike(_HAS_WORD)).withColumn("__at", F.pmod(F.xxhash64(*key), F.lit(1 << 31)))
+    bound = docs.groupBy("lang").agg(F.greatest(F.min("__at").cast("double"), (1 << 31) * (F.lit(float(max_train_docs)) / F.count("*"))).alias("__bound"))
+    return docs.join(F.broadcast(bound), "lang").where(F.col("__at") <= F.col("__bound")).select("text", "lang")
+
+
 def train(docs: DataFrame, model_path: str, max_train_docs: int = MAX_TRAIN_DOCS, rounds: int = ROUNDS) -> tuple[list[str], list[bytes], np.ndarray]:
-    """(text, lang) -> languages, pieces, probabilities (pieces x languages)."""
+    """(doc_id, text, lang) -> languages, pieces, probabilities (pieces x languages)."""
     spark = docs.sparkSession
-    docs = docs.select("text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    share = min(1.0, max_train_docs / max(1, docs.count()))
-    sample = docs.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < int(1_000_000 * share))
+    sample = training_sample(docs, max_train_docs)
     words = written(sample.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang")), "langid-words")
     langs = sorted(r[0] for r in words.select(F.explode(F.map_keys("by_lang")).alias("lang")).distinct().collect())
     pieces = vocabulary(model_path)
