@@ -8,9 +8,10 @@ by length: the mean over the whole text and the largest mean over any SPAN bytes
 is diluted in the former. A logistic curve over the two, fitted on labelled texts that the counts left out,
 turns them into a score.
 
-Counts, continuation counts and discounts are aggregated by Spark over all labelled texts. Only the finished
-ratio table is broadcast, and its size is checked: the order is lowered until the table has at most max_grams
-entries; order 3 has at most 2^24 by construction.
+Counts, continuation counts and discounts are aggregated by Spark over all labelled texts. The finished ratio
+table is broadcast if it has at most max_grams grams. A larger one stays distributed: documents are dealt into
+blocks of bounded size, each block's distinct grams and contexts are joined with the table, and the block's own
+small table goes to its documents. The model, and so every score, is the same either way.
 
 Defined cases: a null or empty text has no evidence and gets the curve's value at zero; a label that is null, and
 a document without a label, teach nothing; of several labels of one document the largest counts; without labels of
@@ -32,7 +33,10 @@ SPAN = 12
 DISCOUNT = 0.75
 #: Largest number of labels that are broadcast; more are joined by a shuffle.
 MAX_BROADCAST_LABELS = 4_000_000
+#: Largest number of grams whose ratios are broadcast; more are joined by a shuffle.
 MAX_GRAMS = 1 << 24
+#: Bytes of text of a block (a longer document has one of its own).
+BLOCK_BYTES = 4 << 20
 #: Calibration texts at most (about).
 MAX_CALIBRATION = 50_000
 _LOWER = np.arange(256, dtype=np.int64)
@@ -136,6 +140,52 @@ def evidence(data: np.ndarray, offsets: np.ndarray, seen: Lookup, context: Looku
     return mean, peak
 
 
+def _in_blocks(batches, block_bytes: int):
+    """The batches with the number of each row's block; an empty text counts too, so that blocks are bounded in rows."""
+    from pyspark import TaskContext
+
+    block, filled = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        lens = np.diff(utf8(batch.column("text"))[1]) + 64
+        number = np.empty(len(lens), np.int64)
+        for i, n in enumerate(lens.tolist()):
+            if filled and filled + n > block_bytes:
+                block, filled = block + 1, 0
+            number[i] = block
+            filled += n
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(number)], ["doc_id", "text", "block"])
+
+
+def _block_keys(batches, order: int):
+    """(block, key): the distinct grams and contexts of each block, as keys of the ratio table (some twice, where batches cut a block)."""
+    for batch in batches:
+        number = batch.column("block").to_numpy()
+        ends = np.r_[np.flatnonzero(np.diff(number)) + 1, len(number)]
+        for i, j in zip(np.r_[0, ends[:-1]], ends):
+            if i < j:
+                data, off = utf8(batch.column("text").slice(i, j - i))
+                parts = [np.unique(grams(data[off[a] : off[b]], off[a : b + 1] - off[a], order)[0]) for a, b in slices(off)]
+                found = np.unique(np.concatenate(parts))
+                keys = np.r_[found, -1 - np.unique(found >> 8)]
+                for k in range(0, len(keys), 50_000):
+                    part = keys[k : k + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), number[i])), pa.array(part)], ["block", "key"])
+
+
+def evidence_by_blocks(docs: DataFrame, model: DataFrame, order: int, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, text) and the ratio table (key, llr), of any size -> (doc_id, mean_llr, peak_llr). A key occurs about once a block in the join, so none is hot."""
+    blocks = written(docs.select("doc_id", "text").mapInArrow(lambda it: _in_blocks(it, block_bytes), "doc_id long, text string, block long"), "toxicity-blocks")
+    values = blocks.mapInArrow(lambda it: _block_keys(it, order), "block long, key long").join(model, "key").select("block", "key", "llr")
+
+    def score(texts: pa.Table, table: pa.Table) -> pa.Table:
+        key, llr = table.column("key").to_numpy(), table.column("llr").to_numpy()
+        own = key >= 0
+        mean, peak = evidence(*utf8(pa.concat_arrays(texts.column("text").chunks)), Lookup(key[own], llr[own]), Lookup(-1 - key[~own], llr[~own]), order)
+        return pa.table({"doc_id": texts.column("doc_id"), "mean_llr": mean, "peak_llr": peak})
+
+    return blocks.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(score, "doc_id long, mean_llr double, peak_llr double")
+
+
 def calibrate(x: np.ndarray, y: np.ndarray, rounds: int = 50, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
     """Weights on the raw features and the intercept of a ridge-penalised logistic curve (Newton's method)."""
     mu, sd = x.mean(0), x.std(0) + 1e-9
@@ -162,26 +212,27 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out:
     by = F.broadcast(known) if n_known <= max_broadcast_labels else known
     tuning = (held_out + 1) % folds
     train = docs.join(by.where(fold(F.col("doc_id"), folds) != tuning), "doc_id").select("text", "toxic")
-    while True:
-        counts = written(gram_counts(train, order), "toxicity-grams")
-        if order <= 3 or counts.count() <= max_grams:
-            break
-        order -= 1
+    counts = written(gram_counts(train, order), "toxicity-grams")
     have = counts.agg(F.sum("c1"), F.sum("c0")).first()
     if not have[0] or not have[1]:
         return docs.select("doc_id", (fold(F.col("doc_id"), folds) == held_out).alias("held_out"), F.lit(0.0).alias("score"), F.lit(0).alias("predicted"), F.lit(0.0).alias("mean_llr"), F.lit(0.0).alias("peak_llr"))
-    model = ratios(counts, order).toPandas()
-    seen = model["key"].to_numpy() >= 0
-    shared = spark.sparkContext.broadcast((model["key"].to_numpy()[seen], model["llr"].to_numpy()[seen], -1 - model["key"].to_numpy()[~seen], model["llr"].to_numpy()[~seen]))
-
-    def score(batches):
-        k1, v1, k0, v0 = shared.value
-        own, context = Lookup(k1, v1), Lookup(k0, v0)
-        for batch in batches:
-            mean, peak = evidence(*utf8(batch.column("text")), own, context, order)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(mean), pa.array(peak)], ["doc_id", "mean_llr", "peak_llr"])
-
-    scored = written(docs.mapInArrow(score, "doc_id long, mean_llr double, peak_llr double"), "toxicity-evidence")
+    model = ratios(counts, order)
+    if counts.count() > max_grams:
+        found = evidence_by_blocks(docs, model, order)
+    else:
+        local = model.toPandas()
+        seen = local["key"].to_numpy() >= 0
+        shared = spark.sparkContext.broadcast((local["key"].to_numpy()[seen], local["llr"].to_numpy()[seen], -1 - local["key"].to_numpy()[~seen], local["llr"].to_numpy()[~seen]))
+
+        def score(batches):
+            k1, v1, k0, v0 = shared.value
+            own, context = Lookup(k1, v1), Lookup(k0, v0)
+            for batch in batches:
+                mean, peak = evidence(*utf8(batch.column("text")), own, context, order)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(mean), pa.array(peak)], ["doc_id", "mean_llr", "peak_llr"])
+
+        found = docs.mapInArrow(score, "doc_id long, mean_llr double, peak_llr double")
+    scored = written(found, "toxicity-evidence")
     tune = known.where(fold(F.col("doc_id"), folds) == tuning)
     keep = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * min(1.0, max_calibration / max(1, n_known / max(1, folds - 1))))
     sample: pd.DataFrame = scored.join(tune.where(keep), "doc_id").select("mean_llr", "peak_llr", "toxic").toPandas()
