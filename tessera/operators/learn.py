@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import logging
+import tempfile
 import time
+import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
@@ -239,11 +242,67 @@ def knn(train: DataFrame, queries: DataFrame, k: int = 5, p: int = 2, weighted:
     """(id, v, label) and a small set of queries (id, v) -> (id, pred): exact nearest neighbours, each task keeping its k best of every query before the shuffle."""
     d = F.aggregate(F.zip_with("v", "w", lambda a, b: F.pow(F.abs(a - b), F.lit(float(p)))), F.lit(0.0), lambda s, x: s + x)
     pairs = train.join(F.broadcast(queries.select(F.col("id").alias("q"), F.col("v").alias("w"))), F.lit(True)).select("q", "id", "label", F.pow(d, F.lit(1.0 / p)).alias("d"))
+    return _vote(pairs, k, weighted)
+
+
+def _vote(pairs: DataFrame, k: int, weighted: bool = False) -> DataFrame:
     near = pairs.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))).where(F.col("r") <= k)
     votes = near.groupBy("q", "label").agg(F.sum(1 / F.greatest("d", F.lit(1e-12)) if weighted else F.lit(1.0)).alias("votes"))
     return votes.groupBy("q").agg(F.min(F.struct((-F.col("votes")).alias("v"), "label")).alias("m")).select(F.col("q").alias("id"), F.col("m.label").alias("pred"))
 
 
+def _nearest_others(q_id: np.ndarray, q: np.ndarray, t_id: np.ndarray, t: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each query its k nearest rows of t with another id, by distance and id: (query, row of t, distance)."""
+    if not len(t):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    tt, qq = (t * t).sum(1), (q * q).sum(1)
+    rough = qq[:, None] + tt[None, :] - 2 * (q @ t.T)
+    rough[q_id[:, None] == t_id[None, :]] = np.inf
+    kth = np.partition(rough, min(k, len(t)) - 1, axis=1)[:, min(k, len(t)) - 1]
+    a, b = np.nonzero((rough <= (kth + 1e-9 * (qq + tt.max()))[:, None]) & np.isfinite(rough))
+    d = np.sqrt(((q[a] - t[b]) ** 2).sum(1))  # as knn() computes it; the product only preselects
+    order = np.lexsort((t_id[b], d, a))
+    a, b, d = a[order], b[order], d[order]
+    take = np.arange(len(a)) - np.searchsorted(a, a) < k
+    return a[take], b[take], d[take]
+
+
+def knn_others(df: DataFrame, k: int = 5, query_rows: int = 8192) -> DataFrame:
+    """(id, v, label), ids unique -> (id, pred) for every row, from its k exact nearest other rows.
+
+    About query_rows queries are broadcast at a time and held against the whole table, so the work grows with the square of the rows.
+    Rows without an id or with a vector that is null, or not all finite, neither ask nor answer; a table of one row has no predictions.
+    """
+    spark = df.sparkSession
+    rows = df.where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))).select("id", F.col("v").cast("array<double>").alias("v"), "label")
+    n = max(1, -(-rows.count() // query_rows))
+    kind = f"q long, id long, label {df.schema['label'].dataType.simpleString()}, d double"
+    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")).rstrip("/") + f"/knn-{uuid.uuid4().hex}"
+    matrix = lambda column: np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float64)
+    for i in range(n):
+        block = rows.where(F.pmod(F.xxhash64("id"), F.lit(n)) == i).select("id", "v").toArrow().combine_chunks()
+        asked = None
+        if block.num_rows:
+            asked = block.column("id").to_numpy().astype(np.int64), matrix(block.column("v"))
+        shared = spark.sparkContext.broadcast(asked)
+
+        def search(batches, shared=shared):
+            if shared.value is None:
+                return
+            q_id, q = shared.value
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                t_id, t, label = batch.column("id").to_numpy().astype(np.int64), matrix(batch.column("v")), batch.column("label")
+                for at in range(0, len(q_id), 512):
+                    a, b, d = _nearest_others(q_id[at : at + 512], q[at : at + 512], t_id, t, k)
+                    yield pa.RecordBatch.from_arrays([pa.array(q_id[at + a]), pa.array(t_id[b]), label.take(pa.array(b)), pa.array(d)], ["q", "id", "label", "d"])
+
+        _vote(rows.mapInArrow(search, kind), k).write.mode("append").parquet(folder)
+        shared.unpersist()
+    return spark.read.parquet(folder)
+
+
 # --- end to end
 
 

@@ -552,6 +552,11 @@ def _(spark, d):
     return learn.knn(df.where("id >= 20"), df.where("id < 20").select("id", "v"))
 
 
+@query("knn_predict_all")
+def _(spark, d):
+    return learn.knn_others(read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), "label"))
+
+
 PROBA = "p AS (SELECT o_orderkey, [(o_orderkey % 10 + 1) / 20.0, (o_orderkey % 7 + 1) / 20.0] AS x FROM orders), f AS (SELECT o_orderkey, CAST(x[1] AS DOUBLE) AS a, CAST(x[2] AS DOUBLE) AS b, 1 - CAST(x[1] AS DOUBLE) - CAST(x[2] AS DOUBLE) AS c FROM p)"
 
 
