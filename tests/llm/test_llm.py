@@ -165,7 +165,7 @@ def test_nearest(spark):
     rng = np.random.default_rng(6)
     x = rng.standard_normal((300, 16))
     rows = [(i, [float(v) for v in x[i]]) for i in range(300)] + [(301, None), (302, []), (303, [0.0] * 16), (304, [float("nan")] * 16), (None, [1.0] * 16), (305, [None] + [1.0] * 15)]
-    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5, block_rows=100, query_rows=8).toPandas()
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=5, block_rows=100, query_rows=4).toPandas()
     hits = []
     for q, part in got.groupby("query_id"):
         s = x @ x[q]
@@ -173,3 +173,31 @@ def test_nearest(spark):
         hits.append(len(set(part["vec_id"]) & set(np.argsort(-s)[:5])) / 5)
     assert len(hits) == 15 and np.mean(hits) >= 0.9
     assert ann.nearest(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
+
+
+def test_nearest_ties_copies_and_lengths(spark):
+    rng = np.random.default_rng(8)
+    x = rng.standard_normal((40, 8)) * rng.uniform(0.2, 3.0, (40, 1))
+    x[1:30] = x[30]  # ties
+    rows = [(i, [float(v) for v in x[i]], "e", 1.0) for i in range(40)] + [(30, [float(v) for v in x[0]], "again", 2.0)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, score string, retrieved double"), k=25, miss=0.0).orderBy("query_id", "rank").collect()
+    every = np.r_[x, x[:1]]
+    for q in (0, 20):
+        want = sorted((-float(every[i] @ x[q]), v[0]) for i, v in enumerate(rows) if v[0] != q)[:25]
+        mine = [r for r in got if r["query_id"] == q]
+        assert [r["rank"] for r in mine] == list(range(1, 26))
+        assert np.allclose([r["score"] for r in mine], [-s for s, _ in want])
+        assert [r["vec_id"] for r in mine] == [v for _, v in sorted(zip(np.round([s for s, _ in want], 9), [v for _, v in want]))]
+
+
+def test_probing_retrieves_every_code_within_the_radius():
+    rng = np.random.default_rng(9)
+    x = np.repeat(rng.standard_normal((60, 16)), 10, 0) + 0.3 * rng.standard_normal((600, 16))
+    index = ann.Index(np.arange(600), x, ann.learn(ann.lengthened(x, 9.0), 16 * 8), 9.0)
+    sub = ann.codes(np.append(x[0], 0.0)[None, :], index.turn)
+    apart = np.bitwise_count(index.words ^ index._words(sub)).sum(1, dtype=np.int64)
+    found = np.zeros(600, bool)
+    for reach in range(3):
+        found |= index.probe(sub[0], reach)
+        assert found[apart <= index.m * (reach + 1) - 1].all()
+    assert found.sum() < 300
