@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,13 +13,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a task works on at once (single longer documents are taken whole).
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
+#: Bytes of texts that Spark hands to Python at once (single longer documents are taken whole).
+BATCH_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or a fresh local one where it is unset and all run in one process."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -30,6 +35,14 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def in_batches(docs: DataFrame) -> DataFrame:
+    """docs, with the session set (if it isn't already) so that Python workers get at most BATCH_BYTES at once: 10,000 rows, Spark's usual limit, may be gigabytes of text."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if limit not in docs.sparkSession.conf.getAll:
+        docs.sparkSession.conf.set(limit, str(BATCH_BYTES))
+    return docs
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a table in the shared folder: computed once, with its lineage cut."""
     path = scratch(df.sparkSession, name)
@@ -37,6 +50,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def quoted(name: str) -> str:
+    """A column's name for F.col, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def free_name(name: str, taken: list[str]) -> str:
+    """name, with as many `_` appended as it takes to differ from all of taken (without regard to case, as Spark compares)."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name += "_"
+    return name
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -72,7 +98,7 @@ class Lookup:
     """A read-only hash map from non-negative int64 keys to float32 values, in flat arrays of a size fixed by the number of keys."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(4 * len(keys)).bit_length())
+        self.bits = max(4, int(2 * len(keys)).bit_length())
         self.keys = np.full(1 << self.bits, -1, np.int64)
         self.values = np.zeros(1 << self.bits, np.float32)
         keys, values = keys.astype(np.int64), values.astype(np.float32)

@@ -50,7 +50,7 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixed(table(spark, sf_dir, "documents"))
+    out = mixed(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
     return out.select("doc_id", "mix_leaf.domain", "mix_leaf.lang", "mix_leaf.source", "mix_epoch", "mix_tokens")
 
 
