@@ -4,12 +4,11 @@ A page is cut into blocks: runs of text between block-level tags, each with its
 classifier on a block's own features (the kind of the elements around it, names in their class and id, links,
 length, punctuation) gives a cost for labelling it content and one for labelling it boilerplate; these are the
 capacities from and to the terminals of a flow network. Edges between neighbouring blocks, and between blocks with the
-same parent or grandparent element, carry the price of labelling the two differently. A maximum flow (augmenting
-paths) gives the minimum cut, and the blocks on the source's side are the main text. Blocks that are certain
-(inside nav, footer, form and the like) have a capacity no smoothness can pay for.
+same parent or grandparent element, carry the price of labelling the two differently. A maximum flow gives the
+minimum cut, and the blocks on the source's side are the main text. Names and kinds of elements are features
+among others, so that the cut can overrule them; only what is in script, style and the like never becomes a block.
 
-Blocks with one parent, one kind and the same verdict of the classifier in a row are one vertex, so the network
-stays small whatever the length of the page.
+A block whose own costs outweigh all its edges is settled beforehand, which leaves small networks.
 
 Inside a block references are decoded and white space becomes one space; blocks are joined by a line feed.
 
@@ -22,45 +21,135 @@ from __future__ import annotations
 
 import re
 from html import unescape
+from itertools import islice
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import in_batches
+
 #: Elements that end a block where they begin or end.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td textarea tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose content isn't text of the page.
 SILENT = frozenset("script style template noscript head title svg math iframe object canvas audio video select textarea option".split())
-#: Elements and roles that never hold the main text.
+#: Elements that seldom hold the main text.
 CHROME = frozenset("nav footer header aside form menu dialog button label fieldset".split())
 #: Elements that an opening tag of the same kind ends.
 CLOSES = {"p": "p", "li": "li", "dt": "dt dd", "dd": "dt dd", "tr": "tr td th", "td": "td th", "th": "td th"}
+#: Elements beyond which a start tag closes nothing.
+BOUNDS = frozenset("ul ol dl table div section article blockquote main td li nav aside footer header form body".split())
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)[^>]*\Z", re.S)
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "template")}
 _NAMES = re.compile(r"""(?:class|id|role|itemprop)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 _BAD = re.compile(r"(?:^|[\W_])(?:nav(?:bar|igation)?|menu|foot(?:er)?|head(?:er)?bar|site-?header|masthead|side-?bar|aside|breadcrumbs?|ad|ads|adv|advert\w*|banner|promo\w*|sponsor\w*|cookies?|consent|notice|popup|modal|overlay|newsletter|subscri\w*|signup|login|search|share|sharing|social|related|recommend\w*|comments?|replies|reply|disqus|respond|pagination|pager|widget|toolbar|copyright|legal|disclaimer|hidden|contentinfo|complementary|navigation)(?:$|[\W_])", re.I)
 _GOOD = re.compile(r"(?:^|[\W_])(?:article\w*|content|main|body|post|entry|story|text|prose)(?:$|[\W_])", re.I)
 _SENTENCE = re.compile(r"[.!?;:,](?:\s|$)")
+_COPYRIGHT = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-CERTAIN = 1000.0
+#: The linear classifier: log-odds that a block is main text, as a sum of weights times features (fixed values).
+WEIGHTS = {
+    "bias": -1.0,
+    "chrome": -8.0,  # an element around it that holds navigation, forms, headers or footers
+    "bad_name": -8.0,  # a class, id or role around it that names such a thing, or a hidden element
+    "container": 2.5,  # an article or main element around it, or one named like that
+    "outside": -2.0,  # the page has such a container, but not around it
+    "length": 2.0,  # characters, in full from LONG on
+    "sentences": 1.5,  # punctuation that ends or parts sentences, in full from SENTENCES on
+    "linked": -4.0,  # share of its characters inside links
+    "paragraph": 1.0,
+    "item": -0.5,
+    "depth": -0.5,  # open elements, in full from DEEP on
+    "copyright": -4.0,
+}
+LONG, SENTENCES, DEEP = 200, 3, 20
+#: Prices of labelling two blocks differently: neighbours in the page, children of one element, and of one grandparent.
+NEIGHBOURS, SIBLINGS, COUSINS = 0.4, 0.8, 0.4
 
 
 class Block:
-    __slots__ = ("linked", "parent", "path", "size", "tag", "text", "up")
+    """A run of text: its parent and grandparent element, and what is around it."""
 
-    def __init__(self, text, linked, path):
-        self.text, self.linked, self.path = text, linked, path
+    __slots__ = ("around", "linked", "size", "tag", "text")
+
+    def __init__(self, text: str, linked: int, tag: str, around: Around):
+        self.text, self.linked, self.tag, self.around = text, linked, tag, around
         self.size = len(text)
-        self.parent, self.up = path[-1][0], path[-2][0] if len(path) > 1 else 0
-        self.tag = path[-1][1]
+
+
+class Around(NamedTuple):
+    """What the open elements say of what is in them."""
+
+    parent: int = 0
+    up: int = 0
+    depth: int = 0
+    container: bool = False
+    chrome: bool = False
+    bad_name: bool = False
+
+    def within(self, number: int, tag: str, side: int) -> Around:
+        """Inside one more element. side: -1, 0 or 1 for one that is or is named like chrome, neither, or a container."""
+        if tag not in BLOCKS and not side:
+            return self
+        own_header = tag == "header" and self.container  # an article's own header holds its title
+        chrome = side < 0 and tag in CHROME
+        return Around(number, self.parent, self.depth + 1, self.container or side > 0, self.chrome or chrome and not own_header, self.bad_name or side < 0 and not chrome)
+
+
+class _Open:
+    """The open elements, with where each kind is open, so that none is searched for."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, Around]] = [("", Around())]
+        self.where: dict[str, list[int]] = {}
+        self.blocks, self.bounds = [0], [0]
+        self.silent = 0
+
+    def push(self, tag: str, around: Around) -> None:
+        at = len(self.stack)
+        self.stack.append((tag, around))
+        self.where.setdefault(tag, []).append(at)
+        if tag in BLOCKS:
+            self.blocks.append(at)
+        if tag in BOUNDS:
+            self.bounds.append(at)
+        self.silent += tag in SILENT
+
+    def cut(self, at: int) -> None:
+        """Closes the element at a place of the stack, and all in it."""
+        while len(self.stack) > at:
+            tag, _ = self.stack.pop()
+            self.where[tag].pop()
+            for held in (self.blocks, self.bounds):
+                if held[-1] == len(self.stack):
+                    held.pop()
+            self.silent -= tag in SILENT
+
+    def last(self, *tags: str) -> int:
+        """The place of the innermost of these elements, or 0."""
+        return max((self.where[t][-1] for t in tags if self.where.get(t)), default=0)
+
+    def end(self, tag: str) -> None:
+        """An end tag closes the innermost such element; one that isn't a block's doesn't close blocks."""
+        at = self.last(tag)
+        if at and (tag in BLOCKS or at > self.blocks[-1]):
+            self.cut(at)
+
+    def begin(self, tag: str) -> None:
+        """What the start of a block closes."""
+        if tag not in ("body", "html"):
+            at = self.last(*CLOSES.get(tag, "p").split())
+            if at and at >= self.bounds[-1]:
+                self.cut(at)
 
 
 def blocks(html: str) -> list[Block]:
-    """The blocks of text of a page, in order. A path is of (number, tag, side) with side -1, 0 or 1 for chrome, neither and article."""
+    """The blocks of text of a page, in order."""
     out: list[Block] = []
-    stack: list[tuple[int, str, int]] = [(0, "", 0)]
+    now = _Open()
     text: list[str] = []
-    linked = silent = link = number = 0
+    linked = link = number = 0
     at, end = 0, len(html)
 
     def flush():
@@ -68,14 +157,14 @@ def blocks(html: str) -> list[Block]:
         if text:
             whole = " ".join(unescape("".join(text)).split())
             if whole:
-                out.append(Block(whole, linked, tuple(x for x in stack if x[1] in BLOCKS or x[2]) or ((0, "", 0),)))
+                out.append(Block(whole, linked, now.stack[now.blocks[-1]][0], now.stack[-1][1]))
             text.clear()
             linked = 0
 
     while at < end:
         m = _TOKEN.search(html, at)
         upto = m.start() if m else end
-        if upto > at and not silent:
+        if upto > at and not now.silent:
             text.append(html[at:upto])
             if link:
                 linked += upto - at
@@ -91,24 +180,11 @@ def blocks(html: str) -> list[Block]:
                 flush()
             elif tag == "a":
                 link = 0
-            k = len(stack) - 1
-            while k and stack[k][1] != tag:
-                k -= 1
-            if k and not (tag not in BLOCKS and any(x[1] in BLOCKS for x in stack[k + 1 :])):
-                silent -= sum(x[1] in SILENT for x in stack[k:])
-                del stack[k:]
+            now.end(tag)
             continue
         if tag in BLOCKS:
             flush()
-            if tag in CLOSES or tag in BLOCKS:
-                ends = CLOSES.get(tag, "p").split()
-                if tag in CLOSES or tag not in ("body", "html"):
-                    k = len(stack) - 1
-                    while k and stack[k][1] not in ends and stack[k][1] not in ("ul", "ol", "dl", "table", "div", "section", "article", "blockquote", "main", "td", "li", "nav", "aside", "footer", "header", "form", "body"):
-                        k -= 1
-                    if k and stack[k][1] in ends:
-                        silent -= sum(x[1] in SILENT for x in stack[k:])
-                        del stack[k:]
+            now.begin(tag)
         elif tag == "br" or tag == "wbr":
             text.append(" " if tag == "br" else "")
         elif tag == "a":
@@ -121,100 +197,163 @@ def blocks(html: str) -> list[Block]:
             at = close.end() if close else end
             continue
         number += 1
-        side = -1 if tag in CHROME else 1 if tag in ("article", "main") else 0
+        side = named = -1 if tag in CHROME else 1 if tag in ("article", "main") else 0
         if attrs and side >= 0:
             names = " ".join(n.strip("\"'") for n in _NAMES.findall(attrs))
             if _HIDDEN.search(attrs) or names and tag not in ("body", "html", "article", "main") and _BAD.search(names):
-                side = -1
+                named = -1
             elif names and tag not in ("body", "html") and _GOOD.search(names):
-                side = 1
-        stack.append((number, tag, side))
-        silent += tag in SILENT
+                named = 1
+        now.push(tag, now.stack[-1][1].within(number, tag, named))
     flush()
     return out
 
 
-def costs(block: Block, article: bool) -> tuple[float, float]:
-    """(cost of the label boilerplate, cost of the label content). article: whether the page has an element that holds the main text."""
-    if any(side < 0 and not (tag == "header" and any(s > 0 for _, _, s in block.path[:k])) for k, (_, tag, side) in enumerate(block.path)):
-        return 0.0, CERTAIN
-    if any(side > 0 for _, _, side in block.path):
-        return CERTAIN if block.linked < 0.8 * block.size else 2.0, 0.0
-    score = -2.0 if article else -0.3
-    score += min(2.0, block.size / 100) + min(1.5, 0.5 * len(_SENTENCE.findall(block.text[:2000])))
-    score -= 4.0 * block.linked / max(1, block.size)
-    score += 1.0 if block.tag in ("p", "pre", "blockquote", "h1", "h2", "h3") else -0.5 if block.tag in ("li", "td") else 0.0
-    if re.match(r"(?:©|\(c\)|copyright\b)", block.text, re.I):
-        score -= 4.0
-    return (score, 0.0) if score > 0 else (0.0, -score)
+def features(block: Block, article: bool) -> dict[str, float]:
+    """article: whether the page has an element that is or is named like a container of the main text."""
+    around = block.around
+    return {
+        "bias": 1.0,
+        "chrome": around.chrome,
+        "bad_name": around.bad_name,
+        "container": around.container,
+        "outside": article and not around.container,
+        "length": min(1.0, block.size / LONG),
+        "sentences": sum(1 for _ in islice(_SENTENCE.finditer(block.text), SENTENCES)) / SENTENCES,
+        "linked": min(1.0, block.linked / max(1, block.size)),
+        "paragraph": block.tag in ("p", "pre", "blockquote", "h1", "h2", "h3"),
+        "item": block.tag in ("li", "td"),
+        "depth": min(1.0, around.depth / DEEP),
+        "copyright": bool(_COPYRIGHT.match(block.text)),
+    }
+
+
+def log_odds(found: list[Block]) -> list[float]:
+    """The classifier's verdict on each block by itself."""
+    article = any(b.around.container for b in found)
+    return [sum(WEIGHTS[k] * v for k, v in features(b, article).items()) for b in found]
+
+
+def smoothness(found: list[Block]) -> dict[tuple[int, int], float]:
+    """The edges between blocks and their prices."""
+    edges: dict[tuple[int, int], float] = {}
+    last: dict[int, int] = {}
+    for v, b in enumerate(found):
+        pairs = [(v - 1, NEIGHBOURS)] if v else []
+        for key, price in ((b.around.parent, SIBLINGS), (-1 - b.around.up, COUSINS)):
+            if key in last:
+                pairs.append((last[key], price))
+            last[key] = v
+        for u, price in pairs:
+            edges[u, v] = edges.get((u, v), 0.0) + price
+    return edges
 
 
 def minimum_cut(n: int, source: list[float], sink: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
-    """Whether each vertex is on the source's side of a minimum cut (shortest augmenting paths)."""
-    s, t = n, n + 1
-    residual: list[dict[int, float]] = [{} for _ in range(n + 2)]
-    for v in range(n):
-        both = min(source[v], sink[v])  # what flows through v alone
-        residual[s][v], residual[v][s] = source[v] - both, 0.0
-        residual[v][t], residual[t][v] = sink[v] - both, 0.0
+    """Whether each vertex is on the source's side of a minimum cut.
+
+    A vertex whose own capacities differ by more than all its edges can carry is on the side of the larger; its edges
+    then add to the capacities of its neighbours, of which more get settled so. What is left goes to the maximum flow.
+    """
+    lead = [a - b for a, b in zip(source, sink)]
+    near: list[dict[int, float]] = [{} for _ in range(n)]
     for (a, b), w in edges.items():
-        residual[a][b] = residual[a].get(b, 0.0) + w
-        residual[b][a] = residual[b].get(a, 0.0) + w
-    while True:
-        before = {s: s}
+        near[a][b] = near[a].get(b, 0.0) + w
+        near[b][a] = near[b].get(a, 0.0) + w
+    side: list[bool | None] = [None] * n
+    todo = list(range(n))
+    while todo:
+        v = todo.pop()
+        if side[v] is None and abs(lead[v]) > sum(near[v].values()):
+            side[v] = lead[v] > 0
+            for u, w in near[v].items():
+                del near[u][v]
+                lead[u] += w if side[v] else -w
+            todo.extend(near[v])
+            near[v] = {}
+    rest = [v for v in range(n) if side[v] is None]
+    if rest:
+        number = {v: i for i, v in enumerate(rest)}
+        flow = _Flow(len(rest) + 2)
+        s, t = len(rest), len(rest) + 1
+        for v, i in number.items():
+            flow.edge(s, i, max(lead[v], 0.0), 0.0)
+            flow.edge(i, t, max(-lead[v], 0.0), 0.0)
+            for u, w in near[v].items():
+                if u > v:
+                    flow.edge(i, number[u], w, w)
+        reached = flow.reach(s, t)
+        for v, i in number.items():
+            side[v] = reached[i] >= 0
+    return side
+
+
+class _Flow:
+    """Maximum flow by blocking flows of the shortest paths (Dinic)."""
+
+    def __init__(self, n: int):
+        self.out: list[list[int]] = [[] for _ in range(n)]
+        self.to: list[int] = []
+        self.room: list[float] = []
+
+    def edge(self, a: int, b: int, there: float, back: float) -> None:
+        for x, y, w in ((a, b, there), (b, a, back)):
+            self.out[x].append(len(self.to))
+            self.to.append(y)
+            self.room.append(w)
+
+    def levels(self, s: int) -> list[int]:
+        level = [-1] * len(self.out)
+        level[s] = 0
         queue = [s]
         for v in queue:
-            for u, w in residual[v].items():
-                if w > 1e-9 and u not in before:
-                    before[u] = v
-                    queue.append(u)
-            if t in before:
-                break
-        if t not in before:
-            return [v in before for v in range(n)]
-        path, v = [], t
-        while v != s:
-            path.append((before[v], v))
-            v = before[v]
-        flow = min(residual[a][b] for a, b in path)
-        for a, b in path:
-            residual[a][b] -= flow
-            residual[b][a] += flow
+            for e in self.out[v]:
+                if self.room[e] > 1e-9 and level[self.to[e]] < 0:
+                    level[self.to[e]] = level[v] + 1
+                    queue.append(self.to[e])
+        return level
 
+    def reach(self, s: int, t: int) -> list[int]:
+        """The levels of the vertices that s still reaches (-1: none) once the flow is at its maximum."""
+        while (level := self.levels(s))[t] >= 0:
+            at = [0] * len(self.out)
+            path: list[int] = []
+            v = s
+            while True:
+                if v == t:
+                    least = min(self.room[e] for e in path)
+                    for k, e in enumerate(path):
+                        self.room[e] -= least
+                        self.room[e ^ 1] += least
+                    k = next(k for k, e in enumerate(path) if self.room[e] <= 1e-9)
+                    v = self.to[path[k] ^ 1]
+                    del path[k:]
+                while at[v] < len(self.out[v]):
+                    e = self.out[v][at[v]]
+                    if self.room[e] > 1e-9 and level[self.to[e]] == level[v] + 1:
+                        break
+                    at[v] += 1
+                else:
+                    if not path:
+                        break
+                    v = self.to[path.pop() ^ 1]
+                    at[v] += 1
+                    continue
+                path.append(e)
+                v = self.to[e]
+        return level
 
-NEIGHBOURS, SIBLINGS, COUSINS = 0.4, 0.8, 0.4
+
+def labelled(html: str) -> list[tuple[Block, float, bool]]:
+    """(block, the classifier's log-odds for content, the cut's label) of a page, in order."""
+    found = blocks(html)
+    odds = log_odds(found)
+    side = minimum_cut(len(found), [max(x, 0.0) for x in odds], [max(-x, 0.0) for x in odds], smoothness(found))
+    return list(zip(found, odds, side))
 
 
 def main_text(html: str | None) -> str:
-    if not html:
-        return ""
-    found = blocks(html)
-    article = any(side > 0 for b in found for _, _, side in b.path)
-    groups: list[list[Block]] = []
-    source: list[float] = []
-    sink: list[float] = []
-    for b in found:
-        keep, drop = costs(b, article)
-        last = groups[-1][-1] if groups else None
-        if last is not None and (last.up, last.tag) == (b.up, b.tag) and (source[-1] > sink[-1]) == (keep > drop):
-            groups[-1].append(b)
-            source[-1] += keep
-            sink[-1] += drop
-        else:
-            groups.append([b])
-            source.append(keep)
-            sink.append(drop)
-    edges: dict[tuple[int, int], float] = {}
-    by_parent: dict[int, int] = {}
-    for v, group in enumerate(groups):
-        if v:
-            edges[v - 1, v] = edges.get((v - 1, v), 0.0) + NEIGHBOURS
-        for key, price in ((group[0].parent, SIBLINGS), (-1 - group[0].up, COUSINS)):
-            if key in by_parent and by_parent[key] != v:
-                edges[by_parent[key], v] = edges.get((by_parent[key], v), 0.0) + price
-            by_parent[key] = v
-    side = minimum_cut(len(groups), source, sink, edges)
-    return "\n".join(b.text for group, content in zip(groups, side) if content for b in group)
+    return "\n".join(b.text for b, _, content in labelled(html or "") if content)
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -225,4 +364,4 @@ def extract(pages: DataFrame) -> DataFrame:
             text = [main_text(h.as_py()) for h in batch.column("html")]
             yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return in_batches(pages).select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
