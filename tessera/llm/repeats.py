@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8, written
+from .common import in_batches, slices, utf8, written
 from .neardup import mix
 
 LENGTH = 400
@@ -114,7 +114,7 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
     rank = np.zeros(n, np.uint64)
     for k in range(4):
         rank = (rank << np.uint64(16)) | padded[k : k + n]
-    order = np.argsort(rank, kind="stable")
+    order = np.argsort(rank)
     first = np.ones(n, bool)
     first[1:] = rank[order][1:] != rank[order][:-1]
     place = np.empty(n, np.int64)
@@ -126,7 +126,7 @@ def suffix_order(symbols: np.ndarray) -> np.ndarray:
             return order
         pos = order[tied]
         key = place[pos] * (n + 1) + np.where(pos + width < n, place[np.minimum(pos + width, n - 1)] + 1, 0)
-        again = np.argsort(key, kind="stable")
+        again = np.argsort(key)
         pos, key = pos[again], key[again]
         order[tied] = pos
         new = np.ones(len(tied), bool)
@@ -167,42 +167,55 @@ def _common_prefix(symbols: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndar
     return out
 
 
-def _runs(marked: np.ndarray) -> list[dict]:
-    edge = np.flatnonzero(np.diff(np.r_[False, marked, False].astype(np.int8)))
-    return [{"a": a, "b": b} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
+def _string_hashes(data: np.ndarray, length: int, seed: int) -> np.ndarray:
+    """A 64-bit hash of each length-byte string: of pieces whose lengths are powers of two, each from its halves."""
+    n = len(data) - length + 1
+    piece = mix(data.astype(np.uint64) + np.uint64(seed) * _P[0])
+    out, at, width = np.zeros(n, np.uint64), 0, 1
+    while width <= length:
+        if length & width:
+            out = mix(out * _P[1] + piece[at : at + n])
+            at += width
+        if 2 * width <= length:
+            piece = mix(piece[: len(piece) - width] * _P[2] + piece[width:])
+        width *= 2
+    return out
+
+
+def _lists(count: np.ndarray, fields: dict[str, np.ndarray]) -> pa.ListArray:
+    """Rows of structs as a list for each of so many."""
+    return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(count)], pa.int32()), pa.StructArray.from_arrays([pa.array(v) for v in fields.values()], list(fields)))
 
 
 def _judge(block: pa.Table, length: int) -> pa.Table:
     """The different segments of a block -> the runs of their repeated starts; for those of keys dealt over several blocks also the strings left and one copy of each string marked."""
-    texts = [t.as_py() for t in block.column("bytes")]
-    lens = np.array([len(t) for t in texts], np.int64)
-    raw = np.frombuffer(b"".join(texts), np.uint8)
-    begin = np.cumsum(lens) - lens + np.arange(len(texts))
-    symbols = np.zeros(len(raw) + len(texts), np.uint16)
-    symbols[np.arange(len(raw)) + np.repeat(np.arange(len(texts)), lens)] = raw
-    symbols[begin + lens] = 256 + np.arange(len(texts))  # each segment ends in a symbol of its own
+    raw, cut = utf8(pa.concat_arrays(block.column("bytes").chunks))
+    lens, m = np.diff(cut), block.num_rows
+    begin = cut[:-1] + np.arange(m)
+    symbols = np.zeros(len(raw) + m, np.uint16)
+    symbols[np.arange(len(raw)) + np.repeat(np.arange(m), lens)] = raw
+    symbols[begin + lens] = 256 + np.arange(m)  # each segment ends in a symbol of its own
     longest = matching_statistics(symbols)
-    runs, loose, firm = [], [], []
-    seen: set[bytes] = set()
-    for text, b, m, copies, hot in zip(texts, begin.tolist(), lens.tolist(), block.column("copies").to_pylist(), block.column("hot").to_pylist()):
-        starts = m - length + 1
-        marked = np.ones(starts, bool) if copies > 1 else longest[b : b + starts] >= length
-        runs.append(_runs(marked))
-        loose.append([])
-        firm.append([])
-        if hot:
-            view = memoryview(text)
-            for k in range(starts):
-                digest = xxhash.xxh3_128_digest(view[k : k + length])
-                pair = dict(zip(("w1", "w2"), np.frombuffer(digest, np.int64).tolist()))
-                if not marked[k]:
-                    loose[-1].append({"at": k} | pair)
-                elif digest not in seen:
-                    seen.add(digest)
-                    firm[-1].append(pair)
-    span = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-    left = pa.list_(pa.struct([("at", pa.int32()), ("w1", pa.int64()), ("w2", pa.int64())]))
-    return pa.table({c: block.column(c) for c in ("key", "h1", "h2")} | {"runs": pa.array(runs, span), "loose": pa.array(loose, left), "firm": pa.array(firm, pa.list_(pa.struct([("w1", pa.int64()), ("w2", pa.int64())])))})
+    copies, hot = (block.column(c).to_numpy() for c in ("copies", "hot"))
+    starts = lens - (length - 1)
+    of = np.repeat(np.arange(m), starts)
+    k = np.arange(len(of)) - np.repeat(np.cumsum(starts) - starts, starts)
+    marked = (longest[begin[of] + k] >= length) | (copies > 1)[of]
+    edge = of[1:] != of[:-1]
+    rise = np.flatnonzero(marked & np.r_[True, edge | ~marked[:-1]])
+    fall = np.flatnonzero(marked & np.r_[edge | ~marked[1:], True])
+    runs = _lists(np.bincount(of[rise], minlength=m), {"a": k[rise].astype(np.int32), "b": (k[fall] + 1).astype(np.int32)})
+    use = np.flatnonzero(hot[of])
+    w1, w2 = (_string_hashes(raw, length, seed)[(cut[:-1][of] + k)[use]].view(np.int64) if len(use) else np.zeros(0, np.int64) for seed in (1, 2))
+    left = ~marked[use]
+    loose = _lists(np.bincount(of[use][left], minlength=m), {"at": k[use][left].astype(np.int32), "w1": w1[left], "w2": w2[left]})
+    known = np.flatnonzero(~left)
+    order = known[np.lexsort((known, w2[known], w1[known]))]
+    new = np.ones(len(order), bool)
+    new[1:] = (w1[order][1:] != w1[order][:-1]) | (w2[order][1:] != w2[order][:-1])
+    once = np.sort(order[new])
+    firm = _lists(np.bincount(of[use][once], minlength=m), {"w1": w1[once], "w2": w2[once]})
+    return pa.table({c: block.column(c) for c in ("key", "h1", "h2")} | {"runs": runs, "loose": loose, "firm": firm})
 
 
 def _remove(batches, length: int):
@@ -253,9 +266,12 @@ def repeated_spans(source: DataFrame, length: int = LENGTH, block_bytes: int = B
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_bytes, n_removed, n_spans, kept_sha256), a row for each row."""
-    counts = docs.agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
-    row = F.col("doc_id") if counts[0] == counts[1] == counts[2] else F.monotonically_increasing_id()
+    counts = in_batches(docs).agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
+    unique = counts[0] == counts[1] == counts[2]
+    row = F.col("doc_id") if unique else F.monotonically_increasing_id()
     source = docs.select(row.cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    if not unique:
+        source = written(source, "repeats-rows")  # numbered once, so that a task that runs again finds the same numbers
     marks = repeated_spans(source.select("row", "text"), length, block_bytes)
     joined = source.join(marks, "row", "left").select("doc_id", "text", "marks")
     return joined.mapInArrow(lambda it: _remove(it, length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
