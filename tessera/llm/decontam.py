@@ -14,8 +14,9 @@ Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` of the text with A-Z lower-cas
 character is 0x80 or more, they are found on bytes.
 
 Defined cases: a null text has no words (all counts 0, items_sha256 of the empty string, not contaminated); items
-without words have no windows; equal windows of several items count for each of them; repeated rows are answered
-each; extra columns are ignored; null item_ids are left out of items_sha256, as they have no name.
+without words have no windows; equal windows of several items count for each of them; item_ids may be of any type, and
+sort as strings; repeated rows are answered each; extra columns are ignored; null item_ids are left out of items_sha256,
+as they have no name.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, utf8
+from .common import free_name, in_batches, quoted, slices, utf8, written
 
 WINDOW = 13
 #: Bytes of windows that are broadcast at once.
@@ -145,7 +146,7 @@ class WuManber:
                 yield int(docs[r]), begin, window
 
 
-def searchers(items: list[tuple[int | None, str]], window: int = WINDOW) -> list[WuManber]:
+def searchers(items: list[tuple[str | None, str]], window: int = WINDOW) -> list[WuManber]:
     """One searcher for each number of words among the windows of (item_id, text)."""
     held: dict[int, dict[bytes, tuple[np.ndarray, set]]] = {}
     for item_id, text in items:
@@ -159,7 +160,7 @@ def searchers(items: list[tuple[int | None, str]], window: int = WINDOW) -> list
 
 
 def _search(batches, groups, column: int, names: list[str]):
-    """Appends to each batch n_words, the hit spans of words (starts and ends) and the items found."""
+    """Appends to each batch the number of words, the hit spans of words (starts and ends) and the items found. names: of all columns."""
     for batch in batches:
         data, off = utf8(batch.column(column))
         n_words, spans, items = [], [], []
@@ -177,7 +178,7 @@ def _search(batches, groups, column: int, names: list[str]):
                 items.append(sorted((x for x in who.get(d, ())), key=lambda x: (x is None, x)))
         n_words = np.concatenate(n_words) if n_words else np.zeros(0, np.int64)
         pairs = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n_words, pa.int64()), pa.array([[{"a": a, "b": b} for a, b in s] for s in spans], pairs), pa.array(items, pa.list_(pa.int64()))], [*names, "n_words", "spans", "items"])
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(n_words, pa.int64()), pa.array([[{"a": a, "b": b} for a, b in s] for s in spans], pairs), pa.array(items, pa.list_(pa.string()))], names)
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -190,41 +191,49 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
+def result_names(keep: list[str]) -> list[str]:
+    """The names of find_contamination's results beside columns keep: n_words, spans and items, with `_` appended where keep has that name."""
+    return [free_name(n, keep) for n in ("n_words", "spans", "items")]
+
+
 def find_contamination(docs: DataFrame, benchmark: DataFrame, keep: list[str] | None = None, window: int = WINDOW, max_pattern_bytes: int = MAX_PATTERN_BYTES) -> DataFrame:
-    """docs' columns keep (default doc_id) with n_words, spans (array of words [a, b) that are hit) and items (ids of the items found)."""
-    spark = docs.sparkSession
+    """docs' columns keep (default doc_id) with n_words, spans (array of words [a, b) that are hit) and items (ids of the items found, as strings), see result_names."""
+    spark = in_batches(docs).sparkSession
     keep = keep or ["doc_id"]
-    items = benchmark.select("item_id", "text")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     groups = max(1, -(-int(size) * window // max_pattern_bytes))
-    column = keep.index("text") if "text" in keep else len(keep)
+    results = result_names(keep)
+    text, row = ("text" if "text" in keep else free_name("__text", keep)), free_name("__row", keep)
+    kept = [F.col(quoted(c)) for c in keep]
+    source = docs.select(*kept) if "text" in keep else docs.select(*kept, F.col("text").alias(text))
 
-    def one(source: DataFrame, names: list[str], text: int, part: DataFrame) -> DataFrame:
+    def one(source: DataFrame, part: DataFrame) -> DataFrame:
         shared = spark.sparkContext.broadcast([tuple(r) for r in part.collect()])
         built: list = []
+        names = [*source.columns, *results]
+        column = source.columns.index(text)
 
         def run(batches):
             built.extend([] if built else [searchers(shared.value, window)])
-            return _search(batches, built[0], text, names)
+            return _search(batches, built[0], column, names)
 
-        types = source.schema.simpleString()[7:-1]
-        return source.mapInArrow(run, f"{types}, n_words long, spans array<struct<a:long,b:long>>, items array<long>")
+        none = [F.lit(None).cast(t).alias(n) for n, t in zip(results, ("long", "array<struct<a:long,b:long>>", "array<string>"))]
+        return source.mapInArrow(run, source.select("*", *none).schema)
 
     if groups == 1:
-        source = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias("__text"))
-        return one(source, source.columns, column, items).drop("__text")
-    numbered = docs.select(*keep, *([] if "text" in keep else [F.col("text").alias("__text")])).withColumn("__row", F.struct(F.monotonically_increasing_id().alias("i"), F.xxhash64(*keep).alias("h")))
-    from .common import written
-
-    numbered = written(numbered, "decontamination-rows")
+        found = one(source, items)
+        return found if "text" in keep else found.drop(text)
+    numbered = written(source.withColumn(row, F.struct(F.monotonically_increasing_id().alias("i"), F.xxhash64(*kept).alias("h"))), "decontamination-rows")
+    n_words, spans, found_items = results
     found = None
     for g in range(groups):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(groups)) == g)
-        text = "text" if "text" in keep else "__text"
-        got = one(numbered.select("__row", text), ["__row", text], 1, part).drop(text)
+        got = one(numbered.select(row, text), part).drop(text)
         found = got if found is None else found.unionByName(got)
-    merged = found.groupBy("__row").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
-    return numbered.join(merged.withColumn("spans", _united(F.col("spans"))), "__row").drop("__row", "__text")
+    merged = found.groupBy(row).agg(F.max(n_words).alias(n_words), F.flatten(F.collect_list(spans)).alias(spans), F.array_distinct(F.flatten(F.collect_list(found_items))).alias(found_items))
+    joined = numbered.join(merged.withColumn(spans, _united(F.col(spans))), row)
+    return joined.select(*kept, *results)
 
 
 def _united(spans):
@@ -240,11 +249,14 @@ def _united(spans):
     )
 
 
-def contamination_report(found: DataFrame) -> DataFrame:
-    """find_contamination's result with n_hit, n_items, items_sha256 and contaminated: a twentieth of the words, and one at least, are hit."""
-    names = F.array_sort(F.transform(F.filter("items", lambda i: i.isNotNull()), lambda i: i.cast("string")))
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda acc, s: acc + s["b"] - s["a"])
-    return found.withColumns({"n_hit": n_hit, "n_items": F.size("items").cast("long"), "items_sha256": F.sha2(F.concat_ws(",", names), 256)}).withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+def contamination_report(found: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """find_contamination's result (with the columns keep given there) with n_hit, n_items, items_sha256 and contaminated: a twentieth of the words, and one at least, are hit. Names that keep has get `_` appended."""
+    keep = keep or ["doc_id"]
+    n_words, spans, items = (F.col(n) for n in result_names(keep))
+    names = F.array_sort(F.filter(items, lambda i: i.isNotNull()))
+    n_hit = F.aggregate(spans, F.lit(0).cast("long"), lambda acc, s: acc + s["b"] - s["a"])
+    results = {"n_hit": n_hit, "n_items": F.size(items).cast("long"), "items_sha256": F.sha2(F.concat_ws(",", names), 256), "contaminated": (n_hit > 0) & (20 * n_hit >= n_words)}
+    return found.select("*", *[c.alias(free_name(n, keep)) for n, c in results.items()])
 
 
 def brute_force(docs: list[tuple], benchmark: list[tuple], window: int = WINDOW) -> dict:

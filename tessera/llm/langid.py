@@ -5,7 +5,9 @@ a space). Each language has a probability for every piece, and the likelihood of
 to cut it into pieces of the product of the pieces' probabilities, computed by a forward algorithm. The piece
 probabilities maximise that likelihood (expectation maximisation; the expected counts come from forward and
 backward sums). No piece crosses a word's start, so a text's log-likelihood is the sum over its words. Words
-are maximal runs of letters of the lower-cased text; the work is done on distinct words, many at a time.
+are maximal runs of letters of the lower-cased text, of any length; the work is done on distinct words, many at a
+time, and the forward sums of a word are held for as many places as the longest piece has bytes only. Training takes
+runs of over TAUGHT letters, as scripts without spaces have them, in parts of that many, all of them.
 
 The languages are those of all labelled documents that have a letter. Training takes a bounded sample of each language
 (all of its documents up to max_train_docs, else about that many, chosen by a hash of doc_id and text); its words are
@@ -26,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, written
+from .common import fold, free_name, in_batches, quoted, written
 
 UND = "und"
-#: Pieces of more bytes aren't used.
-MAX_PIECE_BYTES = 12
+#: Letters of a word that training takes at once.
+TAUGHT = 48
 #: Training documents of each language at most (about).
 MAX_TRAIN_DOCS = 5_000
 ROUNDS = 2
@@ -42,7 +44,7 @@ _HAS_WORD = r"[\p{L}\p{Nl}\p{No}]"
 
 
 def vocabulary(path: str) -> list[bytes]:
-    """The pieces of a SentencePiece model that can occur in lower-cased words, as byte strings, and all single bytes."""
+    """The pieces of a SentencePiece model that can occur in lower-cased words (letters, after a space or not), as byte strings, and all single bytes."""
     import sentencepiece
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -51,7 +53,7 @@ def vocabulary(path: str) -> list[bytes]:
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)):
             text = model.id_to_piece(i)
             raw = text.replace("▁", " ").encode()
-            if len(raw) <= MAX_PIECE_BYTES and text == text.lower() and b" " not in raw[1:]:
+            if text == text.lower() and _WORD.fullmatch(text.removeprefix("▁") or "a"):
                 found.add(raw)
     return sorted(found)
 
@@ -61,6 +63,7 @@ class Trie:
 
     def __init__(self, pieces: list[bytes]):
         self.pieces = pieces
+        self.longest = max(map(len, pieces))
         nodes: dict[bytes, int] = {b"": 1}
         for p in pieces:
             for k in range(1, len(p) + 1):
@@ -79,28 +82,37 @@ class Trie:
         for i, p in enumerate(pieces):
             self.piece[nodes[p]] = i
 
-    def edges(self, words: np.ndarray, lens: np.ndarray):
-        """For each start and piece length: (start, end, rows, pieces) of the pieces found there. words: one word a row, padded."""
-        width = words.shape[1]
-        symbols = self.symbol[words]
-        for i in range(width):
-            rows = np.flatnonzero(lens > i)
-            node = self.first[words[rows, i]]
-            for j in range(i + 1, width + 1):
+    def edges(self, words: np.ndarray, lens: np.ndarray, chunk: int = 1 << 14):
+        """For each start and piece length: (start, end, rows, pieces) of the pieces found there. words: one word a row, padded. The pieces of some starts at a time are looked up together."""
+        n, width = words.shape
+        step = max(1, chunk // n)
+        for begin in range(0, width, step):
+            row, start = (x.reshape(-1) for x in np.meshgrid(np.arange(n), np.arange(begin, min(begin + step, width)), indexing="ij"))
+            on = lens[row] > start
+            row, start = row[on], start[on]
+            node = self.first[words[row, start]]
+            found, j = [], 1
+            while len(row):
                 piece = self.piece[node]
-                hit = piece >= 0
-                if hit.any():
-                    yield i, j, rows[hit], piece[hit]
-                if j == width:
-                    break
-                node = self.next[node, symbols[rows, j]]
-                on = (node > 0) & (lens[rows] > j)
-                rows, node = rows[on], node[on]
-                if not len(rows):
-                    break
-
-
-def _groups(words: list[bytes], limit: int = 1 << 18):
+                hit = np.flatnonzero(piece >= 0)
+                found.append((start[hit], np.full(len(hit), j), row[hit], piece[hit]))
+                on = np.flatnonzero(lens[row] > start + j)
+                row, start, node = row[on], start[on], node[on]
+                node = self.next[node, self.symbol[words[row, start + j]]]
+                on = np.flatnonzero(node)
+                row, start, node = row[on], start[on], node[on]
+                j += 1
+            if not found:
+                continue
+            start, size, row, piece = (np.concatenate(x) for x in zip(*found))
+            order = np.lexsort((size, start))
+            start, size, row, piece = start[order], size[order], row[order], piece[order]
+            cuts = np.r_[0, np.flatnonzero((start[1:] != start[:-1]) | (size[1:] != size[:-1])) + 1, len(start)]
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                yield int(start[a]), int(start[a] + size[a]), row[a:b], piece[a:b]
+
+
+def _groups(words: list[bytes], limit: int = 1 << 16):
     """Words of like length as padded rows: (index, matrix, lengths)."""
     lens = np.array([len(w) for w in words], np.int64)
     order = np.argsort(lens, kind="stable")
@@ -118,29 +130,36 @@ def _groups(words: list[bytes], limit: int = 1 << 18):
 def forward(trie: Trie, prob: np.ndarray, words: list[bytes]) -> np.ndarray:
     """log-likelihood of each word under each language. prob: pieces x languages."""
     out = np.zeros((len(words), prob.shape[1]))
+    ring = trie.longest + 1
     for take, matrix, lens in _groups(words):
-        n, width = matrix.shape
-        alpha = np.zeros((width + 1, n, prob.shape[1]))
-        alpha[0], log_scale, done = 1.0, np.zeros(n), 0
+        n = len(matrix)
+        alpha = np.zeros((ring, n, prob.shape[1]))  # the sums up to the places ahead, by place modulo ring
+        alpha[0], at = 1.0, 0
+        log_scale, whole = np.zeros((2, n, prob.shape[1]))
         for i, j, rows, pieces in trie.edges(matrix, lens):
-            if i >= done + 16:  # what is pending is scaled, so that long words don't underflow
-                done = i
-                live = np.flatnonzero(lens > i)
-                part = alpha[i : i + MAX_PIECE_BYTES, live]
-                top = part.max(axis=(0, 2))
-                alpha[i : i + MAX_PIECE_BYTES, live] = part / top[None, :, None]
-                log_scale[live] += np.log(top)
-            alpha[j, rows] += alpha[i, rows] * prob[pieces]
-        out[take] = np.log(np.maximum(alpha[lens, np.arange(n)], 1e-300)) + log_scale[:, None]
+            while at < i:  # what ends there is done, and its row is free
+                ends = lens == at
+                whole[ends] = alpha[at % ring, ends]
+                alpha[at % ring] = 0.0
+                at += 1
+                if at % 16 == 0:  # what is pending is scaled, so that long words don't underflow
+                    live = np.flatnonzero(lens >= at)
+                    top = np.maximum(alpha[:, live].max(0), 1e-300)
+                    alpha[:, live] /= top
+                    log_scale[live] += np.log(top)
+            alpha[j % ring, rows] += alpha[i % ring, rows] * prob[pieces]
+        for k in range(at, at + ring):
+            ends = lens == k
+            whole[ends] = alpha[k % ring, ends]
+        out[take] = np.log(np.maximum(whole, 1e-300)) + log_scale
     return out
 
 
 def expected_counts(trie: Trie, prob: np.ndarray, words: list[bytes], weight: np.ndarray) -> np.ndarray:
-    """Expected number of times each language uses each piece. weight: words x languages. Words over 64 bytes teach nothing."""
+    """Expected number of times each language uses each piece. weight: words x languages. Words have at most TAUGHT letters, so that nothing underflows."""
     total = np.zeros_like(prob)
-    short = [k for k, w in enumerate(words) if len(w) <= 64]
-    for take, matrix, lens in _groups([words[k] for k in short], 1 << 15):
-        own = weight[np.array(short)[take]]
+    for take, matrix, lens in _groups(words, 1 << 15):
+        own = weight[take]
         n, width = matrix.shape
         found = list(trie.edges(matrix, lens))
         alpha, beta = np.zeros((2, width + 1, n, prob.shape[1]))
@@ -161,11 +180,19 @@ def _words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def _taught(text: str):
+    """The words of a text as training takes them: each after a space, and the further parts of long ones without."""
+    for word in _words(text):
+        yield " " + word[:TAUGHT]
+        for k in range(TAUGHT, len(word), TAUGHT):
+            yield word[k : k + TAUGHT]
+
+
 def _count_words(batches):
     for batch in batches:
         held: dict[str, Counter] = {}
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
-            held.setdefault(lang, Counter()).update(_words(text.as_py()))
+            held.setdefault(lang, Counter()).update(_taught(text.as_py()))
         for lang, words in held.items():
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(words), pa.string()), pa.array(list(words), pa.string()), pa.array(list(words.values()), pa.int64())], ["lang", "word", "n"])
 
@@ -182,7 +209,9 @@ def train(docs: DataFrame, model_path: str, max_train_docs: int = MAX_TRAIN_DOCS
     """(doc_id, text, lang) -> languages, pieces, probabilities (pieces x languages)."""
     spark = docs.sparkSession
     sample = training_sample(docs, max_train_docs)
-    words = written(sample.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang")), "langid-words")
+    counted = sample.mapInArrow(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    by_word = counted.repartition(spark.sparkContext.defaultParallelism, "word").groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by_lang"))
+    words = written(by_word, "langid-words")
     langs = sorted(r[0] for r in words.select(F.explode(F.map_keys("by_lang")).alias("lang")).distinct().collect())
     pieces = vocabulary(model_path)
     if not langs:
@@ -196,7 +225,7 @@ def train(docs: DataFrame, model_path: str, max_train_docs: int = MAX_TRAIN_DOCS
             pieces, prob = shared.value
             trie, total = Trie(pieces), np.zeros_like(prob)
             for batch in batches:
-                own = [b" " + w.encode() for w in batch.column("word").to_pylist()]
+                own = [w.encode() for w in batch.column("word").to_pylist()]
                 weight = np.zeros((len(own), len(langs)))
                 for k, counts in enumerate(batch.column("by_lang").to_pylist()):
                     for lang, n in counts:
@@ -215,17 +244,19 @@ def train(docs: DataFrame, model_path: str, max_train_docs: int = MAX_TRAIN_DOCS
 
 
 def identify(docs: DataFrame, learn_from: DataFrame, model_path: str, max_train_docs: int = MAX_TRAIN_DOCS, rounds: int = ROUNDS, keep: list[str] | None = None) -> DataFrame:
-    """docs with lang_pred and score (the posterior of lang_pred under equal priors); keep: the columns that stay (default doc_id)."""
-    spark = docs.sparkSession
+    """docs with lang_pred and score (the posterior of lang_pred under equal priors); keep: the columns that stay (default doc_id; a result whose name is among them gets `_` appended)."""
+    spark = in_batches(docs).sparkSession
     keep = keep or ["doc_id"]
+    results = [free_name(n, keep) for n in ("lang_pred", "score")]
     langs, pieces, prob = train(learn_from, model_path, max_train_docs, rounds)
+    kept_columns = [F.col(quoted(c)) for c in keep]
     if not langs:
-        return docs.select(*keep, F.lit(UND).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*kept_columns, F.lit(UND).alias(results[0]), F.lit(0.0).alias(results[1]))
     shared = spark.sparkContext.broadcast((pieces, prob))
     names = np.array(langs)
-    kept = docs.select(*keep) if "text" in keep else docs.select(*keep, F.col("text").alias("__text"))
+    kept = docs.select(*kept_columns) if "text" in keep else docs.select(*kept_columns, F.col("text").alias("__text"))
     at = keep.index("text") if "text" in keep else len(keep)
-    schema = docs.select(*keep).withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
+    schema = docs.select(*kept_columns, F.lit(UND).alias(results[0]), F.lit(0.0).alias(results[1])).schema
 
     def predict(batches):
         pieces, prob = shared.value
@@ -256,7 +287,7 @@ def identify(docs: DataFrame, learn_from: DataFrame, model_path: str, max_train_
             best = total.argmax(1)
             pred = np.where(count > 0, names[best], UND)
             score = np.where(count > 0, post[np.arange(n), best], 0.0)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(pred.tolist(), pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(pred.tolist(), pa.string()), pa.array(score)], [*keep, *results])
 
     return kept.mapInArrow(predict, schema)
 

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, utf8, written
+from .common import free_name, in_batches, quoted, slices, utf8, written
 from .decontam import Words
 
 SHINGLE = 5
@@ -375,12 +375,13 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighting: str = "set", max_broadcast_ids: int = MAX_BROADCAST_IDS) -> DataFrame:
-    """(doc_id, text) -> (doc_id, class_id, n_links), a row for each row.
+    """(doc_id, text) -> (doc_id, class_id, n_confirmed), a row for each row.
 
-    class_id is the least doc_id of the class; n_links is the number of other texts that the document's text was
-    confirmed to be similar to (as leader or as follower).
+    class_id is the least doc_id of the class; n_confirmed is the number of other texts that the document's text was
+    confirmed to be similar to (as leader or as follower). Once two texts are known to be of one class they aren't held
+    against each other any more, so that it isn't the number of all similar texts.
     """
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    source = in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = written(source.mapInArrow(lambda it: _sketch(it, bands, rows, shingle, weighting), "doc_id long, h1 long, h2 long, bands array<long>, sig array<long>"), "neardup-sketches")
     named = sketched.where(F.col("doc_id").isNotNull() & F.col("h1").isNotNull())
     groups = written(named.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "bands", "sig")).alias("least")).select("h1", "h2", F.col("least.doc_id").alias("rep"), "least.bands", "least.sig"), "neardup-groups")
@@ -425,10 +426,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
         open_rows = written(still.select(*open_rows.columns), "neardup-buckets")
         if open_rows.isEmpty():
             break
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
-    by_text = groups.select("h1", "h2", "rep").join(classes.join(degree, "rep", "left"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_confirmed"))
+    by_text = groups.select("h1", "h2", "rep").join(classes.join(degree, "rep", "left"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_confirmed", F.lit(0)).alias("n_confirmed"))
     out = sketched.select("doc_id", "h1", "h2").join(by_text, ["h1", "h2"], "left")
-    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("n_links", F.lit(0))).otherwise(0).cast("long").alias("n_links"))
+    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("n_confirmed", F.lit(0))).otherwise(0).cast("long").alias("n_confirmed"))
 
 
 def without_near_duplicates(docs: DataFrame, max_broadcast_ids: int = MAX_BROADCAST_IDS, **how) -> DataFrame:
@@ -440,5 +441,7 @@ def without_near_duplicates(docs: DataFrame, max_broadcast_ids: int = MAX_BROADC
     if found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
         return kept
     # some ids repeat: one row of each stays
-    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns))
-    return kept.withColumn("__nth", F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(order))).where("__nth = 1").select(*docs.columns)
+    own = [F.col(quoted(c)) for c in docs.columns]
+    order = Window.partitionBy("doc_id").orderBy(F.xxhash64(*own))
+    nth = free_name("__nth", docs.columns)
+    return kept.withColumn(nth, F.when(F.col("doc_id").isNull(), 1).otherwise(F.row_number().over(order))).where(F.col(nth) == 1).select(*own)

@@ -4,8 +4,8 @@ A rollup is a folder of committed batches. A batch is a set of events on documen
 its tokens to the totals of its source, language and tokenizer version, a delete takes them away, a revision
 changes the tokens (and moves the document if its source or language changed). Events become signed additive rows, are
 summed by key, and are written under the batch's name; Spark's commit of that write (its _SUCCESS file) is the
-batch's commit. A batch whose name is committed is skipped, so replaying one, or retrying after a failure, changes
-nothing; one that failed half-way has no commit, is not read, and is overwritten by its retry. Totals are the sums
+batch's commit. A batch whose name is committed is compared with what was committed and skipped, so replaying one, or
+retrying after a failure, changes nothing, and another batch under its name is refused; one that failed half-way has no commit, is not read, and is overwritten by its retry. Totals are the sums
 over committed batches.
 
 Events: (kind 'insert' | 'delete' | 'revise', source, lang, tokenizer, n_tokens, old_source, old_lang, old_tokens).
@@ -52,11 +52,16 @@ class Rollup:
         return self._exists(self._folder(batch) + "/_SUCCESS")
 
     def commit(self, batch: str, events: DataFrame) -> bool:
-        """Adds a batch; False if it was there already."""
+        """Adds a batch; False if it was there already. ValueError if a batch with other sums has that name."""
+        sums = signed(events).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         if self.committed(batch):
+            there = self.spark.read.schema(SCHEMA).parquet(self._folder(batch)).withColumn("side", F.lit(1))
+            both = there.unionByName(sums.withColumn("side", F.lit(-1)))
+            apart = both.groupBy(*KEYS).agg(*[F.sum(F.col(c) * F.col("side")).alias(c) for c in ("n_docs", "n_tokens")], F.sum("side").alias("side"))
+            if not apart.where("n_docs <> 0 OR n_tokens <> 0 OR side <> 0").isEmpty():
+                raise ValueError(f"another batch is committed under the name {batch!r}")
             return False
-        sums = signed(events).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        sums.coalesce(1).write.mode("overwrite").parquet(self._folder(batch))
+        sums.write.mode("overwrite").parquet(self._folder(batch))
         return True
 
     def batches(self) -> list[str]:

@@ -7,7 +7,8 @@ A corpus is a folder of parts. Part k has
 and manifest.json names the width and, for each part, its documents, how many of the first of them have no id (null
 sorts first), its ids and its base: the ids in all parts before it.
 
-Documents are range-partitioned and sorted by doc_id (ties by text); each task encodes one partition and writes
+Documents are range-partitioned and sorted by doc_id (ties by a hash of the text, so that the rows of one id, or of
+none, are several parts; equal rows by the partition that they come from); each task encodes one partition and writes
 its .bin and .doc files under a name of its own, then renames them, so that a task that runs twice leaves one part
 with the same bytes. The parts' sizes come back as a small table; their prefix sums are the bases, and a second job
 writes the .idx files with them. Readers map the files into memory where the store is a local or mounted folder.
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch, written
+from .common import in_batches, scratch, written
 
 END_ID = 2
 REMEMBERED = 300_000
@@ -48,10 +49,15 @@ _PRINTABLE = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTE_LEVEL = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 
 
+#: Schemes by which Spark names stores that Arrow knows under another.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
 def _fs(uri: str):
     from pyarrow import fs
 
-    return fs.FileSystem.from_uri(uri)
+    scheme, colon, rest = uri.partition("://")
+    return fs.FileSystem.from_uri(f"{SCHEMES.get(scheme, scheme)}{colon}{rest}")
 
 
 def _put(uri: str, name: str, data) -> None:
@@ -153,7 +159,7 @@ def _drops_space(spec: dict) -> bool:
 def write_corpus(docs: DataFrame, tokenizer_json: str, uri: str, end_id: int = END_ID, part_bytes: int = PART_BYTES) -> dict:
     """Encodes (doc_id, text) into a folder in ascending doc_id order; returns the manifest."""
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
+    docs = in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"))
     store, root = _fs(uri)
     store.create_dir(root, recursive=True)
     from tokenizers import Tokenizer
@@ -194,7 +200,8 @@ def write_corpus(docs: DataFrame, tokenizer_json: str, uri: str, end_id: int = E
         store.move(f"{own}.bin", f"{root}/{name}.bin")
         yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([sum(map(len, ids))], pa.int64()), pa.array([nulls], pa.int64()), pa.array([total], pa.int64())], ["name", "n_docs", "n_null", "n_ids"])
 
-    dealt = docs.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    ranks = docs.withColumns({"hash": F.xxhash64("text"), "piece": F.spark_partition_id()})
+    dealt = ranks.repartitionByRange(parts, "doc_id", "hash", "piece").sortWithinPartitions("doc_id", "hash", "text").select("doc_id", "text")
     rows = sorted(map(tuple, written(dealt.mapInArrow(write, "name string, n_docs long, n_null long, n_ids long"), "token-parts").collect()))
     base, listed = 0, []
     for name, n_docs, n_null, n_ids in rows:  # prefix sums over the parts

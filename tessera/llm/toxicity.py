@@ -26,15 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Lookup, fold, slices, utf8, written
+from .common import Lookup, fold, in_batches, slices, utf8, written
 
 ORDER = 5
 SPAN = 12
 DISCOUNT = 0.75
 #: Largest number of labels that are broadcast; more are joined by a shuffle.
 MAX_BROADCAST_LABELS = 4_000_000
-#: Largest number of grams whose ratios are broadcast; more are joined by a shuffle.
-MAX_GRAMS = 1 << 24
+#: Largest number of grams whose ratios are broadcast (as a hash map of about 100 MB in each worker); more are joined by a shuffle.
+MAX_GRAMS = 1 << 22
 #: Bytes of text of a block (a longer document has one of its own).
 BLOCK_BYTES = 4 << 20
 #: Calibration texts at most (about).
@@ -205,7 +205,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out:
     Labels are learned only from rows whose fold isn't held_out; of these, the next fold fits the curve and the others the counts.
     """
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = in_batches(docs.select("doc_id", "text"))
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic")).where(fold(F.col("doc_id"), folds) != held_out)
     known = written(known, "toxicity-labels")
     n_known = known.count()
