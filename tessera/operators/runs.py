@@ -39,13 +39,6 @@ def leaderboard_gap(boards: DataFrame, by: str, close: float = 0.02) -> DataFram
     return first.join(second, by, "left").select(by, F.col("w.model_name").alias("winner"), F.col("s.model_name").alias("runner_up"), gap.alias("gap"), F.coalesce(gap < close, F.lit(False)).alias("close"))
 
 
-def compare_params(runs: DataFrame, a: str, b: str) -> DataFrame:
-    """runs (job_id, params map<string, string>) -> (param, a, b): the parameters of two runs that differ; one that a run lacks is null there."""
-    rows = runs.where(F.col("job_id").isin(a, b)).select("job_id", F.explode("params").alias("param", "value"))
-    both = rows.groupBy("param").agg(*[F.max(F.when(F.col("job_id") == j, F.col("value"))).alias(n) for j, n in ((a, "a"), (b, "b"))])
-    return both.where(~F.col("a").eqNullSafe(F.col("b")))
-
-
 def trend(runs: DataFrame, by: str = "dataset_id") -> DataFrame:
     """Each run with its score's change against the run before it of the same dataset (null for the first)."""
     w = Window.partitionBy(by).orderBy("created_at", "job_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import clean_text, jaccard
+from ..functions import clean_text
 
 #: English words that carry no meaning for retrieval (fixed values).
 STOP = "a an and are as at be by for from has have in is it its of on or that the this to was were will with".split()
@@ -79,31 +79,16 @@ def series_matrix(df: DataFrame, lags: tuple[int, ...] = (1, 2, 3, 7, 14)) -> Da
     return df.na.drop(subset=[f"lag_{k}" for k in lags])
 
 
-# --- runs
+def series_rows(df: DataFrame, time: str, value: str) -> DataFrame:
+    """The rows whose time and value can be read, as timestamp and double."""
+    when = F.col(time) if dict(df.dtypes)[time] != "string" else F.try_to_timestamp(F.col(time))
+    made = df.withColumns({time: when.cast("timestamp"), value: F.col(value).try_cast("double")})
+    return made.where(F.col(time).isNotNull() & F.col(value).isNotNull() & ~F.isnan(value))
 
 
-def compare_metrics(runs: DataFrame, a: str, b: str, smaller_is_better: tuple[str, ...] = ("mae", "rmse", "mape", "mse")) -> DataFrame:
-    """runs (job_id, metrics) -> (metric, a, b, delta, pct, winner)"""
-    rows = runs.where(F.col("job_id").isin(a, b)).select("job_id", F.explode("metrics").alias("metric", "value"))
-    both = rows.groupBy("metric").agg(F.max(F.when(F.col("job_id") == a, F.col("value"))).alias("a"), F.max(F.when(F.col("job_id") == b, F.col("value"))).alias("b"))
-    delta = F.col("b") - F.col("a")
-    ahead = F.when(F.col("metric").isin(*smaller_is_better), -delta).otherwise(delta)
-    return both.select("metric", "a", "b", delta.alias("delta"), F.when(F.col("a") != 0, 100 * delta / F.abs("a")).alias("pct"), F.when(ahead > 0, b).when(ahead < 0, a).when(ahead == 0, "tie").alias("winner"))
+# --- runs
 
 
 def latest_runs(runs: DataFrame) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("job_id").orderBy(F.desc("created_at")))
     return runs.withColumn("__r", rank).where("__r = 1").drop("__r")
-
-
-def run_similarity(runs: DataFrame, contexts: DataFrame) -> DataFrame:
-    """(run_id, context_id, similarity) of runs and a small stated set of contexts, both (id, task, target, features, row_bucket, dataset, signature)."""
-    r, c = runs.alias("r"), F.broadcast(contexts).alias("c")
-    g = lambda s, n: F.col(f"{s}.{n}")
-    same = lambda n, x: F.when(g("r", n) == g("c", n), x).otherwise(0.0)
-    ta, tb = F.lower(g("r", "target")), F.lower(g("c", "target"))
-    name = F.when(ta == tb, 1.0).when(ta.contains(tb) | tb.contains(ta), 0.75).otherwise(jaccard(token_set(F.regexp_replace(ta, "_", " ")), token_set(F.regexp_replace(tb, "_", " "))))
-    features = jaccard(g("r", "features"), g("c", "features"))
-    score = 0.05 + same("task", 0.25) + 0.30 * name + 0.30 * features + same("row_bucket", 0.10) + same("dataset", 0.15) + same("signature", 0.2)
-    comparable = (g("r", "task") == g("c", "task")) & ((name >= 0.75) | (features >= 0.2) | (g("r", "dataset") == g("c", "dataset")))
-    return r.join(c, F.lit(True)).select(g("r", "id").alias("run_id"), g("c", "id").alias("context_id"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.when(comparable, score).otherwise(F.least(score, F.lit(0.22))))).alias("similarity"))

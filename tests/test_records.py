@@ -5,7 +5,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.operators import logs, modality, retrieval, runs
+from tessera.operators import advice, logs, modality, retrieval, runs
 from tessera.plans import records
 from tessera.sources import files
 from tessera.streaming.drift import reference_bins, windowed_psi
@@ -107,6 +107,6 @@ def test_log_routes_and_themes(spark):
 
 def test_runs(spark):
     made = spark.createDataFrame([("a", {"lr": "1", "k": "3"}), ("b", {"lr": "2", "k": "3", "x": "0"})], "job_id string, params map<string,string>")
-    assert {tuple(r) for r in runs.compare_params(made, "a", "b").collect()} == {("lr", "1", "2"), ("x", None, "0")}
+    assert {tuple(r)[2:] for r in advice.compare_params(made, spark.createDataFrame([("a", "b")], "a string, b string")).collect()} == {("lr", "1", "2"), ("x", None, "0")}
     none = spark.createDataFrame([], "job_id string, dataset_id string, created_at timestamp, model_name string, metrics map<string,double>")
     assert tuple(runs.dashboard(none).first()) == (0, 0, 0.0, None, None, None)
