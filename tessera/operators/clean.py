@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import categorical_columns, long_numbers, long_strings, number, numeric_columns, quoted
+from ..functions.ranks import quantiles
 from .profile import distinct_counts, missing
 
 
@@ -46,8 +47,10 @@ def to_timestamp(c: Column, *formats: str) -> Column:
 
 def medians(df: DataFrame, columns: list[str], how: str = "median") -> DataFrame:
     """(column, fill): the median or mean of each column, 0 where it has no value."""
-    value = F.percentile("value", 0.5) if how == "median" else F.avg("value")
-    return long_numbers(df, columns).groupBy("column").agg(F.coalesce(value, F.lit(0.0)).alias("fill"))
+    rows = long_numbers(df, columns)
+    found = quantiles(rows, [0.5]).select("column", F.col("q")[0].alias("fill")) if how == "median" else rows.groupBy("column").agg(F.avg("value").alias("fill"))
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return every.join(found, "column", "left").select("column", F.coalesce("fill", F.lit(0.0)).alias("fill"))
 
 
 def modes(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -59,7 +62,9 @@ def modes(df: DataFrame, columns: list[str]) -> DataFrame:
 def fences(df: DataFrame, columns: list[str] | None = None, k: float = 1.5) -> DataFrame:
     """(column, low, high): Tukey's fences; infinite for a column without values."""
     inf = float("inf")
-    q = long_numbers(df, columns).groupBy("column").agg(F.percentile("value", 0.25).alias("q1"), F.percentile("value", 0.75).alias("q3"))
+    columns = numeric_columns(df) if columns is None else columns
+    every = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    q = every.join(quantiles(long_numbers(df, columns), [0.25, 0.75]), "column", "left").select("column", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
     return q.select("column", F.coalesce(F.col("q1") - k * (F.col("q3") - F.col("q1")), F.lit(-inf)).alias("low"), F.coalesce(F.col("q3") + k * (F.col("q3") - F.col("q1")), F.lit(inf)).alias("high"))
 
 
@@ -186,9 +191,13 @@ class IsolationForest(_Fitting):
         fill = {r["column"]: r["fill"] for r in medians(df, columns).collect()}
         rows = df.select(F.array(*[F.coalesce(number(c), F.lit(fill[c])) for c in columns]).alias("x"))
         n = rows.count()
-        # each tree's subsample: rows by a hash with the tree's number; a margin, then exactly size of them
-        share = min(1.0, 4.0 * size / max(1, n))
-        drawn = rows.withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(trees)))).withColumn("h", F.xxhash64("x", "tree", F.lit(seed))).where(F.pmod("h", F.lit(1 << 30)) < int(share * (1 << 30)))
+        # each tree's subsample: with a margin, then exactly size of them. A row of a large table goes to one tree at most
+        share = 4.0 * size / max(1, n)
+        if share * trees < 1:
+            drawn = rows.where(F.rand(seed) < share * trees).withColumn("tree", 1 + F.floor(F.rand(seed + 1) * trees))
+        else:
+            drawn = rows.withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(trees)))).where(F.rand(seed) < min(1.0, share))
+        drawn = drawn.withColumn("h", F.rand(seed + 2))
         picked = drawn.withColumn("r", F.row_number().over(Window.partitionBy("tree").orderBy("h"))).where(F.col("r") <= size)
 
         def grow(key: tuple, part: pd.DataFrame) -> pd.DataFrame:

@@ -8,7 +8,8 @@ from pyspark import keyword_only
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import adjusted_skew, categorical_columns, datetime_columns, long_numbers, number, numeric_columns, quoted
+from ..functions import adjusted_skew, categorical_columns, datetime_columns, long_numbers, number, numeric_columns, quoted, shared_path
+from ..functions.ranks import quantiles
 from .clean import _Fitted, _Fitting
 from .profile import distinct_counts, pearson
 
@@ -30,8 +31,7 @@ def log1p(c: Column) -> Column:
 
 def bin_edges(df: DataFrame, columns: list[str], bins: int = 5) -> DataFrame:
     """(column, edges): distinct quantile edges."""
-    at = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-    return long_numbers(df, columns).groupBy("column").agg(F.array_distinct(F.percentile("value", at)).alias("edges"))
+    return quantiles(long_numbers(df, columns), [i / bins for i in range(bins + 1)]).select("column", F.array_distinct("q").alias("edges"))
 
 
 def bin_code(c: Column, edges: list[float]) -> Column:
@@ -60,6 +60,10 @@ def frequencies(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(quoted(column).cast("string").alias("value")).agg(F.count("*").alias("n")).select("value", (F.col("n") / n).alias("freq"))
 
 
+#: Values of a column whose frequencies the model holds; those of columns with more are a table of the model, written where spark.checkpoint.dir says.
+MAX_MAP = 1000
+
+
 class FeatureEngineer(_Fitting):
     """Date parts, logs of skewed columns, quintile bins, products of pairs, one-hot and frequency codes; the result is all numeric, without nulls, with fixed columns."""
 
@@ -86,16 +90,21 @@ class FeatureEngineer(_Fitting):
         if get("enable_interactions") and label and len(numbers) > 1:
             pairs = [[r["a"], r["b"]] for r in interaction_ranks(df, numbers, number(label), get("pair_score"), get("max_interactions")).orderBy("rank").collect()]
         onehot = {c: sorted(r[0] for r in plain.select(quoted(c).cast("string")).where(quoted(c).isNotNull()).distinct().collect()) for c in texts if distinct[c] <= get("onehot_max_cardinality")}
-        freq = {c: {("" if r["value"] is None else "=" + r["value"]): r["freq"] for r in frequencies(plain, c).collect()} for c in texts if c not in onehot}
-        state = {"dates": dates, "numbers": numbers, "logged": logged, "edges": edges, "pairs": pairs, "onehot": onehot, "freq": freq, "label": label}
+        freq, tables = {}, {}
+        for c in texts:
+            if c in onehot:
+                continue
+            if distinct[c] <= MAX_MAP:
+                freq[c] = {("" if r["value"] is None else "=" + r["value"]): r["freq"] for r in frequencies(plain, c).collect()}
+            else:
+                tables[c] = shared_path(df.sparkSession, "frequencies")
+                frequencies(plain, c).write.parquet(tables[c])
+        state = {"freq_tables": tables, "dates": dates, "numbers": numbers, "logged": logged, "edges": edges, "pairs": pairs, "onehot": onehot, "freq": freq, "label": label}
         model = FeatureEngineerModel(state)
         return FeatureEngineerModel(state | {"columns": model.transform(df.limit(0)).drop(*[label] if label else []).columns})
 
 
 class FeatureEngineerModel(_Fitted):
-    #: Larger maps of frequencies are joined rather than looked up in an expression.
-    MAX_MAP = 1000
-
     def _transform(self, df: DataFrame) -> DataFrame:
         s = self.fitted
         zero = lambda c: F.coalesce(c, F.lit(0.0))
@@ -108,11 +117,13 @@ class FeatureEngineerModel(_Fitted):
         out += [bin_code(number(c), e).cast("double").alias(f"{c}__binned") for c, e in s["edges"].items() if c in df.columns]
         out += [zero(value[a] * value[b]).alias(f"{a}__x__{b}") for a, b in s["pairs"] if a in value and b in value]
         out += [F.coalesce((quoted(c).cast("string") == v).cast("double"), F.lit(0.0)).alias(f"{c}__{v}") for c, values in s["onehot"].items() if c in df.columns for v in values]
-        for i, (c, freq) in enumerate(s["freq"].items()):
+        for i, (c, freq) in enumerate([*s["freq"].items(), *s.get("freq_tables", {}).items()]):
             if c not in df.columns:
                 continue
-            known = df.sparkSession.createDataFrame([(None if k == "" else k[1:], f) for k, f in freq.items()], f"__v{i} string, __f{i} double")
-            side = F.broadcast(known) if len(freq) <= self.MAX_MAP else known
+            if isinstance(freq, str):
+                side = df.sparkSession.read.parquet(freq).select(F.col("value").alias(f"__v{i}"), F.col("freq").alias(f"__f{i}"))
+            else:
+                side = F.broadcast(df.sparkSession.createDataFrame([(None if k == "" else k[1:], f) for k, f in freq.items()], f"__v{i} string, __f{i} double"))
             df = df.join(side, quoted(c).cast("string").eqNullSafe(F.col(f"__v{i}")), "left")
             out.append(zero(F.col(f"__f{i}")).alias(f"{c}__freq"))
         label = [quoted(s["label"])] if s.get("label") and s["label"] in df.columns else []

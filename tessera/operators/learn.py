@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import logging
-import tempfile
 import time
-import uuid
 
 import numpy as np
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml import classification as C
 from pyspark.ml import regression as R
@@ -19,11 +19,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import entropy, long_numbers, number, quoted
+from ..functions import entropy, long_numbers, number, quoted, shared_path
+from ..functions.ranks import hash_ranks, quantiles, running_sums
 from .clean import Cleaner, OutlierCap
 from .features import FeatureEngineer, FeatureSelector
+from .reports import leakage, leakage_summary
 
 log = logging.getLogger(__name__)
+#: What Spark raises where a model can't be fitted to the data.
+FIT_ERRORS = (PySparkException, Py4JJavaError)
 
 
 # --- splits
@@ -60,8 +64,7 @@ def can_stratify(counts: DataFrame, test: float = 0.2, min_train: int = 2) -> Da
 
 def with_rank(df: DataFrame, target: str | None, key: Column, seed: int = 42) -> DataFrame:
     """df with __rank and __n: a seeded order within each class."""
-    by = [quoted(target)] if target else [F.lit(0)]
-    return df.withColumn("__rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64(key, F.lit(seed)), key))).withColumn("__n", F.count("*").over(Window.partitionBy(*by)))
+    return hash_ranks(df, quoted(target) if target else F.lit(0), key, seed)
 
 
 def stratified_split(df: DataFrame, target: str, key: Column, test: float = 0.2, seed: int = 42) -> DataFrame:
@@ -128,8 +131,8 @@ def classification_metrics(df: DataFrame, y: str = "y", pred: str = "pred") -> D
 def auc(scores: DataFrame) -> DataFrame:
     """(class, y, score) -> (class, auc, n_positive): Mann-Whitney with tied scores sharing ranks; equal scores are summed before they are ranked."""
     levels = scores.groupBy("class", "score").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy("class").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    wins = levels.select("class", "pos", "neg", (F.col("pos") * (below + F.col("neg") / 2)).alias("wins"))
+    below = F.col("upto_neg") - F.col("neg")
+    wins = running_sums(levels, "class", "score", ["neg"]).select("class", "pos", "neg", (F.col("pos") * (below + F.col("neg") / 2)).alias("wins"))
     return wins.groupBy("class").agg((F.sum("wins") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("auc"), F.sum("pos").alias("n_positive"))
 
 
@@ -148,11 +151,20 @@ def regression_metrics(df: DataFrame, y: str = "y", pred: str = "pred") -> DataF
 # --- models
 
 _TREES = {"gradient_boosting": (50, 3, 0.1, 1.0), "hist_gradient_boosting": (50, 5, 0.1, 1.0), "xgboost": (60, 5, 0.1, 0.8), "lightgbm": (60, 4, 0.1, 0.8), "catboost": (60, 4, 0.08, 0.9)}
-#: Ranges of random search: (low, high, kind).
+#: Ranges of random search: (low, high, kind), or values to choose from (fixed values; a step of 50 for numbers of trees).
 SPACES = {
-    "logistic_regression": {"regParam": (1e-4, 10, "log")}, "ridge": {"regParam": (1e-4, 10, "log")}, "elastic_net": {"regParam": (1e-4, 1, "log"), "elasticNetParam": (0, 1, "real")},
-    "random_forest": {"numTrees": (20, 100, "int"), "maxDepth": (3, 10, "int"), "minInstancesPerNode": (1, 5, "int")}, "svm": {"regParam": (1e-4, 1, "log")},
-} | {n: {"maxIter": (10, 60, "int"), "maxDepth": (2, 6, "int"), "stepSize": (0.02, 0.3, "log"), "subsamplingRate": (0.6, 1, "real")} for n in _TREES}
+    "logistic_regression": {"regParam": (1e-4, 10, "log")},
+    "ridge": {"regParam": (1e-3, 100, "log")},
+    "elastic_net": {"regParam": (1e-4, 10, "log"), "elasticNetParam": (0, 1, "real")},
+    "random_forest": {"numTrees": (100, 500, "fifties"), "maxDepth": (3, 20, "int"), "minInstancesPerNode": (1, 10, "int"), "featureSubsetStrategy": ["sqrt", "log2", "all"]},
+    "xgboost": {"maxIter": (100, 500, "fifties"), "maxDepth": (3, 12, "int"), "stepSize": (1e-3, 0.3, "log"), "subsamplingRate": (0.5, 1, "real"), "minInstancesPerNode": (1, 10, "int")},
+    "lightgbm": {"maxIter": (100, 500, "fifties"), "maxDepth": (1, 16, "int"), "stepSize": (1e-3, 0.3, "log"), "subsamplingRate": (0.5, 1, "real")},
+    "gradient_boosting": {"maxIter": (100, 400, "fifties"), "maxDepth": (2, 8, "int"), "stepSize": (1e-3, 0.2, "log"), "subsamplingRate": (0.6, 1, "real")},
+    "hist_gradient_boosting": {"maxIter": (100, 500, "fifties"), "maxDepth": (3, 15, "int"), "stepSize": (1e-3, 0.3, "log"), "minInstancesPerNode": (10, 50, "int")},
+    "catboost": {"maxIter": (100, 500, "fifties"), "maxDepth": (4, 10, "int"), "stepSize": (1e-3, 0.3, "log")},
+    "svm": {"regParam": (1e-4, 1, "log")},
+    "knn": {"k": (3, 25, "int"), "weighted": [False, True], "p": [1, 2]},
+}
 
 
 def estimator(name: str, task: str, n_classes: int = 2, seed: int = 42, features: str = "features", label: str = "label", weight: str | None = None, **params):
@@ -195,15 +207,16 @@ def cv_score(df: DataFrame, task: str, model, folds: int) -> float:
 
 
 def leaderboard(df: DataFrame, task: str, candidates: list[str] | None = None, folds: int = 5, n_classes: int = 2) -> DataFrame:
-    """(model, score, rank) of df (features, label, fold); a model that fails scores minus infinity."""
+    """(model, score, error, rank) of df (features, label, fold); a model that Spark can't fit scores minus infinity and has its error told."""
     rows = []
     for name in candidates or CANDIDATES[task]:
+        one = estimator(name, task, n_classes)
         try:
-            rows.append((name, cv_score(df, task, estimator(name, task, n_classes), folds)))
-        except Exception:
+            rows.append((name, cv_score(df, task, one, folds), None))
+        except FIT_ERRORS as e:
             log.exception("%s failed", name)
-            rows.append((name, float("-inf")))
-    return rank_models(df.sparkSession.createDataFrame(rows, "model string, score double"))
+            rows.append((name, float("-inf"), str(e)[:500]))
+    return rank_models(df.sparkSession.createDataFrame(rows, "model string, score double, error string"))
 
 
 def rank_models(scores: DataFrame) -> DataFrame:
@@ -212,8 +225,12 @@ def rank_models(scores: DataFrame) -> DataFrame:
 
 def draw(space: dict, rng: np.random.Generator) -> dict:
     out = {}
-    for name, (low, high, kind) in space.items():
-        out[name] = int(rng.integers(low, high + 1)) if kind == "int" else float(np.exp(rng.uniform(np.log(low), np.log(high)))) if kind == "log" else float(rng.uniform(low, high))
+    for name, given in space.items():
+        if isinstance(given, list):
+            out[name] = given[int(rng.integers(len(given)))]
+            continue
+        low, high, kind = given
+        out[name] = 50 * int(rng.integers(low // 50, high // 50 + 1)) if kind == "fifties" else int(rng.integers(low, high + 1)) if kind == "int" else float(np.exp(rng.uniform(np.log(low), np.log(high)))) if kind == "log" else float(rng.uniform(low, high))
     return out
 
 
@@ -224,9 +241,10 @@ def tune(df: DataFrame, task: str, name: str, n_trials: int = 25, timeout: float
         if trial and timeout and time.monotonic() - began > timeout:
             break
         params = draw(SPACES.get(name, {}), rng) if trial else {}  # the first trial has the defaults
+        one = estimator(name, task, n_classes, **params)
         try:
-            score = cv_score(df, task, estimator(name, task, n_classes, **params), folds)
-        except Exception:
+            score = cv_score(df, task, one, folds)
+        except FIT_ERRORS:
             log.exception("trial %d of %s failed", trial, name)
             score = float("-inf")
         rows.append((trial, {k: str(v) for k, v in params.items()}, score, params))
@@ -238,8 +256,18 @@ def best_trial(history: DataFrame) -> DataFrame:
     return history.orderBy(F.desc("score"), "trial").limit(1)
 
 
+MAX_QUERIES = 10_000
+
+
+def _at_most(df: DataFrame, most: int, what: str) -> None:
+    n = df.limit(most + 1).count()
+    if n > most:
+        raise ValueError(f"more than {most} {what}")
+
+
 def knn(train: DataFrame, queries: DataFrame, k: int = 5, p: int = 2, weighted: bool = False) -> DataFrame:
-    """(id, v, label) and a small set of queries (id, v) -> (id, pred): exact nearest neighbours, each task keeping its k best of every query before the shuffle."""
+    """(id, v, label) and a small set of queries (id, v), at most MAX_QUERIES -> (id, pred): exact nearest neighbours, each task keeping its k best of every query before the shuffle."""
+    _at_most(queries, MAX_QUERIES, "queries; knn_others takes any number")
     d = F.aggregate(F.zip_with("v", "w", lambda a, b: F.pow(F.abs(a - b), F.lit(float(p)))), F.lit(0.0), lambda s, x: s + x)
     pairs = train.join(F.broadcast(queries.select(F.col("id").alias("q"), F.col("v").alias("w"))), F.lit(True)).select("q", "id", "label", F.pow(d, F.lit(1.0 / p)).alias("d"))
     return _vote(pairs, k, weighted)
@@ -277,7 +305,7 @@ def knn_others(df: DataFrame, k: int = 5, query_rows: int = 8192) -> DataFrame:
     rows = df.where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))).select("id", F.col("v").cast("array<double>").alias("v"), "label")
     n = max(1, -(-rows.count() // query_rows))
     kind = f"q long, id long, label {df.schema['label'].dataType.simpleString()}, d double"
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-")).rstrip("/") + f"/knn-{uuid.uuid4().hex}"
+    folder = shared_path(spark, "knn")
     matrix = lambda column: np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float64)
     for i in range(n):
         block = rows.where(F.pmod(F.xxhash64("id"), F.lit(n)) == i).select("id", "v").toArrow().combine_chunks()
@@ -325,10 +353,16 @@ def predict(model: PipelineModel, df: DataFrame, labels: list[str]) -> DataFrame
     return made.select(*[c for c in made.columns if c not in ("prediction", "probability", "rawPrediction", "features", "label", "__key")], *out)
 
 
-def automl(df: DataFrame, target: str, key: str, task: str | None = None, candidates: list[str] | None = None, n_trials: int = 5, test: float = 0.2, folds: int = 3, seed: int = 42) -> AutoMLResult:
-    """Cleans, engineers and selects features, compares and tunes models on a train split, and evaluates on the rest."""
+def automl(df: DataFrame, target: str, key: str, task: str | None = None, candidates: list[str] | None = None, n_trials: int = 5, test: float = 0.2, folds: int = 3, seed: int = 42, drop_leaks: bool = True, snapshot: str | None = None) -> AutoMLResult:
+    """Drops leaking columns, cleans, engineers and selects features, compares and tunes models on a train split, and evaluates on the rest.
+
+    snapshot: a path for the raw train split, to hold later tables against for drift.
+    """
     df = df.dropDuplicates().where(quoted(target).isNotNull())
     task = task or detect_task(df, target)
+    if drop_leaks:
+        leaks = leakage_summary(leakage(df.drop(key), target, task)).first()["drop"]
+        df = df.drop(*[c for c in leaks if c not in (target, key)])
     labels: list[str] = []
     if task == "classification":
         validate_target(df, target)
@@ -341,6 +375,8 @@ def automl(df: DataFrame, target: str, key: str, task: str | None = None, candid
     train = split.where(~F.col("is_test")).drop("is_test").persist()
     held = split.where("is_test").drop("is_test")
     plain = train.drop(target, key)
+    if snapshot:
+        train.drop("label").write.mode("overwrite").parquet(snapshot)
     cleaner = Cleaner(ignore=["label"]).fit(plain)
     numbers = [c for c, v in cleaner.fitted["fill"].items() if not isinstance(v, str)]
     fitted = [cleaner]
@@ -370,6 +406,7 @@ def shapley(score, rows: DataFrame, background: DataFrame, features: list[str],
     score: a column over the features, or a function of a DataFrame that adds a column score. Each row meets background
     rows and random orders of the features; a feature's contribution is the mean change as it goes from theirs to its own.
     """
+    _at_most(background, MAX_QUERIES, "background rows; take a sample")
     rng = np.random.default_rng(seed)
     orders = [[int(i) for i in rng.permutation(len(features))] for _ in range(n_perm)]
     spark = rows.sparkSession
@@ -419,19 +456,20 @@ def probability_map(labels: list[str], p: Column) -> Column:
 
 def search_ranges(reference: DataFrame, columns: list[str]) -> DataFrame:
     """(column, low, high): the 5th and 95th percentiles."""
-    return long_numbers(reference, columns).groupBy("column").agg(F.percentile("value", 0.05).alias("low"), F.percentile("value", 0.95).alias("high"))
+    return quantiles(long_numbers(reference, columns), [0.05, 0.95]).select("column", F.col("q")[0].alias("low"), F.col("q")[1].alias("high"))
 
 
-def counterfactuals(score, rows: DataFrame, ranges: DataFrame, columns: list[str], max_changes: int = 3, steps: int = 8) -> DataFrame:
+def counterfactuals(score, rows: DataFrame, ranges: DataFrame, columns: list[str], max_changes: int = 3, steps: int = 8, most: int | None = None) -> DataFrame:
     """(id, column, direction, step, from_value, to_value, rank): the least single changes that flip the score's class.
 
-    score: a column over the columns that gives the class. Every row meets every feature, direction and step, and
-    the whole grid is scored at once.
+    score: a column over the columns that gives the class. Every row meets every feature (the first most of them, if given),
+    direction and step, and the whole grid is scored at once.
     """
-    grid = ranges.where(F.col("column").isin(columns[:10])).select("column", ((F.col("high") - F.col("low")) / steps).alias("size"), F.explode(F.array(F.lit(-1), F.lit(1))).alias("direction")).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
+    tried = columns if most is None else columns[:most]
+    grid = ranges.where(F.col("column").isin(tried)).select("column", ((F.col("high") - F.col("low")) / steps).alias("size"), F.explode(F.array(F.lit(-1), F.lit(1))).alias("direction")).withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps))))
     base = rows.withColumn("__class", score)
-    cases = base.join(F.broadcast(grid), F.lit(True))  # features x directions x steps, at most 10 x 2 x steps rows
-    old = F.coalesce(*[F.when(F.col("column") == c, number(c)) for c in columns[:10]])
+    cases = base.join(F.broadcast(grid), F.lit(True))  # features x directions x steps rows
+    old = F.coalesce(*[F.when(F.col("column") == c, number(c)) for c in tried])
     cases = cases.withColumn("from_value", old).withColumn("to_value", F.col("from_value") + F.col("direction") * F.col("step") * F.col("size"))
     moved = cases.select("id", "column", "direction", "step", "from_value", "to_value", F.col("__class").alias("was"), *[F.when(F.col("column") == c, F.col("to_value")).otherwise(number(c)).alias(c) for c in columns])
     flipped = moved.withColumn("now", score).where(F.col("now") != F.col("was"))

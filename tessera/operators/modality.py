@@ -57,7 +57,7 @@ def statistics(df: DataFrame) -> DataFrame:
     return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
 
 
-def detect(df: DataFrame) -> dict:
+def detect(df: DataFrame, most_labels: int | None = None) -> dict:
     """{modality, text_column, datetime_column, value_columns, targets} of a table: logs, text, timeseries or tabular.
 
     The statistics are a row for each column, so what reaches the driver is bounded by the table's width.
@@ -66,7 +66,7 @@ def detect(df: DataFrame) -> dict:
     names, numbers = list(stats), set(numeric_columns(df))
     strings = [c for c in names if stats[c]["type"] == "string"]
     hit = lambda pattern, c: re.search(pattern, c, re.I)
-    labels = lambda but=(): [c for c in names if c not in but and 2 <= stats[c]["n_distinct"] < MANY][:10]
+    labels = lambda but=(): [c for c in names if c not in but and 2 <= stats[c]["n_distinct"] < MANY][:most_labels]
 
     log_named = [c for c in names if hit(LOG_NAMES, c)]
     if len(log_named) >= 2 or (log_named and any(hit("assign|group|severity", c) for c in names)):

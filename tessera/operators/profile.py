@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import adjusted_skew, categorical_columns, datetime_columns, long_numbers, long_strings, number, numeric_columns, quoted
+from ..functions.ranks import quantiles
 
 
 def shape(df: DataFrame) -> DataFrame:
@@ -31,12 +32,16 @@ def missing(df: DataFrame) -> DataFrame:
 
 def numeric_summary(df: DataFrame, columns: list[str] | None = None, accuracy: int | None = None) -> DataFrame:
     """(column, n, mean, std, min, q25, median, q75, max, skew); accuracy switches to approximate quantiles."""
-    q = (lambda p: F.percentile("value", p)) if accuracy is None else (lambda p: F.percentile_approx("value", p, accuracy).cast("double"))
-    return long_numbers(df, columns).groupBy("column").agg(
+    rows = long_numbers(df, columns)
+    if accuracy is None:
+        q = quantiles(rows, [0.25, 0.5, 0.75])
+    else:
+        q = rows.groupBy("column").agg(F.percentile_approx("value", F.array(*map(F.lit, (0.25, 0.5, 0.75))), accuracy).cast("array<double>").alias("q"))
+    sums = rows.groupBy("column").agg(
         F.count("value").alias("n"), F.avg("value").alias("mean"),
-        F.when(F.count("value") > 1, F.stddev_samp("value")).otherwise(0.0).alias("std"), F.min("value").alias("min"),
-        q(0.25).alias("q25"), q(0.5).alias("median"), q(0.75).alias("q75"), F.max("value").alias("max"), adjusted_skew(F.col("value")).alias("skew"),
+        F.when(F.count("value") > 1, F.stddev_samp("value")).otherwise(0.0).alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), adjusted_skew(F.col("value")).alias("skew"),
     )
+    return sums.join(q, "column", "left").select("column", "n", "mean", "std", "min", *[F.col("q")[i].alias(c) for i, c in enumerate(("q25", "median", "q75"))], "max", "skew")
 
 
 def categorical_top(df: DataFrame, k: int = 5, columns: list[str] | None = None) -> DataFrame:

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import adjusted_skew, categorical_columns, datetime_columns, long_numbers, long_strings, number, numeric_columns, quoted
+from ..functions.ranks import quantiles, running_sums
 from .profile import correlations, distinct_counts, duplicate_rows, missing, numeric_summary, pearson
+from .text import tokens
 
 ALL = lambda: Window.partitionBy(F.lit(0))  # noqa: E731  over the few rows of a report
 
@@ -20,9 +22,15 @@ def class_balance(df: DataFrame, target: str) -> DataFrame:
     return counts.select("value", "n", F.round(F.col("n") / F.sum("n").over(ALL()), 4).alias("share"), F.count("value").over(ALL()).alias("n_classes"), F.round(top, 4).alias("majority_share"), (top > 0.7).alias("imbalanced"))
 
 
+#: Classes of a target at most.
+MAX_CLASSES = 100_000
+
+
 def class_codes(df: DataFrame, target: str) -> DataFrame:
     """(value, code): classes in order, from 0."""
     classes = df.select(quoted(target).cast("string").alias("value")).where("value IS NOT NULL").distinct()
+    if classes.limit(MAX_CLASSES + 1).count() > MAX_CLASSES:
+        raise ValueError(f"{target} has more than {MAX_CLASSES} values: no target of classes")
     return classes.select("value", (F.row_number().over(Window.orderBy("value")) - 1).cast("double").alias("code"))
 
 
@@ -74,21 +82,28 @@ def positive_rate(rates: DataFrame) -> DataFrame:
     return by.select("value", F.round(100 * F.coalesce("y", "one", "most"), 2).alias("rate"))
 
 
+def scatter(df: DataFrame, x: str, y: str, share: float = 1.0, seed: int = 42) -> DataFrame:
+    """(x, y): the rows that have both numbers, or about that share of them."""
+    rows = df.select(number(x).alias("x"), number(y).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    return rows if share >= 1.0 else rows.sample(share, seed)
+
+
 # --- leakage
 
 #: Names of identifying columns and of columns that tell of the future (fixed values).
-ID_NAME = re.compile(r"(^id$|_id$|^id_|customer.?id|user.?id|uuid|guid|index$)", re.I)
-FUTURE_NAME = re.compile(r"(future|next_|_after|outcome|result|post_|cancel.*date|closed.*date|end.*date)", re.I)
+ID_NAME = re.compile(r"(^id$|_id$|^id_|customer.?id|user.?id|account.?id|record.?id)", re.I)
+FUTURE_NAME = re.compile(r"(cancel|termination|end.?date|closed.?date|outcome|result|approved.?date|decision.?date)", re.I)
 ISSUE = "column string, kind string, severity string, action string, detail double"
 
 
-def id_columns(df: DataFrame, target: str | None = None, unique: float = 0.95, only_keys: bool = False) -> DataFrame:
-    """Issues: columns named like ids, or with nearly as many values as rows (only_keys: among integers and texts)."""
+def id_columns(df: DataFrame, target: str | None = None, unique: float = 0.95, only_keys: bool = False, names: str | None = None) -> DataFrame:
+    """Issues: columns named like ids (or as the pattern names says), or with nearly as many values as rows (only_keys: among integers and texts)."""
+    more = re.compile(names, re.I) if names else ID_NAME
     columns = [c for c in df.columns if c != target]
     floats = {c for c, t in df.dtypes if t in ("float", "double") or t.startswith("decimal")}
     n = df.agg(F.count("*").alias("n_rows"))
     share = distinct_counts(df, columns).crossJoin(n).withColumn("share", F.when(F.col("n_rows") > 0, F.col("n_distinct") / F.col("n_rows")).otherwise(0.0))  # one row
-    named = F.col("column").isin([c for c in columns if ID_NAME.search(c)] or [""])
+    named = F.col("column").isin([c for c in columns if ID_NAME.search(c) or more.search(c)] or [""])
     keys = ~F.col("column").isin([c for c in columns if c in floats] or [""]) if only_keys else F.lit(True)
     return share.where(named | ((F.col("share") >= unique) & keys)).select("column", F.lit("id").alias("kind"), F.lit("high").alias("severity"), F.lit("drop").alias("action"), F.round("share", 4).alias("detail"))
 
@@ -99,7 +114,7 @@ def target_leaks(df: DataFrame, target: str, task: str, least: float = 0.98) ->
     if task == "regression":
         rows = long_numbers(df, columns, [number(target).alias("y")])
     else:
-        fill = {r["column"]: r["m"] for r in long_numbers(df, columns).groupBy("column").agg(F.percentile("value", 0.5).alias("m")).collect()}
+        fill = {r["column"]: r["q"][0] for r in quantiles(long_numbers(df, columns), [0.5]).collect()}
         filled = with_code(df, target).select("__code", *[F.coalesce(number(c), F.lit(fill.get(c))).alias(c) for c in columns])
         rows = long_numbers(filled, columns, [F.col("__code").alias("y")])
     r = rows.groupBy("column").agg(pearson(F.col("value"), F.col("y")).alias("r"))
@@ -122,9 +137,10 @@ def duplicate_features(df: DataFrame, target: str | None = None, least: float =
     return pairs.select(F.col("b").alias("column"), F.concat(F.lit("duplicate_of:"), "a").alias("kind"), F.lit("medium").alias("severity"), F.lit("review").alias("action"), F.round("r", 4).alias("detail"))
 
 
-def future_columns(df: DataFrame, target: str | None = None) -> DataFrame:
-    """Issues: columns whose name tells of the future, and dates."""
-    rows = [(c, "future_name", "high", "drop", None) for c in df.columns if c != target and FUTURE_NAME.search(c)] + [(c, "date", "medium", "review", None) for c in datetime_columns(df) if c != target]
+def future_columns(df: DataFrame, target: str | None = None, names: str | None = None) -> DataFrame:
+    """Issues: columns whose name tells of the future (or is as the pattern names says), and dates."""
+    more = re.compile(names, re.I) if names else FUTURE_NAME
+    rows = [(c, "future_name", "high", "drop", None) for c in df.columns if c != target and (FUTURE_NAME.search(c) or more.search(c))] + [(c, "date", "medium", "review", None) for c in datetime_columns(df) if c != target]
     return df.sparkSession.createDataFrame(rows, ISSUE)
 
 
@@ -199,8 +215,7 @@ def _sides(reference: DataFrame, current: DataFrame, columns: list[str], long) -
 
 def _quartile_cells(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
     """(column, n_edges, bin, p, q): shares of both sides in the reference's quartile bins; what is outside is left out."""
-    at = F.array(*[F.lit(i / 4) for i in range(5)])
-    edges = long_numbers(reference, columns).groupBy("column").agg(F.array_distinct(F.percentile("value", at)).alias("edges"))
+    edges = quantiles(long_numbers(reference, columns), [i / 4 for i in range(5)]).select("column", F.array_distinct("q").alias("edges"))
     rows = _sides(reference, current, columns, long_numbers).join(F.broadcast(edges), "column")  # one row a column
     n = F.size("edges")
     below = F.size(F.filter("edges", lambda e: e <= F.col("value")))
@@ -224,6 +239,12 @@ def categorical_drift(reference: DataFrame, current: DataFrame, columns: list[st
     return counts.join(sums, "column").groupBy("column").agg((F.sum(F.abs(of("a", "sa") - of("b", "sb"))) / 2).alias("score"))
 
 
+def vocabulary_drift(reference: DataFrame, current: DataFrame, text: str) -> DataFrame:
+    """(column, score): total variation of the shares of words of two collections of texts."""
+    words = lambda df: df.select(F.explode(tokens(quoted(text))).alias(text))
+    return categorical_drift(words(reference), words(current), [text])
+
+
 def feature_drift(reference: DataFrame, current: DataFrame) -> DataFrame:
     """(column, kind, score, level) of the columns that both have."""
     both = [c for c in reference.columns if c in set(current.columns)]
@@ -251,6 +272,7 @@ def psi(reference: DataFrame, current: DataFrame, columns: list[str], floor: flo
 def ks(reference: DataFrame, current: DataFrame, columns: list[str]) -> DataFrame:
     """(column, ks): largest difference of the two distribution functions."""
     counts = _sides(reference, current, columns, long_numbers).groupBy("column", "value").agg(F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
-    upto, whole = Window.partitionBy("column").orderBy("value"), Window.partitionBy("column")
-    gap = F.abs(F.sum("a").over(upto) / F.sum("a").over(whole) - F.sum("b").over(upto) / F.sum("b").over(whole))
-    return counts.select("column", gap.alias("gap")).groupBy("column").agg(F.max("gap").alias("ks"))
+    upto = running_sums(counts, "column", "value", ["a", "b"])
+    sums = counts.groupBy(F.col("column").alias("c")).agg(F.sum("a").alias("all_a"), F.sum("b").alias("all_b"))
+    gap = F.abs(F.col("upto_a") / F.col("all_a") - F.col("upto_b") / F.col("all_b"))
+    return upto.join(sums, F.col("column") == F.col("c")).groupBy("column").agg(F.max(gap).alias("ks"))

@@ -9,7 +9,6 @@ from ..functions import quoted
 
 #: What Spark puts where bytes aren't UTF-8.
 BROKEN = "�"
-ROW_LIMIT = 100_000
 
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", schema: str | None = None) -> DataFrame:
@@ -43,8 +42,8 @@ def read_text(spark: SparkSession, path: str, label: str = "document") -> DataFr
     return found.where(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").withColumn("label", F.lit(label))
 
 
-def read_jdbc(spark: SparkSession, url: str, table: str | None = None, query: str | None = None, schema: str | None = None, limit: int | None = ROW_LIMIT, **options: str) -> DataFrame:
-    """A table, limited to that many rows, or a whole query's result; an empty result is an error.
+def read_jdbc(spark: SparkSession, url: str, table: str | None = None, query: str | None = None, schema: str | None = None, limit: int | None = None, **options: str) -> DataFrame:
+    """A table (all of it, or as many rows as limit says, in no order), or a whole query's result; an empty result is an error.
 
     options are those of Spark's reader (driver, partitionColumn, lowerBound, upperBound, numPartitions, ...).
     """

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import quoted
+from ..functions import number, quoted
+from ..functions.ranks import quantiles
 
 
 def reference_bins(reference: DataFrame, column: str, bins: int = 4) -> tuple[list[float], list[float]]:
     """The inner edges of a column's quantile bins in the reference, and the shares of its rows in them: a few numbers, whatever the table's size."""
     probs = [i / bins for i in range(1, bins)]
-    edges = sorted(set(reference.agg(F.percentile(quoted(column), F.array(*map(F.lit, probs)))).first()[0] or []))
+    found = quantiles(reference.select(F.lit(column).alias("column"), number(column).alias("value")), probs).first()
+    edges = sorted(set(found["q"])) if found else []
     row = reference.agg(*_counts(column, edges)).first()
     return edges, [n / max(sum(row), 1) for n in row]
 
