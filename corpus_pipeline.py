@@ -18,7 +18,7 @@ STAGES = [
     ("token output", stages.write_tokens),
 ]
 
-#: DartMinHash and the language model have no SQL form. No test holds run() or a stage against brute force yet, only the operators they call.
+#: DartMinHash and the language model have no SQL form; tests/llm/test_pipeline.py holds run() and each stage against brute force.
 ORACLE_SQL = None
 
 
