@@ -55,9 +55,8 @@ BITMAP = 8
 #: Rows of a block of a bucket in the last round, and of those that meet a group's rows at once.
 BLOCK = 2048
 MEET_ROWS = 256
-#: Standard deviations under the agreement of similar texts at which signatures still make a candidate: in the first round, which finds pivots, and after.
-SLACK_FIRST = 6.0
-SLACK = 3.4
+#: Standard deviations under the agreement of similar texts at which signatures still make a candidate: of pairs at the threshold itself, one in a hundred million is below.
+SLACK = 6.0
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _MIX2 = np.uint64(0xBF58476D1CE4E5B9)
 _MIX3 = np.uint64(0x94D049BB133111EB)
@@ -349,7 +348,7 @@ def _led(rows: DataFrame, leaders: int, k: int, similarity: float) -> DataFrame:
     near = (F.col("band") == F.col("a_band")) & (F.col("class") != F.col("a_class"))
     if not first:
         near = near & _possible()
-    near = near & _agree(F.col("sig"), F.col("a_sig"), k, similarity, SLACK_FIRST if first else SLACK)
+    near = near & _agree(F.col("sig"), F.col("a_sig"), k, similarity, SLACK)
     low = F.col("a_rep") < F.col("rep")
     ends = [F.least("a_rep", "rep").alias("a"), F.greatest("a_rep", "rep").alias("b")]
     fames = [F.when(low, F.col("a_fame")).otherwise(F.col("fame")).alias("a_fame"), F.when(low, F.col("fame")).otherwise(F.col("a_fame")).alias("b_fame")]
