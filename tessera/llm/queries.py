@@ -20,7 +20,8 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    made = repeats.remove_repeats(table(spark, sf_dir, "documents"))
+    return made.withColumn("repeated", F.col("n_removed") > 0)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
