@@ -396,7 +396,30 @@ def _(spark, d):
     return reports.leakage_summary(reports.leakage(read(spark, d, "orders"), "o_orderstatus", "classification"))
 
 
-@query("quality_score")
+_COLUMNS = ["l_orderkey", "l_linenumber", *NUM, "l_returnflag", "l_linestatus", "l_shipdate"]
+_NUMBERS = _COLUMNS[:6]
+_TEST = lambda x: f"CAST({x} AS INTEGER)"
+QUALITY = (
+    f"WITH {HOLES}, n AS (SELECT count(*) AS n FROM h), "
+    f"gone AS (SELECT ({' + '.join(f'round(1 - count({c}) / count(*), 4)' for c in _COLUMNS)}) / {len(_COLUMNS)} AS gone FROM h), "
+    "dup AS (SELECT (SELECT n FROM n) - count(*) AS dup FROM (SELECT DISTINCT * FROM h)), "
+    f"sk AS (SELECT ({' + '.join(f'abs(coalesce(skewness({c}), 0))' for c in _NUMBERS)}) / {len(_NUMBERS)} AS skew FROM h), "
+    "codes AS (SELECT l_returnflag AS f, row_number() OVER (ORDER BY l_returnflag) - 1 AS code FROM (SELECT DISTINCT l_returnflag FROM h WHERE l_returnflag IS NOT NULL)), "
+    f"med AS (SELECT {', '.join(f'quantile_cont({c}, 0.5) AS m_{c}' for c in _NUMBERS)} FROM h), "
+    "c AS (SELECT h.*, coalesce(code, -1) AS code FROM h LEFT JOIN codes ON l_returnflag = f), "
+    "issues AS (SELECT "
+    + " + ".join(_TEST(f"count(DISTINCT {c}) / count(*) >= 0.95") for c in _COLUMNS if c != "l_returnflag") + " + "
+    + " + ".join(_TEST(f"coalesce(abs(corr(coalesce({c}, m_{c}), code)) >= 0.98, false)") for c in _NUMBERS) + " + "
+    + " + ".join(_TEST(f"bool_and(CAST({c} AS VARCHAR) IS NOT DISTINCT FROM l_returnflag)") for c in _COLUMNS if c != "l_returnflag")
+    + " AS high, " + " + ".join(_TEST(f"coalesce(abs(corr({a}, {b})) >= 0.999, false)") for i, a in enumerate(_NUMBERS) for b in _NUMBERS[i + 1 :]) + " + 1 AS others FROM c, med), "
+    "top AS (SELECT max(k) / sum(k) AS top FROM (SELECT count(*) AS k FROM h WHERE l_returnflag IS NOT NULL GROUP BY l_returnflag)), "
+    "p AS (SELECT greatest(100 - 200 * gone, 0) AS a, greatest(100 - 500 * dup / greatest(n, 1), 0) AS b, greatest(100 - 12 * least(skew, 5), 0) AS o, CASE WHEN high > 0 THEN greatest(100 - 15.0 * (high + others), 20) ELSE 100 END AS l, CASE WHEN top > 0.7 THEN greatest(least(100, 200 * (1 - top)), 30) ELSE 95 END AS q, least(100, 40 + n / 50) AS z FROM gone, n, dup, sk, issues, top), "
+    "s AS (SELECT *, a * 0.2 + b * 0.1 + o * 0.15 + l * 0.25 + q * 0.15 + z * 0.15 AS score FROM p) "
+    "SELECT " + ", ".join(f"CAST(round({x}, 4) AS DOUBLE) AS {n}_score" for x, n in zip("abolqz", ("missing", "duplicate", "outlier", "leakage", "balance", "size"))) + ", CAST(round(score, 2) AS DOUBLE) AS score, CASE WHEN score >= 90 THEN 'Excellent' WHEN score >= 75 THEN 'Good' WHEN score >= 60 THEN 'Moderate' WHEN score >= 40 THEN 'Fair' ELSE 'Poor' END AS grade FROM s"
+)
+
+
+@query("quality_score", QUALITY)
 def _(spark, d):
     return reports.quality(holes(spark, d), "l_returnflag", "classification")
 
@@ -581,11 +604,20 @@ def _(spark, d):
     return rounded(learn.search_ranges(read(spark, d, "lineitem"), NUM), "low", "high")
 
 
-@query("counterfactual_grid")
+_FLIPS = (
+    "WITH d AS (SELECT o_orderkey AS id, o_totalprice AS p, CAST(dayofyear(o_orderdate) AS DOUBLE) AS y FROM orders), q AS (SELECT (quantile_cont(p, 0.95) - quantile_cont(p, 0.05)) / 8 AS sp, (quantile_cont(y, 0.95) - quantile_cont(y, 0.05)) / 8 AS sy FROM d), "
+    "g AS (SELECT d.*, s, k, sp, sy, p / 1000 + y > 300 AS was FROM d, q, (VALUES (-1), (1)) v(s), (SELECT unnest(range(1, 9)) AS k) r), "
+    "m AS (SELECT id, 'o_totalprice' AS col, s, k, p AS a, p + s * k * sp AS b, was, (p + s * k * sp) / 1000 + y > 300 AS now FROM g UNION ALL SELECT id, 'day', s, k, y, y + s * k * sy, was, p / 1000 + (y + s * k * sy) > 300 FROM g), "
+    "f AS (SELECT id, col, s, min(k) AS k, min(a) AS a, arg_min(b, k) AS b FROM m WHERE was <> now GROUP BY id, col, s), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k, col, s) AS n FROM f) "
+    "SELECT id, col AS column, CAST(s AS INTEGER) AS direction, CAST(k AS INTEGER) AS step, round(a, 4) AS from_value, round(b, 4) AS to_value, CAST(n AS INTEGER) AS rank FROM r WHERE n <= 3"
+)
+
+
+@query("counterfactual_grid", _FLIPS)
 def _(spark, d):
     df = read(spark, d, "orders").select(F.col("o_orderkey").alias("id"), "o_totalprice", F.dayofyear("o_orderdate").cast("double").alias("day"))
     rule = (F.col("o_totalprice") / 1000 + F.col("day") > 300).cast("int")
-    return learn.counterfactuals(rule, df, learn.search_ranges(df, ["o_totalprice", "day"]), ["o_totalprice", "day"])
+    return rounded(learn.counterfactuals(rule, df, learn.search_ranges(df, ["o_totalprice", "day"]), ["o_totalprice", "day"]), "from_value", "to_value")
 
 
 @query("shapley_importance")
@@ -603,3 +635,25 @@ def _(spark, d):
 
     matrix = learn.with_folds(VectorAssembler(inputCols=["l_quantity", "l_discount"], outputCol="features").transform(df), None, F.struct("l_orderkey", "l_linenumber"), 2).select("features", "label", "fold")
     return learn.best_trial(learn.tune(matrix, "classification", "logistic_regression", n_trials=2, folds=2)[2].drop("params"))
+
+
+@query("csv_roundtrip", "SELECT CAST(o_orderkey AS BIGINT) AS o_orderkey, CAST(o_custkey AS BIGINT) AS o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+def _(spark, d):
+    from ..functions import shared_path
+    from ..sources.files import read_csv
+
+    path = shared_path(spark, "orders-csv")
+    read(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority").write.option("header", True).csv(path)
+    back = read_csv(spark, path)
+    return back.withColumns({c: F.col(c).cast("long") for c in ("o_orderkey", "o_custkey")})
+
+
+@query("profile_schema", "WITH v AS (SELECT l_quantity AS number, l_returnflag AS flag, l_shipdate AS day FROM lineitem) SELECT 'numeric' AS kind, 7 AS n_columns, CAST(sum((number IS NOT NULL)::INT) AS BIGINT) AS n_first FROM v UNION ALL SELECT 'categorical', 2, CAST(sum((flag IS NOT NULL)::INT) AS BIGINT) FROM v UNION ALL SELECT 'datetime', 1, CAST(sum((day IS NOT NULL)::INT) AS BIGINT) FROM v")
+def _(spark, d):
+    """How many columns of each kind a table has, and how many values the first of each."""
+    from ..functions import categorical_columns, datetime_columns, numeric_columns
+
+    df = read(spark, d, "lineitem").select("l_quantity", "l_orderkey", "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount", "l_tax", "l_returnflag", "l_linestatus", "l_shipdate")
+    kinds = {"numeric": numeric_columns(df), "categorical": categorical_columns(df), "datetime": datetime_columns(df)}
+    counts = df.agg(*[F.count(F.col(c[0])).alias(k) for k, c in kinds.items()])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(len(c)).alias("n_columns"), F.col(k).alias("n_first")) for k, c in kinds.items()])))
