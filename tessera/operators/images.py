@@ -9,6 +9,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .learn import best_on_holdout, class_counts, class_weight, classification_metrics, stratified_split, validate_target
+
 #: Endings of image files and folder names that are no class (fixed values).
 ENDINGS = ["jpg", "jpeg", "png", "bmp", "gif", "webp"]
 GENERIC = ["images", "image", "train", "test", "val", "valid", "data", "imgs", "photos", "seg_train", "seg_test", "training", "dataset", "my_images", "training_set", "petimages", "pets", "cats_and_dogs", "animals"]
@@ -113,3 +115,21 @@ def principal_components(df: DataFrame, column: str, most: int = 128, max_width:
     vectors = df.withColumn("__v", array_to_vector(F.col(column)))
     fitted = PCA(k=min(most, width, n - 1), inputCol="__v", outputCol="__p").fit(vectors)
     return fitted.transform(vectors).withColumn("features", vector_to_array("__p")).drop("__v", "__p"), list(map(float, fitted.explainedVariance))
+
+
+def train_images(df: DataFrame, key: str, column: str = "pixels", label: str = "label", candidates: tuple[str, ...] = ("random_forest", "gradient_boosting", "logistic_regression"), components: int = 128, test: float = 0.2, seed: int = 42):
+    """(key, an array of numbers, label) -> (name of the best model, the model over features, labels, leaderboard, metrics): models of the principal components, compared on held-out rows."""
+    validate_target(df, label)
+    labels = sorted(r["class"] for r in class_counts(df, label).collect())
+    code = (F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(label).cast("string")) - 1).cast("double")
+    made, _ = principal_components(df.where(F.col(label).isNotNull()), column, components)
+    rows = made.select(F.col(key).alias("__key"), array_to_vector("features").alias("features"), code.alias("label"))
+    split = stratified_split(rows, "label", F.col("__key"), test, seed).persist()
+    try:
+        train, held = split.where(~F.col("is_test")), split.where("is_test")
+        counts = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
+        name, model, board = best_on_holdout(train.withColumn("__weight", class_weight(counts, len(labels))), held, candidates, len(labels), seed, "__weight")
+        metrics = classification_metrics(model.transform(held), "label", "prediction").first()
+        return name, model, labels, df.sparkSession.createDataFrame(board, "model string, f1 double"), metrics.asDict()
+    finally:
+        split.unpersist()

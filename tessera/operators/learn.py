@@ -219,6 +219,25 @@ def leaderboard(df: DataFrame, task: str, candidates: list[str] | None = None, f
     return rank_models(df.sparkSession.createDataFrame(rows, "model string, score double, error string"))
 
 
+def best_on_holdout(train: DataFrame, held: DataFrame, candidates, n_classes: int, seed: int = 42, weight: str | None = None):
+    """Fits each model on train (features, label) and judges it on held by weighted F1: (name of the best, the fitted model, (model, f1) of all)."""
+    board, best = [], None
+    for name in candidates:
+        weighted = weight if name != "naive_bayes" and not (n_classes > 2 and name not in ("logistic_regression", "random_forest")) else None
+        fitted = estimator(name, "classification", n_classes, seed, weight=weighted).fit(train)
+        f1 = classification_metrics(fitted.transform(held), "label", "prediction").first()["f1"]
+        board.append((name, round(f1, 4)))
+        if best is None or f1 > best[0]:
+            best = f1, name, fitted
+    return best[1], best[2], board
+
+
+def class_weight(counts: dict, n_classes: int) -> Column:
+    """n / (k n_c) of a row's label, from the rows of each label."""
+    n = sum(counts.values())
+    return F.element_at(F.array(*[F.lit(n / (n_classes * max(1, counts.get(float(i), 0)))) for i in range(n_classes)]), F.col("label").cast("int") + 1)
+
+
 def rank_models(scores: DataFrame) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "model")))
 

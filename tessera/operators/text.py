@@ -20,9 +20,12 @@ def token_set(text: Column) -> Column:
     return F.array_sort(F.array_distinct(F.filter(F.split(F.lower(text), "[^a-z0-9_]+"), lambda t: F.length(t) > 2)))
 
 
-def terms(text: Column) -> Column:
-    """Unigrams and bigrams."""
+def terms(text: Column, stop: list[str] | None = None) -> Column:
+    """Unigrams and bigrams, of what is left without the stop words."""
     t = tokens(text)
+    if stop:
+        words = F.array(*[F.lit(w) for w in stop])
+        t = F.filter(t, lambda x: ~F.array_contains(words, x))
     pairs = F.when(F.size(t) > 1, F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.expr("cast(array() as array<string>)"))
     return F.concat(t, pairs)
 
@@ -58,6 +61,19 @@ def cosine(queries: DataFrame, candidates: DataFrame, qkey: str, ckey: str) -> D
     return q.join(candidates.select(ckey, "term", F.col("weight").alias("b")), "term").groupBy(qkey, ckey).agg(F.sum(F.col("a") * F.col("b")).alias("score"))
 
 
+def search(docs: DataFrame, key: str, queries: DataFrame, qkey: str, text: str = "text", k: int = 10, min_df: int = 2, max_df: float = 0.2) -> DataFrame:
+    """(qkey, key, score, rank): the k documents nearest to each of a set of queries by TF-IDF cosine of words and pairs of words.
+
+    Stop words and terms in more than a share max_df of the documents don't count, so that no term joins everything with everything.
+    """
+    of = lambda c: terms(c, STOP)
+    counts, n = term_counts(docs, key, text, of), docs.count()
+    vocabulary = document_frequencies(counts, min_df).where(F.col("df") <= max_df * n)
+    asked = tfidf(term_counts(queries, qkey, text, of), qkey, n, vocabulary)
+    scores = cosine(asked, tfidf(counts, key, n, vocabulary), qkey, key).withColumn("score", F.round("score", 9))
+    return top(scores, qkey, key, k)
+
+
 def top(scores: DataFrame, by: str, key: str, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), key))
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)

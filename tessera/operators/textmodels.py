@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import logging
-
 import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import IDF, CountVectorizer
@@ -11,10 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean_text, quoted
-from .learn import class_counts, classification_metrics, estimator, stratified_split, validate_target
+from .learn import best_on_holdout, class_counts, class_weight, classification_metrics, stratified_split, validate_target
 from .text import terms
 
-log = logging.getLogger(__name__)
 #: Columns that usually hold the text, in order (fixed values).
 ALIASES = ["review_text", "text", "message", "content", "body", "review"]
 MAX_TERMS, MIN_DF, MIN_LENGTH, KEYWORDS = 8000, 2, 30, 15
@@ -71,23 +68,15 @@ def train_text(df: DataFrame, target: str, key: str, column: str | None = None,
     try:
         train, held = split.where(~F.col("is_test")), split.where("is_test")
         counts = {r["label"]: r["n"] for r in train.groupBy("label").agg(F.count("*").alias("n")).collect()}
-        n = sum(counts.values())
-        balance = F.element_at(F.array(*[F.lit(n / (len(labels) * max(1, counts.get(float(i), 0)))) for i in range(len(labels))]), F.col("label").cast("int") + 1)
         matrix = Pipeline(stages=[CountVectorizer(inputCol="__terms", outputCol="__tf", vocabSize=max_terms, minDF=MIN_DF), IDF(inputCol="__tf", outputCol="features")]).fit(train)
-        ready = matrix.transform(train).withColumn("__weight", balance).select("features", "label", "__weight").persist()
-        board, best = [], None
-        for name in candidates:
-            one = estimator(name, "classification", len(labels), seed, weight=None if name == "svm" and len(labels) > 2 or name == "naive_bayes" else "__weight").fit(ready)
-            fitted = PipelineModel(stages=[*matrix.stages, one])
-            f1 = classification_metrics(fitted.transform(held), "label", "prediction").first()["f1"]
-            board.append((name, round(f1, 4)))
-            if best is None or f1 > best[0]:
-                best = f1, name, fitted
+        ready = matrix.transform(train).withColumn("__weight", class_weight(counts, len(labels))).select("features", "label", "__weight").persist()
+        name, one, board = best_on_holdout(ready, matrix.transform(held), candidates, len(labels), seed, "__weight")
+        fitted = PipelineModel(stages=[*matrix.stages, one])
         ready.unpersist()
         spark = df.sparkSession
-        metrics = spark.createDataFrame([tuple(classification_metrics(best[2].transform(held), "label", "prediction").first())], "accuracy double, precision double, recall double, f1 double")
-        words = keywords(best[2].stages[-1], matrix.stages[0].vocabulary, labels, spark)
-        return TextClassifier(best[2], best[1], labels, column, spark.createDataFrame(board, "model string, f1 double"), metrics, words)
+        metrics = spark.createDataFrame([tuple(classification_metrics(fitted.transform(held), "label", "prediction").first())], "accuracy double, precision double, recall double, f1 double")
+        words = keywords(one, matrix.stages[0].vocabulary, labels, spark)
+        return TextClassifier(fitted, name, labels, column, spark.createDataFrame(board, "model string, f1 double"), metrics, words)
     finally:
         split.unpersist()
 

@@ -69,6 +69,21 @@ def _(spark, d):
     return text.chunks(read(spark, d, "documents"), "doc_id", "text").select("doc_id", "chunk_id", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
 
 
+STOPPED = "list_filter({x}, lambda t: NOT list_contains([" + ", ".join(f"'{w}'" for w in text.STOP) + "], t))"
+GRAMS = "SELECT {k}, term, count(*) AS n FROM (SELECT {k}, unnest(t) AS term FROM {s} UNION ALL SELECT {k}, unnest([t[i] || ' ' || t[i + 1] for i in range(1, len(t))]) FROM {s}) GROUP BY ALL"
+
+
+@query("search_chunks", "WITH ch AS (SELECT CAST(doc_id AS VARCHAR) || '_' || k AS chunk_id, trim(substr(text, CAST(k AS BIGINT) + 1, 500)) AS text FROM (SELECT doc_id, text, unnest(range(0, length(text), 500)) AS k FROM documents)), "
+       f"ct AS (SELECT chunk_id, {STOPPED.format(x=TOKENS)} AS t FROM ch WHERE text <> ''), qt AS (SELECT item_id, {STOPPED.format(x=TOKENS)} AS t FROM benchmark), nn AS (SELECT count(*) AS n FROM ct), "
+       f"c AS ({GRAMS.format(k='chunk_id', s='ct')}), q AS ({GRAMS.format(k='item_id', s='qt')}), v AS (SELECT term, count(*) AS df FROM c GROUP BY 1 HAVING count(*) >= 2 AND count(*) <= 0.2 * (SELECT n FROM nn)), "
+       "cw AS (SELECT chunk_id, term, c.n * (ln((1.0 + nn.n) / (1 + df)) + 1) AS w FROM c JOIN v USING (term), nn), qw AS (SELECT item_id, term, q.n * (ln((1.0 + nn.n) / (1 + df)) + 1) AS w FROM q JOIN v USING (term), nn), "
+       "cm AS (SELECT chunk_id, sqrt(sum(w * w)) AS m FROM cw GROUP BY 1), qm AS (SELECT item_id, sqrt(sum(w * w)) AS m FROM qw GROUP BY 1), "
+       "s AS (SELECT item_id, chunk_id, round(sum(qw.w / qm.m * (cw.w / cm.m)), 9) AS score FROM qw JOIN qm USING (item_id) JOIN cw USING (term) JOIN cm USING (chunk_id) GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s) SELECT item_id, chunk_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
+def _(spark, d):
+    made = text.chunks(read(spark, d, "documents"), "doc_id", "text").select("chunk_id", F.col("chunk").alias("text"))
+    return text.search(made, "chunk_id", read(spark, d, "benchmark"), "item_id").select("item_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
 SERIES = "WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"
 PAST = "OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)"
 

@@ -114,3 +114,9 @@ def test_automl_drops_leaks_and_keeps_a_snapshot(spark, tmp_path):
     df = spark.range(240).select("id", (F.col("id") % 50).cast("double").alias("age"), F.rand(1).alias("noise"), F.when(F.col("id") % 50 > 25, "yes").otherwise("no").alias("y")).withColumn("outcome_code", (F.col("y") == "yes").cast("int"))
     found = learn.automl(df, "y", "id", candidates=["logistic_regression"], n_trials=1, folds=2, snapshot=f"file://{tmp_path}/train")
     assert not [f for f in found.features if "outcome" in f] and spark.read.parquet(f"file://{tmp_path}/train").count() > 150
+
+
+def test_images_are_classified(spark):
+    df = spark.range(120).select("id", F.array(*[F.when(F.col("id") % 2 == i % 2, 0.9).otherwise(0.1) + F.rand(i) / 10 for i in range(6)]).alias("pixels"), F.when(F.col("id") % 2 == 0, "cat").otherwise("dog").alias("label"))
+    name, _, labels, board, metrics = images.train_images(df, "id", candidates=("logistic_regression", "random_forest"))
+    assert labels == ["cat", "dog"] and metrics["accuracy"] == 1.0 and board.count() == 2 and name in ("logistic_regression", "random_forest")
