@@ -111,33 +111,48 @@ def compare_setups(runs: DataFrame, pairs: DataFrame) -> DataFrame:
 # --- relevance
 
 
+def plain_name(name: Column) -> Column:
+    """A name in lower case with single `_` for all else than letters and digits."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "[^a-z0-9]+", "_"), F.lit("_"))
+
+
+def _name_similarity(x: Column, y: Column, x_words: Column, y_words: Column) -> Column:
+    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when(F.contains(x, y) | F.contains(y, x), 0.75).otherwise(jaccard(x_words, y_words))
+
+
 def target_similarity(a: Column, b: Column) -> Column:
     """1 for equal names (but for case and punctuation), 0.75 if one holds the other, else what their words share; 0 for empty ones."""
-    plain = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^a-z0-9]+", "_"), F.lit("_"))
-    x, y = plain(a), plain(b)
-    return F.when((x == "") | (y == ""), 0.0).when(x == y, 1.0).when(F.contains(x, y) | F.contains(y, x), 0.75).otherwise(jaccard(name_tokens(x), name_tokens(y)))
+    x, y = plain_name(a), plain_name(b)
+    return _name_similarity(x, y, name_tokens(x), name_tokens(y))
 
 
 def run_similarity(runs: DataFrame, contexts: DataFrame, most: int = 10_000) -> DataFrame:
     """(run_id, context_id, similarity in 0..1) of all runs to a stated set of contexts, at most that many; both are (id, task, target, features array<string>, row_bucket, dataset, signature).
 
-    A run isn't similar to itself: 0 where the ids are equal.
+    A run isn't similar to itself: 0 where the ids are equal. Names are taken apart once for each run, not for each pair.
     """
     n = contexts.count()
     if n > most:
         raise ValueError(f"{n} contexts; at most {most} are held against all runs at once")
-    r, c = runs.alias("r"), F.broadcast(contexts).alias("c")
+    none = F.array().cast("array<string>")
+
+    def taken_apart(df: DataFrame, words: Column) -> DataFrame:
+        name = plain_name(F.col("target"))
+        return df.select("id", "task", "row_bucket", "dataset", "signature", name.alias("name"), name_tokens(name).alias("name_words"), column_tokens(words).alias("words"))
+
+    features = F.coalesce("features", none)
+    r = taken_apart(runs, F.concat(features, F.split(F.coalesce("signature", F.lit("")), "\\|"))).alias("r")
+    c = F.broadcast(taken_apart(contexts, features)).alias("c")
     g = lambda s, name: F.col(f"{s}.{name}")
     same = lambda name: F.coalesce((g("r", name) == g("c", name)) & (g("c", name) != ""), F.lit(False))
-    name = target_similarity(g("c", "target"), g("r", "target"))
-    own = column_tokens(F.concat(F.coalesce(g("r", "features"), F.array()), F.split(F.coalesce(g("r", "signature"), F.lit("")), "\\|")))
-    features = jaccard(column_tokens(F.coalesce(g("c", "features"), F.array())), own)
-    score = BASE + TASK * same("task").cast("int") + TARGET * name + FEATURES * features + ROWS * same("row_bucket").cast("int") + DATASET * same("dataset").cast("int")
-    score = F.when(same("signature"), F.least(F.lit(1.0), score + SIGNATURE)).otherwise(score)
-    comparable = (name >= COMPARABLE_TARGET) | (features >= COMPARABLE_FEATURES) | same("signature") | same("dataset")
+    parts = {"name": _name_similarity(g("c", "name"), g("r", "name"), g("c", "name_words"), g("r", "name_words")), "shared": jaccard(g("c", "words"), g("r", "words"))}
+    facts = r.join(c, F.lit(True)).select(g("r", "id").alias("run_id"), g("c", "id").alias("context_id"), *[same(f).alias(f) for f in ("task", "row_bucket", "dataset", "signature")], *[v.alias(k) for k, v in parts.items()])
+    yes = lambda fact, weight: weight * F.col(fact).cast("int")
+    score = BASE + yes("task", TASK) + TARGET * F.col("name") + FEATURES * F.col("shared") + yes("row_bucket", ROWS) + yes("dataset", DATASET)
+    score = F.when(F.col("signature"), F.least(F.lit(1.0), score + SIGNATURE)).otherwise(score)
+    comparable = (F.col("name") >= COMPARABLE_TARGET) | (F.col("shared") >= COMPARABLE_FEATURES) | F.col("signature") | F.col("dataset")
     final = F.least(F.lit(1.0), F.when(comparable, score).otherwise(F.least(score, F.lit(INCOMPARABLE))))
-    similarity = F.when(g("r", "id") == g("c", "id"), 0.0).otherwise(final)
-    return r.join(c, F.lit(True)).select(g("r", "id").alias("run_id"), g("c", "id").alias("context_id"), similarity.alias("similarity"))
+    return facts.select("run_id", "context_id", F.when(F.col("run_id") == F.col("context_id"), 0.0).otherwise(final).alias("similarity"))
 
 
 def relevant_runs(similarities: DataFrame, least: float = 0.32) -> DataFrame:
