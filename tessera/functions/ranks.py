@@ -38,7 +38,7 @@ def quantiles(rows: DataFrame, probabilities: list[float]) -> DataFrame:
     return ends.groupBy("column").agg(F.transform(pairs, lambda x: x["q"]).alias("q"))
 
 
-def running_sums(levels: DataFrame, by: str, order: str, sums: list[str], ranges: int = 256) -> DataFrame:
+def running_sums(levels: DataFrame, by: str, order: str, sums: list[str], ranges: int = 32) -> DataFrame:
     """levels with upto_<c> for each of sums: the sum of c over the rows of the same by up to this one, in order, whose values are distinct there.
 
     Rows are dealt into ranges of order by approximate quantiles; each range is summed by itself and gets the totals of those before it.
