@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, html, langid, mixing, neardup, repeats, rollup, tokens, toxicity
+from . import ann, decontam, html, langid, mixing, neardup, repeats, rollup, secrets, spelling, tokens, toxicity, whiten
 from .common import scratch, table
 
 
@@ -121,6 +121,19 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.find_secrets(table(spark, sf_dir, "documents")))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator's deviation is a decimal; where it doesn't fit 64 bits, it is null here."""
+    return whiten.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.expr("try_cast(deviation AS long)"))
+
+
+def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_toxicity": op1_toxicity,
@@ -133,6 +146,9 @@ def queries() -> dict:
         "op8_token_counts": op8_token_counts,
         "op9_token_output": op9_token_output,
         "op10_nearest": op10_nearest,
+        "op11_secrets": op11_secrets,
+        "op12_whitening": op12_whitening,
+        "op13_spelling": op13_spelling,
     }
 
 
