@@ -8,9 +8,9 @@ or both cases, that begin at most `reach` code points behind a sensitive word of
 candidate's novelty is the number of bytes that it adds to what surrounds it: the zstandard size of context and
 candidate less that of the context alone, where the context is `around` code points on either side without further
 copies of the candidate, and the compressor is primed with a dictionary of identifiers. These are the runs of letters and
-underscores in the surroundings of the candidates of all texts, counted by texts; the most frequent, up to dict_bytes,
-make the dictionary, the most frequent last, where a match costs least. Runs with digits aren't identifiers, so that a secret
-copied into many texts never gets there. A candidate of at least min_novel bytes, and min_rate of its length, is
+underscores, but for two digits at the end, in the surroundings of the candidates of all texts, counted by texts; the most
+frequent, up to dict_bytes, make the dictionary, the most frequent last, where a match costs least. Strings with digits or signs
+inside aren't identifiers, so that a secret copied into many texts doesn't get there. A candidate of at least min_novel bytes, and min_rate of its length, is
 reported as kind novel.
 
 One pass over the texts finds base spans and candidates with their contexts, which are written; identifiers are counted
@@ -38,7 +38,7 @@ ACCESS = re.compile("AKIA[A-Z0-9]+")
 HEX = re.compile("[0-9a-f]{24,}")
 SENSITIVE = re.compile(r"pass(?:word|wd|phrase)?|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credential|auth(?:orization)?|bearer|signature", re.IGNORECASE | re.ASCII)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=~-]+")
-IDENTIFIER = re.compile("[A-Za-z_]{3,40}")
+IDENTIFIER = re.compile(r"(?<![A-Za-z0-9_+/=])[A-Za-z_]{3,40}(?=[0-9]{0,2}(?![A-Za-z0-9_+/=]))")
 MIN_LENGTH = 12
 REACH = 64
 AROUND = 256
@@ -81,8 +81,7 @@ def candidates(text: str, base: list[tuple[str, int, int]], min_length: int = MI
             start, s = m.start(), m[0].rstrip(".=-")
             if len(s) < min_length or not _mixed(s) or any(a < start + len(s) and start < b for _, a, b in base):
                 continue
-            before, after = text[max(0, start - around) : start].replace(s, ""), text[start + len(s) : start + len(s) + around].replace(s, "")
-            out.append((start, s, before, after))
+            out.append((start, s, text[max(0, start - around) : start], text[start + len(s) : start + len(s) + around]))
     return out
 
 
@@ -141,8 +140,8 @@ class Novelty:
         return len(self._compressor.compress(text.encode("utf-8", "surrogatepass")))
 
     def added(self, text: str, before: str, after: str) -> int:
-        """The bytes that text adds to its context, which stands before it."""
-        context = before + "\n" + after + "\n"
+        """The bytes that text adds to its context, which stands before it and has no copy of it."""
+        context = (before + "\n" + after + "\n").replace(text, "")
         return self.size(context + text) - self.size(context)
 
 

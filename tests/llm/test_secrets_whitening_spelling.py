@@ -171,9 +171,9 @@ def brute_base(text):
 
 
 KEY = "AKIA" + "Q7" * 9
-HEXED = "".join(random.Random(1).choice("0123456789abcdef") for _ in range(40))
+HEXED = "".join(random.Random(1).choices("0123456789abcdef", k=40))
 #: Built from parts so that no scanner takes them for secrets.
-RANDOM = "".join(random.Random(9).choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789") for _ in range(32))
+RANDOM = "".join(random.Random(9).choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789", k=32))
 
 
 def scanned(df):
