@@ -109,11 +109,19 @@ class Index:
         hit[self.rows[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]] = True
         return hit
 
+    def scores(self, rows: np.ndarray, q: np.ndarray, k: int, slack: float) -> np.ndarray:
+        """The inner products of rows with q. A matrix product rounds a row by its place, so those that may be among the k largest are summed again, each row alike: equal vectors score the same."""
+        out = self.x[rows] @ q
+        close = np.flatnonzero(out >= np.partition(out, len(out) - k)[len(out) - k] - slack) if len(out) > k else np.arange(len(out))
+        out[close] = (self.x[rows[close]] * q).sum(1)
+        return out
+
     def search(self, query_id: int, q: np.ndarray, k: int = K, miss: float = MISS, spread: float = SPREAD, max_reach: int = MAX_REACH) -> tuple[np.ndarray, np.ndarray, int]:
         """(ids, scores) of the k nearest found, nearest first, ties to the smaller id; how many codes were retrieved."""
         sub = codes(np.append(q, 0.0)[None, :], self.turn)
         code, sub = self._words(sub), sub[0]
         bits, norm = _BITS * self.m, np.linalg.norm(q)
+        slack = 4 * len(q) * np.finfo(float).eps * norm * self.longest
         open_rows = self.ids != query_id
         best, score = np.zeros(0, np.int64), np.zeros(0)
         radius, retrieved = bits, 0
@@ -122,7 +130,7 @@ class Index:
             open_rows[new] = False
             retrieved += len(new)
             near = new[np.bitwise_count(self.words[new] ^ code).sum(1, dtype=np.int64) <= radius] if radius < bits else new
-            best, score = np.concatenate([best, near]), np.concatenate([score, self.x[near] @ q])
+            best, score = np.concatenate([best, near]), np.concatenate([score, self.scores(near, q, k, slack)])
             if len(best) > k:
                 top = np.flatnonzero(score >= np.partition(score, len(score) - k)[len(score) - k])
                 best, score = best[top], score[top]

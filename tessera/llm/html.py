@@ -8,7 +8,9 @@ same parent or grandparent element, carry the price of labelling the two differe
 minimum cut, and the blocks on the source's side are the main text. Names and kinds of elements are features
 among others, so that the cut can overrule them; only what is in script, style and the like never becomes a block.
 
-A block whose own costs outweigh all its edges is settled beforehand, which leaves small networks.
+Weights and prices are fitted together, by logistic regression over a bounded sample of the pages themselves, whose weak labels come
+from the elements and names that some blocks have; each is taught with these features and without, so that texts,
+links and neighbours weigh as well, and pages without telling names are labelled by them.
 
 Inside a block references are decoded and white space becomes one space; blocks are joined by a line feed.
 
@@ -24,8 +26,10 @@ from html import unescape
 from itertools import islice
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import in_batches
 
@@ -48,24 +52,40 @@ _GOOD = re.compile(r"(?:^|[\W_])(?:article\w*|content|main|body|post|entry|story
 _SENTENCE = re.compile(r"[.!?;:,](?:\s|$)")
 _COPYRIGHT = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|/|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
-#: The linear classifier: log-odds that a block is main text, as a sum of weights times features (fixed values).
-WEIGHTS = {
-    "bias": -1.0,
-    "chrome": -8.0,  # an element around it that holds navigation, forms, headers or footers
-    "bad_name": -8.0,  # a class, id or role around it that names such a thing, or a hidden element
-    "container": 2.5,  # an article or main element around it, or one named like that
-    "outside": -2.0,  # the page has such a container, but not around it
-    "length": 2.0,  # characters, in full from LONG on
-    "sentences": 1.5,  # punctuation that ends or parts sentences, in full from SENTENCES on
-    "linked": -4.0,  # share of its characters inside links
-    "paragraph": 1.0,
+#: What a classifier is pulled towards where few pages teach it: log-odds of main text, as a sum of weights times features.
+PRIOR = {
+    "bias": -0.5,
+    "chrome": -5.0,  # an element around it that holds navigation, forms, headers or footers
+    "bad_name": -5.0,  # a class, id or role around it that names such a thing, or a hidden element
+    "container": 1.5,  # an article or main element around it, or one named like that
+    "outside": -1.0,  # the page has such a container, but not around it
+    "length": 1.5,  # characters, in full from LONG on
+    "sentences": 1.0,  # punctuation that ends or parts sentences, in full from SENTENCES on
+    "linked": -2.5,  # share of its characters inside links
+    "paragraph": 0.5,
     "item": -0.5,
     "depth": -0.5,  # open elements, in full from DEEP on
-    "copyright": -4.0,
+    "copyright": -2.0,
+    "with_text": 1.0,  # characters in the same parent, in full from MUCH on
+    "with_links": -1.0,  # share of these characters inside links
 }
-LONG, SENTENCES, DEEP = 200, 3, 20
-#: Prices of labelling two blocks differently: neighbours in the page, children of one element, and of one grandparent.
-NEIGHBOURS, SIBLINGS, COUSINS = 0.4, 0.8, 0.4
+#: What half of the lessons leave out: names, and kinds of elements.
+HIDDEN = ("chrome", "bad_name", "container", "outside", "paragraph", "item")
+LONG, SENTENCES, DEEP, MUCH = 200, 3, 20, 1000
+#: Kinds of edges, with the prices they are pulled towards: neighbours in the page, children of one element, and of one grandparent.
+KINDS = {"neighbours": 0.4, "siblings": 0.6, "cousins": 0.3}
+#: The pull, in blocks' worth of evidence, and bounds on the sample that teaches: pages, and blocks of each.
+PULL = 40.0
+#: The largest price of an edge.
+MOST = 1.5
+MAX_PAGES, MAX_BLOCKS = 1000, 200
+
+
+class Model(NamedTuple):
+    """Weights of the features and prices of the kinds of edges, on one scale (log-odds)."""
+
+    weights: dict[str, float] = PRIOR
+    prices: dict[str, float] = KINDS
 
 
 class Block:
@@ -209,83 +229,123 @@ def blocks(html: str) -> list[Block]:
     return out
 
 
-def features(block: Block, article: bool) -> dict[str, float]:
-    """article: whether the page has an element that is or is named like a container of the main text."""
-    around = block.around
-    return {
-        "bias": 1.0,
-        "chrome": around.chrome,
-        "bad_name": around.bad_name,
-        "container": around.container,
-        "outside": article and not around.container,
-        "length": min(1.0, block.size / LONG),
-        "sentences": sum(1 for _ in islice(_SENTENCE.finditer(block.text), SENTENCES)) / SENTENCES,
-        "linked": min(1.0, block.linked / max(1, block.size)),
-        "paragraph": block.tag in ("p", "pre", "blockquote", "h1", "h2", "h3"),
-        "item": block.tag in ("li", "td"),
-        "depth": min(1.0, around.depth / DEEP),
-        "copyright": bool(_COPYRIGHT.match(block.text)),
-    }
-
-
-def log_odds(found: list[Block]) -> list[float]:
-    """The classifier's verdict on each block by itself."""
+def features(found: list[Block]) -> list[dict[str, float]]:
+    """The features of each block of a page."""
     article = any(b.around.container for b in found)
-    return [sum(WEIGHTS[k] * v for k, v in features(b, article).items()) for b in found]
+    size: dict[int, int] = {}
+    linked: dict[int, int] = {}
+    for b in found:
+        size[b.around.parent] = size.get(b.around.parent, 0) + b.size
+        linked[b.around.parent] = linked.get(b.around.parent, 0) + min(b.linked, b.size)
+    return [
+        {
+            "bias": 1.0,
+            "chrome": float(b.around.chrome),
+            "bad_name": float(b.around.bad_name),
+            "container": float(b.around.container),
+            "outside": float(article and not b.around.container),
+            "length": min(1.0, b.size / LONG),
+            "sentences": sum(1 for _ in islice(_SENTENCE.finditer(b.text), SENTENCES)) / SENTENCES,
+            "linked": min(1.0, b.linked / max(1, b.size)),
+            "paragraph": float(b.tag in ("p", "pre", "blockquote", "h1", "h2", "h3")),
+            "item": float(b.tag in ("li", "td")),
+            "depth": min(1.0, b.around.depth / DEEP),
+            "copyright": float(bool(_COPYRIGHT.match(b.text))),
+            "with_text": min(1.0, size[b.around.parent] / MUCH),
+            "with_links": linked[b.around.parent] / max(1, size[b.around.parent]),
+        }
+        for b in found
+    ]
+
+
+def log_odds(found: list[Block], model: Model = Model()) -> list[float]:
+    """The classifier's verdict on each block by itself."""
+    return [sum(model.weights[k] * v for k, v in f.items()) for f in features(found)]
 
 
-def smoothness(found: list[Block]) -> dict[tuple[int, int], float]:
-    """The edges between blocks and their prices."""
-    edges: dict[tuple[int, int], float] = {}
+def pairs(found: list[Block]) -> list[tuple[int, int, str]]:
+    """The edges between blocks, with their kinds: two for blocks that are near in two ways."""
+    out = []
     last: dict[int, int] = {}
     for v, b in enumerate(found):
-        pairs = [(v - 1, NEIGHBOURS)] if v else []
-        for key, price in ((b.around.parent, SIBLINGS), (-1 - b.around.up, COUSINS)):
+        if v:
+            out.append((v - 1, v, "neighbours"))
+        for key, kind in ((b.around.parent, "siblings"), (-1 - b.around.up, "cousins")):
             if key in last:
-                pairs.append((last[key], price))
+                out.append((last[key], v, kind))
             last[key] = v
-        for u, price in pairs:
-            edges[u, v] = edges.get((u, v), 0.0) + price
+    return out
+
+
+def smoothness(found: list[Block], model: Model = Model()) -> dict[tuple[int, int], float]:
+    """The edges between blocks and their prices."""
+    edges: dict[tuple[int, int], float] = {}
+    for u, v, kind in pairs(found):
+        edges[u, v] = edges.get((u, v), 0.0) + model.prices[kind]
     return edges
 
 
-def minimum_cut(n: int, source: list[float], sink: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
-    """Whether each vertex is on the source's side of a minimum cut.
+def weak_label(block: Block) -> int:
+    """1 for what an article or main element (or one named so) holds, -1 for what is in elements or names of boilerplate, 0 where the page doesn't tell."""
+    around = block.around
+    return -1 if around.chrome or around.bad_name else 1 if around.container else 0
+
+
+def lessons(html: str) -> list[tuple[float, list[float]]]:
+    """(weak label, features and edges) of labelled blocks of a page, MAX_BLOCKS at most, evenly spread: each with its names and kinds of elements, and without.
 
-    A vertex whose own capacities differ by more than all its edges can carry is on the side of the larger; its edges
-    then add to the capacities of its neighbours, of which more get settled so. What is left goes to the maximum flow.
+    An edge's feature is the sum of the weak labels at its other ends: under the cut's prices the log-odds of a block, given its neighbours, are its own plus price
+    times that sum (pseudo-likelihood), so that one regression weighs features and edges against each other. Without names and kinds, texts have to tell.
     """
-    lead = [a - b for a, b in zip(source, sink)]
-    near: list[dict[int, float]] = [{} for _ in range(n)]
-    for (a, b), w in edges.items():
-        near[a][b] = near[a].get(b, 0.0) + w
-        near[b][a] = near[b].get(a, 0.0) + w
-    side: list[bool | None] = [None] * n
-    todo = list(range(n))
-    while todo:
-        v = todo.pop()
-        if side[v] is None and abs(lead[v]) > sum(near[v].values()):
-            side[v] = lead[v] > 0
-            for u, w in near[v].items():
-                del near[u][v]
-                lead[u] += w if side[v] else -w
-            todo.extend(near[v])
-            near[v] = {}
-    rest = [v for v in range(n) if side[v] is None]
-    if rest:
-        number = {v: i for i, v in enumerate(rest)}
-        flow = _Flow(len(rest) + 2)
-        s, t = len(rest), len(rest) + 1
-        for v, i in number.items():
-            flow.edge(s, i, max(lead[v], 0.0), 0.0)
-            flow.edge(i, t, max(-lead[v], 0.0), 0.0)
-            for u, w in near[v].items():
-                if u > v:
-                    flow.edge(i, number[u], w, w)
-        reached = flow.reach(s, t)
-        for v, i in number.items():
-            side[v] = reached[i] >= 0
-    return side
+    found = blocks(html)
+    label = [weak_label(b) for b in found]
+    beside = {kind: [0.0] * len(found) for kind in KINDS}
+    for u, v, kind in pairs(found):
+        beside[kind][u] += label[v]
+        beside[kind][v] += label[u]
+    told = [v for v, y in enumerate(label) if y]
+    step = max(1, -(-len(told) // MAX_BLOCKS))
+    known, out = features(found), []
+    for v in told[::step]:
+        for hidden in (False, True):
+            x = [0.0 if hidden and k in HIDDEN else known[v][k] for k in PRIOR]
+            out.append((float(label[v] > 0), x + [beside[kind][v] for kind in KINDS]))
+    return out
+
+
+def _newton(x: np.ndarray, y: np.ndarray, prior: np.ndarray, pull: float, given: np.ndarray | float = 0.0) -> np.ndarray:
+    """Weights of the most likely labels y, pulled towards prior; given: log-odds that are known already."""
+    w = prior.copy()
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(x @ w + given, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + pull * np.eye(len(w)), x.T @ (y - p) - pull * (w - prior))
+        w = w + step
+        if np.abs(step).max() < 1e-8:
+            break
+    return w
+
+
+def fit(taught: list[tuple[float, list[float]]], pull: float = PULL, most: float = MOST) -> Model:
+    """Logistic regression, pulled towards PRIOR and KINDS. Prices are kept from 0 to most, so that no neighbourhood outweighs strong evidence, and the weights fitted again with them."""
+    if not taught:
+        return Model(dict(PRIOR), dict(KINDS))
+    y, x = np.array([t[0] for t in taught]), np.array([t[1] for t in taught])
+    prior, n = np.array([*PRIOR.values(), *KINDS.values()]), len(PRIOR)
+    price = np.clip(_newton(x, y, prior, pull)[n:], 0.0, most)
+    w = _newton(x[:, :n], y, prior[:n], pull, x[:, n:] @ price)
+    return Model(dict(zip(PRIOR, w.tolist())), dict(zip(KINDS, price.tolist())))
+
+
+def minimum_cut(n: int, source: list[float], sink: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
+    """Whether each vertex is on the source's side of a minimum cut."""
+    flow = _Flow(n + 2)
+    for v, (a, b) in enumerate(zip(source, sink)):
+        flow.edge(n, v, max(a - b, 0.0), 0.0)
+        flow.edge(v, n + 1, max(b - a, 0.0), 0.0)
+    for (u, v), w in edges.items():
+        flow.edge(u, v, w, w)
+    reached = flow.reach(n, n + 1)
+    return [level >= 0 for level in reached[:n]]
 
 
 class _Flow:
@@ -344,24 +404,42 @@ class _Flow:
         return level
 
 
-def labelled(html: str) -> list[tuple[Block, float, bool]]:
+def labelled(html: str, model: Model = Model()) -> list[tuple[Block, float, bool]]:
     """(block, the classifier's log-odds for content, the cut's label) of a page, in order."""
     found = blocks(html)
-    odds = log_odds(found)
-    side = minimum_cut(len(found), [max(x, 0.0) for x in odds], [max(-x, 0.0) for x in odds], smoothness(found))
+    odds = log_odds(found, model)
+    side = minimum_cut(len(found), [max(x, 0.0) for x in odds], [max(-x, 0.0) for x in odds], smoothness(found, model))
     return list(zip(found, odds, side))
 
 
-def main_text(html: str | None) -> str:
-    return "\n".join(b.text for b, _, content in labelled(html or "") if content)
+def main_text(html: str | None, model: Model = Model()) -> str:
+    return "\n".join(b.text for b, _, content in labelled(html or "", model) if content)
+
+
+def train(pages: DataFrame, max_pages: int = MAX_PAGES) -> Model:
+    """The model fitted to a sample of about max_pages pages, by a hash of their html."""
+    n = pages.where("html IS NOT NULL").count()
+    share = min(1.0, max_pages / max(n, 1))
+    chosen = pages.where(F.pmod(F.xxhash64("html", "url"), F.lit(1_000_000)) < int(1_000_000 * share)).where("html IS NOT NULL")
+
+    def run(batches):
+        for batch in batches:
+            taught = [t for h in batch.column("html") for t in lessons(h.as_py())]
+            yield pa.RecordBatch.from_arrays([pa.array([t[0] for t in taught], pa.float64()), pa.array([t[1] for t in taught], pa.list_(pa.float64()))], ["y", "x"])
+
+    found = in_batches(chosen.select("html")).mapInArrow(run, "y double, x array<double>").toPandas()
+    return fit(sorted(zip(found["y"].tolist(), map(list, found["x"]))))
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html) -> (page_id, url, text, n_chars)."""
+def extract(pages: DataFrame, model: Model | None = None) -> DataFrame:
+    """(page_id, url, html) -> (page_id, url, text, n_chars, n_blocks, n_relabelled): the cut's labels differ from the classifier's own in n_relabelled blocks. Without a model, one is fitted to the pages."""
+    model = model or train(pages)
 
     def run(batches):
         for batch in batches:
-            text = [main_text(h.as_py()) for h in batch.column("html")]
-            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())], ["page_id", "url", "text", "n_chars"])
+            found = [labelled(h.as_py() or "", model) for h in batch.column("html")]
+            text = ["\n".join(b.text for b, _, content in page if content) for page in found]
+            counts = [[len(t) for t in text], [len(page) for page in found], [sum((odds > 0) != content for _, odds, content in page) for page in found]]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(text, pa.string()), *[pa.array(c, pa.int64()) for c in counts]], ["page_id", "url", "text", "n_chars", "n_blocks", "n_relabelled"])
 
-    return in_batches(pages).select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return in_batches(pages).select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long, n_blocks long, n_relabelled long")

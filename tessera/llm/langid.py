@@ -21,6 +21,7 @@ nothing to learn from. A tie goes to the language that sorts first. Repeated row
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -38,9 +39,12 @@ MAX_TRAIN_DOCS = 5_000
 ROUNDS = 2
 #: Distinct words whose likelihoods a worker remembers.
 REMEMBERED = 150_000
-_WORD = re.compile(r"[^\W\d_]+")
+#: Number signs that aren't decimal digits (½, ², Ⅷ), which \w takes as well; there are none behind this range.
+_NUMBERS = "".join(c for c in map(chr, range(0x20000)) if unicodedata.category(c) in ("Nl", "No"))
+#: Letters, that is characters of category L.
+_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 #: What _WORD matches one of, for Spark.
-_HAS_WORD = r"[\p{L}\p{Nl}\p{No}]"
+_HAS_WORD = r"\p{L}"
 
 
 def vocabulary(path: str) -> list[bytes]:

@@ -201,3 +201,30 @@ def test_probing_retrieves_every_code_within_the_radius():
         found |= index.probe(sub[0], reach)
         assert found[apart <= index.m * (reach + 1) - 1].all()
     assert found.sum() < 300
+
+
+def test_nearest_equal_vectors_score_the_same(spark):
+    """300 rows of 37 vectors: equal vectors have one score, and ties go to the smaller id."""
+    rng = np.random.default_rng(11)
+    kinds = rng.standard_normal((37, 64)).astype(np.float32)
+    which = rng.integers(0, 37, 300)
+    df = spark.createDataFrame([(i, kinds[k].tolist()) for i, k in enumerate(which.tolist())], "vec_id long, embedding array<float>")
+    for block in (16_384, 64):
+        got = {}
+        for r in ann.nearest(df, block_rows=block).collect():
+            got.setdefault(r["query_id"], []).append(r)
+        assert len(got) == 15
+        for q, found in got.items():
+            found.sort(key=lambda r: r["rank"])
+            assert [(r["score"], -r["vec_id"]) for r in found] == sorted(((r["score"], -r["vec_id"]) for r in found), reverse=True)
+            assert len({(which[r["vec_id"]], r["score"]) for r in found}) == len({which[r["vec_id"]] for r in found})
+            exact = {k: (kinds[k].astype(float) * kinds[which[q]].astype(float)).sum() for k in range(37)}
+            assert [r["vec_id"] for r in found] == sorted((i for i in range(300) if i != q), key=lambda i: (-exact[which[i]], i))[:20]
+
+
+def test_language_of_texts_without_letters(spark):
+    docs = [(i, t, lang) for i in range(40) for t, lang in (("the cat and the dog with this", "en"), ("le chat et les chiens avec", "fr"))]
+    signs = [(1000, "½ ²", "en"), (1001, "Ⅷ ⅔", "fr"), (1002, "12 _ ٣", None), (1003, "½ the", None)]
+    df = spark.createDataFrame([(2 * i + k, *d[1:]) for i, d in enumerate(docs) for k in (0,)] + signs, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r["lang_pred"] for r in langid.held_out_langid(df, tessera_llm._public("piece_bpe_32k.model")).collect()}
+    assert [got[i] for i in (1000, 1001, 1002)] == ["und"] * 3 and got[1003] in ("en", "fr")
