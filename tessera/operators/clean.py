@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions import categorical_columns, long_numbers, long_strings, number, numeric_columns, quoted
 from ..functions.ranks import quantiles
-from .profile import distinct_counts, missing
+from .profile import constant_columns, missing
 
 
 def drop_duplicates(df: DataFrame) -> DataFrame:
@@ -119,7 +119,7 @@ class Cleaner(_Fitting):
         df = df.drop(*get("ignore"))
         sparse = [r["column"] for r in missing(df).where(F.col("missing_share") > get("missing_drop_threshold")).collect()]
         kept = df.drop(*sparse)
-        constant = [r["column"] for r in distinct_counts(kept).collect() if r["n_distinct"] + r["has_null"] <= 1]
+        constant = [r["column"] for r in constant_columns(kept).collect()] if kept.columns else []
         kept = kept.drop(*constant)
         fill: dict = {}
         if numbers := numeric_columns(kept):

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import json
 from itertools import combinations
 
 from pyspark import keyword_only
+from pyspark.ml.util import DefaultParamsReader, DefaultParamsWriter
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import adjusted_skew, categorical_columns, datetime_columns, long_numbers, number, numeric_columns, quoted, shared_path
 from ..functions.ranks import quantiles
 from .clean import _Fitted, _Fitting
-from .profile import distinct_counts, pearson
+from .profile import distinct_over, pearson
 
 
 def date_parts(c: Column, name: str) -> list[Column]:
@@ -60,8 +62,31 @@ def frequencies(df: DataFrame, column: str) -> DataFrame:
     return df.groupBy(quoted(column).cast("string").alias("value")).agg(F.count("*").alias("n")).select("value", (F.col("n") / n).alias("freq"))
 
 
-#: Values of a column whose frequencies the model holds; those of columns with more are a table of the model, written where spark.checkpoint.dir says.
+#: Values of a column whose frequencies the model holds; those of columns with more are a table, written where spark.checkpoint.dir says, and saved with the model.
 MAX_MAP = 1000
+#: Bytes of values up to which such a table is broadcast; beyond, only values of at least one row in FREQUENT are.
+BROADCAST_BYTES, FREQUENT = 32 << 20, 1000
+
+
+def joined_frequency(df: DataFrame, column: str, table: DataFrame, name: str) -> DataFrame:
+    """df with name: the frequency of the column's value in table (value, freq), null where it isn't there; rows and their number stay.
+
+    A table of few bytes is broadcast. Of a larger one the frequent values are (FREQUENT of them at most), and only rows of other
+    values are shuffled by theirs; the rest are spread, so that no task gets all rows of a value or of null.
+    """
+    value, size = quoted(column).cast("string"), table.agg(F.sum(F.coalesce(F.length("value"), F.lit(0)) + 16)).first()[0] or 0
+    side = lambda t, v, f: t.select(F.col("value").alias(v), F.col("freq").alias(f))
+    if size <= BROADCAST_BYTES:
+        return df.join(F.broadcast(side(table, "__v", name)), value.eqNullSafe(F.col("__v")), "left").drop("__v")
+    often = df.join(F.broadcast(side(table.where(F.col("freq") >= 1 / FREQUENT), "__v", "__often")), value.eqNullSafe(F.col("__v")), "left").drop("__v")
+    spread = F.concat(F.lit("#"), F.pmod(F.xxhash64(*[quoted(c) for c in df.columns]), F.lit(1 << 20)).cast("string"))
+    keyed = often.withColumn("__key", F.when(F.col("__often").isNull() & value.isNotNull(), F.concat(F.lit("="), value)).otherwise(spread))
+    rest = table.where(F.col("freq") < 1 / FREQUENT)
+    # a rare null is a row of its own here
+    null = rest.where("value IS NULL").select("freq").limit(1)
+    rest = side(rest.where("value IS NOT NULL").withColumn("value", F.concat(F.lit("="), "value")), "__v", "__rare")
+    found = keyed.join(rest, F.col("__key") == F.col("__v"), "left").join(F.broadcast(null.withColumnRenamed("freq", "__null")), F.lit(True), "left")
+    return found.withColumn(name, F.coalesce("__often", "__rare", F.when(value.isNull(), F.col("__null")))).drop("__v", "__key", "__often", "__rare", "__null")
 
 
 class FeatureEngineer(_Fitting):
@@ -81,20 +106,19 @@ class FeatureEngineer(_Fitting):
         plain = rest.drop(*dates)
         numbers, texts = numeric_columns(plain), categorical_columns(plain)
         logged = [r["column"] for r in log_candidates(plain, numbers, get("skew_threshold")).collect()] if numbers else []
-        distinct = {r["column"]: r["n_distinct"] for r in distinct_counts(plain, [*numbers, *texts]).collect()} if numbers or texts else {}
+        many = distinct_over(plain, {c: get("binning_max_unique") for c in numbers if c not in logged} | {c: get("onehot_max_cardinality") for c in texts})
         edges: dict = {}
-        wide = [c for c in numbers if c not in logged and distinct[c] > get("binning_max_unique")]
+        wide = [c for c in numbers if many.get(c)]
         if get("enable_binning") and wide:
             edges = {r["column"]: r["edges"] for r in bin_edges(plain, wide).collect() if r["edges"] and len(r["edges"]) > 1}
         pairs = []
         if get("enable_interactions") and label and len(numbers) > 1:
             pairs = [[r["a"], r["b"]] for r in interaction_ranks(df, numbers, number(label), get("pair_score"), get("max_interactions")).orderBy("rank").collect()]
-        onehot = {c: sorted(r[0] for r in plain.select(quoted(c).cast("string")).where(quoted(c).isNotNull()).distinct().collect()) for c in texts if distinct[c] <= get("onehot_max_cardinality")}
+        onehot = {c: sorted(r[0] for r in plain.select(quoted(c).cast("string")).where(quoted(c).isNotNull()).distinct().collect()) for c in texts if not many[c]}
         freq, tables = {}, {}
-        for c in texts:
-            if c in onehot:
-                continue
-            if distinct[c] <= MAX_MAP:
+        large = distinct_over(plain, {c: MAX_MAP for c in texts if c not in onehot})
+        for c, is_large in large.items():
+            if not is_large:
                 freq[c] = {("" if r["value"] is None else "=" + r["value"]): r["freq"] for r in frequencies(plain, c).collect()}
             else:
                 tables[c] = shared_path(df.sparkSession, "frequencies")
@@ -104,7 +128,36 @@ class FeatureEngineer(_Fitting):
         return FeatureEngineerModel(state | {"columns": model.transform(df.limit(0)).drop(*[label] if label else []).columns})
 
 
+class _WithTables(DefaultParamsWriter):
+    """Writes the tables of frequencies into the model's own folder."""
+
+    def saveImpl(self, path: str) -> None:  # noqa: N802
+        state, spark = self.instance.fitted, self.sparkSession
+        for i, (c, table) in enumerate(state.get("freq_tables", {}).items()):
+            spark.read.parquet(table).write.parquet(f"{path}/frequencies/{i}")
+            state["freq_tables"][c] = f"frequencies/{i}"
+        own = self.instance.copy()
+        own._set(state=json.dumps(state))
+        DefaultParamsWriter(own).saveImpl(path)
+
+
+class _FromFolder(DefaultParamsReader):
+    def load(self, path: str):
+        model = super().load(path)
+        state = model.fitted
+        state["freq_tables"] = {c: f"{path}/{table}" for c, table in state.get("freq_tables", {}).items()}
+        model._set(state=json.dumps(state))
+        return model
+
+
 class FeatureEngineerModel(_Fitted):
+    def write(self) -> DefaultParamsWriter:
+        return _WithTables(self)
+
+    @classmethod
+    def read(cls) -> DefaultParamsReader:
+        return _FromFolder(cls)
+
     def _transform(self, df: DataFrame) -> DataFrame:
         s = self.fitted
         zero = lambda c: F.coalesce(c, F.lit(0.0))
@@ -121,10 +174,10 @@ class FeatureEngineerModel(_Fitted):
             if c not in df.columns:
                 continue
             if isinstance(freq, str):
-                side = df.sparkSession.read.parquet(freq).select(F.col("value").alias(f"__v{i}"), F.col("freq").alias(f"__f{i}"))
+                df = joined_frequency(df, c, df.sparkSession.read.parquet(freq), f"__f{i}")
             else:
                 side = F.broadcast(df.sparkSession.createDataFrame([(None if k == "" else k[1:], f) for k, f in freq.items()], f"__v{i} string, __f{i} double"))
-            df = df.join(side, quoted(c).cast("string").eqNullSafe(F.col(f"__v{i}")), "left")
+                df = df.join(side, quoted(c).cast("string").eqNullSafe(F.col(f"__v{i}")), "left")
             out.append(zero(F.col(f"__f{i}")).alias(f"{c}__freq"))
         label = [quoted(s["label"])] if s.get("label") and s["label"] in df.columns else []
         made = df.select(*out, *label)

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.feature import PCA
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .components import principal_components
 from .learn import best_on_holdout, class_counts, class_weight, classification_metrics, stratified_split, validate_target
 
 #: Endings of image files and folder names that are no class (fixed values).
@@ -104,26 +104,13 @@ def pixels(images: DataFrame, side: int = SIDE) -> DataFrame:
     return images.select("path", "height", "width", "channels", "data").mapInArrow(run, "path string, pixels array<double>")
 
 
-def principal_components(df: DataFrame, column: str, most: int = 128, max_width: int = 4096) -> tuple[DataFrame, list[float]]:
-    """df with features, the first min(most, width, rows - 1) principal components of an array column, and the share of variance of each.
-
-    The covariance of all pairs of columns comes to the driver, so that wider arrays than max_width are refused: make images smaller first.
-    """
-    width, n = df.agg(F.max(F.size(column)), F.count("*")).first()
-    if not n or n < 2 or width > max_width:
-        raise ValueError(f"{n} rows of {width} columns: at least two rows and at most {max_width} columns are needed")
-    vectors = df.withColumn("__v", array_to_vector(F.col(column)))
-    fitted = PCA(k=min(most, width, n - 1), inputCol="__v", outputCol="__p").fit(vectors)
-    return fitted.transform(vectors).withColumn("features", vector_to_array("__p")).drop("__v", "__p"), list(map(float, fitted.explainedVariance))
-
-
 def train_images(df: DataFrame, key: str, column: str = "pixels", label: str = "label", candidates: tuple[str, ...] = ("random_forest", "gradient_boosting", "logistic_regression"), components: int = 128, test: float = 0.2, seed: int = 42):
     """(key, an array of numbers, label) -> (name of the best model, the model over features, labels, leaderboard, metrics): models of the principal components, compared on held-out rows."""
     validate_target(df, label)
     labels = sorted(r["class"] for r in class_counts(df, label).collect())
     code = (F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(label).cast("string")) - 1).cast("double")
-    made, _ = principal_components(df.where(F.col(label).isNotNull()), column, components)
-    rows = made.select(F.col(key).alias("__key"), array_to_vector("features").alias("features"), code.alias("label"))
+    made, _ = principal_components(df.where(F.col(label).isNotNull()).select(key, label, column), column, components)
+    rows = made.where("features IS NOT NULL").select(F.col(key).alias("__key"), array_to_vector("features").alias("features"), code.alias("label"))
     split = stratified_split(rows, "label", F.col("__key"), test, seed).persist()
     try:
         train, held = split.where(~F.col("is_test")), split.where("is_test")

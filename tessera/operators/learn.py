@@ -23,6 +23,7 @@ from ..functions import entropy, long_numbers, number, quoted, shared_path
 from ..functions.ranks import hash_ranks, quantiles, running_sums
 from .clean import Cleaner, OutlierCap
 from .features import FeatureEngineer, FeatureSelector
+from .neighbours import KNN
 from .reports import leakage, leakage_summary
 
 log = logging.getLogger(__name__)
@@ -194,10 +195,12 @@ def estimator(name: str, task: str, n_classes: int = 2, seed: int = 42, features
             return R.LinearRegression(**given, loss="huber", **params)
         one = C.LinearSVC(**given, **params)
         return one if n_classes <= 2 else C.OneVsRest(classifier=one, **common)
+    if name == "knn":
+        return KNN(task=task, n_classes=n_classes, **common, **params)
     raise ValueError(f"no model is called {name}")
 
 
-CANDIDATES = {"classification": ["logistic_regression", "random_forest", "gradient_boosting", "svm"], "regression": ["ridge", "elastic_net", "random_forest", "gradient_boosting", "svm"]}
+CANDIDATES = {"classification": ["logistic_regression", "random_forest", "gradient_boosting", "svm", "knn"], "regression": ["ridge", "elastic_net", "random_forest", "gradient_boosting", "svm", "knn"]}
 
 
 def cv_score(df: DataFrame, task: str, model, folds: int) -> float:

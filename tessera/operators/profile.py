@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from itertools import combinations
+from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import adjusted_skew, categorical_columns, datetime_columns, long_numbers, long_strings, number, numeric_columns, quoted
+from ..functions.blocks import STRIP, collected, columns_matrix, summed
 from ..functions.ranks import quantiles
 
 
@@ -45,26 +48,57 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None, accuracy: i
 
 
 def categorical_top(df: DataFrame, k: int = 5, columns: list[str] | None = None) -> DataFrame:
-    """(column, n_distinct, value, n, rank): the k most frequent values of each column, ties by value."""
+    """(column, n_distinct, value, n, rank): the k most frequent values of each column, ties by value.
+
+    Distinct values are counted by an aggregate and ranked by a window of which each task keeps its own k best, so that no task orders all values of a column.
+    """
     counts = long_strings(df, columns).where(F.col("value").isNotNull()).groupBy("column", "value").agg(F.count("*").alias("n"))
-    by_column = Window.partitionBy("column")
-    ranked = counts.withColumn("rank", F.row_number().over(by_column.orderBy(F.desc("n"), "value"))).withColumn("n_distinct", F.count("*").over(by_column))
-    return ranked.where(F.col("rank") <= k).select("column", "n_distinct", "value", "n", "rank")
+    many = counts.groupBy(F.col("column").alias("__column")).agg(F.count("*").alias("n_distinct"))
+    top = counts.withColumn("rank", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("n"), "value"))).where(F.col("rank") <= k)
+    # one row a column
+    return top.join(F.broadcast(many), F.col("column") == F.col("__column")).select("column", "n_distinct", "value", "n", "rank")
+
+
+#: The relative standard deviation of the sketches of distinct values, and how many of these deviations settle a comparison.
+SKETCH, SURE = 0.02, 6
 
 
 def distinct_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(column, n_distinct, has_null) of all columns in one aggregate."""
+    """(column, n_distinct, has_null): exact. Each column is counted by itself, so that no row is repeated for every column."""
     columns = df.columns if columns is None else columns
-    sums = df.agg(*[F.count_distinct(quoted(c)).alias(f"d{i}") for i, c in enumerate(columns)], *[F.coalesce(F.max(quoted(c).isNull()), F.lit(False)).alias(f"z{i}") for i, c in enumerate(columns)])
-    return sums.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"d{i}").alias("n_distinct"), F.col(f"z{i}").alias("has_null")) for i, c in enumerate(columns)])))
+    one = lambda c: df.select(quoted(c).alias("v")).groupBy("v").agg(F.lit(1).alias("one")).agg(F.lit(c).alias("column"), F.count("v").alias("n_distinct"), F.coalesce(F.bool_or(F.col("v").isNull()), F.lit(False)).alias("has_null"))
+    if not columns:
+        return df.sparkSession.createDataFrame([], "column string, n_distinct long, has_null boolean")
+    return reduce(DataFrame.unionByName, map(one, columns))
+
+
+def distinct_sketches(df: DataFrame, columns: list[str]) -> dict[str, tuple[int, int, bool]]:
+    """column -> (least, most, has_null): bounds on the number of distinct values, from mergeable sketches of all columns in one pass without a shuffle of values."""
+    sums = df.agg(*[F.approx_count_distinct(quoted(c), SKETCH).alias(f"d{i}") for i, c in enumerate(columns)], *[F.coalesce(F.bool_or(quoted(c).isNull()), F.lit(False)).alias(f"z{i}") for i, c in enumerate(columns)]).first()
+    return {c: (int(sums[f"d{i}"] * (1 - SURE * SKETCH)), int(np.ceil(sums[f"d{i}"] * (1 + SURE * SKETCH))), sums[f"z{i}"]) for i, c in enumerate(columns)}
+
+
+def distinct_over(df: DataFrame, limits: dict[str, float]) -> dict[str, bool]:
+    """column -> whether it has more distinct values than its limit: by sketches where they are sure, else by an exact count of the column alone."""
+    found = distinct_sketches(df, list(limits)) if limits else {}
+    near = [c for c, limit in limits.items() if found[c][0] <= limit < found[c][1]]
+    exact = {r["column"]: r["n_distinct"] for r in distinct_counts(df, near).collect()} if near else {}
+    return {c: exact.get(c, found[c][0]) > limit for c, limit in limits.items()}
 
 
 def constant_columns(df: DataFrame) -> DataFrame:
-    return distinct_counts(df).where(F.col("n_distinct") + F.col("has_null").cast("int") <= 1).select("column")
+    """(column): columns of one value at most, null being one: their least value is their largest."""
+    ends = [(F.min(quoted(c)), F.max(quoted(c))) for c in df.columns]
+    same = [F.when(F.count(quoted(c)) == F.count("*"), a.eqNullSafe(b)).otherwise(F.count(quoted(c)) == 0).alias(f"c{i}") for i, (c, (a, b)) in enumerate(zip(df.columns, ends))]
+    sums = df.agg(*same)
+    return sums.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("same")) for i, c in enumerate(df.columns)]))).where("same").select("column")
 
 
 def high_cardinality(df: DataFrame, above: int = 50) -> DataFrame:
-    return distinct_counts(df, categorical_columns(df)).where(F.col("n_distinct") > above).select("column", "n_distinct")
+    """(column, n_distinct): categorical columns of more than `above` values; exact counts, of the columns that sketches don't rule out."""
+    columns = categorical_columns(df)
+    over = [c for c, (_, most, _) in distinct_sketches(df, columns).items() if most > above] if columns else []
+    return distinct_counts(df, over).where(F.col("n_distinct") > above).select("column", "n_distinct")
 
 
 def detected_datetimes(df: DataFrame, look_at: int = 30, least: float = 0.9) -> DataFrame:
@@ -78,13 +112,66 @@ def detected_datetimes(df: DataFrame, look_at: int = 30, least: float = 0.9) ->
 
 
 def correlations(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """(a, b, r) for every pair a < b by position, pairwise complete; one aggregate."""
+    """(a, b, r) for every pair a < b by position, pairwise complete; null where either doesn't vary over the rows that have both.
+
+    Each task multiplies blocks of rows with the columns, centred and with their masks, and the products (counts, sums, squares and cross products of every
+    pair) are added up in strips: work of rows x columns^2, in plans whose size doesn't grow with the number of columns.
+    A strip of pairs is one pass, as wide as STRIP_ENTRIES allows.
+    """
     columns = numeric_columns(df) if columns is None else columns
-    pairs = list(combinations(columns, 2))
-    if not pairs:
+    p = len(columns)
+    if p < 2:
         return df.sparkSession.createDataFrame([], "a string, b string, r double")
-    sums = df.agg(*[pearson(number(a), number(b)).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
-    return sums.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"r{i}").alias("r")) for i, (a, b) in enumerate(pairs)])))
+    rows = df.select(*[quoted(c).cast("double").alias(f"c{i}") for i, c in enumerate(columns)])
+
+    def totals(batches):
+        out = np.zeros((2, p))
+        for batch in batches:
+            x = columns_matrix(batch)
+            out += np.stack([np.where(np.isfinite(x), x, 0).sum(0), np.isfinite(x).sum(0)])
+        return out
+
+    s, n = collected(rows, totals, 2, p)
+    shared = df.sparkSession.sparkContext.broadcast(s / np.maximum(n, 1))
+    wide = max(1, STRIP_ENTRIES // (6 * p))
+    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "i int, name string")
+    strips = []
+    for first in range(0, p, wide):
+        some = min(wide, p - first)
+
+        def products(batches, first=first, some=some):
+            out = np.zeros((6, some, p))
+            for batch in batches:
+                x = columns_matrix(batch) - shared.value
+                m = (~np.isnan(x)).astype(float)
+                x = np.where(np.isnan(x), 0.0, x)
+                y, k = x[:, first : first + some], m[:, first : first + some]
+                for i, (left, right) in enumerate(((k, m), (y, m), (k, x), (y * y, m), (k, x * x), (y, x))):
+                    out[i] += left.T @ right
+            return out.transpose(1, 0, 2).reshape(some, 6 * p)
+
+        def told(batches, first=first, some=some, width=6 * p):
+            for batch in batches:
+                for k, data in zip(batch.column("strip").to_pylist(), batch.column("data")):
+                    part = data.values.to_numpy(zero_copy_only=False).reshape(-1, 6, p)
+                    at = first + k * max(1, STRIP // width)
+                    for i, (n, sa, sb, qa, qb, c) in enumerate(part, at):
+                        va, vb = qa * n - sa * sa, qb * n - sb * sb
+                        varies = (va > FLAT * qa * n) & (vb > FLAT * qb * n)
+                        with np.errstate(all="ignore"):
+                            r = np.where(varies, (c * n - sa * sb) / np.sqrt(va * vb), np.nan)[i + 1 :]
+                        r = np.clip(r, -1.0, 1.0)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(r), i, np.int32)), pa.array(np.arange(i + 1, p, dtype=np.int32)), pa.array(r, mask=~np.isfinite(r))], ["i", "j", "r"])
+
+        strips.append(summed(rows, products, some, 6 * p).mapInArrow(told, "i int, j int, r double"))
+    pairs = reduce(DataFrame.unionByName, strips)
+    a, b = names.select("i", F.col("name").alias("a")), names.select(F.col("i").alias("j"), F.col("name").alias("b"))
+    # a row a column
+    return pairs.join(F.broadcast(a), "i").join(F.broadcast(b), "j").select("a", "b", "r")
+
+
+#: Sums of products that a task holds, and the share of its squares under which a variance is rounding.
+STRIP_ENTRIES, FLAT = 1 << 23, 1e-12
 
 
 def pearson(x: Column, y: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import adjusted_skew, categorical_columns, datetime_columns, long_numbers, long_strings, number, numeric_columns, quoted
 from ..functions.ranks import quantiles, running_sums
-from .profile import correlations, distinct_counts, duplicate_rows, missing, numeric_summary, pearson
+from .profile import correlations, distinct_counts, distinct_sketches, duplicate_rows, missing, numeric_summary, pearson
 from .text import tokens
 
 ALL = lambda: Window.partitionBy(F.lit(0))  # noqa: E731  over the few rows of a report
@@ -102,7 +102,10 @@ def id_columns(df: DataFrame, target: str | None = None, unique: float = 0.95, o
     columns = [c for c in df.columns if c != target]
     floats = {c for c, t in df.dtypes if t in ("float", "double") or t.startswith("decimal")}
     n = df.agg(F.count("*").alias("n_rows"))
-    share = distinct_counts(df, columns).crossJoin(n).withColumn("share", F.when(F.col("n_rows") > 0, F.col("n_distinct") / F.col("n_rows")).otherwise(0.0))  # one row
+    rows, sketched = n.first()[0], distinct_sketches(df, columns) if columns else {}
+    # the others have too few values by far
+    looked_at = [c for c in columns if ID_NAME.search(c) or more.search(c) or sketched[c][1] >= unique * rows]
+    share = distinct_counts(df, looked_at).crossJoin(n).withColumn("share", F.when(F.col("n_rows") > 0, F.col("n_distinct") / F.col("n_rows")).otherwise(0.0))  # one row
     named = F.col("column").isin([c for c in columns if ID_NAME.search(c) or more.search(c)] or [""])
     keys = ~F.col("column").isin([c for c in columns if c in floats] or [""]) if only_keys else F.lit(True)
     return share.where(named | ((F.col("share") >= unique) & keys)).select("column", F.lit("id").alias("kind"), F.lit("high").alias("severity"), F.lit("drop").alias("action"), F.round("share", 4).alias("detail"))
