@@ -19,12 +19,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import entropy, long_numbers, number, quoted, shared_path
+from ..functions import entropy, free_name, long_numbers, number, quoted, shared_path
 from ..functions.ranks import hash_ranks, quantiles, running_sums
 from .clean import Cleaner, OutlierCap
 from .features import FeatureEngineer, FeatureSelector
 from .neighbours import KNN
 from .reports import leakage, leakage_summary
+from .series import RANGE_ROWS, numbered
 
 log = logging.getLogger(__name__)
 #: What Spark raises where a model can't be fitted to the data.
@@ -78,10 +79,10 @@ def random_split(df: DataFrame, key: Column, test: float = 0.2, seed: int = 42)
     return df.withColumn("is_test", F.pmod(F.xxhash64(key, F.lit(seed)), F.lit(1_000_000)) < int(test * 1_000_000))
 
 
-def ordered_split(df: DataFrame, order: str, by: list[str], test: float = 0.2) -> DataFrame:
+def ordered_split(df: DataFrame, order: str, by: list[str], test: float = 0.2, range_rows: int = RANGE_ROWS) -> DataFrame:
     """df with is_test: the last rows of each series."""
-    n = F.count("*").over(Window.partitionBy(*by))
-    return df.withColumn("is_test", F.row_number().over(Window.partitionBy(*by).orderBy(order)) > F.floor(n * (1 - test)))
+    number, total = free_name("__number", df.columns), free_name("__total", df.columns)
+    return numbered(df, by, [order], number, total, range_rows).withColumn("is_test", F.col(number) > F.floor(F.col(total) * (1 - test))).drop(number, total)
 
 
 def with_folds(df: DataFrame, target: str | None, key: Column, k: int = 5, seed: int = 42) -> DataFrame:

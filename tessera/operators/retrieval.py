@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import text as texts
+from .search import TermIndex
 
 #: Queries of one call at most: they become a literal of the plan.
 MAX_QUERIES = 1000
@@ -55,6 +56,25 @@ def hybrid(corpus: DataFrame, key: str, text: str, weights: DataFrame, queries:
     return met.select("q.query", key, bonus.alias("__bonus")).join(scored, ["query", key], "left").select("query", key, (F.coalesce("__cosine", F.lit(0.0)) + F.col("__bonus")).alias("score"))
 
 
+def hybrid_search(index: TermIndex, docs: DataFrame, text: str, queries: list[Query], k: int = 4, task: str | None = None, tags: str | None = None) -> DataFrame:
+    """(query, key, score, rank): of each query, the pool of the best texts that share a term with it, by cosine and bonus, as hybrid() counts them.
+
+    A text is shuffled once, with the queries that it shares a term with; these meet it there, never as pairs with copies of the text.
+    """
+    spark, key = docs.sparkSession, index.key
+    asked = spark.createDataFrame([(q.name, q.text, q.task, q.imbalanced) for q in _checked(queries)], "query string, text string, task string, imbalanced boolean")
+    told = asked.select(F.col("query").alias("__query"), texts.token_set(F.col("text")).alias("__tokens"), F.col("task").alias("__qtask"), "imbalanced")
+    found = index.scores(index.weights(asked, "query"), "query").groupBy(F.col(key).alias("__key")).agg(F.collect_list(F.struct("query", "score")).alias("__found"))
+    met = docs.select(key, F.lower(F.coalesce(text, F.lit(""))).alias("__text"), *[F.col(c).alias(n) for c, n in ((task, "__task"), (tags, "__tags")) if c]).dropDuplicates([key])
+    met = met.join(found, F.col(key) == F.col("__key")).withColumn("f", F.explode("__found")).join(F.broadcast(told), F.col("f.query") == F.col("__query"))
+    bonus = PER_TOKEN * F.size(F.filter("__tokens", lambda t: F.contains(F.col("__text"), t)))
+    if task:
+        bonus = bonus + F.when(F.col("__qtask") == F.col("__task"), SAME_TASK).otherwise(0.0)
+    if tags:
+        bonus = bonus + F.when(F.col("imbalanced") & F.array_contains("__tags", "imbalance"), IMBALANCE).otherwise(0.0)
+    return pool(met.select(F.col("f.query").alias("query"), key, F.round(F.col("f.score") + bonus, 6).alias("score")), key, k)
+
+
 def pool(scores: DataFrame, key: str, k: int) -> DataFrame:
     """Of each query the max(4 k, 12) best texts; ties by key."""
     return texts.top(scores, "query", key, max(4 * k, 12))

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean_text
+from .series import RANGE_ROWS, over_series
 
-#: English words that carry no meaning for retrieval (fixed values).
+#: English words that carry no meaning for retrieval: a short list of our own; pass another where it matters.
 STOP = "a an and are as at be by for from has have in is it its of on or that the this to was were will with".split()
 
 
@@ -26,8 +27,13 @@ def terms(text: Column, stop: list[str] | None = None) -> Column:
     if stop:
         words = F.array(*[F.lit(w) for w in stop])
         t = F.filter(t, lambda x: ~F.array_contains(words, x))
-    pairs = F.when(F.size(t) > 1, F.zip_with(F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))), F.slice(t, 2, F.greatest(F.size(t) - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.expr("cast(array() as array<string>)"))
-    return F.concat(t, pairs)
+
+    def grams(x: Column) -> Column:
+        less = F.greatest(F.size(x) - 1, F.lit(0))
+        return F.concat(x, F.zip_with(F.slice(x, 1, less), F.slice(x, 2, less), lambda a, b: F.concat(a, F.lit(" "), b)))
+
+    # as an element of an array the words are made once, however often grams() names them
+    return F.flatten(F.transform(F.array(t), grams))
 
 
 def term_counts(docs: DataFrame, key: str, text: str, of=terms) -> DataFrame:
@@ -61,19 +67,6 @@ def cosine(queries: DataFrame, candidates: DataFrame, qkey: str, ckey: str) -> D
     return q.join(candidates.select(ckey, "term", F.col("weight").alias("b")), "term").groupBy(qkey, ckey).agg(F.sum(F.col("a") * F.col("b")).alias("score"))
 
 
-def search(docs: DataFrame, key: str, queries: DataFrame, qkey: str, text: str = "text", k: int = 10, min_df: int = 2, max_df: float = 0.2) -> DataFrame:
-    """(qkey, key, score, rank): the k documents nearest to each of a set of queries by TF-IDF cosine of words and pairs of words.
-
-    Stop words and terms in more than a share max_df of the documents don't count, so that no term joins everything with everything.
-    """
-    of = lambda c: terms(c, STOP)
-    counts, n = term_counts(docs, key, text, of), docs.count()
-    vocabulary = document_frequencies(counts, min_df).where(F.col("df") <= max_df * n)
-    asked = tfidf(term_counts(queries, qkey, text, of), qkey, n, vocabulary)
-    scores = cosine(asked, tfidf(counts, key, n, vocabulary), qkey, key).withColumn("score", F.round("score", 9))
-    return top(scores, qkey, key, k)
-
-
 def top(scores: DataFrame, by: str, key: str, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("score"), key))
     return scores.withColumn("rank", rank).where(F.col("rank") <= k)
@@ -82,12 +75,16 @@ def top(scores: DataFrame, by: str, key: str, k: int) -> DataFrame:
 # --- series
 
 
-def lag_features(df: DataFrame, value: str, by: list[str], order: list[str], lags: tuple[int, ...] = (1, 2, 3, 7, 14), window: int = 7) -> DataFrame:
+def lag_features(df: DataFrame, value: str, by: list[str], order: list[str], lags: tuple[int, ...] = (1, 2, 3, 7, 14), window: int = 7, range_rows: int = RANGE_ROWS) -> DataFrame:
     """df with lags, the mean and deviation of the previous rows, and calendar columns of the first order column."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    past = w.rowsBetween(-window, -1)
     t = F.col(order[0])
-    return df.withColumns({f"lag_{k}": F.lag(value, k).over(w) for k in lags} | {"roll_mean": F.avg(value).over(past), "roll_std": F.stddev_samp(value).over(past), "hour": F.hour(t), "dow": F.weekday(t), "month": F.month(t)})
+
+    def columns(w) -> dict:
+        past = w.rowsBetween(-window, -1)
+        return {f"lag_{k}": F.lag(value, k).over(w) for k in lags} | {"roll_mean": F.avg(value).over(past), "roll_std": F.stddev_samp(value).over(past)}
+
+    made = over_series(df, by, order, max([window, *lags]), columns, range_rows)
+    return made.withColumns({"hour": F.hour(t), "dow": F.weekday(t), "month": F.month(t)})
 
 
 def series_matrix(df: DataFrame, lags: tuple[int, ...] = (1, 2, 3, 7, 14)) -> DataFrame:

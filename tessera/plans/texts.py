@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import text
+from ..operators import retrieval, search, text
 from .tables import read
 
 QUERIES: dict = {}
@@ -75,13 +75,43 @@ GRAMS = "SELECT {k}, term, count(*) AS n FROM (SELECT {k}, unnest(t) AS term FRO
 
 @query("search_chunks", "WITH ch AS (SELECT CAST(doc_id AS VARCHAR) || '_' || k AS chunk_id, trim(substr(text, CAST(k AS BIGINT) + 1, 500)) AS text FROM (SELECT doc_id, text, unnest(range(0, length(text), 500)) AS k FROM documents)), "
        f"ct AS (SELECT chunk_id, {STOPPED.format(x=TOKENS)} AS t FROM ch WHERE text <> ''), qt AS (SELECT item_id, {STOPPED.format(x=TOKENS)} AS t FROM benchmark), nn AS (SELECT count(*) AS n FROM ct), "
-       f"c AS ({GRAMS.format(k='chunk_id', s='ct')}), q AS ({GRAMS.format(k='item_id', s='qt')}), v AS (SELECT term, count(*) AS df FROM c GROUP BY 1 HAVING count(*) >= 2 AND count(*) <= 0.2 * (SELECT n FROM nn)), "
+       f"c AS ({GRAMS.format(k='chunk_id', s='ct')}), q AS ({GRAMS.format(k='item_id', s='qt')}), v AS (SELECT term, count(*) AS df FROM c GROUP BY 1 HAVING count(*) >= 2), "
        "cw AS (SELECT chunk_id, term, c.n * (ln((1.0 + nn.n) / (1 + df)) + 1) AS w FROM c JOIN v USING (term), nn), qw AS (SELECT item_id, term, q.n * (ln((1.0 + nn.n) / (1 + df)) + 1) AS w FROM q JOIN v USING (term), nn), "
        "cm AS (SELECT chunk_id, sqrt(sum(w * w)) AS m FROM cw GROUP BY 1), qm AS (SELECT item_id, sqrt(sum(w * w)) AS m FROM qw GROUP BY 1), "
-       "s AS (SELECT item_id, chunk_id, round(sum(qw.w / qm.m * (cw.w / cm.m)), 9) AS score FROM qw JOIN qm USING (item_id) JOIN cw USING (term) JOIN cm USING (chunk_id) GROUP BY 1, 2), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s) SELECT item_id, chunk_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
+       "s AS (SELECT item_id, chunk_id, round(sum(qw.w / qm.m * (cw.w / cm.m)), 9) AS score FROM qw JOIN qm USING (item_id) JOIN cw USING (term) JOIN cm USING (chunk_id) GROUP BY 1, 2 HAVING sum(qw.w * cw.w) > 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s) SELECT item_id, chunk_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
 def _(spark, d):
     made = text.chunks(read(spark, d, "documents"), "doc_id", "text").select("chunk_id", F.col("chunk").alias("text"))
-    return text.search(made, "chunk_id", read(spark, d, "benchmark"), "item_id").select("item_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    return search.TermIndex.build(made, "chunk_id").search(read(spark, d, "benchmark"), "item_id").select("item_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+
+
+CHUNKS = f"ch AS (SELECT CAST(doc_id AS VARCHAR) || '_' || k AS chunk_id, trim(substr(text, CAST(k AS BIGINT) + 1, 500)) AS text FROM (SELECT doc_id, text, unnest(range(0, length(text), 500)) AS k FROM documents)), ct AS (SELECT chunk_id, {STOPPED.format(x=TOKENS)} AS t FROM ch WHERE text <> ''), qt AS (SELECT item_id, {STOPPED.format(x=TOKENS)} AS t FROM benchmark), nn AS (SELECT count(*) AS n FROM ct)"
+COSINES = (
+    f"c AS ({GRAMS.format(k='chunk_id', s='ct')}), q AS ({GRAMS.format(k='item_id', s='qt')}), v AS (SELECT term, count(*) AS df FROM c GROUP BY 1 HAVING count(*) >= 2), "
+    "cw AS (SELECT chunk_id, term, c.n * (ln((1.0 + nn.n) / (1 + df)) + 1) AS w FROM c JOIN v USING (term), nn), qw AS (SELECT item_id, term, q.n * (ln((1.0 + nn.n) / (1 + df)) + 1) AS w FROM q JOIN v USING (term), nn), "
+    "cm AS (SELECT chunk_id, sqrt(sum(w * w)) AS m FROM cw GROUP BY 1), qm AS (SELECT item_id, sqrt(sum(w * w)) AS m FROM qw GROUP BY 1), "
+    "s AS (SELECT item_id, chunk_id, round(sum(qw.w / qm.m * (cw.w / cm.m)), 9) AS score FROM qw JOIN qm USING (item_id) JOIN cw USING (term) JOIN cm USING (chunk_id) GROUP BY 1, 2)"
+)
+SETS = "list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda t: length(t) > 2))"
+
+
+def chunk_pools(spark, d):
+    """Of every item of benchmark, the 16 best chunks of documents by hybrid score."""
+    made = text.chunks(read(spark, d, "documents"), "doc_id", "text").select("chunk_id", F.col("chunk").alias("text"))
+    asked = [retrieval.Query(str(r["item_id"]), r["text"]) for r in read(spark, d, "benchmark").select("item_id", "text").orderBy("item_id").limit(retrieval.MAX_QUERIES + 1).collect()]
+    return made, retrieval.hybrid_search(search.TermIndex.build(made, "chunk_id"), made, "text", asked)
+
+
+@query("retrieve_chunks", f"WITH {CHUNKS}, {COSINES}, u AS (SELECT item_id, {SETS} AS u FROM benchmark), h AS (SELECT item_id, chunk_id, round(score + 0.06 * len(list_filter(u, lambda t: contains(lower(ch.text), t))), 6) AS score FROM s JOIN u USING (item_id) JOIN ch USING (chunk_id) WHERE score > 0) SELECT CAST(item_id AS VARCHAR) AS query, chunk_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM h QUALIFY rank <= 16")
+def _(spark, d):
+    return chunk_pools(spark, d)[1]
+
+
+@query("retrieve_chunks_diverse")
+def _(spark, d):
+    """Four chunks of every pool, by maximal marginal relevance."""
+    made, pooled = chunk_pools(spark, d)
+    tokens = made.select(F.col("chunk_id").alias("c"), text.token_set(F.col("text")).alias("tokens"))
+    return retrieval.diverse(pooled.join(tokens, F.col("chunk_id") == F.col("c")), "chunk_id", "tokens", 4)
 
 
 SERIES = "WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"
