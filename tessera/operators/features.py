@@ -229,6 +229,11 @@ def mutual_information(df: DataFrame, columns: list[str], target: str, bins: int
 
 
 def scores(df: DataFrame, columns: list[str], target: str, task: str, method: str = "mutual_info") -> DataFrame:
+    """(column, score) by mutual_info (equal-width bins, one pass), mutual_info_neighbours (by nearest neighbours), or f_test."""
+    if method == "mutual_info_neighbours":
+        from .information import neighbour_information  # which needs models of its own
+
+        return neighbour_information(df, columns, target, task)
     if method == "mutual_info":
         return mutual_information(df, columns, target, target_bins=None if task == "classification" else 10)
     return anova_f(df, columns, target) if task == "classification" else regression_f(df, columns, target)

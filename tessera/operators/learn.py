@@ -23,6 +23,7 @@ from ..functions import entropy, free_name, long_numbers, number, quoted, shared
 from ..functions.ranks import hash_ranks, quantiles, running_sums
 from .clean import Cleaner, OutlierCap
 from .features import FeatureEngineer, FeatureSelector
+from .kernels import KernelSVM
 from .neighbours import KNN
 from .reports import leakage, leakage_summary
 from .series import RANGE_ROWS, numbered
@@ -164,7 +165,7 @@ SPACES = {
     "gradient_boosting": {"maxIter": (100, 400, "fifties"), "maxDepth": (2, 8, "int"), "stepSize": (1e-3, 0.2, "log"), "subsamplingRate": (0.6, 1, "real")},
     "hist_gradient_boosting": {"maxIter": (100, 500, "fifties"), "maxDepth": (3, 15, "int"), "stepSize": (1e-3, 0.3, "log"), "minInstancesPerNode": (10, 50, "int")},
     "catboost": {"maxIter": (100, 500, "fifties"), "maxDepth": (4, 10, "int"), "stepSize": (1e-3, 0.3, "log")},
-    "svm": {"regParam": (1e-4, 1, "log")},
+    "svm": {"C": (1e-2, 100, "log"), "gamma": ["scale", "auto"], "kernel": ["rbf", "linear"]},
     "knn": {"k": (3, 25, "int"), "weighted": [False, True], "p": [1, 2]},
 }
 
@@ -191,11 +192,11 @@ def estimator(name: str, task: str, n_classes: int = 2, seed: int = 42, features
         return R.LinearRegression(**given, **({"regParam": 1.0, "elasticNetParam": 0.5} | params))
     if name == "naive_bayes":
         return C.NaiveBayes(**given, modelType="multinomial", **params)
-    if name == "svm":
-        if task == "regression":
-            return R.LinearRegression(**given, loss="huber", **params)
+    if name == "linear_svc":  # of sparse vectors
         one = C.LinearSVC(**given, **params)
         return one if n_classes <= 2 else C.OneVsRest(classifier=one, **common)
+    if name == "svm":
+        return KernelSVM(task=task, n_classes=n_classes, seed=seed, **common, **params)
     if name == "knn":
         return KNN(task=task, n_classes=n_classes, **common, **params)
     raise ValueError(f"no model is called {name}")

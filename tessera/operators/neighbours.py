@@ -8,7 +8,7 @@ meets those other cells only whose bounds are within its k-th distance. Both rou
 slice and streams its queries, and sends k rows back for each. Queries of one slice are dealt into groups, so that a
 cell that many queries ask for is met by many tasks.
 
-Distances are of Minkowski's order p (1 or 2). Ties go to the smaller number of a training row, votes that are equal to the smaller label.
+Distances are of Minkowski's order p: 1, 2, or 0 for the largest difference. Ties go to the smaller number of a training row, votes that are equal to the smaller label.
 
 Defined cases: rows whose vector is null, of another length than most training rows' (the first's), or not all finite, take no part
 in training and get a null prediction; training on no rows is an error; fewer rows than k are all neighbours.
@@ -43,7 +43,7 @@ def distances(a: np.ndarray, b: np.ndarray, p: int, block: int = 1 << 22) -> np.
     step = max(1, block // max(1, b.size))
     for i in range(0, len(a), step):
         d = np.abs(a[i : i + step, None, :] - b[None, :, :])
-        out[i : i + step] = np.sqrt((d * d).sum(2)) if p == 2 else d.sum(2)
+        out[i : i + step] = np.sqrt((d * d).sum(2)) if p == 2 else d.sum(2) if p == 1 else d.max(2)
     return out
 
 

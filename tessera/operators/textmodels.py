@@ -15,7 +15,7 @@ from .text import terms
 #: Columns that usually hold the text, in order (fixed values).
 ALIASES = ["review_text", "text", "message", "content", "body", "review"]
 MAX_TERMS, MIN_DF, MIN_LENGTH, KEYWORDS = 8000, 2, 30, 15
-CANDIDATES = ("logistic_regression", "svm", "naive_bayes")
+CANDIDATES = ("logistic_regression", "linear_svc", "naive_bayes")
 
 
 def _strings(df: DataFrame, target: str | None = None) -> list[str]:
