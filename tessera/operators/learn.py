@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from ..functions import entropy, free_name, long_numbers, number, quoted, shared_path
 from ..functions.ranks import hash_ranks, quantiles, running_sums
+from .boosting import HistogramBoosting
 from .clean import Cleaner, OutlierCap
 from .features import FeatureEngineer, FeatureSelector
 from .kernels import KernelSVM
@@ -153,25 +154,32 @@ def regression_metrics(df: DataFrame, y: str = "y", pred: str = "pred") -> DataF
 
 # --- models
 
-_TREES = {"gradient_boosting": (50, 3, 0.1, 1.0), "hist_gradient_boosting": (50, 5, 0.1, 1.0), "xgboost": (60, 5, 0.1, 0.8), "lightgbm": (60, 4, 0.1, 0.8), "catboost": (60, 4, 0.08, 0.9)}
+_TREES = {"gradient_boosting": (50, 3, 0.1, 1.0)}
+#: Presets of histogram boosting; trees limited by depth have as many leaves as that allows.
+_BOOSTED = {
+    "xgboost": {"trees": 60, "max_depth": 6, "learning_rate": 0.2, "min_samples_leaf": 1, "min_child_weight": 1.0, "reg_lambda": 1.0},
+    "lightgbm": {"trees": 60, "num_leaves": 31, "min_samples_leaf": 20, "reg_lambda": 0.0},
+    "hist_gradient_boosting": {"trees": 60, "num_leaves": 31, "min_samples_leaf": 20, "reg_lambda": 0.0},
+    "catboost": {"trees": 60, "max_depth": 6, "learning_rate": 0.1, "min_samples_leaf": 1, "reg_lambda": 3.0},
+}
 #: Ranges of random search: (low, high, kind), or values to choose from (fixed values; a step of 50 for numbers of trees).
 SPACES = {
     "logistic_regression": {"regParam": (1e-4, 10, "log")},
     "ridge": {"regParam": (1e-3, 100, "log")},
     "elastic_net": {"regParam": (1e-4, 10, "log"), "elasticNetParam": (0, 1, "real")},
     "random_forest": {"numTrees": (100, 500, "fifties"), "maxDepth": (3, 20, "int"), "minInstancesPerNode": (1, 10, "int"), "featureSubsetStrategy": ["sqrt", "log2", "all"]},
-    "xgboost": {"maxIter": (100, 500, "fifties"), "maxDepth": (3, 12, "int"), "stepSize": (1e-3, 0.3, "log"), "subsamplingRate": (0.5, 1, "real"), "minInstancesPerNode": (1, 10, "int")},
-    "lightgbm": {"maxIter": (100, 500, "fifties"), "maxDepth": (1, 16, "int"), "stepSize": (1e-3, 0.3, "log"), "subsamplingRate": (0.5, 1, "real")},
+    "xgboost": {"trees": (100, 500, "fifties"), "max_depth": (3, 12, "int"), "learning_rate": (1e-3, 0.3, "log"), "subsample": (0.5, 1, "real"), "colsample": (0.5, 1, "real"), "min_child_weight": (1, 10, "int"), "reg_lambda": (1e-3, 10, "log")},
+    "lightgbm": {"trees": (100, 500, "fifties"), "num_leaves": (15, 255, "int"), "max_depth": (-1, 16, "int"), "learning_rate": (1e-3, 0.3, "log"), "subsample": (0.5, 1, "real"), "colsample": (0.5, 1, "real"), "reg_lambda": (1e-3, 10, "log")},
     "gradient_boosting": {"maxIter": (100, 400, "fifties"), "maxDepth": (2, 8, "int"), "stepSize": (1e-3, 0.2, "log"), "subsamplingRate": (0.6, 1, "real")},
-    "hist_gradient_boosting": {"maxIter": (100, 500, "fifties"), "maxDepth": (3, 15, "int"), "stepSize": (1e-3, 0.3, "log"), "minInstancesPerNode": (10, 50, "int")},
-    "catboost": {"maxIter": (100, 500, "fifties"), "maxDepth": (4, 10, "int"), "stepSize": (1e-3, 0.3, "log")},
+    "hist_gradient_boosting": {"trees": (100, 500, "fifties"), "max_depth": (3, 15, "int"), "learning_rate": (1e-3, 0.3, "log"), "min_samples_leaf": (10, 50, "int"), "reg_lambda": (1e-3, 10, "log")},
+    "catboost": {"trees": (100, 500, "fifties"), "max_depth": (4, 10, "int"), "learning_rate": (1e-3, 0.3, "log"), "reg_lambda": (1e-3, 10, "log")},
     "svm": {"C": (1e-2, 100, "log"), "gamma": ["scale", "auto"], "kernel": ["rbf", "linear"]},
     "knn": {"k": (3, 25, "int"), "weighted": [False, True], "p": [1, 2]},
 }
 
 
 def estimator(name: str, task: str, n_classes: int = 2, seed: int = 42, features: str = "features", label: str = "label", weight: str | None = None, **params):
-    """A Spark ML estimator by name; boosting and SVM for several classes go one against the rest."""
+    """A Spark ML estimator by name; gradient_boosting and linear machines for several classes go one against the rest."""
     common = {"featuresCol": features, "labelCol": label}
     given = common | ({"weightCol": weight} if weight else {})
     if name in _TREES:
@@ -181,6 +189,11 @@ def estimator(name: str, task: str, n_classes: int = 2, seed: int = 42, features
             return R.GBTRegressor(**given, **how)
         one = C.GBTClassifier(**given, **how)
         return one if n_classes <= 2 else C.OneVsRest(classifier=one, **common)
+    if name in _BOOSTED:
+        how = _BOOSTED[name] | params
+        if "num_leaves" not in how:
+            how["num_leaves"] = min(256, 1 << max(1, how["max_depth"]))
+        return HistogramBoosting(task=task, n_classes=n_classes, seed=seed, weightCol=weight or "", **common, **how)
     if name == "random_forest":
         how = {"numTrees": 200, "seed": seed} | params
         return (C.RandomForestClassifier if task == "classification" else R.RandomForestRegressor)(**given, **how)
