@@ -151,6 +151,11 @@ class _FromFolder(DefaultParamsReader):
 
 
 class FeatureEngineerModel(_Fitted):
+    def transform_beside(self, df: DataFrame, keys: list[str]) -> DataFrame:
+        """The result with the columns `keys` as they are."""
+        s = self.fitted
+        return FeatureEngineerModel({**s, "keep": keys}).transform(df)
+
     def write(self) -> DefaultParamsWriter:
         return _WithTables(self)
 
@@ -180,6 +185,7 @@ class FeatureEngineerModel(_Fitted):
                 df = df.join(side, quoted(c).cast("string").eqNullSafe(F.col(f"__v{i}")), "left")
             out.append(zero(F.col(f"__f{i}")).alias(f"{c}__freq"))
         label = [quoted(s["label"])] if s.get("label") and s["label"] in df.columns else []
+        label = [*[quoted(c) for c in s.get("keep", [])], *label]
         made = df.select(*out, *label)
         if "columns" not in s:
             return made

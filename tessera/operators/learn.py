@@ -310,12 +310,17 @@ def knn(train: DataFrame, queries: DataFrame, k: int = 5, p: int = 2, weighted:
     return _vote(pairs, k, weighted)
 
 
-def _vote(pairs: DataFrame, k: int, weighted: bool = False) -> DataFrame:
-    near = pairs.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))).where(F.col("r") <= k)
+def voted(near: DataFrame, weighted: bool = False) -> DataFrame:
+    """Neighbours (q, id, label, d) -> (id, pred): the label of most votes, the least of equal ones."""
     votes = near.groupBy("q", "label").agg(F.sum(1 / F.greatest("d", F.lit(1e-12)) if weighted else F.lit(1.0)).alias("votes"))
     return votes.groupBy("q").agg(F.min(F.struct((-F.col("votes")).alias("v"), "label")).alias("m")).select(F.col("q").alias("id"), F.col("m.label").alias("pred"))
 
 
+def _vote(pairs: DataFrame, k: int, weighted: bool = False) -> DataFrame:
+    near = pairs.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))).where(F.col("r") <= k)
+    return voted(near, weighted)
+
+
 def _nearest_others(q_id: np.ndarray, q: np.ndarray, t_id: np.ndarray, t: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each query its k nearest rows of t with another id, by distance and id: (query, row of t, distance)."""
     if not len(t):

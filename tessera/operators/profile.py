@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions import adjusted_skew, categorical_columns, datetime_columns, long_numbers, long_strings, number, numeric_columns, quoted
+from ..functions import adjusted_skew, categorical_columns, datetime_columns, finite, long_numbers, long_strings, number, numeric_columns, quoted
 from ..functions.blocks import STRIP, collected, columns_matrix, summed
 from ..functions.ranks import quantiles
 
@@ -47,6 +47,14 @@ def numeric_summary(df: DataFrame, columns: list[str] | None = None, accuracy: i
     return sums.join(q, "column", "left").select("column", "n", "mean", "std", "min", *[F.col("q")[i].alias(c) for i, c in enumerate(("q25", "median", "q75"))], "max", "skew")
 
 
+def numeric_entry(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(column, mean, std, min, max, skew, missing_share): what the exploration report says of a numeric column; 0 where there is no value or no finite one."""
+    columns = numeric_columns(df) if columns is None else columns
+    gone = missing(df.select(*[quoted(c) for c in columns])).select(F.col("column").alias("__c"), "missing_share")
+    made = numeric_summary(df, columns).select("column", *[finite(F.col(c)).alias(c) for c in ("mean", "std", "min", "max", "skew")])
+    return made.join(F.broadcast(gone), F.col("column") == F.col("__c")).drop("__c")  # a row a column
+
+
 def categorical_top(df: DataFrame, k: int = 5, columns: list[str] | None = None) -> DataFrame:
     """(column, n_distinct, value, n, rank): the k most frequent values of each column, ties by value.
 

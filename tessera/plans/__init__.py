@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: The modules that have QUERIES and ORACLES.
-MODULES: tuple[str, ...] = ("tables", "texts", "records", "advice")
+MODULES: tuple[str, ...] = ("tables", "texts", "records", "advice", "models")
 
 
 def _merged(name: str) -> dict:

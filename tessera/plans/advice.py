@@ -47,10 +47,10 @@ def pairs(runs):
 
 
 PAIRS = "p AS (SELECT * FROM (SELECT lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS a, o_orderkey AS b FROM orders) WHERE a IS NOT NULL)"
-METRICS = "m AS (" + " UNION ALL ".join(f"SELECT o_orderkey AS job, '{n}' AS metric, CAST({s} AS DOUBLE) AS v FROM orders" + (" WHERE o_orderkey % 5 <> 0" if n == "roc_auc" else "") for n, s in SHARES.items()) + ")"
+METRICS = "m AS (" + " UNION ALL ".join(f"SELECT a, b, '{n}' AS metric, CAST({s.replace('o_orderkey', 'a')} AS DOUBLE) AS x, CAST({s.replace('o_orderkey', 'b')} AS DOUBLE) AS y FROM p" + (" WHERE a % 5 <> 0 AND b % 5 <> 0" if n == "roc_auc" else "") for n, s in SHARES.items()) + ")"
 
 
-@query("compare_metrics", f"WITH {PAIRS}, {METRICS} SELECT a, b, x.metric, round(x.v, 4) AS run_a, round(y.v, 4) AS run_b, round(y.v - x.v, 4) AS delta, CASE WHEN x.v <> 0 THEN round(100 * (y.v - x.v) / abs(x.v), 2) END AS pct_change, CASE WHEN y.v > x.v THEN CAST(b AS VARCHAR) WHEN y.v < x.v THEN CAST(a AS VARCHAR) ELSE 'tie' END AS winner FROM p JOIN m x ON x.job = a JOIN m y ON y.job = b AND y.metric = x.metric")
+@query("compare_metrics", f"WITH {PAIRS}, {METRICS} SELECT a, b, metric, round(x, 4) AS run_a, round(y, 4) AS run_b, round(y - x, 4) AS delta, CASE WHEN x <> 0 THEN round(100 * (y - x) / abs(x), 2) END AS pct_change, CASE WHEN y > x THEN CAST(b AS VARCHAR) WHEN y < x THEN CAST(a AS VARCHAR) ELSE 'tie' END AS winner FROM m")
 def _(spark, d):
     r = runs(spark, d)
     return advice.compare_metrics(r, pairs(r))
@@ -62,7 +62,7 @@ def _(spark, d):
     return advice.compare_params(r, pairs(r))
 
 
-@query("compare_importances", f"WITH {PAIRS}, f AS (SELECT o_orderkey AS job, 'f' || i AS feature, (o_orderkey * i) % 4 / 4.0 AS v FROM (SELECT o_orderkey, unnest(range(0, CAST(6 + o_orderkey % 9 AS BIGINT))) AS i FROM orders)), u AS (SELECT DISTINCT p.a, p.b, feature FROM p JOIN f ON f.job IN (p.a, p.b)), k AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY feature) <= 10) SELECT k.a, k.b, k.feature, CAST(x.v AS DOUBLE) AS importance_a, CAST(y.v AS DOUBLE) AS importance_b FROM k LEFT JOIN f x ON x.job = k.a AND x.feature = k.feature LEFT JOIN f y ON y.job = k.b AND y.feature = k.feature WHERE x.v IS DISTINCT FROM y.v")
+@query("compare_importances", f"WITH {PAIRS}, f AS (SELECT o_orderkey AS job, 'f' || i AS feature, (o_orderkey * i) % 4 / 4.0 AS v FROM (SELECT o_orderkey, unnest(range(0, CAST(6 + o_orderkey % 9 AS BIGINT))) AS i FROM orders)), u AS (SELECT p.a, p.b, feature FROM p JOIN f ON f.job = p.a UNION SELECT p.a, p.b, feature FROM p JOIN f ON f.job = p.b), k AS (SELECT * FROM u QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY feature) <= 10) SELECT k.a, k.b, k.feature, CAST(x.v AS DOUBLE) AS importance_a, CAST(y.v AS DOUBLE) AS importance_b FROM k LEFT JOIN f x ON x.job = k.a AND x.feature = k.feature LEFT JOIN f y ON y.job = k.b AND y.feature = k.feature WHERE x.v IS DISTINCT FROM y.v")
 def _(spark, d):
     r = runs(spark, d)
     return advice.compare_importances(r, pairs(r))

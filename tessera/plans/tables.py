@@ -569,12 +569,6 @@ def _(spark, d):
     return rounded(rounded(made, "mae", "rmse", "mape"), "r2", places=6)
 
 
-@query("knn_predict", "WITH d AS (SELECT q.vec_id AS id, e.vec_id AS v, e.label, list_distance(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS dist FROM embeddings e, embeddings q WHERE q.vec_id < 20 AND e.vec_id >= 20), n AS (SELECT id, label FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY dist, v) <= 5), c AS (SELECT id, label, count(*) AS n FROM n GROUP BY ALL) SELECT id, label AS pred FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY n DESC, label) = 1")
-def _(spark, d):
-    df = read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), "label")
-    return learn.knn(df.where("id >= 20"), df.where("id < 20").select("id", "v"))
-
-
 @query("knn_predict_all")
 def _(spark, d):
     return learn.knn_others(read(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"), "label"))
