@@ -29,7 +29,7 @@ pair is no link, and isn't made. So a group of copies that lie just under the th
 
 Defined cases: a null text or one without words is like no other and forms a class of its own; copies of a text
 share a class; the rows of one doc_id are one document (its links are those of any of its texts); a row with a null
-doc_id takes no part (null class_id, no links); extra columns are ignored.
+doc_id takes no part (null class_id); extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -54,6 +54,8 @@ LEADERS = 64
 BITMAP = 8
 #: Rows of a block of a bucket in the last round, and of those that meet a group's rows at once.
 BLOCK = 2048
+#: Followers of a leader that one task may get, whatever part of all they are.
+FOLLOWERS = 512
 MEET_ROWS = 256
 #: Standard deviations under the agreement of similar texts at which signatures still make a candidate: of pairs at the threshold itself, one in a hundred million is below.
 SLACK = 6.0
@@ -204,35 +206,82 @@ def _element_rows(batches, shingle: int, weighting: str):
             yield pa.RecordBatch.from_arrays([batch.column("rep").slice(i, j - i), values, weights], ["rep", "codes", "weights"])
 
 
+def _compared(x: np.ndarray, wx: np.ndarray, y: np.ndarray, wy: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    """The common weight of two sorted sets of elements, and the elements that each has beyond the other."""
+    at = np.minimum(np.searchsorted(x, y), max(len(x) - 1, 0))
+    hit = np.flatnonzero(x[at] == y) if len(x) else np.zeros(0, np.int64)
+    shared = np.minimum(wx[at[hit]], wy[hit])
+    left_x, left_y = wx.copy(), wy.copy()
+    left_x[at[hit]] -= shared
+    left_y[hit] -= shared
+    return int(shared.sum()), x[left_x > 0], y[left_y > 0]
+
+
+def _bits(codes: np.ndarray) -> np.ndarray:
+    """The bitmap of elements."""
+    out = np.zeros(BITMAP, np.uint64)
+    np.bitwise_or.at(out, (codes >> np.uint64(6)).astype(np.int64) % BITMAP, np.uint64(1) << (codes & np.uint64(63)))
+    return out
+
+
 def _similar(batches, least: float, measure: bool):
-    """Whether the exact weighted Jaccard similarity of each pair is at least least; to measure, also the weights, the common weight, and bitmaps of what each side has beyond the other."""
+    """(lead, slice, follow (null: the leader itself), codes, weights, fames), a leader's rows before those of its followers -> whether the exact weighted Jaccard similarity of each pair is at least least.
+
+    To measure, also the weights, the common weight, and bitmaps of what each side has beyond the other.
+    """
+    now, held = None, []
     for batch in batches:
-        n = batch.num_rows
-        keep, size, common = np.zeros(n, bool), np.zeros((2, n), np.int64), np.zeros(n, np.int64)
-        beyond = np.zeros((2, n, BITMAP), np.uint64)
-        a, b, u, v = (batch.column(c) for c in ("a_codes", "b_codes", "a_weights", "b_weights"))
-        for r in range(n):
-            x, y = a[r].values.to_numpy(), b[r].values.to_numpy()
-            wx, wy = u[r].values.to_numpy(), v[r].values.to_numpy()
-            both = np.concatenate([x, y])
-            order = np.argsort(both, kind="stable")
-            both, w = both[order], np.concatenate([wx, wy])[order]
-            hit = np.flatnonzero(both[1:] == both[:-1])
-            shared = np.minimum(w[hit], w[hit + 1])
-            size[:, r], common[r] = (int(wx.sum()), int(wy.sum())), int(shared.sum())
-            keep[r] = common[r] >= least * (size[0, r] + size[1, r] - common[r]) - 1e-9
-            if measure:
-                left = w.astype(np.int64)
-                left[hit] -= shared
-                left[hit + 1] -= shared
-                for side, mine in enumerate((order < len(x), order >= len(x))):
-                    bit = both[mine & (left > 0)].view(np.uint64)
-                    np.bitwise_or.at(beyond[side, r], (bit >> np.uint64(6)).astype(np.int64) % BITMAP, np.uint64(1) << (bit & np.uint64(63)))
-        out = {"a": batch.column("a"), "b": batch.column("b"), "linked": pa.array(keep)}
+        lead, part, follow = batch.column("lead").to_numpy(), batch.column("slice").to_numpy(), batch.column("follow")
+        own, follow = follow.is_null().to_numpy(zero_copy_only=False), follow.fill_null(0).to_numpy(zero_copy_only=False)
+        codes, weights = batch.column("codes"), batch.column("weights")
+        rows = []
+        for r in range(batch.num_rows):
+            if now != (lead[r], part[r]):
+                now, held = (lead[r], part[r]), []
+            y, wy = codes[r].values.to_numpy().view(np.uint64), weights[r].values.to_numpy().astype(np.int64)  # in order as unsigned numbers
+            if own[r]:
+                held.append((y.copy(), wy, int(wy.sum())))
+                continue
+            of = int(wy.sum())
+            for x, wx, whole in held:
+                common, only_x, only_y = _compared(x, wx, y, wy)
+                rows.append((r, common >= least * (whole + of - common) - 1e-9, whole, of, common, _bits(only_x) if measure else None, _bits(only_y) if measure else None))
+        if not rows:
+            continue
+        at, linked, size, of, common, bits, other = zip(*rows)
+        at = np.array(at)
+        low = lead[at] < follow[at]
+        out = {"a": np.minimum(lead[at], follow[at]), "b": np.maximum(lead[at], follow[at]), "linked": np.array(linked)}
         if measure:
-            lists = [pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * BITMAP, pa.int32()), pa.array(x.view(np.int64).reshape(-1))) for x in beyond]
-            out |= {"a_fame": batch.column("a_fame"), "b_fame": batch.column("b_fame"), "a_size": pa.array(size[0]), "b_size": pa.array(size[1]), "common": pa.array(common), "a_bits": lists[0], "b_bits": lists[1]}
-        yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+            fames = [batch.column(c).to_numpy(zero_copy_only=False)[at] for c in ("lead_fame", "follow_fame")]
+            either = lambda x, y: (np.where(low, x, y), np.where(low, y, x))
+            (out["a_fame"], out["b_fame"]), (out["a_size"], out["b_size"]), out["common"] = either(*fames), either(np.array(size), np.array(of)), np.array(common)
+            bits, other = np.stack(bits).view(np.int64), np.stack(other).view(np.int64)
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * BITMAP, pa.int32()), pa.array(x.reshape(-1))) for x in (np.where(low[:, None], bits, other), np.where(low[:, None], other, bits))]
+            yield pa.RecordBatch.from_arrays([*[pa.array(v) for v in out.values()], *lists], [*out, "a_bits", "b_bits"])
+        else:
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in out.values()], list(out))
+
+
+def _judged(pairs: DataFrame, sets: DataFrame, similarity: float, measure: bool) -> DataFrame:
+    """(lead, follow, and to measure lead_fame, follow_fame) -> (a, b, linked, ..), a < b, a row for each two texts of a pair.
+
+    Followers bring their elements to their leader's task, where its own come first and once. The followers of a leader that has more than FOLLOWERS, and at
+    least a thousandth of all, are cut into slices, each with a copy of the leader's elements; there are a thousand such leaders at most.
+    """
+    pairs = written(pairs, "neardup-pairs")
+    counts = pairs.groupBy("lead").agg(F.count("*").alias("n"))
+    total = pairs.count()
+    large = counts.where(F.col("n") > max(FOLLOWERS, total / 1000)).select(F.col("lead").alias("__lead"), F.ceil(F.col("n") / max(FOLLOWERS, total // 1000)).cast("int").alias("slices"))
+    sliced = lambda df: df.join(F.broadcast(large), F.col("lead") == F.col("__lead"), "left").withColumn("slices", F.coalesce("slices", F.lit(1))).drop("__lead")
+    fames = ["lead_fame", "follow_fame"] if measure else []
+    followers = sliced(pairs).select("lead", F.pmod(F.xxhash64("follow", F.lit("slice")), F.col("slices")).cast("int").alias("slice"), "follow", *fames)
+    followers = followers.join(sets, F.col("follow") == F.col("rep")).select("lead", "slice", "follow", "codes", "weights", *fames)
+    leaders = sliced(counts.select("lead")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    leaders = leaders.join(sets, F.col("lead") == F.col("rep")).select("lead", "slice", F.lit(None).cast("long").alias("follow"), "codes", "weights", *[F.lit(0).cast("long").alias(c) for c in fames])
+    dealt = leaders.unionByName(followers).repartition("lead", "slice").sortWithinPartitions("lead", "slice", F.col("follow").asc_nulls_first())
+    more = ", a_fame long, b_fame long, a_size long, b_size long, common long, a_bits array<long>, b_bits array<long>" if measure else ""
+    return dealt.mapInArrow(lambda it: _similar(it, similarity, measure), "a long, b long, linked boolean" + more)
 
 
 def _agree(a, b, k: int, similarity: float, slack: float):
@@ -337,7 +386,7 @@ def _met(rows: DataFrame, k: int, similarity: float) -> DataFrame:
 
 
 def _led(rows: DataFrame, leaders: int, k: int, similarity: float) -> DataFrame:
-    """(a, b), each once: the rows of each band and its leaders, as far as they can be similar; for one leader also what both share buckets with (a_fame, b_fame)."""
+    """(lead, follow), each once: the rows of each band and its leaders, as far as they can be similar; for one leader also what both share buckets with (lead_fame, follow_fame)."""
     first = leaders == 1
     lead = rows.select("band", *[F.col(c).alias(f"a_{c}") for c in ("rep", "sig", "class", "fame", *PIVOT)])
     if first:
@@ -345,14 +394,21 @@ def _led(rows: DataFrame, leaders: int, k: int, similarity: float) -> DataFrame:
     else:
         lead = lead.withColumn("r", F.row_number().over(Window.partitionBy("band").orderBy(F.desc("a_fame"), "a_rep"))).where(F.col("r") <= leaders).drop("r")
     lead = lead.withColumnRenamed("band", "a_band")
-    near = (F.col("band") == F.col("a_band")) & (F.col("class") != F.col("a_class"))
+    near = F.col("class") != F.col("a_class")
     if not first:
         near = near & _possible()
     near = near & _agree(F.col("sig"), F.col("a_sig"), k, similarity, SLACK)
-    low = F.col("a_rep") < F.col("rep")
-    ends = [F.least("a_rep", "rep").alias("a"), F.greatest("a_rep", "rep").alias("b")]
-    fames = [F.when(low, F.col("a_fame")).otherwise(F.col("fame")).alias("a_fame"), F.when(low, F.col("fame")).otherwise(F.col("a_fame")).alias("b_fame")]
-    return rows.join(lead, near).select(*ends, *(fames if first else [])).distinct()
+    same = F.col("band") == F.col("a_band")
+    # bands of a thousandth of all rows, a thousand at most, get their leaders by broadcast, so that no task gets all rows of one
+    sizes = rows.groupBy(F.col("band").alias("__band")).agg(F.count("*").alias("n"))
+    large = sizes.where(F.col("n") > max(FOLLOWERS, rows.count() / 1000)).select("__band")
+    known = rows.join(F.broadcast(large), F.col("band") == F.col("__band"), "left")
+    theirs = lead.join(F.broadcast(large), F.col("a_band") == F.col("__band"), "left_semi")
+    met = known.where("__band IS NOT NULL").join(F.broadcast(theirs), same & near).unionByName(known.where("__band IS NULL").join(lead, same & near))
+    led = (F.col("a_fame") > F.col("fame")) | ((F.col("a_fame") == F.col("fame")) & (F.col("a_rep") < F.col("rep")))
+    either = lambda x, y: F.when(led, F.col(x)).otherwise(F.col(y))
+    fames = [either("a_fame", "fame").alias("lead_fame"), either("fame", "a_fame").alias("follow_fame")]
+    return met.select(either("a_rep", "rep").alias("lead"), either("rep", "a_rep").alias("follow"), *(fames if first else [])).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -374,11 +430,9 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, weighting: str = "set", max_broadcast_ids: int = MAX_BROADCAST_IDS) -> DataFrame:
-    """(doc_id, text) -> (doc_id, class_id, n_confirmed), a row for each row.
+    """(doc_id, text) -> (doc_id, class_id), a row for each row: class_id is the least doc_id of the class.
 
-    class_id is the least doc_id of the class; n_confirmed is the number of other texts that the document's text was
-    confirmed to be similar to (as leader or as follower). Once two texts are known to be of one class they aren't held
-    against each other any more, so that it isn't the number of all similar texts.
+    Once two texts are known to be of one class they aren't held against each other any more, so links aren't counted.
     """
     source = in_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketched = written(source.mapInArrow(lambda it: _sketch(it, bands, rows, shingle, weighting), "doc_id long, h1 long, h2 long, bands array<long>, sig array<long>"), "neardup-sketches")
@@ -400,11 +454,11 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
         if leaders:
             pairs = _led(open_rows, leaders, bands * rows, similarity)
         else:
-            pairs = _met(open_rows, bands * rows, similarity)
+            pairs = _met(open_rows, bands * rows, similarity).select(F.col("a").alias("lead"), F.col("b").alias("follow"))
         if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("codes").alias("a_codes"), F.col("weights").alias("a_weights")), "a").join(sets.select(F.col("rep").alias("b"), F.col("codes").alias("b_codes"), F.col("weights").alias("b_weights")), "b")
-        judged = both.mapInArrow(lambda it, measure=first: _similar(it, similarity, measure), "a long, b long, linked boolean" + (", a_fame long, b_fame long, a_size long, b_size long, common long, a_bits array<long>, b_bits array<long>" if first else ""))
+            done = tested.select(F.col("a").alias("__a"), F.col("b").alias("__b"))
+            pairs = pairs.join(done, (F.least("lead", "follow") == F.col("__a")) & (F.greatest("lead", "follow") == F.col("__b")), "left_anti")
+        judged = _judged(pairs, sets, similarity, first)
         found = F.max("linked").alias("linked")
         if first:
             measures = ["a_fame", "b_fame", "a_size", "b_size", "common", "a_bits", "b_bits"]
@@ -425,10 +479,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
         open_rows = written(still.select(*open_rows.columns), "neardup-buckets")
         if open_rows.isEmpty():
             break
-    degree = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_confirmed"))
-    by_text = groups.select("h1", "h2", "rep").join(classes.join(degree, "rep", "left"), "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("class_id"), F.coalesce("n_confirmed", F.lit(0)).alias("n_confirmed"))
+    by_text = groups.select("h1", "h2", "rep").join(classes, "rep", "left").select("h1", "h2", F.coalesce("root", "rep").alias("class_id"))
     out = sketched.select("doc_id", "h1", "h2").join(by_text, ["h1", "h2"], "left")
-    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(F.col("doc_id").isNotNull(), F.coalesce("n_confirmed", F.lit(0))).otherwise(0).cast("long").alias("n_confirmed"))
+    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"))
 
 
 def without_near_duplicates(docs: DataFrame, max_broadcast_ids: int = MAX_BROADCAST_IDS, **how) -> DataFrame:

@@ -16,8 +16,14 @@ def test_bound_keeps_every_similar_pair():
     n = len(sets)
 
     def judged(a, b):
-        cols = {"a": pa.array(a), "b": pa.array(b), "a_fame": pa.array(a), "b_fame": pa.array(b), "a_codes": lists([sets[i] for i in a], pa.int64()), "b_codes": lists([sets[i] for i in b], pa.int64()), "a_weights": lists([weights[i] for i in a], pa.int32()), "b_weights": lists([weights[i] for i in b], pa.int32())}
-        return next(_similar(iter([pa.RecordBatch.from_arrays(list(cols.values()), list(cols))]), SIMILARITY, True))
+        """Of pairs sorted by a, each a being the leader of its pairs."""
+        rows = []
+        for lead in np.unique(a).tolist():
+            rows += [(lead, None, lead), *[(lead, int(f), int(f)) for f in b[a == lead]]]
+        whose = [r[2] for r in rows]
+        cols = {"lead": pa.array([r[0] for r in rows]), "slice": pa.array(np.zeros(len(rows), np.int32)), "follow": pa.array([r[1] for r in rows], pa.int64()), "codes": lists([sets[i] for i in whose], pa.int64()), "weights": lists([weights[i] for i in whose], pa.int32()), "lead_fame": pa.array(np.zeros(len(rows), np.int64)), "follow_fame": pa.array(np.zeros(len(rows), np.int64))}
+        batches = pa.table(cols).to_batches(max_chunksize=37)
+        return pa.Table.from_batches(list(_similar(iter(batches), SIMILARITY, True))).combine_chunks().to_batches()[0]
 
     x, y = np.triu_indices(n, 1)
     similar = {(int(a), int(b)) for a, b, ok in zip(x, y, judged(x, y).column("linked").to_pylist()) if ok}
