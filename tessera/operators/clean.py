@@ -177,28 +177,29 @@ class OutlierCapModel(_Fitted):
 
 
 class IsolationForest(_Fitting):
-    """Isolation forest (Liu, Ting, Zhou 2008): each tree isolates the rows of a small subsample by random cuts; rows that take few cuts to isolate are anomalous."""
+    """Isolation forest (Liu, Ting, Zhou 2008): each tree isolates the rows of a small subsample by random cuts; rows that take few cuts to isolate are anomalous.
+
+    A row's draw is a hash of the column `key`, or of all columns (equal rows are then drawn together), so that it doesn't depend on partitions.
+    """
 
     @keyword_only
-    def __init__(self, columns=None, trees=None, sample=None, seed=None):
+    def __init__(self, columns=None, trees=None, sample=None, seed=None, key=None):
         super().__init__()
-        self._init(columns=[], trees=200, sample=256, seed=42)
+        self._init(columns=[], trees=200, sample=256, seed=42, key="")
         self._given(self._input_kwargs)
 
     def _fit(self, df: DataFrame) -> IsolationForestModel:
         columns = self.getOrDefault("columns") or numeric_columns(df)
         trees, size, seed = (self.getOrDefault(p) for p in ("trees", "sample", "seed"))
         fill = {r["column"]: r["fill"] for r in medians(df, columns).collect()}
-        rows = df.select(F.array(*[F.coalesce(number(c), F.lit(fill[c])) for c in columns]).alias("x"))
+        key = F.xxhash64(*[quoted(c) for c in ([self.getOrDefault("key")] if self.getOrDefault("key") else df.columns)])
+        rows = df.select(key.alias("key"), F.array(*[F.coalesce(number(c), F.lit(fill[c])) for c in columns]).alias("x"))
         n = rows.count()
-        # each tree's subsample: with a margin, then exactly size of them. A row of a large table goes to one tree at most
-        share = 4.0 * size / max(1, n)
-        if share * trees < 1:
-            drawn = rows.where(F.rand(seed) < share * trees).withColumn("tree", 1 + F.floor(F.rand(seed + 1) * trees))
-        else:
-            drawn = rows.withColumn("tree", F.explode(F.sequence(F.lit(1), F.lit(trees)))).where(F.rand(seed) < min(1.0, share))
-        drawn = drawn.withColumn("h", F.rand(seed + 2))
-        picked = drawn.withColumn("r", F.row_number().over(Window.partitionBy("tree").orderBy("h"))).where(F.col("r") <= size)
+        # each tree's subsample: with a margin, by a hash of the row's key, tree and seed, then exactly size of them
+        share = int(min(1.0, 4.0 * size / max(1, n)) * (1 << 40))
+        of = lambda salt, tree: F.pmod(F.xxhash64("key", F.lit(seed + salt), tree), F.lit(1 << 40))
+        drawn = rows.withColumn("tree", F.explode(F.filter(F.sequence(F.lit(1), F.lit(trees)), lambda t: of(0, t) < share)))
+        picked = drawn.withColumn("r", F.row_number().over(Window.partitionBy("tree").orderBy(of(1, F.col("tree")), "x"))).where(F.col("r") <= size)
 
         def grow(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
             tree = int(key[0])

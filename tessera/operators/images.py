@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import principal_components
-from .learn import best_on_holdout, class_counts, class_weight, classification_metrics, stratified_split, validate_target
+from .learn import best_on_holdout, class_labels, class_weight, classification_metrics, stratified_split, validate_target
 
 #: Endings of image files and folder names that are no class (fixed values).
 ENDINGS = ["jpg", "jpeg", "png", "bmp", "gif", "webp"]
@@ -107,7 +107,7 @@ def pixels(images: DataFrame, side: int = SIDE) -> DataFrame:
 def train_images(df: DataFrame, key: str, column: str = "pixels", label: str = "label", candidates: tuple[str, ...] = ("random_forest", "gradient_boosting", "logistic_regression"), components: int = 128, test: float = 0.2, seed: int = 42):
     """(key, an array of numbers, label) -> (name of the best model, the model over features, labels, leaderboard, metrics): models of the principal components, compared on held-out rows."""
     validate_target(df, label)
-    labels = sorted(r["class"] for r in class_counts(df, label).collect())
+    labels = class_labels(df, label)
     code = (F.array_position(F.array(*[F.lit(x) for x in labels]), F.col(label).cast("string")) - 1).cast("double")
     made, _ = principal_components(df.where(F.col(label).isNotNull()).select(key, label, column), column, components)
     rows = made.where("features IS NOT NULL").select(F.col(key).alias("__key"), array_to_vector("features").alias("features"), code.alias("label"))

@@ -26,7 +26,7 @@ from .clean import Cleaner, OutlierCap
 from .features import FeatureEngineer, FeatureSelector
 from .kernels import KernelSVM
 from .neighbours import KNN
-from .reports import leakage, leakage_summary
+from .reports import MAX_CLASSES, leakage, leakage_summary
 from .series import RANGE_ROWS, numbered
 
 log = logging.getLogger(__name__)
@@ -51,6 +51,14 @@ def class_counts(df: DataFrame, target: str) -> DataFrame:
     return df.where(quoted(target).isNotNull()).groupBy(quoted(target).cast("string").alias("class")).agg(F.count("*").alias("n"))
 
 
+def class_labels(df: DataFrame, target: str) -> list[str]:
+    """The classes in order; an error where there are more than MAX_CLASSES."""
+    found = [r["class"] for r in class_counts(df, target).select("class").limit(MAX_CLASSES + 1).collect()]
+    if len(found) > MAX_CLASSES:
+        raise ValueError(f"{target} has more than {MAX_CLASSES} values: no target of classes")
+    return sorted(found)
+
+
 def validate_target(df: DataFrame, target: str, min_per_class: int = 2) -> None:
     """Refuses targets of one class, that look like an id, or with classes of too few rows."""
     k, n, least = class_counts(df, target).agg(F.count("*"), F.sum("n"), F.min("n")).first()
@@ -408,7 +416,7 @@ def automl(df: DataFrame, target: str, key: str, task: str | None = None, candid
     labels: list[str] = []
     if task == "classification":
         validate_target(df, target)
-        labels = sorted(r["class"] for r in class_counts(df, target).collect())
+        labels = class_labels(df, target)
         code = F.array_position(F.array(*[F.lit(x) for x in labels]), quoted(target).cast("string")) - 1
         data = df.withColumn("label", code.cast("double"))
     else:
@@ -429,13 +437,16 @@ def automl(df: DataFrame, target: str, key: str, task: str | None = None, candid
     assemble = [VectorAssembler(inputCols=features, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features")]
     matrix_model = Pipeline(stages=[*fitted, *assemble]).fit(plain)
     matrix = with_folds(matrix_model.transform(plain).select("features", "label"), "label" if labels else None, F.xxhash64(vector_to_array("features")), folds, seed).persist()
-    board = leaderboard(matrix, task, candidates, folds, max(2, len(labels)))
-    best = board.orderBy("rank").first()["model"]
-    params, _, _ = tune(matrix, task, best, n_trials, seed=seed, folds=folds, n_classes=max(2, len(labels)))
-    model = PipelineModel(stages=[*matrix_model.stages, estimator(best, task, max(2, len(labels)), **params).fit(matrix)])
+    try:
+        board = leaderboard(matrix, task, candidates, folds, max(2, len(labels)))
+        best = board.orderBy("rank").first()["model"]
+        params, _, _ = tune(matrix, task, best, n_trials, seed=seed, folds=folds, n_classes=max(2, len(labels)))
+        model = PipelineModel(stages=[*matrix_model.stages, estimator(best, task, max(2, len(labels)), **params).fit(matrix)])
+    finally:
+        matrix.unpersist()
+        train.unpersist()
     made = model.transform(held.drop(target, key))
     metrics = classification_metrics(made, "label", "prediction") if labels else regression_metrics(made, "label", "prediction")
-    train.unpersist()
     return AutoMLResult(task, model, labels, board, {"model": best, "params": params}, metrics, features)
 
 

@@ -12,7 +12,7 @@ from pyspark.ml.feature import IDF, CountVectorizer, ElementwiseProduct, Normali
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import quoted
+from ..functions import quoted, shared_path
 from .text import terms
 
 MAX_CLASSES = 50
@@ -33,7 +33,7 @@ class Themes:
     silhouette: float
 
 
-def themes(docs: DataFrame, key: str, text: str, vocabulary: int = 5000, min_df: int = 2, starts: int = 3, most_words: int = 10, seed: int = 42) -> Themes:
+def themes(docs: DataFrame, key: str, text: str, vocabulary: int = 5000, min_df: int = 2, starts: int = 10, most_words: int = 10, seed: int = 42) -> Themes:
     """Clusters of messages by TF-IDF and k-means (k = n / 50, 2 to 8), the best of several starts, and the weightiest terms of each centre.
 
     Null texts and texts without words are at the origin. The vocabulary and the centres (k x vocabulary numbers) are what the driver holds.
@@ -55,7 +55,10 @@ def themes(docs: DataFrame, key: str, text: str, vocabulary: int = 5000, min_df:
             if centre[j] > 0:
                 heard.append((theme, place, counted.vocabulary[j], float(centre[j])))
     silhouette = ClusteringEvaluator(predictionCol="theme").evaluate(members)
-    return Themes(members.drop("features"), docs.sparkSession.createDataFrame(heard, "theme int, place int, term string, weight double"), k / n, silhouette)
+    path = shared_path(docs.sparkSession, "themes")
+    members.drop("features").write.parquet(path)
+    made.unpersist()
+    return Themes(docs.sparkSession.read.parquet(path), docs.sparkSession.createDataFrame(heard, "theme int, place int, term string, weight double"), k / n, silhouette)
 
 
 def masked(message: Column) -> Column:

@@ -57,10 +57,10 @@ def statistics(df: DataFrame) -> DataFrame:
     return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
 
 
-def detect(df: DataFrame, most_labels: int | None = None) -> dict:
+def detect(df: DataFrame, most_labels: int | None = None, most_values: int | None = 5, most_targets: int | None = 3) -> dict:
     """{modality, text_column, datetime_column, value_columns, targets} of a table: logs, text, timeseries or tabular.
 
-    The statistics are a row for each column, so what reaches the driver is bounded by the table's width.
+    Of a series' value columns the first most_values are told, and the first most_targets as targets; None tells all. The statistics are a row for each column, so what reaches the driver is bounded by the table's width.
     """
     stats = {r["column"]: r for r in statistics(df).collect()}
     names, numbers = list(stats), set(numeric_columns(df))
@@ -97,7 +97,7 @@ def detect(df: DataFrame, most_labels: int | None = None) -> dict:
         entities = any(hit(ENTITY_NAMES, c) for c in names if c != times[0])
         index = not entities and s["n_times"] >= 10 and s["n_distinct"] >= 0.5 * s["n_times"]
         if index or not labels():
-            return _decision("timeseries", time=times[0], values=values[:5], targets=values[:3])
+            return _decision("timeseries", time=times[0], values=values[:most_values], targets=values[:most_targets])
     if wordy:
         return _decision("text", text=wordy[0], targets=labels(wordy))
     return _decision("tabular", targets=labels())

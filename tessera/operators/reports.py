@@ -40,6 +40,18 @@ def with_code(df: DataFrame, target: str, name: str = "__code") -> DataFrame:
     return df.join(codes, quoted(target).cast("string") == F.col("__v"), "left").drop("__v").withColumn(name, F.coalesce(name, F.lit(-1.0)))
 
 
+def encoded(df: DataFrame, column: str, classes: DataFrame, name: str) -> DataFrame:
+    """df with the value's code in classes (value, code), as class_codes gives them for another table; a value unseen there, or null, is -1."""
+    codes = classes.select(F.col("value").alias("__v"), F.col("code").alias("__code"))
+    met = df.join(F.broadcast(codes), quoted(column).cast("string") == F.col("__v"), "left")  # MAX_CLASSES at most
+    return met.withColumn(name, F.coalesce("__code", F.lit(-1.0))).drop("__v", "__code")
+
+
+def decoded(code: Column, classes: list[str]) -> Column:
+    """The class of a code; null for -1 and codes beyond."""
+    return F.when((code >= 0) & (code < len(classes)), F.get(F.array(*[F.lit(c) for c in classes]), code.cast("int")))
+
+
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """(bin, low, high, n) of equal-width bins, the last one closed; a column with one value gets half a unit to either side."""
     v = number(column)

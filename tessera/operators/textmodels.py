@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clean_text, quoted
-from .learn import best_on_holdout, class_counts, class_weight, classification_metrics, stratified_split, validate_target
+from .learn import best_on_holdout, class_labels, class_weight, classification_metrics, stratified_split, validate_target
 from .text import terms
 
 #: Columns that usually hold the text, in order (fixed values).
@@ -61,7 +61,7 @@ def train_text(df: DataFrame, target: str, key: str, column: str | None = None,
         raise ValueError("there is no text column; name one")
     rows = df.where(quoted(column).isNotNull() & quoted(target).isNotNull())
     validate_target(rows, target)
-    labels = sorted(r["class"] for r in class_counts(rows, target).collect())
+    labels = class_labels(rows, target)
     code = F.array_position(F.array(*[F.lit(x) for x in labels]), quoted(target).cast("string")) - 1
     rows = rows.select(quoted(key).alias("__key"), terms(clean_text(quoted(column))).alias("__terms"), code.cast("double").alias("label"))
     split = stratified_split(rows, "label", F.col("__key"), test, seed).persist()

@@ -64,3 +64,18 @@ def test_automl(frame):
     result = learn.automl(frame, "churned", "id", candidates=["logistic_regression", "random_forest"], n_trials=1, folds=2)
     assert result.metrics.first()["accuracy"] > 0.9
     assert {"prediction", "probability"} <= set(result.predict(frame.limit(5)).columns)
+
+
+def test_codes_of_classes_seen_and_unseen(spark):
+    seen = spark.createDataFrame([("b",), ("a",), ("b",), (None,)], "c string")
+    new = spark.createDataFrame([(1, "a"), (2, "z"), (3, None), (4, "b")], "id int, c string")
+    made = {r["id"]: r["code"] for r in reports.encoded(new, "c", reports.class_codes(seen, "c"), "code").collect()}
+    assert made == {1: 0.0, 2: -1.0, 3: -1.0, 4: 1.0}
+    back = reports.encoded(new, "c", reports.class_codes(seen, "c"), "code").select("id", reports.decoded(F.col("code"), ["a", "b"]).alias("d")).collect()
+    assert {r["id"]: r["d"] for r in back} == {1: "a", 2: None, 3: None, 4: "b"}
+
+
+def test_forest_doesn_t_depend_on_partitions(spark):
+    df = spark.range(400).select("id", F.sin("id").alias("v"), (F.col("id") % 9).cast("double").alias("w"))
+    fitted = [clean.IsolationForest(columns=["v", "w"], trees=7, sample=64, key="id").fit(df.repartition(n)).fitted for n in (1, 5)]
+    assert fitted[0] == fitted[1] and fitted[0]["sample"] == 64 and len(fitted[0]["trees"]) == 7
