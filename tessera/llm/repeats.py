@@ -3,7 +3,8 @@
 Every byte of a document that is covered by a LENGTH-byte string which starts anywhere else in the corpus, too, is
 marked and removed. The corpus is too large for one index, so it is dealt by content. The start of a string
 has a key: the least hash among the GRAM-byte grams of the LENGTH bytes there. Equal strings have equal keys, so a
-key's strings can be judged without any other's. Successive starts with one key make a segment (its bytes run from
+key's strings can be judged without any other's. A text of over PIECE bytes is taken in pieces that overlap by LENGTH - 1 bytes, so
+that every start is in one. Successive starts with one key make a segment (its bytes run from
 the first start to the end of the last string), and
   1. a segment whose key occurs nowhere else, nor twice in it, holds no repeat and is dropped by a count;
   2. equal segments are counted together, so that thousands of copies are one row, marked as a whole;
@@ -38,6 +39,8 @@ from .neardup import mix
 
 LENGTH = 400
 GRAM = 16
+#: Starts of a document that are hashed at once; a longer one is taken in pieces.
+PIECE = 1 << 20
 #: Bytes of segments for each block, about; half of it is the most that one key has in one block.
 BLOCK_BYTES = 2 << 20
 _P = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -67,14 +70,25 @@ def keys(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, gram: int
     return start, np.minimum(ahead[start], behind[start + w - 1]), h
 
 
-def _segments(batches, length: int):
+def _pieces(off: np.ndarray, length: int, piece: int):
+    """(i, j, first byte, last byte, whether it is a part of a document): documents i to j at once; of a document of over `piece` bytes, pieces of as many starts, with the bytes of the last string."""
+    for i, j in slices(off, piece):
+        if j - i > 1 or off[j] - off[i] <= piece + length - 1:
+            yield i, j, off[i], off[j], False
+            continue
+        for a in range(int(off[i]), int(off[j]), piece):
+            yield i, j, a, min(int(off[j]), a + piece + length - 1), True
+
+
+def _segments(batches, length: int, piece: int):
     """(row, text) -> (row, at, starts, key, h1, h2, twice): the segments of each text, with a 128-bit hash of their bytes and whether the key's gram is in them twice."""
     span = length - GRAM
     for batch in batches:
         data, off = utf8(batch.column("text"))
         rows = batch.column("row").to_numpy(zero_copy_only=False)
-        for i, j in slices(off):
-            part, here = data[off[i] : off[j]], off[i : j + 1] - off[i]
+        for i, j, low, high, is_part in _pieces(off, length, piece):
+            part = data[low:high]
+            here = np.array([0, high - low]) if is_part else off[i : j + 1] - low
             start, key, grams = keys(part, here, length)
             if not len(start):
                 continue
@@ -88,7 +102,7 @@ def _segments(batches, length: int):
             digest = b"".join(xxhash.xxh3_128_digest(view[a : a + m]) for a, m in zip(at.tolist(), (n + length - 1).tolist()))
             h = np.frombuffer(digest, np.int64).reshape(-1, 2)
             twice = np.fromiter((np.count_nonzero(grams[a : a + m + span] == k) > 1 for a, m, k in zip(at.tolist(), n.tolist(), key[first])), bool, len(at))
-            yield pa.RecordBatch.from_arrays([pa.array(rows[i + doc]), pa.array((at - here[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key[first].view(np.int64)), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(twice)], ["row", "at", "starts", "key", "h1", "h2", "twice"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows[i + doc]), pa.array((at - here[doc] + (low - off[i] if is_part else 0)).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(key[first].view(np.int64)), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(twice)], ["row", "at", "starts", "key", "h1", "h2", "twice"])
 
 
 def _cut(batches, length: int):
@@ -108,18 +122,19 @@ def _cut(batches, length: int):
 
 
 def suffix_order(symbols: np.ndarray) -> np.ndarray:
-    """The suffix array of 16-bit symbols that end in a unique one: ranks of doubled prefixes, sorted again only where they tie."""
+    """The suffix array of symbols of 16 or 32 bits that end in a unique one: ranks of doubled prefixes, sorted again only where they tie."""
     n = len(symbols)
-    padded = np.concatenate([symbols, np.zeros(4, np.uint16)]).astype(np.uint64)
+    bits, at_once = 8 * symbols.itemsize, 8 // symbols.itemsize
+    padded = np.concatenate([symbols, np.zeros(at_once, symbols.dtype)]).astype(np.uint64)
     rank = np.zeros(n, np.uint64)
-    for k in range(4):
-        rank = (rank << np.uint64(16)) | padded[k : k + n]
+    for k in range(at_once):
+        rank = (rank << np.uint64(bits)) | padded[k : k + n]
     order = np.argsort(rank)
     first = np.ones(n, bool)
     first[1:] = rank[order][1:] != rank[order][:-1]
     place = np.empty(n, np.int64)
     place[order] = np.maximum.accumulate(np.where(first, np.arange(n), 0))
-    width = 4
+    width = at_once
     while True:
         tied = np.flatnonzero(~(first & np.append(first[1:], True)))  # slots whose prefix isn't the only one
         if not len(tied):
@@ -140,7 +155,7 @@ def matching_statistics(symbols: np.ndarray) -> np.ndarray:
     """For each position, the longest match of what starts there with what starts anywhere else."""
     n = len(symbols)
     order = suffix_order(symbols)
-    before = np.where(order > 0, symbols[order - 1].astype(np.int32), -1)  # the transform
+    before = np.where(order > 0, symbols[order - 1].astype(np.int64), -1)  # the transform
     head = np.flatnonzero(before[1:] != before[:-1]) + 1  # the slots where a run begins; the slot before each ends one
     common = _common_prefix(symbols, order[head - 1], order[head])
     longest = np.zeros(n, np.int64)
@@ -155,7 +170,7 @@ def matching_statistics(symbols: np.ndarray) -> np.ndarray:
 
 def _common_prefix(symbols: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Lengths of the common prefixes of the suffixes at a and b, four symbols a step; unique symbols end them."""
-    words = np.lib.stride_tricks.sliding_window_view(np.concatenate([symbols, np.zeros(8, np.uint16)]), 4)
+    words = np.lib.stride_tricks.sliding_window_view(np.concatenate([symbols, np.zeros(8, symbols.dtype)]), 4)
     out = np.zeros(len(a), np.int64)
     live, x, y = np.arange(len(a)), a.copy(), b.copy()
     while len(live):
@@ -192,7 +207,7 @@ def _judge(block: pa.Table, length: int) -> pa.Table:
     raw, cut = utf8(pa.concat_arrays(block.column("bytes").chunks))
     lens, m = np.diff(cut), block.num_rows
     begin = cut[:-1] + np.arange(m)
-    symbols = np.zeros(len(raw) + m, np.uint16)
+    symbols = np.zeros(len(raw) + m, np.uint16 if 256 + m <= 1 << 16 else np.uint32)
     symbols[np.arange(len(raw)) + np.repeat(np.arange(m), lens)] = raw
     symbols[begin + lens] = 256 + np.arange(m)  # each segment ends in a symbol of its own
     longest = matching_statistics(symbols)
@@ -238,10 +253,10 @@ def _remove(batches, length: int):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_spans(source: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def repeated_spans(source: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES, piece: int = PIECE) -> DataFrame:
     """(row, text) with a unique row -> (row, marks): the runs [a, b) of starts whose length-byte string also starts elsewhere; rows without any are absent."""
     spark = source.sparkSession
-    segments = written(source.mapInArrow(lambda it: _segments(it, length), "row long, at int, starts int, key long, h1 long, h2 long, twice boolean"), "repeats-segments")
+    segments = written(source.mapInArrow(lambda it: _segments(it, length, piece), "row long, at int, starts int, key long, h1 long, h2 long, twice boolean"), "repeats-segments")
     kinds = segments.groupBy("key", "h1", "h2").agg(F.count("*").alias("copies"), F.min(F.struct("row", "at", "starts")).alias("place"), F.max("twice").alias("twice"))
     kinds = written(kinds.select("key", "h1", "h2", "copies", "place.row", "place.at", "place.starts", "twice"), "repeats-kinds")
     by_key = kinds.groupBy("key").agg(F.count("*").alias("n_kinds"), F.sum("copies").alias("n"), F.max("twice").alias("any_twice"), F.sum(F.col("starts") + (length - 1)).alias("n_bytes")).where("n > 1 OR any_twice")
@@ -264,7 +279,7 @@ def repeated_spans(source: DataFrame, length: int = LENGTH, block_bytes: int = B
     return marks.groupBy("row").agg(F.flatten(F.collect_list("runs")).alias("marks"))
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLOCK_BYTES, piece: int = PIECE) -> DataFrame:
     """(doc_id, text) -> (doc_id, n_bytes, n_removed, n_spans, kept_sha256), a row for each row."""
     counts = in_batches(docs).agg(F.count("*"), F.count("doc_id"), F.count_distinct("doc_id")).first()
     unique = counts[0] == counts[1] == counts[2]
@@ -272,6 +287,6 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, block_bytes: int = BLO
     source = docs.select(row.cast("long").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     if not unique:
         source = written(source, "repeats-rows")  # numbered once, so that a task that runs again finds the same numbers
-    marks = repeated_spans(source.select("row", "text"), length, block_bytes)
+    marks = repeated_spans(source.select("row", "text"), length, block_bytes, piece)
     joined = source.join(marks, "row", "left").select("doc_id", "text", "marks")
     return joined.mapInArrow(lambda it: _remove(it, length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 tessera_llm = pytest.importorskip("tessera.llm.queries")
@@ -56,11 +57,29 @@ def test_repeats_against_brute_force(spark):
                 gone[k : k + length] = True
         want[i] = (len(b), int(gone.sum()), int((gone & ~np.r_[False, gone[:-1]]).sum()) if len(b) else 0, hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~gone])).hexdigest())
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    for block in (1 << 20, 1 << 11):
-        assert {r[0]: tuple(r)[1:] for r in repeats.remove_repeats(df, length, block).collect()} == want
+    for block, piece in ((1 << 20, 1 << 20), (1 << 11, 1 << 20), (1 << 20, 37)):
+        assert {r[0]: tuple(r)[1:] for r in repeats.remove_repeats(df, length, block, piece).collect()} == want
     assert repeats.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_long_and_periodic_texts():
+    """Pieces have every start once; a text of one letter is many equal segments of bounded length."""
+    text = "".join(random.Random(4).choice("abcd") for _ in range(50_000)) + "x" * 30_000
+    batch = pa.RecordBatch.from_arrays([pa.array([5, 6]), pa.array([text, "short " * 90])], ["row", "text"])
+    whole, cut = (pa.Table.from_batches(list(repeats._segments(iter([batch]), 400, piece))).to_pylist() for piece in (1 << 20, 1000))
+    starts = lambda found: sorted((s["row"], s["at"] + k, s["key"]) for s in found for k in range(s["starts"]))
+    assert starts(whole) == starts(cut)
+    assert max(s["starts"] for s in cut) <= 1000 < max(s["starts"] for s in whole)
+
+
+def test_more_segments_than_16_bits_tell_apart():
+    m = 66_000
+    bytes_ = [b"%06d" % (k % 65_990) for k in range(m)]
+    block = pa.table({"key": pa.array(range(m)), "h1": pa.array(range(m)), "h2": pa.array(range(m)), "copies": pa.array([1] * m), "hot": pa.array([False] * m), "bytes": pa.array(bytes_, pa.binary())})
+    marked = [bool(r) for r in repeats._judge(block, 6).column("runs").to_pylist()]
+    assert marked == [k < 10 or k >= 65_990 for k in range(m)]
+
+
 def test_repeats_edges(odd):
     assert odd.count() == repeats.remove_repeats(odd).count()
 
