@@ -7,7 +7,7 @@ import re
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
-from ..operators import boosting, clean, components, features, information, learn, neighbours, profile
+from ..operators import boosting, clean, components, contributions, features, information, learn, neighbours, profile
 from .tables import LONG, NUM, SUMMARY, holes, read, rounded
 
 QUERIES: dict = {}
@@ -109,3 +109,15 @@ def _(spark, d):
     stages = [clean.Cleaner(ignore=["label"]), features.FeatureEngineer(labelCol="label", enable_binning=False, enable_interactions=False, skew_threshold=1e9), VectorAssembler(inputCols=names, outputCol="features"), learn.estimator("logistic_regression", "classification")]
     model = Pipeline(stages=stages).fit(plain)
     return learn.predict(model, plain, ["other", "returned"])
+
+
+@query("tree_importances")
+def _(spark, d):
+    """How much each column moves a boosted model's price of a line, by exact contributions of all lines."""
+    from pyspark.ml.regression import GBTRegressor
+
+    names = ["l_quantity", "l_discount", "l_tax", "day"]
+    df = read(spark, d, "lineitem").select("l_quantity", "l_discount", "l_tax", F.datediff("l_shipdate", F.lit("1992-01-01")).cast("double").alias("day"), F.col("l_extendedprice").alias("label"))
+    made = VectorAssembler(inputCols=names, outputCol="features").transform(df).select("features", "label")
+    model = GBTRegressor(maxIter=5, maxDepth=3, seed=42).fit(made)
+    return contributions.global_importances(contributions.tree_contributions(model, made), names)
