@@ -32,7 +32,11 @@ def quantiles(rows: DataFrame, probabilities: list[float]) -> DataFrame:
     counts = inside.groupBy("column", "i", "place", F.when(F.col("value") >= F.col("low"), F.col("value")).alias("value")).agg(F.count("*").alias("n"))
     upto = F.sum("n").over(Window.partitionBy("column", "i").orderBy(F.asc_nulls_first("value")))
     first = lambda k: F.min(F.when(F.col("upto") > k, F.col("value")))
-    ends = counts.withColumn("upto", upto).groupBy("column", "i", "place").agg(first(F.floor("place")).alias("a"), first(F.ceil("place")).alias("b"))
+    # what lies below the bracket must end before the quantile's place, and what lies in it must reach it
+    below = F.coalesce(F.max(F.when(F.col("value").isNull(), F.col("upto"))), F.lit(0))
+    ends = counts.withColumn("upto", upto).groupBy("column", "i", "place").agg(first(F.floor("place")).alias("a"), first(F.ceil("place")).alias("b"), below.alias("below"))
+    held = (F.col("below") <= F.floor("place")) & F.col("b").isNotNull()
+    ends = ends.withColumn("a", F.when(held, F.col("a")).otherwise(F.raise_error(F.lit("a quantile isn't in the bracket that its sketch gave")).cast("double")))
     q = F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((F.ceil("place") - F.col("place")) * F.col("a") + (F.col("place") - F.floor("place")) * F.col("b"))
     pairs = F.array_sort(F.collect_list(F.struct("i", q.alias("q"))))
     return ends.groupBy("column").agg(F.transform(pairs, lambda x: x["q"]).alias("q"))

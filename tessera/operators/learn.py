@@ -7,7 +7,6 @@ import time
 from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
-import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark import inheritable_thread_target
 from pyspark.errors import PySparkException
@@ -22,12 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import entropy, free_name, long_numbers, number, quoted, shared_path
+from ..functions.blocks import sound
 from ..functions.ranks import hash_ranks, quantiles, running_sums
 from .boosting import HistogramBoosting
 from .clean import Cleaner, OutlierCap
 from .features import FeatureEngineer, FeatureSelector
 from .kernels import KernelSVM
-from .neighbours import KNN
+from .neighbours import KNN, Index
 from .reports import MAX_CLASSES, leakage, leakage_summary
 from .series import RANGE_ROWS, numbered
 
@@ -225,7 +225,8 @@ def estimator(name: str, task: str, n_classes: int = 2, seed: int = 42, features
     raise ValueError(f"no model is called {name}")
 
 
-CANDIDATES = {"classification": ["logistic_regression", "random_forest", "gradient_boosting", "svm", "knn"], "regression": ["ridge", "elastic_net", "random_forest", "gradient_boosting", "svm", "knn"]}
+_FOR_BOTH = ["random_forest", "xgboost", "lightgbm", "gradient_boosting", "hist_gradient_boosting", "svm", "knn"]
+CANDIDATES = {"classification": ["logistic_regression", *_FOR_BOTH], "regression": ["ridge", "elastic_net", *_FOR_BOTH]}
 
 
 def cv_score(df: DataFrame, task: str, model, folds: int) -> float:
@@ -391,56 +392,18 @@ def _vote(pairs: DataFrame, k: int, weighted: bool = False) -> DataFrame:
     return voted(near, weighted)
 
 
-def _nearest_others(q_id: np.ndarray, q: np.ndarray, t_id: np.ndarray, t: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each query its k nearest rows of t with another id, by distance and id: (query, row of t, distance)."""
-    if not len(t):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    tt, qq = (t * t).sum(1), (q * q).sum(1)
-    rough = qq[:, None] + tt[None, :] - 2 * (q @ t.T)
-    rough[q_id[:, None] == t_id[None, :]] = np.inf
-    kth = np.partition(rough, min(k, len(t)) - 1, axis=1)[:, min(k, len(t)) - 1]
-    a, b = np.nonzero((rough <= (kth + 1e-9 * (qq + tt.max()))[:, None]) & np.isfinite(rough))
-    d = np.sqrt(((q[a] - t[b]) ** 2).sum(1))  # as knn() computes it; the product only preselects
-    order = np.lexsort((t_id[b], d, a))
-    a, b, d = a[order], b[order], d[order]
-    take = np.arange(len(a)) - np.searchsorted(a, a) < k
-    return a[take], b[take], d[take]
+def knn_others(df: DataFrame, k: int = 5, query_rows: int = 16_384) -> DataFrame:
+    """(id, v, label), ids unique -> (id, pred) for every row, from its k exact nearest other rows, found by a pivot index; query_rows: queries of a group that meets a slice.
 
-
-def knn_others(df: DataFrame, k: int = 5, query_rows: int = 8192) -> DataFrame:
-    """(id, v, label), ids unique -> (id, pred) for every row, from its k exact nearest other rows.
-
-    About query_rows queries are broadcast at a time and held against the whole table, so the work grows with the square of the rows.
-    Rows without an id or with a vector that is null, or not all finite, neither ask nor answer; a table of one row has no predictions.
+    Rows without an id or with a vector that is null, not all finite, or of another length than the first, neither ask nor answer; a table of one row has no predictions.
     """
-    spark = df.sparkSession
-    rows = df.where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & (F.abs(x) < float("inf")))).select("id", F.col("v").cast("array<double>").alias("v"), "label")
-    n = max(1, -(-rows.count() // query_rows))
-    kind = f"q long, id long, label {df.schema['label'].dataType.simpleString()}, d double"
-    folder = shared_path(spark, "knn")
-    matrix = lambda column: np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float64)
-    for i in range(n):
-        block = rows.where(F.pmod(F.xxhash64("id"), F.lit(n)) == i).select("id", "v").toArrow().combine_chunks()
-        asked = None
-        if block.num_rows:
-            asked = block.column("id").to_numpy().astype(np.int64), matrix(block.column("v"))
-        shared = spark.sparkContext.broadcast(asked)
-
-        def search(batches, shared=shared):
-            if shared.value is None:
-                return
-            q_id, q = shared.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                t_id, t, label = batch.column("id").to_numpy().astype(np.int64), matrix(batch.column("v")), batch.column("label")
-                for at in range(0, len(q_id), 512):
-                    a, b, d = _nearest_others(q_id[at : at + 512], q[at : at + 512], t_id, t, k)
-                    yield pa.RecordBatch.from_arrays([pa.array(q_id[at + a]), pa.array(t_id[b]), label.take(pa.array(b)), pa.array(d)], ["q", "id", "label", "d"])
-
-        _vote(rows.mapInArrow(search, kind), k).write.mode("append").parquet(folder)
-        shared.unpersist()
-    return spark.read.parquet(folder)
+    rows = df.where(F.col("id").isNotNull() & F.col("v").isNotNull()).select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"), "label")
+    first = rows.select(F.size("v")).first()
+    rows = rows.where(sound(F.col("v"), first[0] if first else 0))
+    if rows.isEmpty():
+        return df.sparkSession.createDataFrame([], f"id long, pred {df.schema['label'].dataType.simpleString()}")
+    index = Index.build(rows, 2, shared_path(df.sparkSession, "knn-index"))
+    return voted(index.nearest(rows.select(F.col("id").alias("q"), "v"), k, group_rows=query_rows, others=True))
 
 
 # --- end to end
