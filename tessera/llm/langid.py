@@ -39,11 +39,10 @@ MAX_TRAIN_DOCS = 5_000
 ROUNDS = 2
 #: Distinct words whose likelihoods a worker remembers.
 REMEMBERED = 150_000
-#: Number signs that aren't decimal digits (½, ², Ⅷ), which \w takes as well; there are none behind this range.
-_NUMBERS = "".join(c for c in map(chr, range(0x20000)) if unicodedata.category(c) in ("Nl", "No"))
-#: Letters, that is characters of category L.
-_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
-#: What _WORD matches one of, for Spark.
+_WORD = re.compile(r"[^\W\d_]+")
+#: Number signs that aren't decimal digits (½, ², Ⅷ), which _WORD takes as well; there are none behind this range.
+_NUMBER = re.compile(f"[{''.join(c for c in map(chr, range(0x20000)) if unicodedata.category(c) in ('Nl', 'No'))}]")
+#: What words() finds one of, for Spark: characters of category L.
 _HAS_WORD = r"\p{L}"
 
 
@@ -57,7 +56,7 @@ def vocabulary(path: str) -> list[bytes]:
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)):
             text = model.id_to_piece(i)
             raw = text.replace("▁", " ").encode()
-            if text == text.lower() and _WORD.fullmatch(text.removeprefix("▁") or "a"):
+            if text == text.lower() and _WORD.fullmatch(text.removeprefix("▁") or "a") and not _NUMBER.search(text):
                 found.add(raw)
     return sorted(found)
 
@@ -181,7 +180,9 @@ def expected_counts(trie: Trie, prob: np.ndarray, words: list[bytes], weight: np
 
 
 def _words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Runs of letters, that is of characters of category L, in lower case."""
+    text = text.lower()
+    return _WORD.findall(text if text.isascii() else _NUMBER.sub(" ", text))
 
 
 def _taught(text: str):
