@@ -41,7 +41,7 @@ ROUNDS = 2
 REMEMBERED = 150_000
 _WORD = re.compile(r"[^\W\d_]+")
 #: Number signs that aren't decimal digits (½, ², Ⅷ), which _WORD takes as well; there are none behind this range.
-_NUMBER = re.compile(f"[{''.join(c for c in map(chr, range(0x20000)) if unicodedata.category(c) in ('Nl', 'No'))}]")
+_NUMBERS = frozenset(c for c in map(chr, range(0x20000)) if unicodedata.category(c) in ("Nl", "No"))
 #: What words() finds one of, for Spark: characters of category L.
 _HAS_WORD = r"\p{L}"
 
@@ -56,7 +56,7 @@ def vocabulary(path: str) -> list[bytes]:
         if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i)):
             text = model.id_to_piece(i)
             raw = text.replace("▁", " ").encode()
-            if text == text.lower() and _WORD.fullmatch(text.removeprefix("▁") or "a") and not _NUMBER.search(text):
+            if text == text.lower() and _WORD.fullmatch(text.removeprefix("▁") or "a") and _NUMBERS.isdisjoint(text):
                 found.add(raw)
     return sorted(found)
 
@@ -182,7 +182,9 @@ def expected_counts(trie: Trie, prob: np.ndarray, words: list[bytes], weight: np
 def _words(text: str) -> list[str]:
     """Runs of letters, that is of characters of category L, in lower case."""
     text = text.lower()
-    return _WORD.findall(text if text.isascii() else _NUMBER.sub(" ", text))
+    if not text.isascii() and not _NUMBERS.isdisjoint(text):
+        text = "".join(" " if c in _NUMBERS else c for c in text)
+    return _WORD.findall(text)
 
 
 def _taught(text: str):
