@@ -46,7 +46,7 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS = 32
 ROWS = 4
-#: Ids that are broadcast at most; more are joined by a shuffle.
+#: Ids, or pairs of them, that are broadcast at most; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 1_000_000
 #: Leaders of a bucket in the second round.
 LEADERS = 64
@@ -263,7 +263,7 @@ def _similar(batches, least: float, measure: bool):
             yield pa.RecordBatch.from_arrays([pa.array(v) for v in out.values()], list(out))
 
 
-def _judged(pairs: DataFrame, sets: DataFrame, similarity: float, measure: bool) -> DataFrame:
+def _judged(pairs: DataFrame, sets: DataFrame, similarity: float, measure: bool, max_broadcast: int = MAX_BROADCAST_IDS) -> DataFrame:
     """(lead, follow, and to measure lead_fame, follow_fame) -> (a, b, linked, ..), a < b, a row for each two texts of a pair.
 
     Followers bring their elements to their leader's task, where its own come first and once. The followers of a leader that has more than FOLLOWERS, and at
@@ -272,13 +272,14 @@ def _judged(pairs: DataFrame, sets: DataFrame, similarity: float, measure: bool)
     pairs = written(pairs, "neardup-pairs")
     counts = pairs.groupBy("lead").agg(F.count("*").alias("n"))
     total = pairs.count()
+    few = F.broadcast if total <= max_broadcast else (lambda df: df)  # then elements are shuffled to their leader only, not to the pairs first
     large = counts.where(F.col("n") > max(FOLLOWERS, total / 1000)).select(F.col("lead").alias("__lead"), F.ceil(F.col("n") / max(FOLLOWERS, total // 1000)).cast("int").alias("slices"))
     sliced = lambda df: df.join(F.broadcast(large), F.col("lead") == F.col("__lead"), "left").withColumn("slices", F.coalesce("slices", F.lit(1))).drop("__lead")
     fames = ["lead_fame", "follow_fame"] if measure else []
     followers = sliced(pairs).select("lead", F.pmod(F.xxhash64("follow", F.lit("slice")), F.col("slices")).cast("int").alias("slice"), "follow", *fames)
-    followers = followers.join(sets, F.col("follow") == F.col("rep")).select("lead", "slice", "follow", "codes", "weights", *fames)
+    followers = sets.join(few(followers), F.col("follow") == F.col("rep")).select("lead", "slice", "follow", "codes", "weights", *fames)
     leaders = sliced(counts.select("lead")).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
-    leaders = leaders.join(sets, F.col("lead") == F.col("rep")).select("lead", "slice", F.lit(None).cast("long").alias("follow"), "codes", "weights", *[F.lit(0).cast("long").alias(c) for c in fames])
+    leaders = sets.join(few(leaders), F.col("lead") == F.col("rep")).select("lead", "slice", F.lit(None).cast("long").alias("follow"), "codes", "weights", *[F.lit(0).cast("long").alias(c) for c in fames])
     dealt = leaders.unionByName(followers).repartition("lead", "slice").sortWithinPartitions("lead", "slice", F.col("follow").asc_nulls_first())
     more = ", a_fame long, b_fame long, a_size long, b_size long, common long, a_bits array<long>, b_bits array<long>" if measure else ""
     return dealt.mapInArrow(lambda it: _similar(it, similarity, measure), "a long, b long, linked boolean" + more)
@@ -458,7 +459,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, similarity: float =
         if tested is not None:
             done = tested.select(F.col("a").alias("__a"), F.col("b").alias("__b"))
             pairs = pairs.join(done, (F.least("lead", "follow") == F.col("__a")) & (F.greatest("lead", "follow") == F.col("__b")), "left_anti")
-        judged = _judged(pairs, sets, similarity, first)
+        judged = _judged(pairs, sets, similarity, first, max_broadcast_ids)
         found = F.max("linked").alias("linked")
         if first:
             measures = ["a_fame", "b_fame", "a_size", "b_size", "common", "a_bits", "b_bits"]

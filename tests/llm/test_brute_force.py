@@ -161,6 +161,8 @@ def test_near_duplicate_classes(spark):
                 root[y] = x
     got = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {i: top(i) for i in ids}
+    shuffled = neardup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), max_broadcast_ids=0)
+    assert {r["doc_id"]: r["class_id"] for r in shuffled.collect()} == got
 
 
 def test_another_batch_under_a_name_is_refused(spark, tmp_path):
