@@ -58,8 +58,8 @@ def interaction_ranks(df: DataFrame, columns: list[str], target: Column, pair_sc
 
 def frequencies(df: DataFrame, column: str) -> DataFrame:
     """(value, freq): the share of rows of each value; null is a value."""
-    n = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    return df.groupBy(quoted(column).cast("string").alias("value")).agg(F.count("*").alias("n")).select("value", (F.col("n") / n).alias("freq"))
+    counts = df.groupBy(quoted(column).cast("string").alias("value")).agg(F.count("*").alias("n"))
+    return counts.crossJoin(F.broadcast(counts.agg(F.sum("n").alias("__sum")))).select("value", (F.col("n") / F.col("__sum")).alias("freq"))  # one row
 
 
 #: Values of a column whose frequencies the model holds; those of columns with more are a table, written where spark.checkpoint.dir says, and saved with the model.

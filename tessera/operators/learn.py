@@ -118,8 +118,9 @@ def stratified_cap(df: DataFrame, label: str, key: Column, most: int = 500, seed
 
 def class_weights(df: DataFrame, target: str) -> DataFrame:
     """(class, n, weight): n / (k n_c)."""
-    w = Window.partitionBy(F.lit(0))
-    return class_counts(df, target).select("class", "n", (F.sum("n").over(w) / (F.count("*").over(w) * F.col("n"))).alias("weight"))
+    counts = class_counts(df, target)
+    whole = counts.agg(F.sum("n").alias("__sum"), F.count("*").alias("__k"))  # one row
+    return counts.crossJoin(F.broadcast(whole)).select("class", "n", (F.col("__sum") / (F.col("__k") * F.col("n"))).alias("weight"))
 
 
 # --- metrics (over columns y and pred)
@@ -485,6 +486,7 @@ def shapley(score, rows: DataFrame, background: DataFrame, features: list[str],
     rows and random orders of the features; a feature's contribution is the mean change as it goes from theirs to its own.
     """
     _at_most(background, MAX_QUERIES, "background rows; take a sample")
+    _at_most(rows, MAX_QUERIES, "rows; contributions.tree_contributions explains whole tables")
     rng = np.random.default_rng(seed)
     orders = [[int(i) for i in rng.permutation(len(features))] for _ in range(n_perm)]
     spark = rows.sparkSession

@@ -12,14 +12,12 @@ from ..functions.ranks import quantiles, running_sums
 from .profile import correlations, distinct_counts, distinct_sketches, duplicate_rows, missing, numeric_summary, pearson
 from .text import tokens
 
-ALL = lambda: Window.partitionBy(F.lit(0))  # noqa: E731  over the few rows of a report
-
 
 def class_balance(df: DataFrame, target: str) -> DataFrame:
     """(value, n, share, n_classes, majority_share, imbalanced): null is a value, but no class."""
     counts = df.groupBy(quoted(target).cast("string").alias("value")).agg(F.count("*").alias("n"))
-    top = F.max("n").over(ALL()) / F.sum("n").over(ALL())
-    return counts.select("value", "n", F.round(F.col("n") / F.sum("n").over(ALL()), 4).alias("share"), F.count("value").over(ALL()).alias("n_classes"), F.round(top, 4).alias("majority_share"), (top > 0.7).alias("imbalanced"))
+    whole = counts.agg(F.sum("n").alias("__sum"), (F.max("n") / F.sum("n")).alias("__top"), F.count("value").alias("n_classes"))  # one row
+    return counts.crossJoin(F.broadcast(whole)).select("value", "n", F.round(F.col("n") / F.col("__sum"), 4).alias("share"), "n_classes", F.round("__top", 4).alias("majority_share"), (F.col("__top") > 0.7).alias("imbalanced"))
 
 
 #: Classes of a target at most.
@@ -209,8 +207,8 @@ def quality_suggestions(scores: DataFrame) -> DataFrame:
 def label_profile(df: DataFrame, label: str) -> DataFrame:
     """(label, n, share, imbalanced)"""
     counts = df.groupBy(quoted(label).alias("label")).agg(F.count("*").alias("n"))
-    share = F.col("n") / F.sum("n").over(ALL())
-    return counts.select("label", "n", F.round(share, 4).alias("share"), (F.max("n").over(ALL()) / F.sum("n").over(ALL()) > 0.7).alias("imbalanced"))
+    whole = counts.agg(F.sum("n").alias("__sum"), (F.max("n") / F.sum("n") > 0.7).alias("imbalanced"))  # one row
+    return counts.crossJoin(F.broadcast(whole)).select("label", "n", F.round(F.col("n") / F.col("__sum"), 4).alias("share"), "imbalanced")
 
 
 def label_quality(df: DataFrame, label: str) -> DataFrame:

@@ -391,9 +391,22 @@ def _(spark, d):
     return reports.duplicate_features(read(spark, d, "lineitem").select("l_quantity", "l_extendedprice", (2 * F.col("l_quantity") + F.col("l_tax")).alias("twice")))
 
 
-@query("leak_report")
+_ORDERS = ["o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority", "o_totalprice"]
+_LEAKS = (
+    "WITH c AS (SELECT *, dense_rank() OVER (ORDER BY o_orderstatus) - 1 AS code FROM orders), u AS (" + " UNION ALL ".join(f"SELECT '{c}' AS name, count(DISTINCT {c}) / count(*) AS share FROM orders" for c in _ORDERS) + "), "
+    "ids AS (SELECT name FROM u WHERE share >= 0.95), r AS (" + " UNION ALL ".join(f"SELECT '{c}' AS name, abs(corr({c}, code)) AS r FROM c" for c in ("o_orderkey", "o_custkey", "o_totalprice")) + "), "
+    "leaks AS (SELECT name FROM r WHERE r >= 0.98), same AS (" + " UNION ALL ".join(f"SELECT '{c}' AS name, bool_and(CAST({c} AS VARCHAR) = o_orderstatus) AS same FROM orders" for c in _ORDERS) + "), copies AS (SELECT name FROM same WHERE same), "
+    "twins AS (" + " UNION ALL ".join(f"SELECT abs(corr({a}, {b})) AS r FROM orders" for a, b in (("o_orderkey", "o_custkey"), ("o_orderkey", "o_totalprice"), ("o_custkey", "o_totalprice"))) + "), "
+    "d AS (SELECT name FROM ids UNION SELECT name FROM leaks UNION SELECT name FROM copies) "
+    "SELECT coalesce((SELECT string_agg(name, ',' ORDER BY name) FROM d), '') AS dropped, (SELECT count(*) > 0 FROM d) AS detected, (SELECT count(*) FROM ids) + (SELECT count(*) FROM leaks) + (SELECT count(*) FROM copies) + (SELECT count(*) FROM twins WHERE r >= 0.999) + 1 AS n_issues"
+)
+
+
+@query("leak_report", _LEAKS)
 def _(spark, d):
-    return reports.leakage_summary(reports.leakage(read(spark, d, "orders"), "o_orderstatus", "classification"))
+    """The order's date is an issue by itself."""
+    found = reports.leakage_summary(reports.leakage(read(spark, d, "orders").select("o_orderstatus", *_ORDERS), "o_orderstatus", "classification"))
+    return found.select(F.array_join("drop", ",").alias("dropped"), "detected", "n_issues")
 
 
 _COLUMNS = ["l_orderkey", "l_linenumber", *NUM, "l_returnflag", "l_linestatus", "l_shipdate"]
