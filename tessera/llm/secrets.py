@@ -23,7 +23,9 @@ taken whole, whatever their length; an empty table has no rows; extra columns ar
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -72,6 +74,9 @@ def _mixed(s: str) -> bool:
 def candidates(text: str, base: list[tuple[str, int, int]], min_length: int = MIN_LENGTH, reach: int = REACH, around: int = AROUND) -> list[tuple[int, str, str, str]]:
     """(start, string, context before, context after)"""
     out, done = [], 0
+    starts, reached = [a for _, a, _ in base], list(accumulate((b for _, _, b in base), max))
+    # base is sorted by start: does one that begins before b end after a?
+    touches = lambda a, b: (k := bisect_left(starts, b)) > 0 and reached[k - 1] > a
     for word in SENSITIVE.finditer(text):
         # what begins in the reach of an earlier word has been looked at
         for m in CANDIDATE.finditer(text, max(word.end(), done)):
@@ -79,7 +84,7 @@ def candidates(text: str, base: list[tuple[str, int, int]], min_length: int = MI
                 break
             done = m.end()
             start, s = m.start(), m[0].rstrip(".=-")
-            if len(s) < min_length or not _mixed(s) or any(a < start + len(s) and start < b for _, a, b in base):
+            if len(s) < min_length or not _mixed(s) or touches(start, start + len(s)):
                 continue
             out.append((start, s, text[max(0, start - around) : start], text[start + len(s) : start + len(s) + around]))
     return out

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -206,3 +207,16 @@ def test_secrets_novelty(spark):
     assert all(got[100 + i] == f"novel:{at}:{at + len(RANDOM)}" for i in range(40))  # many copies of one leak are all found
     assert got[202] == f"novel:7:{7 + len(RANDOM)}"
     assert all(not got[i] for i in (*range(60), 200, 201, 203))
+
+
+def test_many_secrets_in_one_text_take_linear_time():
+    def seconds(n):
+        begun = time.process_time()
+        text = "token=abcdef12 x token: 9f8e7d6c5b4a3f2e1d0c " * n
+        secrets.candidates(text, secrets.base_spans(text))
+        return time.process_time() - begun
+
+    seconds(200)
+    assert seconds(16_000) < 20 * max(seconds(2000), 0.02)
+    text = f"password = hunter22, secret {RANDOM} token: abcdefgh1"
+    assert [c[:2] for c in secrets.candidates(text, secrets.base_spans(text))] == [(text.index(RANDOM), RANDOM)]
