@@ -7,7 +7,8 @@ than the k-th neighbour in the plane of both, in the larger of the two distances
 
 Columns are taken apart into their distinct values with counts, so that a value of a third of the rows is one row. Neighbours
 within a class are found by windows over ranges with halos in both directions, and how many values lie up to a place by sums of
-ranges: no task orders a whole column. No noise is added to break ties.
+ranges: no task orders a whole column. Tables of values are small as files and large in memory, so that joins of two of them are
+told to sort and not to broadcast. No noise is added to break ties.
 
 Defined cases: rows without a value or target don't count; a class of one row doesn't count; a column or target without variance, or with
 fewer than two rows left, has no information (0); what comes out below zero is zero.
@@ -52,7 +53,7 @@ def within(levels: DataFrame, asked: DataFrame, ranges: int = 32) -> DataFrame:
     ends = asked.select("column", "value", "r", F.explode(F.array(F.struct(F.lit(1).alias("sign"), (F.col("value") + less).alias("at")), F.struct(F.lit(-1).alias("sign"), (F.col("value") - less).alias("at")))).alias("e")).select("column", "value", "r", "e.*")
     places = levels.select("column", F.col("value").alias("at"), "n").unionByName(ends.select("column", "at", F.lit(0).cast("long").alias("n"))).groupBy("column", "at").agg(F.sum("n").alias("n"))
     sums = running_sums(places, "column", "at", ["n"], ranges).select(F.col("column").alias("__c"), F.col("at").alias("__at"), F.col("n").alias("__n"), "upto_n")
-    met = ends.join(sums, (F.col("column") == F.col("__c")) & (F.col("at") == F.col("__at")))
+    met = ends.join(sums.hint("merge"), (F.col("column") == F.col("__c")) & (F.col("at") == F.col("__at")))
     upto = F.when(F.col("sign") == 1, F.col("upto_n")).otherwise(F.col("__n") - F.col("upto_n"))
     return met.groupBy("column", "value", "r").agg(F.sum(upto).alias("inside"))
 
@@ -73,7 +74,7 @@ def class_information(df: DataFrame, columns: list[str], target: str, k: int = N
     reached = F.aggregate("others", start, lambda acc, x: F.struct((acc["met"] + x["n"]).alias("met"), F.coalesce(acc["r"], F.when(acc["met"] + x["n"] >= F.col("k"), x["d"])).alias("r")))
     radius = _kept(both.withColumns({"others": others, "k": wanted}).select("column", "y", "value", "n", "of", "k", reached["r"].alias("r")), "information-radius")
     inside = within(radius.groupBy("column", "value").agg(F.sum("n").alias("n")), radius.select("column", "value", "r").distinct())
-    met = radius.join(inside.select(F.col("column").alias("__c"), F.col("value").alias("__v"), F.col("r").alias("__r"), "inside"), (F.col("column") == F.col("__c")) & (F.col("value") == F.col("__v")) & (F.col("r") == F.col("__r")))
+    met = radius.join(inside.select(F.col("column").alias("__c"), F.col("value").alias("__v"), F.col("r").alias("__r"), "inside").hint("merge"), (F.col("column") == F.col("__c")) & (F.col("value") == F.col("__v")) & (F.col("r") == F.col("__r")))
     mean = lambda c: F.sum(F.col("n") * psi(c.cast("double"))) / F.sum("n")
     score = psi(F.sum("n").cast("double")) + mean(F.col("k")) - mean(F.col("of")) - mean(F.col("inside"))
     found = met.groupBy("column").agg(F.greatest(score, F.lit(0.0)).alias("score"), F.max("n"))
@@ -92,9 +93,9 @@ def number_information(df: DataFrame, columns: list[str], target: str, k: int =
         index = Index.build(rows, 0, shared_path(spark, "information-index"))
         near = index.nearest(rows.select(F.col("id").alias("q"), "v"), min(k, n - 1), others=True)
         radius = near.groupBy("q").agg(F.max("d").alias("r"))
-        sides = _kept(rows.join(radius, F.col("id") == F.col("q")).select("r", F.inline(F.array(*[F.struct(F.lit(s).alias("column"), F.col("v")[i].alias("value")) for i, s in enumerate("ab")]))).groupBy("column", "value", "r").agg(F.count("*").alias("n")), "information-sides")
+        sides = _kept(rows.join(radius.hint("merge"), F.col("id") == F.col("q")).select("r", F.inline(F.array(*[F.struct(F.lit(s).alias("column"), F.col("v")[i].alias("value")) for i, s in enumerate("ab")]))).groupBy("column", "value", "r").agg(F.count("*").alias("n")), "information-sides")
         inside = within(sides.groupBy("column", "value").agg(F.sum("n").alias("n")), sides.select("column", "value", "r"))
-        met = sides.join(inside.select(F.col("column").alias("__c"), F.col("value").alias("__v"), F.col("r").alias("__r"), "inside"), (F.col("column") == F.col("__c")) & (F.col("value") == F.col("__v")) & (F.col("r") == F.col("__r")))
+        met = sides.join(inside.select(F.col("column").alias("__c"), F.col("value").alias("__v"), F.col("r").alias("__r"), "inside").hint("merge"), (F.col("column") == F.col("__c")) & (F.col("value") == F.col("__v")) & (F.col("r") == F.col("__r")))
         both = met.groupBy("column").agg((F.sum(F.col("n") * psi(F.col("inside").cast("double"))) / F.sum("n")).alias("m"))
         score = both.agg(F.greatest(psi(F.lit(float(n))) + psi(F.lit(float(min(k, n - 1)))) - F.sum("m"), F.lit(0.0)).alias("score"))
         found.append(score.select(F.lit(c).alias("column"), "score"))
