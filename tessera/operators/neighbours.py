@@ -8,6 +8,9 @@ meets those other cells only whose bounds are within its k-th distance. Both rou
 slice and streams its queries, and sends k rows back for each. Queries of one slice are dealt into groups, so that a
 cell that many queries ask for is met by many tasks.
 
+In many dimensions most cells are met. There (p 2, PACKED components or more) small cells that are near each other are packed up to slice_rows
+rows, and a query is sent once to a pack of which it meets a cell, so that queries are copied n / slice_rows times, and not once for each cell.
+
 Distances are of Minkowski's order p: 1, 2, or 0 for the largest difference. Ties go to the smaller number of a training row, votes that are equal to the smaller label.
 
 Defined cases: rows whose vector is null, of another length than most training rows' (the first's), or not all finite, take no part
@@ -32,9 +35,13 @@ from ..functions.blocks import matrix, sound
 from .clean import _Fitted, _Fitting
 
 #: Rows of a slice, queries of a group, and pivots at most (about the root of the rows).
-SLICE_ROWS, GROUP_ROWS, MAX_PIVOTS = 4096, 16_384, 2048
+SLICE_ROWS, GROUP_ROWS, MAX_PIVOTS = 8192, 16_384, 2048
+#: Components from which Euclidean distances are first taken by a product of matrices, and cells are packed.
+PACKED = 8
 #: What rounding may add to a distance, as a part of it.
 ROUNDING = 1e-9
+#: What a product of matrices may round, for each component, as a part of the largest squares.
+SQUARES = 1e-15
 
 
 def distances(a: np.ndarray, b: np.ndarray, p: int, block: int = 1 << 22) -> np.ndarray:
@@ -47,6 +54,49 @@ def distances(a: np.ndarray, b: np.ndarray, p: int, block: int = 1 << 22) -> np.
     return out
 
 
+def near_pairs(q: np.ndarray, x: np.ndarray, k: int, p: int, same: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of q, rows of x, d): all pairs that may be among the k nearest of a row of q, their distances as distances() has them.
+
+    Euclidean ones are first taken as |q|^2 + |x|^2 - 2 q x, one product of matrices; what it rounds is less than SQUARES of the largest
+    terms, so that only pairs within twice that of the k-th are computed exactly. same: pairs that don't count.
+    """
+    m = min(k, len(x))
+    if p != 2 or q.shape[1] < PACKED:
+        d = distances(q, x, p)
+        if same is not None:
+            d[same] = np.inf
+        a, b = np.nonzero((d <= np.partition(d, m - 1, axis=1)[:, m - 1 : m]) & np.isfinite(d))
+        return a, b, d[a, b]
+    of_q, of_x = (q * q).sum(1), (x * x).sum(1)
+    with np.errstate(over="ignore", invalid="ignore"):
+        about = of_q[:, None] + of_x - 2 * (q @ x.T)
+        error = SQUARES * q.shape[1] * (of_q + of_x.max())
+    if not np.isfinite(about).all():
+        error[:], about = np.inf, np.zeros_like(about)  # beyond double precision: every pair is computed exactly
+    if same is not None:
+        about[same] = np.inf
+    kth = np.partition(about, m - 1, axis=1)[:, m - 1]
+    a, b = np.nonzero((about <= (kth + 2 * error)[:, None]) & np.isfinite(about))
+    d = np.empty(len(a))
+    for i in range(0, len(a), 1 << 16):
+        apart = np.abs(q[a[i : i + (1 << 16)]] - x[b[i : i + (1 << 16)]])
+        d[i : i + (1 << 16)] = np.sqrt((apart * apart).sum(1))
+    return a, b, d
+
+
+def packs(pivots: np.ndarray, size: np.ndarray, p: int, slice_rows: int) -> np.ndarray:
+    """The pack of each cell: cells in a chain of nearest pivots, as many as have slice_rows rows between them; in few dimensions each by itself."""
+    if p != 2 or pivots.shape[1] < PACKED:
+        return np.arange(len(pivots))
+    out, pack, rows, at, left = np.zeros(len(pivots), int), 0, 0, 0, np.ones(len(pivots), bool)
+    for _ in range(len(pivots)):
+        if rows and rows + size[at] > slice_rows:
+            pack, rows = pack + 1, 0
+        out[at], rows, left[at] = pack, rows + size[at], False
+        at = int(np.where(left, distances(pivots[at : at + 1], pivots, p)[0], np.inf).argmin())
+    return out
+
+
 def pieces(batches, rows: int = 1024):
     """The batches, in pieces of at most that many rows."""
     for batch in batches:
@@ -89,19 +139,21 @@ class Index:
         cells = {r["cell"]: r for r in dealt.groupBy("cell").agg(F.max("far").alias("radius"), F.count("*").alias("n")).collect()}
         radius = np.array([cells[c]["radius"] if c in cells else 0.0 for c in range(len(pivots))])
         size = np.array([cells[c]["n"] if c in cells else 0 for c in range(len(pivots))])
-        slices = spark.createDataFrame([(c, max(1, -(-int(k) // slice_rows))) for c, k in enumerate(size)], "cell int, slices int")
+        pack = packs(pivots, size, p, slice_rows)
+        rows_of = np.bincount(pack, size)
+        slices = spark.createDataFrame([(c, int(k), max(1, -(-int(rows_of[k]) // slice_rows))) for c, k in enumerate(pack)], "cell int, pack int, slices int")
         # a row a pivot
-        sliced = dealt.join(F.broadcast(slices), "cell").withColumn("slice", F.pmod(F.xxhash64("id", F.lit(7)), F.col("slices")).cast("int"))
+        sliced = dealt.join(F.broadcast(slices), "cell").withColumn("cell", F.col("pack")).withColumn("slice", F.pmod(F.xxhash64("id", F.lit(7)), F.col("slices")).cast("int"))
         sliced.select("cell", "slice", "id", "v", "label").write.mode("overwrite").parquet(path)
         return Index(path, pivots, radius, size, p)
 
-    def _cells(self, queries: DataFrame, k: int, first: bool) -> DataFrame:
-        """queries (q, v[, within]) -> (q, v, cell): the nearest cells that have k rows between them; else those others whose bound is within."""
-        shared = queries.sparkSession.sparkContext.broadcast((self.pivots, self.radius, self.size))
+    def _cells(self, queries: DataFrame, k: int, first: bool, slice_rows: int) -> DataFrame:
+        """queries (q, v[, within]) -> (q, v, cell): the packs of the nearest cells that have k rows between them; else those other packs with a cell whose bound is within."""
+        shared = queries.sparkSession.sparkContext.broadcast((self.pivots, self.radius, self.size, packs(self.pivots, self.size, self.p, slice_rows)))
         p = self.p
 
         def run(batches):
-            pivots, radius, size = shared.value
+            pivots, radius, size, pack = shared.value
             full = np.flatnonzero(size)
             for batch in pieces(batches):
                 d = distances(matrix(batch, "v", pivots.shape[1]), pivots, p)[:, full]
@@ -109,23 +161,28 @@ class Index:
                 sizes = np.cumsum(size[full][order], 1)
                 # in order of distance: what is needed for k rows
                 ahead = np.concatenate([np.zeros((len(d), 1)), sizes[:, :-1]], 1) < k
-                if first:
-                    use = ahead
-                else:
+                met = np.zeros((len(d), pack.max() + 1), bool)
+                row, place = np.nonzero(ahead)
+                met[row, pack[full[order[row, place]]]] = True
+                if not first:
                     near = np.take_along_axis(d, order, 1)
                     slack = ROUNDING * (near + radius[full][order])
                     bound = np.maximum(near - radius[full][order], (near - near[:, :1]) / 2) - slack
                     within = batch.column("within").to_numpy(zero_copy_only=False)
-                    use = ~ahead & (bound <= within[:, None])
-                row, place = np.nonzero(use)
-                yield pa.RecordBatch.from_arrays([batch.column("q").take(pa.array(row)), batch.column("v").take(pa.array(row)), pa.array(full[order[row, place]].astype(np.int32))], ["q", "v", "cell"])
+                    row, place = np.nonzero(bound <= within[:, None])
+                    more = np.zeros_like(met)
+                    more[row, pack[full[order[row, place]]]] = True
+                    met = more & ~met
+                row, to = np.nonzero(met)
+                yield pa.RecordBatch.from_arrays([batch.column("q").take(pa.array(row)), batch.column("v").take(pa.array(row)), pa.array(to.astype(np.int32))], ["q", "v", "cell"])
 
         return queries.mapInArrow(run, "q long, v array<double>, cell int")
 
     def _meet(self, spark, asked: DataFrame, k: int, n_queries: int, slice_rows: int, group_rows: int, others: bool) -> DataFrame:
         """(q, v, cell) -> (q, id, label, d, compared): the k nearest rows of each slice that a query meets."""
         rows = spark.read.parquet(self.path)
-        slices = spark.createDataFrame([(c, max(1, -(-int(n) // slice_rows))) for c, n in enumerate(self.size)], "cell int, slices int")
+        rows_of = np.bincount(packs(self.pivots, self.size, self.p, slice_rows), self.size)
+        slices = spark.createDataFrame([(c, max(1, -(-int(n) // slice_rows))) for c, n in enumerate(rows_of)], "cell int, slices int")
         groups = max(1, -(-n_queries // group_rows))
         each = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
         label = rows.schema["label"].dataType.simpleString()
@@ -168,32 +225,27 @@ class Index:
         queries = spark.read.parquet(path)
         n, need = queries.count(), k + others
         ranked = lambda df: df.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("d", "id"))).where(F.col("r") <= k)
-        first = shared_path(spark, "knn-first")
-        self._meet(spark, self._cells(queries, need, True), k, n, slice_rows, group_rows, others).write.parquet(first)
+        first, second = shared_path(spark, "knn-first"), shared_path(spark, "knn-second")
+        self._meet(spark, self._cells(queries, need, True, slice_rows), k, n, slice_rows, group_rows, others).write.parquet(first)
         first = spark.read.parquet(first)
         bounds = first.groupBy("q").agg(F.count("*").alias("m"), F.sort_array(F.collect_list("d")).alias("ds")).select("q", F.when(F.col("m") >= k, F.element_at("ds", k)).otherwise(F.lit(float("inf"))).alias("within"))
-        asked = queries.join(bounds, "q", "left").select("q", "v", F.coalesce("within", F.lit(float("inf"))).alias("within"))
-        second = self._meet(spark, self._cells(asked, need, False), k, n, slice_rows, group_rows, others)
-        both = first.unionByName(second)
+        asked = queries.join(bounds.hint("merge"), "q", "left").select("q", "v", F.coalesce("within", F.lit(float("inf"))).alias("within"))
+        self._meet(spark, self._cells(asked, need, False, slice_rows), k, n, slice_rows, group_rows, others).write.parquet(second)
+        both = first.unionByName(spark.read.parquet(second))
         compared = both.groupBy(F.col("q").alias("__q")).agg(F.sum("compared").alias("of"))
-        return ranked(both.drop("compared")).join(compared, F.col("q") == F.col("__q")).select("q", "id", "label", "d", "r", F.col("of").alias("compared"))
+        return ranked(both.drop("compared")).join(compared.hint("merge"), F.col("q") == F.col("__q")).select("q", "id", "label", "d", "r", F.col("of").alias("compared"))
 
 
 def _best(q_id: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, labels: pa.Array, k: int, p: int, others: bool) -> pa.RecordBatch:
     """The k nearest rows of a slice for each query; `compared` counts the slice's rows on the first of them."""
     out = []
     for i in range(0, len(q), 256):
-        d = distances(q[i : i + 256], x, p)
-        if others:
-            d[q_id[i : i + 256, None] == ids[None, :]] = np.inf
-        m = min(k, len(ids))
-        kth = np.partition(d, m - 1, axis=1)[:, m - 1]
-        a, b = np.nonzero((d <= kth[:, None]) & np.isfinite(d))
-        order = np.lexsort((ids[b], d[a, b], a))
-        a, b = a[order], b[order]
+        a, b, d = near_pairs(q[i : i + 256], x, k, p, q_id[i : i + 256, None] == ids[None, :] if others else None)
+        order = np.lexsort((ids[b], d, a))
+        a, b, d = a[order], b[order], d[order]
         take = np.arange(len(a)) - np.searchsorted(a, a) < k
-        a, b = a[take], b[take]
-        out.append((i + a, b, d[a, b], np.where(np.arange(len(a)) == np.searchsorted(a, a), len(ids), 0)))
+        a, b, d = a[take], b[take], d[take]
+        out.append((i + a, b, d, np.where(np.arange(len(a)) == np.searchsorted(a, a), len(ids), 0)))
     a, b, d, n = (np.concatenate(c) for c in zip(*out))
     return pa.RecordBatch.from_arrays([pa.array(q_id[a]), pa.array(ids[b]), labels.take(pa.array(b)), pa.array(d), pa.array(n.astype(np.int64))], ["q", "id", "label", "d", "compared"])
 
