@@ -6,13 +6,20 @@ each block. What a query can reach in a block is the sum of its weights times th
 the blocks of its greatest bounds; the k-th score found there ends the search of every block whose bound is below it. What
 is left is scored in full, so that results are those of scoring everything.
 
+Where keys are unique, terms are counted row by row and none is shuffled for it; counts are made again from the texts where they are needed, and
+not written. Of rare terms a document's weight is shuffled without the term. Built for stated queries, the index has the postings of their terms
+only; frequencies and norms are always those of all terms of all documents.
+
 Defined cases: null texts have no terms; queries that share no term with any document have no results; only documents with a positive score are
 results; ties (scores are equal to nine places) go to the smaller key; rows of one key are one document.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections import Counter
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import shared_path
@@ -33,6 +40,25 @@ def with_frequencies(counts: DataFrame, vocabulary: DataFrame, n_docs: int) -> D
     return done.unionByName(met.where("__often IS NULL").drop("__often").join(rare, "term").select(*done.columns))
 
 
+def counted(docs: DataFrame, key: str, text: str, of) -> DataFrame:
+    """(key, term, n) of a table whose keys are unique: a row's terms are counted where the row is."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                counts = [Counter(t) for t in part.column(1).to_pylist()]
+                at = [j for j, c in enumerate(counts) for _ in c]
+                yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(at, pa.int64())), pa.array([t for c in counts for t in c], pa.string()), pa.array([n for c in counts for n in c.values()], pa.int64())], [key, "term", "n"])
+
+    rows = docs.select(key, of(F.col(text)).alias("terms")).where(F.size("terms") > 0)
+    return rows.mapInArrow(run, f"`{key}` {docs.schema[key].dataType.simpleString()}, term string, n long")
+
+
+def idf_weight(n_docs: int) -> Column:
+    return F.col("n") * (F.log((1.0 + n_docs) / (1 + F.col("df"))) + 1)
+
+
 class TermIndex:
     """Written tables of postings and block maxima, the vocabulary with its document frequencies, and the number of documents."""
 
@@ -40,7 +66,8 @@ class TermIndex:
         self.postings, self.blocks, self.vocabulary, self.n_docs, self.key, self.of = postings, blocks, vocabulary, n_docs, key, of
 
     @staticmethod
-    def build(docs: DataFrame, key: str, text: str = "text", min_df: int = 2, stop: list[str] | None = STOP, block_docs: int = BLOCK_DOCS) -> TermIndex:
+    def build(docs: DataFrame, key: str, text: str = "text", min_df: int = 2, stop: list[str] | None = STOP, block_docs: int = BLOCK_DOCS, asked: DataFrame | None = None, asked_text: str = "text") -> TermIndex:
+        """asked: the queries that it is built for; the index then has the postings of their terms only."""
         spark = docs.sparkSession
 
         def kept(df: DataFrame, name: str) -> DataFrame:
@@ -50,12 +77,17 @@ class TermIndex:
 
         of = lambda c: terms(c, stop)
         n = docs.select(key).distinct().count()
-        counts = kept(term_counts(docs, key, text, of), "search-counts")
+        unique = docs.where(F.col(key).isNotNull()).count() == n and docs.where(F.col(key).isNull()).isEmpty()
+        counts = counted(docs, key, text, of) if unique else kept(term_counts(docs, key, text, of), "search-counts")
         vocabulary = kept(document_frequencies(counts, min_df), "search-vocabulary")
-        raw = with_frequencies(counts, vocabulary, n).select(key, "term", (F.col("n") * (F.log((1.0 + n) / (1 + F.col("df"))) + 1)).alias("w"))
-        norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))  # a document's terms
+        norms = with_frequencies(counts, vocabulary, n).select(key, idf_weight(n).alias("w")).groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+        mine = vocabulary
+        if asked is not None:
+            words = asked.select(F.explode(of(F.col(asked_text))).alias("term")).distinct()
+            mine = kept(vocabulary.join(words, "term", "left_semi"), "search-asked")
+        raw = with_frequencies(counts, mine, n).select(key, "term", idf_weight(n).alias("w"))
         block = F.pmod(F.xxhash64(key), F.lit(max(1, -(-n // block_docs)))).cast("int").alias("block")
-        postings = kept(raw.select(block, "term", key, (F.col("w") / norm).alias("weight")), "search-postings")
+        postings = kept(raw.join(norms.hint("merge"), key).select(block, "term", key, (F.col("w") / F.col("norm")).alias("weight")), "search-postings")
         blocks = kept(postings.groupBy("block", "term").agg(F.max("weight").alias("most")), "search-blocks")
         return TermIndex(postings, blocks, vocabulary, n, key, of)
 

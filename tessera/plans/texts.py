@@ -81,7 +81,8 @@ GRAMS = "SELECT {k}, term, count(*) AS n FROM (SELECT {k}, unnest(t) AS term FRO
        "s AS (SELECT item_id, chunk_id, round(sum(qw.w / qm.m * (cw.w / cm.m)), 9) AS score FROM qw JOIN qm USING (item_id) JOIN cw USING (term) JOIN cm USING (chunk_id) GROUP BY 1, 2 HAVING sum(qw.w * cw.w) > 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s) SELECT item_id, chunk_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
 def _(spark, d):
     made = text.chunks(read(spark, d, "documents"), "doc_id", "text").select("chunk_id", F.col("chunk").alias("text"))
-    return search.TermIndex.build(made, "chunk_id").search(read(spark, d, "benchmark"), "item_id").select("item_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    asked = read(spark, d, "benchmark")
+    return search.TermIndex.build(made, "chunk_id", asked=asked).search(asked, "item_id").select("item_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 CHUNKS = f"ch AS (SELECT CAST(doc_id AS VARCHAR) || '_' || k AS chunk_id, trim(substr(text, CAST(k AS BIGINT) + 1, 500)) AS text FROM (SELECT doc_id, text, unnest(range(0, length(text), 500)) AS k FROM documents)), ct AS (SELECT chunk_id, {STOPPED.format(x=TOKENS)} AS t FROM ch WHERE text <> ''), qt AS (SELECT item_id, {STOPPED.format(x=TOKENS)} AS t FROM benchmark), nn AS (SELECT count(*) AS n FROM ct)"
@@ -98,7 +99,7 @@ def chunk_pools(spark, d):
     """Of every item of benchmark, the 16 best chunks of documents by hybrid score."""
     made = text.chunks(read(spark, d, "documents"), "doc_id", "text").select("chunk_id", F.col("chunk").alias("text"))
     asked = [retrieval.Query(str(r["item_id"]), r["text"]) for r in read(spark, d, "benchmark").select("item_id", "text").orderBy("item_id").limit(retrieval.MAX_QUERIES + 1).collect()]
-    return made, retrieval.hybrid_search(search.TermIndex.build(made, "chunk_id"), made, "text", asked)
+    return made, retrieval.hybrid_search(search.TermIndex.build(made, "chunk_id", asked=read(spark, d, "benchmark")), made, "text", asked)
 
 
 @query("retrieve_chunks", f"WITH {CHUNKS}, {COSINES}, u AS (SELECT item_id, {SETS} AS u FROM benchmark), h AS (SELECT item_id, chunk_id, round(score + 0.06 * len(list_filter(u, lambda t: contains(lower(ch.text), t))), 6) AS score FROM s JOIN u USING (item_id) JOIN ch USING (chunk_id) WHERE score > 0) SELECT CAST(item_id AS VARCHAR) AS query, chunk_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM h QUALIFY rank <= 16")

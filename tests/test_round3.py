@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.functions import shared_path
-from tessera.operators import advice, information, neighbours
+from tessera.operators import advice, information, neighbours, search
 
 
 def plan(df):
@@ -44,3 +44,12 @@ def test_neighbours_by_products_and_packs(spark):
         got.setdefault(r["q"], {})[r["r"]] = r["id"]
     for i in range(600):
         assert [got[i][r] for r in range(1, 6)] == np.lexsort((np.arange(600), want[i]))[:5].tolist()
+
+
+def test_index_of_stated_queries(spark):
+    docs = spark.createDataFrame([(f"d{i}", f"apple pear w{i % 5} x{i % 7} y{i % 3}") for i in range(40)], "id string, text string")
+    asked = spark.createDataFrame([("q", "apple w3 x2")], "q string, text string")
+    whole, some = search.TermIndex.build(docs, "id"), search.TermIndex.build(docs, "id", asked=asked)
+    assert {r["term"] for r in some.postings.select("term").distinct().collect()} <= {"apple", "w3", "x2", "apple w3", "w3 x2"} and some.postings.count() < whole.postings.count()
+    found = [sorted(map(tuple, i.search(asked, "q", 5).select("id", "score", "rank").collect())) for i in (whole, some)]
+    assert found[0] == found[1] and len(found[0]) == 5
