@@ -1,10 +1,11 @@
 """Second-order boosting: histogram trees grown leaf-wise, softmax for several classes in one model.
 
-Columns are cut into bins at approximate quantiles once, and a row's bins are written as bytes. A round makes one tree for each class (one
+Columns are cut into bins at approximate quantiles once, and rows are written in blocks: the bins of a block's rows as bytes, column by column,
+and their labels, weights and margins as numbers, so that a task takes a block at once and no row by itself. A round makes one tree for each class (one
 for two classes or a number): the leaves of greatest gain are split first, up to num_leaves and max_depth. Gradients and second
 derivatives are added up by leaf, column and bin in every task, and over the tasks by strips; of two children only the one with fewer
 rows is counted, the other is what its parent has more. A job counts for all leaves that are split together, the better half of those
-that can be. Margins are written with the rows every `written` rounds; in between, tasks add up the trees made since.
+that can be; leaves that nothing can split any more have their values from their parent's sums and aren't counted. Margins are written with the rows every `written` rounds; in between, tasks add up the trees made since.
 
 Gain and values have L2 penalty reg_lambda; rows are sampled for a tree by a hash, columns by a seeded draw.
 
@@ -15,7 +16,6 @@ training and get a null prediction; a label without variance, or columns without
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import keyword_only
 from pyspark.ml.functions import array_to_vector
@@ -29,8 +29,10 @@ from .clean import _Fitted, _Fitting
 from .kernels import as_array
 
 ACCURACY = 10_000
-#: The least gain of a split, and rows of a batch that tasks take at once.
-LEAST, PIECE = 1e-10, 4096
+#: The least gain of a split, and rows and bins of a block at most.
+LEAST, PIECE, BLOCK = 1e-10, 1 << 14, 1 << 22
+#: Bytes of blocks that are sent to a task's Python at once, unless the session says otherwise.
+AT_ONCE = 8 << 20
 
 
 class Tree:
@@ -52,13 +54,21 @@ class Tree:
 
 
 def leaves(tree: tuple[np.ndarray, ...], codes: np.ndarray) -> np.ndarray:
-    """The leaf of each row of bins."""
+    """The leaf of each row of bins, which are columns x rows."""
     column, last, left, right, _ = tree
-    at = np.zeros(len(codes), np.int64)
-    live = np.arange(len(codes)) if column[0] >= 0 else np.zeros(0, np.int64)
+    n = codes.shape[1]
+    if len(column) <= 256:  # from the last node up, as children come after their parent: for each row, the leaf it would reach from there
+        at: list = [np.uint8(node) for node in range(len(column))]
+        for node in range(len(column) - 1, -1, -1):
+            if column[node] >= 0:
+                at[node] = np.where(codes[column[node]] <= int(last[node]), at[left[node]], at[right[node]])
+                at[left[node]] = at[right[node]] = None
+        return at[0] if column[0] >= 0 else np.zeros(n, np.uint8)
+    at = np.zeros(n, np.int64)
+    live = np.arange(n)
     while len(live):
         node = at[live]
-        at[live] = np.where(codes[live, column[node]] <= last[node], left[node], right[node])
+        at[live] = np.where(codes[column[node], live] <= last[node], left[node], right[node])
         live = live[column[at[live]] >= 0]
     return at
 
@@ -114,8 +124,8 @@ class HistogramBoosting(_Fitting):
         each = get("n_classes") if loss == "many" else 1
         start = self._start(rows, loss, each)
         path = shared_path(spark, "boosting")
-        binned(rows.withColumn("id", F.monotonically_increasing_id()), edges).withColumn("margin", F.array(*[F.lit(float(s)) for s in start])).write.parquet(path)
-        table = spark.read.parquet(path)
+        binned(rows.withColumn("id", F.monotonically_increasing_id()), edges, start).write.parquet(path)
+        table = blocks(spark, path)
         rng = np.random.default_rng(get("seed"))
         done: list[list[tuple]] = []
         since: list[list[tuple]] = []
@@ -129,7 +139,7 @@ class HistogramBoosting(_Fitting):
             if len(since) == get("written"):
                 path = shared_path(spark, "boosting")
                 moved(table, since, width, each).write.parquet(path)
-                table, since = spark.read.parquet(path), []
+                table, since = blocks(spark, path), []
         state = {c: get(c) for c in ("task", "featuresCol", "predictionCol", "n_classes")}
         return HistogramBoostingModel(state | {"edges": [e.tolist() for e in edges], "start": start, "loss": loss, "trees": [[[v.tolist() for v in tree] for tree in made] for made in done]})
 
@@ -156,7 +166,7 @@ class HistogramBoosting(_Fitting):
                     ready[other] = whole - found[k, node]
                 for leaf, h in ready.items():
                     depth = self._depth(trees[k], leaf)
-                    trees[k].value[leaf] = self._value(h)
+                    trees[k].value[leaf] = self._value(h[0].sum(0))
                     best = self._best(h, columns[k], bins) if get("max_depth") < 1 or depth < get("max_depth") else None
                     if best:
                         state[k]["open"][leaf] = (*best, h)
@@ -169,10 +179,13 @@ class HistogramBoosting(_Fitting):
                     _, column, last, h = s["open"].pop(leaf)
                     left, right = trees[k].split(leaf, column, last)
                     s["leaves"] += 1
-                    n = h[column, : last + 1, 2].sum(), h[column, last + 1 :, 2].sum()
-                    small, large = (left, right) if n[0] <= n[1] else (right, left)
+                    sums = h[column, : last + 1].sum(0), h[column, last + 1 :].sum(0)
+                    for child, of_child in zip((left, right), sums):
+                        trees[k].value[child] = self._value(of_child)
+                    small, large = (left, right) if sums[0][2] <= sums[1][2] else (right, left)
                     parents[k, small] = (large, h)
                     wanted.append((k, small))
+            wanted = [(k, node) for k, node in wanted if state[k]["leaves"] < get("num_leaves")]  # the other trees are whole
         rate = get("learning_rate")
         for tree in trees:
             tree.value = [rate * v for v in tree.value]
@@ -186,8 +199,8 @@ class HistogramBoosting(_Fitting):
             node, depth = above[node], depth + 1
         return depth
 
-    def _value(self, h: np.ndarray) -> float:
-        g, s, _ = h[0].sum(0)
+    def _value(self, sums: np.ndarray) -> float:
+        g, s, _ = sums
         return float(-g / (s + self.getOrDefault("reg_lambda") + 1e-12))
 
     def _best(self, h: np.ndarray, columns: np.ndarray, bins: list[int]) -> tuple[float, int, int] | None:
@@ -211,49 +224,77 @@ class HistogramBoosting(_Fitting):
         """(tree, leaf) -> columns x bins x (gradient, second derivative, rows)."""
         seed, share = self.getOrDefault("seed"), self.getOrDefault("subsample")
         shared = table.sparkSession.sparkContext.broadcast((since, [tree.arrays() for tree in trees]))
-        cells = width * most
+        weighted, cells = bool(self.getOrDefault("weightCol")), width * most
 
         def work(batches):
             since, trees = shared.value
-            out = np.zeros((len(wanted), cells * 3))
-            for batch in pieces_of(batches):
-                codes = bins_of(batch, width)
-                g, s = slopes(margins(batch, codes, since, each), batch.column("y").to_numpy(zero_copy_only=False), loss)
-                w, sampled = batch.column("w").to_numpy(zero_copy_only=False), kept_rows(batch.column("id").to_numpy(), t, seed, share)
-                for k in {k for k, _ in wanted}:
-                    at = leaves(trees[k], codes)
-                    for i, (tree, leaf) in enumerate(wanted):
-                        if tree != k:
-                            continue
-                        of = np.flatnonzero((at == leaf) & sampled)
-                        cell = (codes[of].astype(np.int64) + np.arange(width) * most).reshape(-1)
-                        for j, value in enumerate((g[of, k] * w[of], s[of, k] * w[of], np.ones(len(of)))):
-                            out[i, j::3] += np.bincount(cell, np.repeat(value, width), cells)
-            return out
-
+            out = np.zeros((3, width, len(wanted) * most))
+            slots = {k: np.full(len(trees[k][0]), -1) for k, _ in wanted}
+            for i, (k, leaf) in enumerate(wanted):
+                slots[k][leaf] = i
+            for block in blocks_of(batches, width, each):
+                g, s = slopes(margins(block, since), block["y"], loss)
+                sampled = kept_rows(block["id"], t, seed, share) if share < 1 else None
+                for k, slot in slots.items():
+                    at = slot[leaves(trees[k], block["codes"])]
+                    of = np.flatnonzero(at >= 0 if sampled is None else (at >= 0) & sampled)
+                    if not len(of):
+                        continue
+                    first = at[of] * most
+                    gradient, second = g[of, k], s[of, k]
+                    if weighted:
+                        gradient, second = gradient * block["w"][of], second * block["w"][of]
+                    for c in range(width):
+                        cell = first + block["codes"][c, of]
+                        for j, value in enumerate((gradient, second, None)):
+                            out[j, c] += np.bincount(cell, value, len(wanted) * most)
+            return out.reshape(3, width, len(wanted), most).transpose(2, 1, 3, 0).reshape(len(wanted), cells * 3)
+
+        table = table.select("n", "codes", "y", "margin", *(["w"] if weighted else []), *(["id"] if share < 1 else []))
         found = collected(table, work, len(wanted), cells * 3)
         shared.unpersist()
         return {key: found[i].reshape(width, most, 3) for i, key in enumerate(wanted)}
 
 
-def pieces_of(batches):
-    for batch in batches:
-        for i in range(0, batch.num_rows, PIECE):
-            yield batch.slice(i, PIECE)
+#: The numbers of a block that are binary columns.
+PARTS = {"id": np.int64, "y": np.float64, "w": np.float64, "margin": np.float64}
+BLOCKS = "n int, id binary, codes binary, y binary, w binary, margin binary"
 
 
-def bins_of(batch: pa.RecordBatch, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(batch.num_rows, width)
+def blocks(spark, path: str) -> DataFrame:
+    """Blocks that were written. 10,000 of them, as many as Spark sends at once if it counts rows only, are too much."""
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if limit not in spark.conf.getAll:
+        spark.conf.set(limit, str(AT_ONCE))
+    return spark.read.parquet(path)
 
 
-def margins(batch: pa.RecordBatch, codes: np.ndarray, since: list, each: int) -> np.ndarray:
-    out = matrix(batch, "margin", each).copy()
+def blocks_of(batches, width: int, each: int):
+    """Of each block, its parts as arrays: codes as columns x rows, margins as rows x trees of a round."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            n = row["n"]
+            block = {c: np.frombuffer(row[c], kind) for c, kind in PARTS.items() if c in row}
+            block["margin"] = block["margin"].reshape(n, each)
+            block["codes"] = np.frombuffer(row["codes"], np.uint8).reshape(width, n)
+            yield block
+
+
+def margins(block: dict, since: list) -> np.ndarray:
+    out = block["margin"].copy()
     for made in since:
         for k, tree in enumerate(made):
-            out[:, k] += tree[4][leaves(tree, codes)]
+            out[:, k] += tree[4][leaves(tree, block["codes"])]
     return out
 
 
+def packed(codes: np.ndarray, **parts: np.ndarray) -> pa.RecordBatch:
+    """A block as a row."""
+    row = {"n": codes.shape[1], "codes": np.ascontiguousarray(codes)} | {c: np.ascontiguousarray(parts[c], kind) for c, kind in PARTS.items()}
+    names = ["n", "id", "codes", "y", "w", "margin"]
+    return pa.RecordBatch.from_arrays([pa.array([row[c]], pa.int32()) if c == "n" else pa.array([row[c].tobytes()], pa.binary()) for c in names], names)
+
+
 def bin_edges(rows: DataFrame, width: int, bins: int) -> list[np.ndarray]:
     """Of each column, the distinct approximate quantiles below its largest value: a value's bin is how many of them are below it."""
     at = F.array(*[F.lit(i / bins) for i in range(1, bins)])
@@ -263,32 +304,34 @@ def bin_edges(rows: DataFrame, width: int, bins: int) -> list[np.ndarray]:
 
 
 def coded(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
-    return np.stack([np.searchsorted(e, x[:, i], "left") for i, e in enumerate(edges)], 1).astype(np.uint8) if edges else np.zeros((len(x), 0), np.uint8)
+    """The bins of rows x columns, as columns x rows."""
+    return np.stack([np.searchsorted(e, x[:, i], "left") for i, e in enumerate(edges)]).astype(np.uint8) if edges else np.zeros((0, len(x)), np.uint8)
 
 
-def binned(rows: DataFrame, edges: list[np.ndarray]) -> DataFrame:
-    """(id, x, y, w) -> (id, codes, y, w)"""
+def binned(rows: DataFrame, edges: list[np.ndarray], start: list[float]) -> DataFrame:
+    """(id, x, y, w) -> blocks, with the margins that all rows start from."""
     width = len(edges)
+    most = max(1, min(PIECE, BLOCK // max(1, width)))
 
     def run(batches):
-        for batch in batches:
-            codes = coded(matrix(batch, "x", width), edges)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([c.tobytes() for c in codes], pa.binary()), batch.column("y"), batch.column("w")], ["id", "codes", "y", "w"])
+        for whole in batches:
+            for i in range(0, whole.num_rows, most):
+                batch = whole.slice(i, most)
+                parts = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "y", "w")}
+                yield packed(coded(matrix(batch, "x", width), edges), margin=np.tile(start, (batch.num_rows, 1)), **parts)
 
-    return rows.select("id", "x", "y", "w").mapInArrow(run, "id long, codes binary, y double, w double")
+    return rows.select("id", "x", "y", "w").mapInArrow(run, BLOCKS)
 
 
 def moved(table: DataFrame, since: list, width: int, each: int) -> DataFrame:
-    """The table with the margins after the trees made since."""
+    """The blocks with the margins after the trees made since."""
     shared = table.sparkSession.sparkContext.broadcast(since)
 
     def run(batches):
-        for batch in pieces_of(batches):
-            m = margins(batch, bins_of(batch, width), shared.value, each)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(0, m.size + 1, each), pa.int32()), pa.array(m.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "codes", "y", "w")], lists], ["id", "codes", "y", "w", "margin"])
+        for block in blocks_of(batches, width, each):
+            yield packed(**(block | {"margin": margins(block, shared.value)}))
 
-    return table.select("id", "codes", "y", "w", "margin").mapInArrow(run, "id long, codes binary, y double, w double, margin array<double>")
+    return table.mapInArrow(run, BLOCKS)
 
 
 class HistogramBoostingModel(_Fitted):
@@ -300,25 +343,26 @@ class HistogramBoostingModel(_Fitted):
         shared = df.sparkSession.sparkContext.broadcast(([np.array(e, float) for e in s["edges"]], [[tuple(np.array(v) for v in tree) for tree in made] for made in s["trees"]]))
         start, loss = np.array(s["start"]), s["loss"]
 
-        @F.pandas_udf(T.ArrayType(T.DoubleType()))
-        def scored(x: pd.Series) -> pd.Series:
+        @F.arrow_udf(T.ArrayType(T.DoubleType()))
+        def scored(x: pa.Array) -> pa.Array:
             edges, trees = shared.value
-            there = np.flatnonzero(x.notna().to_numpy())
-            out = [None] * len(x)
-            if len(there):
-                codes = coded(np.stack(x.iloc[there].to_list()), edges)
-                margin = np.repeat(start[None, :], len(there), 0)
+            there = x.is_valid().to_numpy(zero_copy_only=False)
+            rows = x.drop_null()
+            n = len(rows)
+            values = rows.flatten().to_numpy(zero_copy_only=False).reshape(n, width)
+            margin = np.tile(start, (n, 1))
+            for i in range(0, n, PIECE):
+                codes = coded(values[i : i + PIECE], edges)
                 for made in trees:
                     for k, tree in enumerate(made):
-                        margin[:, k] += tree[4][leaves(tree, codes)]
-                if loss == "two":
-                    p = 1 / (1 + np.exp(-margin))
-                    margin = np.column_stack([1 - p, p])
-                elif loss == "many":
-                    margin = shares(margin)
-                for i, row in zip(there, margin):
-                    out[i] = row
-            return pd.Series(out, dtype=object)
+                        margin[i : i + PIECE, k] += tree[4][leaves(tree, codes)]
+            if loss == "two":
+                p = 1 / (1 + np.exp(-margin))
+                margin = np.column_stack([1 - p, p])
+            elif loss == "many":
+                margin = shares(margin)
+            at = np.r_[0, np.cumsum(there) * margin.shape[1]]
+            return pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(margin.reshape(-1)), mask=pa.array(~there))
 
         x, to = as_array(df, s["featuresCol"]), s["predictionCol"]
         made = df.drop(to, "probability").withColumn(to, scored(F.when(sound(x, width), x)))
