@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.operators import boosting
+from tessera.operators import advice, boosting, modality
 
 
 def walked(tree, codes):
@@ -44,3 +44,31 @@ def test_a_whole_tree_is_not_counted_again(spark, monkeypatch):
     column, _, left, right, value = map(np.array, model.fitted["trees"][0][0])
     assert column[0] >= 0 and value[left[0]] * value[right[0]] < 0
     assert model.transform(df).agg(F.avg((F.col("prediction") == F.col("label")).cast("double"))).first()[0] > 0.7
+
+
+def test_similarities_are_worked_out_once_for_a_kind(spark):
+    kinds = [("F", "5-LOW", ["unit_price"], "small", "1", "sig1|col"), ("F", "5-LOW", ["unit_price"], "small", "1", None), ("O", "x", None, "large", None, "")]
+    schema = "id long, task string, target string, features array<string>, row_bucket string, dataset string, signature string"
+    runs = spark.createDataFrame([(i, *kinds[i % 3]) for i in range(60)] + [(3, *kinds[0]), (None, *kinds[2])], schema)
+    asked = spark.createDataFrame([(0, *kinds[0]), (-1, "F", "low", ["price"], "small", "2", "sig1|col"), (2, *kinds[2])], schema)
+    whole = advice.run_similarity(runs, asked)
+    got = {(r["run_id"], r["context_id"]): r["similarity"] for r in whole.collect()}
+    assert whole.count() == 62 * 3 and len(got) == 61 * 3 and got[0, 0] == 0.0 and got[3, 0] == got[57, 0] > 0.9 and got[2, 2] == 0.0 < got[None, 2]
+    least = advice.first_of_kinds(runs, 2)
+    assert least.count() == 9
+    key = lambda r: str(tuple(r))
+    want, some = (sorted(advice.comparable_runs(advice.run_similarity(df, asked), 0.05).collect(), key=key) for df in (runs, least))
+    assert some == want and len(want) == 6
+
+
+def test_only_what_the_rules_ask_for_is_looked_at(spark, monkeypatch):
+    seen = []
+    real = modality.statistics
+    monkeypatch.setattr(modality, "statistics", lambda df, *a: seen.append(a) or real(df, *a))
+    df = spark.range(40).select((F.col("id") * 1.5).alias("price"), F.expr("timestamp'2024-01-01' + make_dt_interval(cast(id as int))").alias("day"), (F.col("id") % 2).cast("string").alias("kind"))
+    found = modality.detect(df)
+    assert (found["modality"], found["datetime_column"], found["value_columns"]) == ("timeseries", "day", ["price"])
+    assert seen[0] == (["kind"], ["day"])
+    rows = {r["column"]: r for r in real(df, ["kind"], ["day"]).collect()}
+    assert rows["price"]["n_times"] is None and rows["price"]["mean_length"] is None and rows["price"]["n_distinct"] == 40
+    assert rows["day"]["n_times"] == 40 and rows["day"]["max_year"] == 2024 and rows["kind"]["mean_length"] == 1.0
