@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from pathlib import PurePosixPath
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import numeric_columns, quoted
@@ -32,16 +32,27 @@ def by_extension(name: str) -> str | None:
     return next((kind for kind, endings in EXTENSIONS.items() if ending in endings), None)
 
 
-def statistics(df: DataFrame) -> DataFrame:
+#: The sketch of distinct values has 2^SKETCH registers: a relative standard error of 0.008.
+SKETCH = 14
+
+
+def _n_distinct(c: Column) -> Column:
+    """An estimate of the distinct values. The sketch is one object; approx_count_distinct's is a field for every ten registers, thousands of them for each column of a plan."""
+    return F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(F.when(c.isNotNull(), F.xxhash64(c)), SKETCH)), F.lit(0).cast("long"))
+
+
+def statistics(df: DataFrame, lengths: list[str] | None = None, times: list[str] | None = None) -> DataFrame:
     """(position, column, type, n_rows, n_valid, mean_length, n_distinct, largest, n_times, median_year, max_year), a row for each column.
 
     Nulls count in n_rows only. n_distinct is a sketch's estimate (relative error 0.01, so small counts are as good as exact) in a single pass; numbers are read as
-    nanoseconds since 1970. An empty table has zeros and nulls.
+    nanoseconds since 1970. An empty table has zeros and nulls. lengths, times: the columns whose lengths as text, and whose values as times, are told (None: all);
+    the others have nulls there. Distinct values are those of the column itself, not of its text, which is far more work for numbers.
     """
     rows, numbers = [], set(numeric_columns(df))
     nothing = F.lit(None)
     for at, (name, kind) in enumerate(df.dtypes):
         c = quoted(name)
+        long, timed = lengths is None or name in lengths, times is None or name in times
         plain = not kind.startswith(("array", "map", "struct", "binary", "variant"))
         shown = c.cast("string") if plain else nothing.cast("string")
         if kind in ("date", "timestamp", "timestamp_ntz"):
@@ -51,8 +62,8 @@ def statistics(df: DataFrame) -> DataFrame:
         else:
             time = F.try_to_timestamp(shown)
         year = F.year(time)
-        row = {"position": F.lit(at), "column": F.lit(name), "type": F.lit(kind), "n_rows": F.count("*"), "n_valid": F.count(c), "mean_length": F.avg(F.length(shown)), "n_distinct": F.approx_count_distinct(shown, 0.01)}
-        row |= {"largest": F.max(c).cast("double") if name in numbers else nothing.cast("double"), "n_times": F.count(time), "median_year": F.percentile(year, F.lit(0.5)), "max_year": F.max(year)}
+        row = {"position": F.lit(at), "column": F.lit(name), "type": F.lit(kind), "n_rows": F.count("*"), "n_valid": F.count(c), "mean_length": F.avg(F.length(shown)) if long else nothing.cast("double"), "n_distinct": _n_distinct(c) if plain else F.lit(0).cast("long")}
+        row |= {"largest": F.max(c).cast("double") if name in numbers else nothing.cast("double"), "n_times": F.count(time) if timed else nothing.cast("long"), "median_year": F.percentile(year, F.lit(0.5)) if timed else nothing.cast("double"), "max_year": F.max(year) if timed else nothing.cast("int")}
         rows.append(F.struct(*[v.alias(k) for k, v in row.items()]))
     return df.agg(F.array(*rows).alias("r")).select(F.inline("r"))
 
@@ -62,10 +73,14 @@ def detect(df: DataFrame, most_labels: int | None = None, most_values: int | Non
 
     Of a series' value columns the first most_values are told, and the first most_targets as targets; None tells all. The statistics are a row for each column, so what reaches the driver is bounded by the table's width.
     """
-    stats = {r["column"]: r for r in statistics(df).collect()}
-    names, numbers = list(stats), set(numeric_columns(df))
-    strings = [c for c in names if stats[c]["type"] == "string"]
     hit = lambda pattern, c: re.search(pattern, c, re.I)
+    numbers = set(numeric_columns(df))
+    # what the rules below ask for: lengths of texts, and times of what is named, or typed, as one
+    lengths = [c for c, kind in df.dtypes if kind == "string" or hit(TEXT_NAMES, c)]
+    may_be_time = {c for c, kind in df.dtypes if not hit(NOT_TIME_NAMES, c) and (hit(TIME_NAMES, c) or kind.startswith(("date", "timestamp"))) and (c not in numbers or hit(STAMP_NAMES, c))}
+    stats = {r["column"]: r for r in statistics(df, lengths, list(may_be_time)).collect()}
+    names = list(stats)
+    strings = [c for c in names if stats[c]["type"] == "string"]
     labels = lambda but=(): [c for c in names if c not in but and 2 <= stats[c]["n_distinct"] < MANY][:most_labels]
 
     log_named = [c for c in names if hit(LOG_NAMES, c)]
@@ -84,9 +99,7 @@ def detect(df: DataFrame, most_labels: int | None = None, most_values: int | Non
 
     def is_time(c: str) -> bool:
         s = stats[c]
-        if hit(NOT_TIME_NAMES, c) or not (hit(TIME_NAMES, c) or s["type"].startswith(("date", "timestamp"))):
-            return False
-        if c in numbers and (not hit(STAMP_NAMES, c) or (s["largest"] or 0) < 1e8):
+        if c not in may_be_time or (c in numbers and (s["largest"] or 0) < 1e8):
             return False
         return bool(s["n_times"]) and s["n_times"] >= 0.5 * s["n_rows"] and s["median_year"] >= 1980 and s["max_year"] <= 2100
 
