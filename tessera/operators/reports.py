@@ -35,7 +35,8 @@ def class_codes(df: DataFrame, target: str) -> DataFrame:
 def with_code(df: DataFrame, target: str, name: str = "__code") -> DataFrame:
     """df with the class's code in order; null is -1."""
     codes = class_codes(df, target).select(F.col("value").alias("__v"), F.col("code").alias(name))
-    return df.join(codes, quoted(target).cast("string") == F.col("__v"), "left").drop("__v").withColumn(name, F.coalesce(name, F.lit(-1.0)))
+    # MAX_CLASSES at most; by a shuffle all rows of a class would meet in one task
+    return df.join(F.broadcast(codes), quoted(target).cast("string") == F.col("__v"), "left").drop("__v").withColumn(name, F.coalesce(name, F.lit(-1.0)))
 
 
 def encoded(df: DataFrame, column: str, classes: DataFrame, name: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tessera.operators import advice, boosting, modality
+from tessera.operators import advice, boosting, modality, reports
 
 
 def walked(tree, codes):
@@ -72,3 +72,20 @@ def test_only_what_the_rules_ask_for_is_looked_at(spark, monkeypatch):
     rows = {r["column"]: r for r in real(df, ["kind"], ["day"]).collect()}
     assert rows["price"]["n_times"] is None and rows["price"]["mean_length"] is None and rows["price"]["n_distinct"] == 40
     assert rows["day"]["n_times"] == 40 and rows["day"]["max_year"] == 2024 and rows["kind"]["mean_length"] == 1.0
+
+
+def test_rows_of_a_class_stay_where_they_are(spark):
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a table that is large by its statistics
+    try:
+        _rows_of_a_class_stay_where_they_are(spark)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def _rows_of_a_class_stay_where_they_are(spark):
+    df = spark.range(60).select("id", F.when(F.col("id") % 7 != 0, F.when(F.col("id") % 3 == 0, "b").otherwise("a")).alias("kind"))
+    coded = reports.with_code(df, "kind")
+    plan = coded._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "ShuffledHashJoin" not in plan
+    assert {(r["kind"], r["__code"]) for r in coded.collect()} == {("a", 0.0), ("b", 1.0), (None, -1.0)} and coded.count() == 60
