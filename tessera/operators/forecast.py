@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .learn import estimator, ordered_split, regression_metrics
+from .learn import estimator, fit_on, ordered_split, regression_metrics
 from .text import lag_features, series_matrix, series_rows
 
 LAGS = (1, 2, 3, 7, 14)
@@ -48,7 +48,7 @@ def train_series(df: DataFrame, value: str, by: list[str], order: list[str], can
         assemble = VectorAssembler(inputCols=FEATURES, outputCol="features")
         board, best = [], None
         for name in candidates:
-            fitted = Pipeline(stages=[assemble, estimator(name, "regression")]).fit(train)
+            fitted = PipelineModel(stages=[assemble, fit_on(assemble.transform(train), estimator(name, "regression"))])
             found = tuple(regression_metrics(fitted.transform(held), "label", "prediction").first())
             board.append((name, -round(found[2], 4)))
             if best is None or found[2] < best[0]:

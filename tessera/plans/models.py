@@ -119,5 +119,5 @@ def _(spark, d):
     names = ["l_quantity", "l_discount", "l_tax", "day"]
     df = read(spark, d, "lineitem").select("l_quantity", "l_discount", "l_tax", F.datediff("l_shipdate", F.lit("1992-01-01")).cast("double").alias("day"), F.col("l_extendedprice").alias("label"))
     made = VectorAssembler(inputCols=names, outputCol="features").transform(df).select("features", "label")
-    model = GBTRegressor(maxIter=5, maxDepth=3, seed=42).fit(made)
+    model = learn.fit_on(made, GBTRegressor(maxIter=5, maxDepth=3, seed=42))
     return contributions.global_importances(contributions.tree_contributions(model, made), names)
