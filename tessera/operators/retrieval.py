@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import scan
 from . import text as texts
 from .search import TermIndex
 
@@ -75,6 +76,12 @@ def hybrid_search(index: TermIndex, docs: DataFrame, text: str, queries: list[Qu
     return pool(met.select(F.col("f.query").alias("query"), key, F.round(F.col("f.score") + bonus, 6).alias("score")), key, k)
 
 
+def hybrid_scan(docs: DataFrame, key: str, text: str, queries: list[Query], k: int = 4, rows: int | None = None, keep_text: bool = False) -> DataFrame:
+    """(query, key, score, rank): the pools of hybrid_search, without tasks and tags, by one scan of the texts. rows, keep_text: as scan.nearest has them."""
+    asked = docs.sparkSession.createDataFrame([(q.name, q.text) for q in _checked(queries)], "query string, text string")
+    return scan.nearest(docs, key, text, asked, "query", k=max(4 * k, 12), per_token=PER_TOKEN, rows=rows, keep_text=keep_text)
+
+
 def pool(scores: DataFrame, key: str, k: int) -> DataFrame:
     """Of each query the max(4 k, 12) best texts; ties by key."""
     return texts.top(scores, "query", key, max(4 * k, 12))

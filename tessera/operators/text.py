@@ -56,8 +56,9 @@ def tfidf(counts: DataFrame, key: str, n_docs: int, vocabulary: DataFrame) -> Da
 
 def chunks(docs: DataFrame, key: str, text: str, size: int = 500) -> DataFrame:
     """(key, chunk_id, chunk): pieces of size characters, trimmed; blank ones are left out."""
-    starts = F.when(F.length(text) > 0, F.sequence(F.lit(0), F.length(text) - 1, F.lit(size)))
-    made = docs.select(key, text, F.explode(starts).alias("at")).select(key, F.concat(F.col(key).cast("string"), F.lit("_"), F.col("at").cast("string")).alias("chunk_id"), F.trim(F.substring(text, F.col("at") + 1, F.lit(size))).alias("chunk"))
+    # one pass over a text: each substring would be looked for from the text's start
+    pieces = docs.select(key, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{size}}}"), F.lit(0))).alias("at", "chunk"))
+    made = pieces.select(key, F.concat(F.col(key).cast("string"), F.lit("_"), (F.col("at") * size).cast("string")).alias("chunk_id"), F.trim("chunk").alias("chunk"))
     return made.where(F.col("chunk") != "")
 
 

@@ -69,6 +69,12 @@ def _(spark, d):
     return text.chunks(read(spark, d, "documents"), "doc_id", "text").select("doc_id", "chunk_id", F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
 
 
+def documents_chunks(spark, d):
+    """The chunks of documents, and how many there are at most."""
+    docs = read(spark, d, "documents")
+    return text.chunks(docs, "doc_id", "text").select("chunk_id", F.col("chunk").alias("text")), docs.agg(F.sum(F.ceil(F.length("text") / 500))).first()[0] or 0
+
+
 STOPPED = "list_filter({x}, lambda t: NOT list_contains([" + ", ".join(f"'{w}'" for w in text.STOP) + "], t))"
 GRAMS = "SELECT {k}, term, count(*) AS n FROM (SELECT {k}, unnest(t) AS term FROM {s} UNION ALL SELECT {k}, unnest([t[i] || ' ' || t[i + 1] for i in range(1, len(t))]) FROM {s}) GROUP BY ALL"
 
@@ -97,20 +103,20 @@ SETS = "list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]
 
 def chunk_pools(spark, d):
     """Of every item of benchmark, the 16 best chunks of documents by hybrid score."""
-    made = text.chunks(read(spark, d, "documents"), "doc_id", "text").select("chunk_id", F.col("chunk").alias("text"))
+    made, rows = documents_chunks(spark, d)
     asked = [retrieval.Query(str(r["item_id"]), r["text"]) for r in read(spark, d, "benchmark").select("item_id", "text").orderBy("item_id").limit(retrieval.MAX_QUERIES + 1).collect()]
-    return made, retrieval.hybrid_search(search.TermIndex.build(made, "chunk_id", asked=read(spark, d, "benchmark")), made, "text", asked)
+    return retrieval.hybrid_scan(made, "chunk_id", "text", asked, rows=rows)
 
 
 @query("retrieve_chunks", f"WITH {CHUNKS}, {COSINES}, u AS (SELECT item_id, {SETS} AS u FROM benchmark), h AS (SELECT item_id, chunk_id, round(score + 0.06 * len(list_filter(u, lambda t: contains(lower(ch.text), t))), 6) AS score FROM s JOIN u USING (item_id) JOIN ch USING (chunk_id) WHERE score > 0) SELECT CAST(item_id AS VARCHAR) AS query, chunk_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM h QUALIFY rank <= 16")
 def _(spark, d):
-    return chunk_pools(spark, d)[1]
+    return chunk_pools(spark, d)
 
 
 @query("retrieve_chunks_diverse")
 def _(spark, d):
     """Four chunks of every pool, by maximal marginal relevance."""
-    made, pooled = chunk_pools(spark, d)
+    made, pooled = documents_chunks(spark, d)[0], chunk_pools(spark, d)
     tokens = made.select(F.col("chunk_id").alias("c"), text.token_set(F.col("text")).alias("tokens"))
     return retrieval.diverse(pooled.join(tokens, F.col("chunk_id") == F.col("c")), "chunk_id", "tokens", 4)
 
