@@ -101,11 +101,11 @@ COSINES = (
 SETS = "list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9_]+'), lambda t: length(t) > 2))"
 
 
-def chunk_pools(spark, d):
+def chunk_pools(spark, d, keep_text: bool = False):
     """Of every item of benchmark, the 16 best chunks of documents by hybrid score."""
     made, rows = documents_chunks(spark, d)
     asked = [retrieval.Query(str(r["item_id"]), r["text"]) for r in read(spark, d, "benchmark").select("item_id", "text").orderBy("item_id").limit(retrieval.MAX_QUERIES + 1).collect()]
-    return retrieval.hybrid_scan(made, "chunk_id", "text", asked, rows=rows)
+    return retrieval.hybrid_scan(made, "chunk_id", "text", asked, rows=rows, keep_text=keep_text)
 
 
 @query("retrieve_chunks", f"WITH {CHUNKS}, {COSINES}, u AS (SELECT item_id, {SETS} AS u FROM benchmark), h AS (SELECT item_id, chunk_id, round(score + 0.06 * len(list_filter(u, lambda t: contains(lower(ch.text), t))), 6) AS score FROM s JOIN u USING (item_id) JOIN ch USING (chunk_id) WHERE score > 0) SELECT CAST(item_id AS VARCHAR) AS query, chunk_id, score, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM h QUALIFY rank <= 16")
@@ -116,9 +116,8 @@ def _(spark, d):
 @query("retrieve_chunks_diverse")
 def _(spark, d):
     """Four chunks of every pool, by maximal marginal relevance."""
-    made, pooled = documents_chunks(spark, d)[0], chunk_pools(spark, d)
-    tokens = made.select(F.col("chunk_id").alias("c"), text.token_set(F.col("text")).alias("tokens"))
-    return retrieval.diverse(pooled.join(tokens, F.col("chunk_id") == F.col("c")), "chunk_id", "tokens", 4)
+    pooled = chunk_pools(spark, d, keep_text=True)
+    return retrieval.diverse(pooled.withColumn("tokens", text.token_set(F.col("text"))), "chunk_id", "tokens", 4)
 
 
 SERIES = "WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)"
