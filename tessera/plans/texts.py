@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import retrieval, search, text
+from ..operators import retrieval, scan, search, text
 from .tables import read
 
 QUERIES: dict = {}
@@ -86,9 +86,13 @@ GRAMS = "SELECT {k}, term, count(*) AS n FROM (SELECT {k}, unnest(t) AS term FRO
        "cm AS (SELECT chunk_id, sqrt(sum(w * w)) AS m FROM cw GROUP BY 1), qm AS (SELECT item_id, sqrt(sum(w * w)) AS m FROM qw GROUP BY 1), "
        "s AS (SELECT item_id, chunk_id, round(sum(qw.w / qm.m * (cw.w / cm.m)), 9) AS score FROM qw JOIN qm USING (item_id) JOIN cw USING (term) JOIN cm USING (chunk_id) GROUP BY 1, 2 HAVING sum(qw.w * cw.w) > 0), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM s) SELECT item_id, chunk_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
 def _(spark, d):
-    made = text.chunks(read(spark, d, "documents"), "doc_id", "text").select("chunk_id", F.col("chunk").alias("text"))
+    made, rows = documents_chunks(spark, d)
     asked = read(spark, d, "benchmark")
-    return search.TermIndex.build(made, "chunk_id", asked=asked).search(asked, "item_id").select("item_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
+    if asked.count() > scan.MAX_QUERIES:
+        found = search.TermIndex.build(made, "chunk_id", asked=asked).search(asked, "item_id")
+    else:
+        found = scan.nearest(made, "chunk_id", "text", asked, "item_id", rows=rows)
+    return found.select("item_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
 
 CHUNKS = f"ch AS (SELECT CAST(doc_id AS VARCHAR) || '_' || k AS chunk_id, trim(substr(text, CAST(k AS BIGINT) + 1, 500)) AS text FROM (SELECT doc_id, text, unnest(range(0, length(text), 500)) AS k FROM documents)), ct AS (SELECT chunk_id, {STOPPED.format(x=TOKENS)} AS t FROM ch WHERE text <> ''), qt AS (SELECT item_id, {STOPPED.format(x=TOKENS)} AS t FROM benchmark), nn AS (SELECT count(*) AS n FROM ct)"

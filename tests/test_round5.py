@@ -109,3 +109,9 @@ def test_retrieve_chunks_diverse_without_an_index(spark, monkeypatch):
             taken.append(best)
         want |= {(q, c, score, i) for i, (c, score, _) in enumerate(taken, 1)}
     assert {tuple(r) for r in made.collect()} == want and len(want) == 160
+
+
+def test_search_chunks_without_an_index(spark, monkeypatch):
+    monkeypatch.setattr(search.TermIndex, "build", no_index)
+    made = __spark_entry__.queries()["search_chunks"](spark, SF)
+    assert sorted(map(tuple, made.collect())) == oracle("search_chunks")
